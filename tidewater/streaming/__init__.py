@@ -1,0 +1,6 @@
+"""Intentionally empty: the monitoring workload is batch only.
+
+No input carries an event-time stream, a watermark or a session, so there is
+no streaming operator to offer.  Interactive use goes through the
+parameterised views in ``tidewater.plans.views``.
+"""
