@@ -76,6 +76,22 @@ def na_case(*branches: tuple[Column, object], otherwise: object = None) -> Colum
     return out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
+def round_half_even(x: Column, digits: int) -> Column:
+    """Round to ``digits`` decimals: the closer neighbour, the even one on a tie.
+
+    Closeness is measured on the stored binary value, so 0.15 goes to 0.1 and
+    0.25 to 0.2.  Spark's ``round`` and ``bround`` work on the shortest decimal
+    text of the value instead.  Values too large to have decimals stay as they are.
+    """
+    scale = F.lit(float(10**digits))
+    scaled = x * scale
+    lower, upper = F.floor(scaled) / scale, F.ceil(scaled) / scale
+    below, above = x - lower, upper - x
+    even = F.when(F.floor(scaled) % 2 == 0, lower).otherwise(upper)
+    rounded = F.when(below < above, lower).when(below > above, upper).otherwise(even)
+    return F.when(F.abs(scaled) < float(2**52), rounded).otherwise(x)
+
+
 def null_safe_join(
     left: DataFrame,
     right: DataFrame,

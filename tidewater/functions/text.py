@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewater.functions.semantics import as_col
+from tidewater.functions.semantics import as_col, round_half_even
 
 
 def paste(*parts: Column | str, sep: str = "") -> Column:
@@ -36,7 +36,7 @@ def period_text(lo: Column, hi: Column) -> Column:
 
 
 def interval_text(lo: Column, hi: Column, digits: int = 2) -> Column:
-    return paste(number_text(F.round(lo, digits)), " to ", number_text(F.round(hi, digits)))
+    return paste(number_text(round_half_even(lo, digits)), " to ", number_text(round_half_even(hi, digits)))
 
 
 def id_name(id_: Column | str, name: Column | str) -> Column:

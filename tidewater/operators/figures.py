@@ -39,12 +39,12 @@ def _anchor_gram(key: Column) -> Column:
 def _grams(text: Column) -> Column:
     """Distinct substrings of 1 to ``GRAM`` characters."""
     n = F.length(text)
-    sized = [
-        F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i, s=size: F.substring(text, i, F.lit(s))))
-        .otherwise(F.array().cast("array<string>"))
-        for size in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*sized))
+
+    def of_size(size: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+        return F.when(n >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of_size(size) for size in range(1, GRAM + 1)]))
 
 
 def match_figures(

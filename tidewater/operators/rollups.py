@@ -12,6 +12,7 @@ from tidewater.functions.semantics import (
     na_mean,
     na_min,
     null_safe_join,
+    round_half_even,
     set_with_null,
     sorted_set,
 )
@@ -100,7 +101,7 @@ def value_summary(df: DataFrame, by: list[str], value: str = "ResultValue", digi
     """Count, rounded mean, minimum and maximum; missing as soon as one value is missing."""
     return df.groupBy(*by).agg(
         COUNT.alias("N_samples"),
-        F.round(na_mean(value), digits).alias("mean"),
+        round_half_even(na_mean(value), digits).alias("mean"),
         na_min(value).alias("min"),
         na_max(value).alias("max"),
     )

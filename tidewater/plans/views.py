@@ -13,6 +13,11 @@ from tidewater.sources.constants import SHORT_PROGRAMS, STATUSES
 ALL = "All"
 
 
+def of_habitat(habitat: str):
+    """Rows of a habitat given by its display name."""
+    return F.col("Habitat") == joins.threshold_habitat(F.lit(habitat))
+
+
 def overview(entity_table: DataFrame, station_table: DataFrame, entity: str, statuses=STATUSES) -> DataFrame:
     """Entities, or the stations of one entity with their parameter buttons."""
     if entity == ALL:
@@ -77,7 +82,7 @@ def coverage_axis(rows: DataFrame) -> DataFrame:
 
 def program_years(program_segments: DataFrame, habitat: str) -> DataFrame:
     """Bars of a habitat's programs, widened a little on both ends."""
-    rows = program_segments.where(F.col("Habitat") == habitat)
+    rows = program_segments.where(of_habitat(habitat))
     return rows.select(
         "ProgramID",
         (F.col("startYear") - F.lit(0.1)).alias("bar_start"),
@@ -88,7 +93,7 @@ def program_years(program_segments: DataFrame, habitat: str) -> DataFrame:
 
 def coverage_table(tables: dict[str, DataFrame], habitat: str, id_: str, kind: str) -> DataFrame:
     """Coverage overview of a habitat, for all or for one program or area."""
-    rows = tables[f"coverage_{kind}"].where(F.col("Habitat") == habitat)
+    rows = tables[f"coverage_{kind}"].where(of_habitat(habitat))
     if kind == "program":
         rows = rows if id_ == ALL else rows.where(F.col("ProgramName") == id_)
         return rows.drop("Habitat", "ProgramName", "pNameID")
@@ -99,8 +104,8 @@ def coverage_table(tables: dict[str, DataFrame], habitat: str, id_: str, kind: s
 def summary_table(tables: dict[str, DataFrame], habitat: str, id_: str, kind: str) -> DataFrame:
     """Value summary of a habitat, habitat-wide or for one program or area."""
     if id_ == ALL:
-        return tables["summary_all"].where(F.col("Habitat") == habitat).drop("Habitat")
-    rows = tables[f"summary_{kind}"].where(F.col("Habitat") == habitat)
+        return tables["summary_all"].where(of_habitat(habitat)).drop("Habitat")
+    rows = tables[f"summary_{kind}"].where(of_habitat(habitat))
     if kind == "program":
         return rows.where(F.col("ProgramName") == id_).drop("Habitat", "ProgramName", "ProgramID")
     return rows.where(F.col("ManagedAreaName") == id_).drop("Habitat", "ManagedAreaName")
@@ -156,6 +161,6 @@ def programs_per_habitat(markers: DataFrame, habitat: str = "habitat") -> DataFr
 def habitat_choices(tables: dict[str, DataFrame], habitat: str, kind: str) -> DataFrame:
     """Program or area choices of a habitat."""
     if kind == "program":
-        rows = tables["coverage_program"].where(F.col("Habitat") == habitat)
+        rows = tables["coverage_program"].where(of_habitat(habitat))
         return rows.select("ProgramName", "pNameID").distinct()
-    return tables["summary_area"].where(F.col("Habitat") == habitat).select("ManagedAreaName").distinct()
+    return tables["summary_area"].where(of_habitat(habitat)).select("ManagedAreaName").distinct()
