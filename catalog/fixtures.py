@@ -7,7 +7,7 @@ made from column values, since the driver tables have none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,49 +19,61 @@ HIGHLIGHTS = ["GROUP_ASIA", "GROUP_AMERICA"]
 FLAGS = {"Include": "F", "MADup": 1}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+# Declared, so that no job is run to infer them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+}
 
-def null_if(cond: Column, value: Column) -> Column:
-    return F.when(~cond, value)
 
-
-def programs(spark, sf) -> DataFrame:
-    """One row per station with its program, region and position."""
-    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
-    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(
-        r, F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return rows.select(
-        F.col("s_suppkey").alias("ProgramLocationID"),
-        F.col("n_nationkey").alias("ProgramID"),
-        F.col("n_name").alias("ProgramName"),
-        F.nullif("r_name", F.lit("ASIA")).alias("ManagedAreaName"),
-        F.col("r_name").alias("Region"),
-        (F.col("s_acctbal") / 1000).alias("OriginalLatitude"),
-        (-F.col("s_acctbal") / 500).alias("OriginalLongitude"),
-    )
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def obs(spark, sf) -> DataFrame:
-    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_suppkey").alias("ProgramLocationID"),
-        F.col("l_partkey").alias("LocationID"),
-        F.col("p_type").alias("ParameterName"),
-        F.concat(F.lit("u_"), "p_type").alias("ParameterUnits"),
-        F.col("l_linestatus").alias("Habitat"),
-        F.col("l_returnflag").alias("ActivityType"),
-        F.year("l_shipdate").alias("Year"),
-        F.month("l_shipdate").alias("Month"),
-        F.to_date("l_shipdate").alias("SampleDate"),
-        F.col("l_quantity").alias("ResultValue"),
-        F.nullif("l_discount", F.lit(0.0)).alias("SparseValue"),
-        F.col("l_linestatus").alias("Include"),
-        F.when(F.col("l_tax") > 0, 1).otherwise(0).alias("MADup"),
+    """Observations: order lines with the dimensions joined one by one.
+
+    Left-deep on purpose: each dimension is judged by its own size, so the
+    small ones are broadcast and only a large one shuffles the lines.
+    """
+    part, supplier, nation, region = (table(spark, sf, t) for t in ("part", "supplier", "nation", "region"))
+    rows = (
+        table(spark, sf, "lineitem")
+        .join(part, F.expr("l_partkey = p_partkey"))
+        .join(supplier, F.expr("l_suppkey = s_suppkey"))
+        .join(nation, F.expr("s_nationkey = n_nationkey"))
+        .join(region, F.expr("n_regionkey = r_regionkey"))
+    )
+    return rows.selectExpr(
+        "l_suppkey AS ProgramLocationID",
+        "l_partkey AS LocationID",
+        "n_nationkey AS ProgramID",
+        "n_name AS ProgramName",
+        "nullif(r_name, 'ASIA') AS ManagedAreaName",
+        "r_name AS Region",
+        "s_acctbal / 1000 AS OriginalLatitude",
+        "-s_acctbal / 500 AS OriginalLongitude",
+        "p_type AS ParameterName",
+        "concat('u_', p_type) AS ParameterUnits",
+        "l_linestatus AS Habitat",
+        "l_returnflag AS ActivityType",
+        "year(l_shipdate) AS Year",
+        "l_quantity AS ResultValue",
+        "nullif(l_discount, 0.0D) AS SparseValue",
+        "l_linestatus AS Include",
+        "CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS MADup",
     )
-    return rows.join(programs(spark, sf), "ProgramLocationID")
 
 
 OBS = """obs AS (
@@ -70,7 +82,6 @@ OBS = """obs AS (
          s.s_acctbal / 1000 AS OriginalLatitude, -s.s_acctbal / 500 AS OriginalLongitude,
          p.p_type AS ParameterName, 'u_' || p.p_type AS ParameterUnits, l.l_linestatus AS Habitat,
          l.l_returnflag AS ActivityType, CAST(year(l.l_shipdate) AS INTEGER) AS Year,
-         CAST(month(l.l_shipdate) AS INTEGER) AS Month, CAST(l.l_shipdate AS DATE) AS SampleDate,
          l.l_quantity AS ResultValue, nullif(l.l_discount, 0.0) AS SparseValue,
          l.l_linestatus AS Include, CASE WHEN l.l_tax > 0 THEN 1 ELSE 0 END AS MADup
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey

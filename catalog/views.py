@@ -34,7 +34,7 @@ SELECT Entity, count(DISTINCT ProgramLocationID) AS "Number of Stations", CAST(s
        {X.status_sql('max(Year)')} AS Status, string_agg(DISTINCT Parameter, ', ' ORDER BY Parameter) AS Parameters
 FROM ey GROUP BY Entity, link2 HAVING max(Year) >= 2001""")
 def overview_all(spark, sf):
-    return views.overview(entity_table(spark, sf), station_table(spark, sf), "All", ["Active"])
+    return views.overview(entity_table(spark, sf), None, "All", ["Active"])
 
 
 @query("o96_overview_entity", _STATION + """
@@ -42,7 +42,7 @@ SELECT ProgramNameLink AS "Program Name", ProgramLocationID AS "Station ID", Sta
        string_agg(DISTINCT Button, ', ' ORDER BY Button) AS "Parameters (Number of Years)"
 FROM st WHERE Entity = 'GROUP_AFRICA' AND Status IN ('Active', 'Historical') GROUP BY ALL""")
 def overview_entity(spark, sf):
-    return views.overview(entity_table(spark, sf), station_table(spark, sf), "GROUP_AFRICA")
+    return views.overview(None, station_table(spark, sf), "GROUP_AFRICA")
 
 
 @query("o97_station_parameters", _STATION + """
@@ -89,8 +89,9 @@ def program_years(spark, sf):
     return out.withColumns({"bar_start": F.round("bar_start", 4), "bar_end": F.round("bar_end", 4)})
 
 
-def _tables(spark, sf):
-    return habitat.habitat_tables(X.habitat_input(spark, sf), X.location_points(spark, sf), X.AS_OF, X.LINK)
+def _one(spark, sf, make, kind):
+    """Just the table that a view reads."""
+    return {f"{make.__name__}_{kind}": make(X.habitat_input(spark, sf), kind)}
 
 
 _COVER = """count(DISTINCT ProgramLocationID) AS "Number of Stations", count(*) AS "Number of Observations",
@@ -101,31 +102,31 @@ _VALUES = f"count(*) AS N_samples, {X.r_round('avg(ResultValue)', 2)} AS mean, m
 @query("o100_coverage_of_program", HAB + f"""
 SELECT ProgramID, ParameterName, Units, {_COVER} FROM hab WHERE ProgramName = 'NATION_8' GROUP BY ProgramID, ParameterName, Units""")
 def coverage_of_program(spark, sf):
-    return views.coverage_table(_tables(spark, sf), "F", "NATION_8", "program")
+    return views.coverage_table(_one(spark, sf, habitat.coverage, "program"), "F", "NATION_8", "program")
 
 
 @query("o100_coverage_of_areas", HAB + f"""
 SELECT ManagedAreaName, ParameterName, Units, {_COVER} FROM hab WHERE ManagedAreaName IS NOT NULL
 GROUP BY ManagedAreaName, ParameterName, Units""")
 def coverage_of_areas(spark, sf):
-    return views.coverage_table(_tables(spark, sf), "F", "All", "area")
+    return views.coverage_table(_one(spark, sf, habitat.coverage, "area"), "F", "All", "area")
 
 
 @query("o101_summary_of_habitat", HAB + f"SELECT ParameterName, Units, {_VALUES} FROM hab GROUP BY ParameterName, Units")
 def summary_of_habitat(spark, sf):
-    return views.summary_table(_tables(spark, sf), "F", "All", "program")
+    return views.summary_table(_one(spark, sf, habitat.summary, "all"), "F", "All", "program")
 
 
 @query("o101_summary_of_area", HAB + f"""
 SELECT ParameterName, Units, {_VALUES} FROM hab WHERE ManagedAreaName = 'EUROPE' GROUP BY ParameterName, Units""")
 def summary_of_area(spark, sf):
-    return views.summary_table(_tables(spark, sf), "F", "EUROPE", "area")
+    return views.summary_table(_one(spark, sf, habitat.summary, "area"), "F", "EUROPE", "area")
 
 
 @query("o101_summary_of_program", HAB + f"""
 SELECT ParameterName, Units, {_VALUES} FROM hab WHERE ProgramName = 'NATION_8' GROUP BY ParameterName, Units""")
 def summary_of_program(spark, sf):
-    return views.summary_table(_tables(spark, sf), "F", "NATION_8", "program")
+    return views.summary_table(_one(spark, sf, habitat.summary, "program"), "F", "NATION_8", "program")
 
 
 @query("o102_area_programs", HAB + """
@@ -171,9 +172,9 @@ def parameter_list(spark, sf):
 @query("o104_status_choices", ENTITY + f"""
 SELECT DISTINCT {X.status_sql('max(Year)')} AS Status FROM ey GROUP BY Entity, link2""")
 def status_choices(spark, sf):
-    return views.status_choices(entity_table(spark, sf), station_table(spark, sf), "All")
+    return views.status_choices(entity_table(spark, sf), None, "All")
 
 
 @query("o104_habitat_choices", HAB + "SELECT DISTINCT ProgramName, ProgramID || ' - ' || ProgramName AS pNameID FROM hab")
 def habitat_choices(spark, sf):
-    return views.habitat_choices(_tables(spark, sf), "F", "program")
+    return views.habitat_choices(_one(spark, sf, habitat.coverage, "program"), "F", "program")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.semantics import null_safe_join, sorted_set
 
-SPLITS = 512
+# Rank error of a quantile sketch is at most 1 / ACCURACY of its group.
+ACCURACY = 20_000
+SLACK = 2 / ACCURACY
 
 
 def select_area(vertices: DataFrame, area: str, col: str = "area") -> DataFrame:
@@ -29,42 +31,37 @@ def exact_median(df: DataFrame, by: list[str], value: str, out: str = "Median")
     """Exact median per group without gathering a group in one task.
 
     ``percentile`` keeps all distinct values of a group in one buffer, which a
-    group with a third of all rows would not fit.  Here the rows become
-    (group, value, count), spread by value; bounded quantile sketches of these
-    cut each group into ``SPLITS`` ranges; the range counts (at most
-    ``SPLITS + 1`` rows per group) tell which range holds the middle rank, and
-    only the values of that range are ranked.
+    group with a third of all rows would not fit.  Here bounded quantile
+    sketches, merged from the map tasks, cut each group into a range below, a
+    narrow one around and a range above its middle.  Exact row counts per range
+    then tell which range holds the middle rank (the narrow one, unless a
+    sketch was off, and then another one), and only that range is ranked.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    cuts = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    edges = counts.groupBy(*by).agg(F.percentile_approx("__v", cuts, 10 * SPLITS).alias("__edges"))
-    # Number of edges below the value: equal values always share a range.
-    below = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
-    ranged = null_safe_join(counts, edges, by).withColumn("__range", below).drop("__edges")
-    sizes = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__in"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    cuts = F.array(F.lit(0.5 - SLACK), F.lit(0.5 + SLACK))
+    edges = rows.groupBy(*by).agg(F.percentile_approx("__v", cuts, ACCURACY).alias("__edges"))
+    # Equal values always share a range: one comparison per edge.
+    place = (F.col("__v") >= F.col("__edges")[0]).cast("int") + (F.col("__v") > F.col("__edges")[1]).cast("int")
+    ranged = null_safe_join(rows, edges, by).select(*by, "__v", place.alias("__range"))
+    sizes = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__in"))
     group = W.partitionBy(*by)
     upto = group.orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sizes = (
+    picked = (
         sizes.withColumn("__end", F.sum("__in").over(upto))
         .withColumn("__all", F.sum("__in").over(group))
-        .withColumn("__lo", F.floor((F.col("__all") + 1) / 2))
-        .withColumn("__hi", F.floor((F.col("__all") + 2) / 2))
+        .withColumn("__lo", F.expr("(__all + 1) div 2"))
+        .withColumn("__hi", F.expr("(__all + 2) div 2"))
         .withColumn("__before", F.col("__end") - F.col("__in"))
-        .where((F.col("__before") < F.col("__hi")) & (F.col("__end") >= F.col("__lo")))
+        .where("__before < __hi AND __end >= __lo")
         .select(*by, "__range", "__before", "__lo", "__hi")
     )
-    middle = null_safe_join(ranged, sizes, [*by, "__range"])
+    middle = null_safe_join(ranged, picked, [*by, "__range"])
+    middle = middle.groupBy(*by, "__range", "__before", "__lo", "__hi", "__v").agg(F.count(F.lit(1)).alias("__n"))
     within = W.partitionBy(*by, "__range").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = middle.withColumn("__last", F.col("__before") + F.sum("__n").over(within))
-    middle = middle.withColumn("__first", F.col("__last") - F.col("__n") + 1)
-    holds = lambda rank: (F.col("__first") <= F.col(rank)) & (F.col(rank) <= F.col("__last"))
-    return middle.groupBy(*by).agg(
-        (
-            (F.max(F.when(holds("__lo"), F.col("__v"))) + F.max(F.when(holds("__hi"), F.col("__v")))) / 2
-        ).alias(out)
-    )
+    at = "max(CASE WHEN __last - __n < {0} AND {0} <= __last THEN __v END)"
+    halves = F.expr(f"({at.format('__lo')} + {at.format('__hi')}) / 2")
+    return middle.groupBy(*by).agg(halves.alias(out))
 
 
 def area_stats(

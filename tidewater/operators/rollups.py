@@ -29,7 +29,10 @@ def station_year(
     Each combination carries the count of the whole key.  Rows are first
     reduced to (key, attributes); the totals are an aggregate of that reduction
     joined back, so a hot key is spread over its attribute combinations and the
-    join can be split, which a window over the key could not.
+    join can be split, which a window over the key could not.  Both sides of
+    the join use the same columns of the reduction (hence the ``greatest``, which
+    never changes a total), so Spark shuffles the observations once and reuses
+    the exchange.
 
     ``strict`` raises where the combinations of a key cannot be read as equally
     long lists of attribute values (or a single value) side by side.
@@ -41,7 +44,7 @@ def station_year(
             distinct_with_null(a).alias(f"__distinct_{i}") for i, a in enumerate(attrs)
         ]
     total = combos.groupBy(*keys).agg(*totals)
-    out = null_safe_join(combos.drop("__part"), total, keys)
+    out = null_safe_join(combos, total, keys).withColumn(n, F.greatest(n, "__part"))
     if strict:
         fits = F.lit(True)
         for i in range(len(attrs)):

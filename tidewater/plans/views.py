@@ -18,8 +18,13 @@ def of_habitat(habitat: str):
     return F.col("Habitat") == joins.threshold_habitat(F.lit(habitat))
 
 
-def overview(entity_table: DataFrame, station_table: DataFrame, entity: str, statuses=STATUSES) -> DataFrame:
-    """Entities, or the stations of one entity with their parameter buttons."""
+def overview(
+    entity_table: DataFrame | None, station_table: DataFrame | None, entity: str, statuses=STATUSES
+) -> DataFrame:
+    """Entities, or the stations of one entity with their parameter buttons.
+
+    Only the table that the choice needs has to be given.
+    """
     if entity == ALL:
         return clean.view(
             clean.keep(entity_table, "Status", statuses),
