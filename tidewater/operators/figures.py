@@ -81,8 +81,8 @@ def match_figures(
     else:
         start = end = ""
         between = ".*"
-    forward = path.rlike(F.concat(F.lit(start), key, F.lit(between), kind, F.lit(end)))
-    backward = path.rlike(F.concat(F.lit(start), kind, F.lit(between), key, F.lit(end)))
+    forward = F.rlike(path, F.concat(F.lit(start), key, F.lit(between), kind, F.lit(end)))
+    backward = F.rlike(path, F.concat(F.lit(start), kind, F.lit(between), key, F.lit(end)))
     found = found.withColumn("order", F.when(forward, 1).when(backward, 2)).where(F.col("order").isNotNull())
     first = found.groupBy("ManagedAreaName", "plot_type").agg(F.min(F.struct("order", "path")).alias("hit"))
     return null_safe_join(
