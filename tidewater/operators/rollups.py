@@ -18,7 +18,9 @@ from tidewater.functions.semantics import (
 )
 from tidewater.functions.text import detail_link, id_name, period_text
 
-COUNT = F.count(F.lit(1))
+
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def station_year(
@@ -37,10 +39,10 @@ def station_year(
     ``strict`` raises where the combinations of a key cannot be read as equally
     long lists of attribute values (or a single value) side by side.
     """
-    combos = df.groupBy(*keys, *attrs).agg(COUNT.alias("__part"))
+    combos = df.groupBy(*keys, *attrs).agg(row_count().alias("__part"))
     totals = [F.sum("__part").alias(n)]
     if strict:
-        totals += [COUNT.alias("__rows")] + [
+        totals += [row_count().alias("__rows")] + [
             distinct_with_null(a).alias(f"__distinct_{i}") for i, a in enumerate(attrs)
         ]
     total = combos.groupBy(*keys).agg(*totals)
@@ -55,22 +57,28 @@ def station_year(
 
 
 def site_counts(df: DataFrame, by: list[str] = ("habitat", "ProgramID", "ProgramLocationID")) -> DataFrame:
-    return df.groupBy(*by).agg(COUNT.alias("N_Data"))
+    return df.groupBy(*by).agg(row_count().alias("N_Data"))
 
 
 def station_map(df: DataFrame) -> DataFrame:
-    """Map table: one row per station and distinct position, from the station-year table."""
+    """Map table: one row per station and distinct position, from the station-year table.
+
+    Summary and positions come from one reduction with one exchange, which both
+    sides of the join reuse (see ``station_year`` for the ``greatest``).
+    """
     keys = ["ProgramLocationID", "ProgramID", "ProgramName", "Entity"]
     place = ["Lat", "Lon", "Region"]
-    summary = df.groupBy(*keys).agg(
+    cells = df.groupBy(*keys, *place, "Year", "Parameter").agg(F.sum("Data_N").alias("__n"))
+    summary = cells.groupBy(*keys).agg(
         sorted_set("Year").alias("years"),
         set_with_null("Parameter").alias("params"),
         na_min("Year").alias("YearMin"),
         na_max("Year").alias("YearMax"),
-        F.sum("Data_N").alias("Data_N"),
+        F.sum("__n").alias("Data_N"),
     )
-    places = df.select(*keys, *place).distinct()
-    return null_safe_join(summary, places, keys).withColumn("rad", bubble(F.col("Data_N"), 100))
+    places = cells.groupBy(*keys, *place).agg(F.sum("__n").alias("__part"))
+    out = null_safe_join(summary, places, keys).withColumn("Data_N", F.greatest("Data_N", "__part"))
+    return out.drop("__part").withColumn("rad", bubble(F.col("Data_N"), 100))
 
 
 def bubble(n: Column, scale: float) -> Column:
@@ -103,7 +111,7 @@ def distinct_per(df: DataFrame, by: list[str], col: str, n: str = "n") -> DataFr
 def value_summary(df: DataFrame, by: list[str], value: str = "ResultValue", digits: int = 2) -> DataFrame:
     """Count, rounded mean, minimum and maximum; missing as soon as one value is missing."""
     return df.groupBy(*by).agg(
-        COUNT.alias("N_samples"),
+        row_count().alias("N_samples"),
         round_half_even(na_mean(value), digits).alias("mean"),
         na_min(value).alias("min"),
         na_max(value).alias("max"),
@@ -118,7 +126,7 @@ def coverage_overview(
     Two distinct counts make Spark repeat its input once per count, so the
     observations are first reduced to one row per (group, station, year).
     """
-    cells = df.groupBy(*by, station, year).agg(COUNT.alias("__n"))
+    cells = df.groupBy(*by, station, year).agg(row_count().alias("__n"))
     return cells.groupBy(*by).agg(
         distinct_with_null(station).alias("Number of Stations"),
         F.sum("__n").alias("Number of Observations"),
@@ -143,7 +151,7 @@ def location_markers(df: DataFrame, n: str = "n_data") -> DataFrame:
     few rows per location and never from raw observations.
     """
     keys = ["ProgramLocationID", "ProgramID", "ProgramName", "LocationID"]
-    cells = df.groupBy(*keys, "Year", "ParameterName").agg(COUNT.alias("__n"))
+    cells = df.groupBy(*keys, "Year", "ParameterName").agg(row_count().alias("__n"))
     return cells.groupBy(*keys).agg(
         F.sum("__n").alias(n),
         sorted_set("Year").alias("years"),
@@ -176,7 +184,7 @@ def all_points(df: DataFrame) -> DataFrame:
     cells = (
         df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .groupBy(*keys, "ManagedAreaName")
-        .agg(COUNT.alias("__n"))
+        .agg(row_count().alias("__n"))
     )
     return cells.groupBy(*keys).agg(
         F.sum("__n").alias("n"), set_with_null("ManagedAreaName").alias("areas")
