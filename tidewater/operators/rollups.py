@@ -169,8 +169,9 @@ def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
 
 def collapse(df: DataFrame, by: list[str], col: str, sep: str = ", ", out: str | None = None) -> DataFrame:
     """Distinct values of ``col`` per group as one sorted text."""
-    values = df.select(*by, F.col(col).cast("string").alias("__v")).distinct()
-    return values.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list("__v")), sep).alias(out or col))
+    values = df.select(*by, F.col(col).alias("__v")).distinct()
+    texts = F.transform(F.sort_array(F.collect_list("__v")), lambda v: v.cast("string"))
+    return values.groupBy(*by).agg(F.array_join(texts, sep).alias(out or col))
 
 
 def extent(df: DataFrame, lo: str, hi: str, by: list[str] = ()) -> DataFrame:
