@@ -9,7 +9,8 @@ from tidewater.functions.semantics import null_safe_join
 from tidewater.functions.text import without_blanks
 from tidewater.sources.constants import FIGURES_BY_NAME, FIGURES_WITHOUT_TABLE, NO_FIGURE
 
-GRAM = 4
+# Lengths of the anchors that keys and paths are joined on.
+GRAMS = (1, 2, 4, 8, 16)
 
 
 def figure_key(plot_type: Column, by_name: list[str] = FIGURES_BY_NAME) -> Column:
@@ -30,21 +31,26 @@ def _literal(x: Column) -> Column:
 
 
 def _anchor_gram(key: Column) -> Column:
-    """Leading characters of the longest literal run of a key; any match contains them."""
+    """Leading characters of the longest literal run of a key; any match contains them.
+
+    As many as the largest anchor length that fits, so that long names meet
+    few paths and short ones are not lost.
+    """
     runs = F.split(F.lower(key), r"[^\p{L}\p{N}]+")
     longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
-    return F.substring(longest["run"], 1, GRAM)
+    size = F.greatest(*[F.when(longest["n"] >= size, size).otherwise(0) for size in GRAMS])
+    return F.left(longest["run"], size)
 
 
 def _grams(text: Column) -> Column:
-    """Distinct substrings of 1 to ``GRAM`` characters."""
+    """Distinct substrings of the anchor lengths."""
     n = F.length(text)
 
     def of_size(size: int) -> Column:
         pieces = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
         return F.when(n >= size, pieces).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of_size(size) for size in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(*[of_size(size) for size in GRAMS]))
 
 
 def match_figures(
