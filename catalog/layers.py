@@ -46,6 +46,13 @@ def hidden_layers(spark, sf):
     return layers.layer_diff(layers.layer_grid(X.entity_years(spark, sf)), shown)
 
 
+@query("o66_layer_visibility", _MARKS + """
+SELECT Entity, Status, layer, Entity = 'GROUP_ASIA' AND Status = 'Active' AS visible FROM grid
+UNION ALL SELECT 'All', Status, 'All_' || Status, false FROM (VALUES ('Active'), ('Historical')) s(Status)""")
+def layer_visibility(spark, sf):
+    return layers.layer_visibility(X.entity_years(spark, sf), "GROUP_ASIA", ["Active"])
+
+
 @query("o66_layer_lists", X.with_(X.OBS) + """, l AS (
   SELECT LocationID, list_sort(list(DISTINCT ParameterName)) AS a,
          list_sort(list(DISTINCT ParameterName) FILTER (WHERE Year >= 2000)) AS s FROM obs GROUP BY LocationID)

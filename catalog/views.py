@@ -6,6 +6,7 @@ from catalog import fixtures as X
 from catalog import query
 from tidewater.operators import rollups
 from tidewater.plans import continuous, habitat, views
+from tidewater.sources.dimensions import columns, dimension
 
 HAB = X.with_(*X.HABITAT_CTES)
 ENTITY = X.with_(*X.ENTITY_CTES)
@@ -30,7 +31,7 @@ def entity_table(spark, sf):
 
 
 @query("o96_overview_all", ENTITY + f"""
-SELECT Entity, count(DISTINCT ProgramLocationID) AS "Number of Stations", CAST(sum(Data_N) AS BIGINT) AS "Number of Observations",
+SELECT Entity, count(DISTINCT ProgramLocationID) AS "Number of Stations", format('{{:,}}', CAST(sum(Data_N) AS BIGINT)) AS "Number of Observations",
        {X.status_sql('max(Year)')} AS Status, string_agg(DISTINCT Parameter, ', ' ORDER BY Parameter) AS Parameters
 FROM ey GROUP BY Entity, link2 HAVING max(Year) >= 2001""")
 def overview_all(spark, sf):
@@ -46,7 +47,7 @@ def overview_entity(spark, sf):
 
 
 @query("o97_station_parameters", _STATION + """
-SELECT ProgramNameLink AS ProgramName, ProgramLocationID, Data_N, Status, Parameter, SufficientData
+SELECT ProgramNameLink AS ProgramName, ProgramLocationID, format('{:,}', Data_N) AS Data_N, Status, Parameter, SufficientData
 FROM st WHERE Entity = 'GROUP_ASIA' AND Status = 'Active'""")
 def station_parameters(spark, sf):
     return views.station_parameters(station_table(spark, sf), "GROUP_ASIA", ["Active"])
@@ -81,6 +82,38 @@ def coverage_axis(spark, sf):
     return out.withColumn("ticks", F.concat_ws(", ", F.col("ticks").cast("array<string>")))
 
 
+_PLOT = X.with_(X.TREND_ROWS, X.MONTHLY) + """, one AS (
+  SELECT * FROM trend_rows WHERE ProgramLocationID = 3 AND ParameterName = 'MEDIUM' ORDER BY MonitoringID LIMIT 1),
+pts AS (SELECT * FROM monthly SEMI JOIN (SELECT * FROM one WHERE SufficientData) USING (ProgramLocationID, ParameterName))
+"""
+
+
+def _trend_plot(spark, sf):
+    units = dimension(spark, [("MEDIUM", "mg/L")], columns("ParameterName", "unit"))
+    return views.trend_plot(X.trend_rows(spark, sf), X.monthly(spark, sf), units, 3, "MEDIUM")
+
+
+@query("o93_trend_plot_points", _PLOT + "SELECT Year, round(YearMonthDec, 6) AS x, round(Mean, 6) AS y FROM pts")
+def trend_plot_points(spark, sf):
+    out = _trend_plot(spark, sf)["points"]
+    return out.select("Year", F.round("YearMonthDec", 6).alias("x"), F.round("Mean", 6).alias("y"))
+
+
+@query("o92_trend_plot_line", _PLOT + """
+SELECT MonitoringID, round((x - EarliestYear) * SennSlope + SennIntercept, 6) AS y
+FROM (SELECT *, year(d) + (dayofyear(d) - 1) / dayofyear(make_date(year(d), 12, 31))::DOUBLE AS x
+      FROM (SELECT *, unnest([EarliestSampleDate, LastSampleDate]) AS d FROM one WHERE SufficientData))
+WHERE SennSlope IS NOT NULL""")
+def trend_plot_line(spark, sf):
+    return _trend_plot(spark, sf)["line"].select("MonitoringID", F.round("y", 6).alias("y"))
+
+
+@query("o86_trend_plot_axes", _PLOT + """
+SELECT ParameterName || ' (mg/L)' AS y_label, min(Year) AS t_min, round(min(Mean), 6) AS min_mean FROM pts GROUP BY ParameterName""")
+def trend_plot_axes(spark, sf):
+    return _trend_plot(spark, sf)["axes"].select("y_label", "t_min", F.round("min_mean", 6).alias("min_mean"))
+
+
 @query("o99_program_years", X.with_(*X.HABITAT_CTES, X.segment_ctes("seg", "hab", "Habitat, ProgramID")) + f"""
 SELECT ProgramID, round(startYear - 0.1::DOUBLE, 4) AS bar_start, round(endYear + 0.1::DOUBLE, 4) AS bar_end,
        {X.status_sql('max(endYear) OVER (PARTITION BY Habitat, ProgramID)')} AS Status FROM seg WHERE Habitat = 'F'""")

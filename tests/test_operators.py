@@ -133,5 +133,8 @@ def test_layers(spark):
     assert grid.count() == 4
     hidden = layers.layer_diff(grid, layers.assign_layers(marks))
     assert values(hidden) == [("E2_by_entity_Active",), ("E2_by_entity_Historical",)]
+    for choice, shown, want in [("All", ["Active"], {"All_Active"}), ("E2", ["Active", "Historical"], {"E2_by_entity_Active", "E2_by_entity_Historical"}), ("E1", [], set())]:
+        rows = layers.layer_visibility(marks, choice, shown)
+        assert rows.count() == 6 and {r["layer"] for r in rows.where("visible").collect()} == want
     pts = spark.createDataFrame([("Oyster",), ("OYSTER",), ("sav",), ("other",), (None,)], "habitat string")
     assert values(layers.habitat_layers(pts), "layer") == [("OYSTER",), ("OYSTER",), ("SAV",)]

@@ -73,6 +73,24 @@ def test_habitat_views_take_display_names(spark):
     assert [tuple(r) for r in views.program_years(seg, "Nekton").collect()] == [(1, 1999.9, 2001.1, "Active")]
 
 
+def test_trend_plot(spark):
+    stats = spark.createDataFrame(
+        [("s", "DO", "m2", 2000, 9.0, 9.0, True), ("s", "DO", "m1", 2000, 1.0, 0.0, True), ("s", "pH", "m3", 2000, 1.0, 0.0, False)],
+        "ProgramLocationID string, ParameterName string, MonitoringID string, EarliestYear int, SennSlope double, "
+        "SennIntercept double, SufficientData boolean",
+    ).withColumns({"EarliestSampleDate": F.lit("2000-01-01").cast("date"), "LastSampleDate": F.lit("2001-01-01").cast("date")})
+    monthly = spark.createDataFrame(
+        [("s", p, 2000, 2000.0 + m / 12, float(m)) for p in ("DO", "pH") for m in range(12)],
+        "ProgramLocationID string, ParameterName string, Year int, YearMonthDec double, Mean double",
+    )
+    units = spark.createDataFrame([("DO", "mg/L"), ("pH", "pH")], "ParameterName string, unit string")
+    plot = views.trend_plot(stats, monthly, units, "s", "DO")
+    assert [(r["MonitoringID"], r["x"], r["y"]) for r in plot["line"].collect()] == [("m1", 2000.0, 0.0), ("m1", 2001.0, 1.0)]
+    assert [r["Mean"] for r in plot["points"].collect()] == [float(m) for m in range(12)]
+    assert plot["axes"].first()["y_label"] == "DO (mg/L)"
+    assert all(df.count() == 0 for df in views.trend_plot(stats, monthly, units, "s", "pH").values())
+
+
 # Physical plans.
 
 

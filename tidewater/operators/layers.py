@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.semantics import member
 from tidewater.sources.constants import HABITAT_TOKENS, STATUSES
 
 
@@ -41,6 +42,20 @@ def layer_diff(all_layers: DataFrame, shown: DataFrame) -> DataFrame:
     return all_layers.select("layer").subtract(shown.select("layer"))
 
 
+def layer_visibility(
+    entities: DataFrame, entity: str, shown: list[str], statuses: list[str] = STATUSES
+) -> DataFrame:
+    """Every marker layer with whether it is on the map.
+
+    The choice ``All`` shows the status layers of all entities, any other
+    choice the layers of that entity; ``shown`` holds the ticked statuses.
+    """
+    rows = layer_grid(entities, statuses)
+    whole = rows.select(F.lit("All").alias("Entity"), "Status", all_layer(F.col("Status")).alias("layer")).distinct()
+    on = (F.col("Entity") == entity) & member("Status", shown)
+    return rows.unionByName(whole).withColumn("visible", on)
+
+
 def layer_lists(df: DataFrame, all_col: str, shown_col: str) -> DataFrame:
     """List form: hidden layers, and the union of both lists."""
     return df.select(

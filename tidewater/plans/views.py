@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.functions.dates import coverage_ticks
-from tidewater.operators import clean, joins, rollups
+from tidewater.operators import clean, joins, rollups, segments, trends
 from tidewater.sources.constants import SHORT_PROGRAMS, STATUSES
 
 ALL = "All"
@@ -26,12 +26,13 @@ def overview(
     Only the table that the choice needs has to be given.
     """
     if entity == ALL:
+        rows = clean.ordered(clean.keep(entity_table, "Status", statuses), ["-Data_N", "Entity", "link2"])
         return clean.view(
-            clean.keep(entity_table, "Status", statuses),
+            rows,
             {
                 "Entity": "Entity",
                 "NumStations": "Number of Stations",
-                "Data_N": "Number of Observations",
+                "Data_N_text": "Number of Observations",
                 "Status": "Status",
                 "IncludedParams": "Parameters",
             },
@@ -41,7 +42,7 @@ def overview(
         rows, ["ProgramLocationID", "ProgramNameLink", "Status"], "Button", out="Parameters (Number of Years)"
     )
     return clean.view(
-        rows,
+        clean.ordered(rows, ["ProgramLocationID", "ProgramNameLink", "Status"]),
         {
             "ProgramNameLink": "Program Name",
             "ProgramLocationID": "Station ID",
@@ -54,10 +55,10 @@ def overview(
 def station_parameters(station_table: DataFrame, entity: str, statuses=STATUSES) -> DataFrame:
     """Long form of an entity's stations and parameters."""
     rows = clean.keep(station_table.where(F.col("Entity") == entity), "Status", statuses)
-    return rows.select(
+    return clean.ordered(rows, ["ProgramLocationID", "Parameter"]).select(
         F.col("ProgramNameLink").alias("ProgramName"),
         "ProgramLocationID",
-        "Data_N",
+        F.col("Data_N_text").alias("Data_N"),
         "Status",
         "Parameter",
         "SufficientData",
@@ -85,6 +86,27 @@ def coverage_axis(rows: DataFrame) -> DataFrame:
     return lim.withColumn("ticks", coverage_ticks(F.col("min_value"), F.col("max_value")))
 
 
+def trend_plot(
+    stats: DataFrame, monthly: DataFrame, units: DataFrame, station, parameter: str
+) -> dict[str, DataFrame]:
+    """Points, trendline and axes of one station and parameter.
+
+    Where several trend rows exist the first one counts; without sufficient
+    data all three are empty.
+    """
+    key = ["ProgramLocationID", "ParameterName"]
+    chosen = (F.col("ProgramLocationID") == station) & (F.col("ParameterName") == parameter)
+    row = trends.sufficient_only(segments.first_per(stats.where(chosen), key, ["MonitoringID"]))
+    points = joins.known_only(trends.series(monthly, station, parameter), row.select(*key), key)
+    axes = joins.lookup(trends.series_axes(points), units, ["ParameterName"], ["unit"])
+    label = X.axis_label(F.col("ParameterName"), F.col("unit"))
+    return {
+        "points": points.orderBy("YearMonthDec"),
+        "line": trends.trendline(row).orderBy("MonitoringID", "x"),
+        "axes": axes.withColumn("y_label", label),
+    }
+
+
 def program_years(program_segments: DataFrame, habitat: str) -> DataFrame:
     """Bars of a habitat's programs, widened a little on both ends."""
     rows = program_segments.where(of_habitat(habitat))
@@ -101,8 +123,10 @@ def coverage_table(tables: dict[str, DataFrame], habitat: str, id_: str, kind: s
     rows = tables[f"coverage_{kind}"].where(of_habitat(habitat))
     if kind == "program":
         rows = rows if id_ == ALL else rows.where(F.col("ProgramName") == id_)
+        rows = clean.ordered(rows, ["ProgramID", "ProgramName", "ParameterName", "Units"])
         return rows.drop("Habitat", "ProgramName", "pNameID")
     rows = rows.where(F.col("ManagedAreaName").isNotNull())
+    rows = clean.ordered(rows, ["ManagedAreaName", "ParameterName", "Units"])
     return rows.drop("Habitat") if id_ == ALL else rows.where(F.col("ManagedAreaName") == id_).drop("Habitat", "ManagedAreaName")
 
 

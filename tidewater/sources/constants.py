@@ -41,6 +41,9 @@ FURTHER_ENTITIES = [
     "Continuous Bottom Temperature Measurements along the Florida Reef Tract",
 ]
 
+# Entity choices of the overview, in order.
+ENTITY_CHOICES = ["All", *HIGHLIGHTS, *FURTHER_ENTITIES]
+
 # Entity whose link is always derived from its program id.
 ALWAYS_LINKED = ["USGS Coral Reef Ecosystem Studies (CREST) Project"]
 
