@@ -140,6 +140,12 @@ def value_summary_by_area(spark, sf):
     return habitat.summary(X.habitat_input(spark, sf), "area")
 
 
+@query("o33_area_summary_from_cells", HAB + f"""
+SELECT Habitat, ParameterName, Units, ManagedAreaName, {_VALUES} FROM hab WHERE ManagedAreaName IS NOT NULL GROUP BY ALL""")
+def area_summary_from_cells(spark, sf):
+    return habitat.summary(habitat.habitat_cells(X.habitat_input(spark, sf)), "area", cells=True)
+
+
 _COVER = """count(DISTINCT ProgramLocationID) AS "Number of Stations", count(*) AS "Number of Observations",
        count(DISTINCT Year) AS "Years of Data", min(Year) || ' - ' || max(Year) AS "Period of Record\""""
 

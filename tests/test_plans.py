@@ -57,8 +57,15 @@ def test_coverage_views(batch):
 
 def test_habitat_tables(spark):
     df = X.habitat_input(spark, SF_DIR)
-    tables = habitat.habitat_tables(df, X.location_points(spark, SF_DIR), X.AS_OF, X.LINK)
+    pts = X.location_points(spark, SF_DIR)
+    tables = habitat.habitat_tables(habitat.habitat_cells(df), pts, X.AS_OF, X.LINK)
     n = df.count()
+    rows = lambda t: sorted(map(str, t.collect()))
+    for kind in ("all", "program", "area"):
+        assert rows(tables[f"summary_{kind}"]) == rows(habitat.summary(df, kind))
+    for kind in ("program", "area"):
+        assert rows(tables[f"coverage_{kind}"]) == rows(habitat.coverage(df, kind))
+    assert rows(tables["location_map"]) == rows(habitat.location_map(df, pts))
     assert tables["summary_all"].agg(F.sum("N_samples")).first()[0] == n
     assert tables["coverage_program"].agg(F.sum("Number of Observations")).first()[0] == n
     assert views.summary_table(tables, "F", "All", "area").columns == ["ParameterName", "Units", "N_samples", "mean", "min", "max"]

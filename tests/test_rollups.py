@@ -82,6 +82,15 @@ def test_value_summary_and_coverage(spark):
     ]
 
 
+def test_summary_from_cells(spark):
+    df = spark.createDataFrame(
+        [("a", "s", 1.0), ("a", "s", 2.0), ("a", "t", 3.0), ("b", "s", 1.0), ("b", "t", None), ("c", "s", None)],
+        "g string, st string, ResultValue double",
+    )
+    cells = rollups.value_cells(df, ["g", "st"])
+    assert rows_of(rollups.cell_summary(cells, ["g"]), "*") == rows_of(rollups.value_summary(df, ["g"]), "*")
+
+
 def test_collapse_sorts_by_value(spark):
     df = spark.createDataFrame([("a", 5009), ("a", 651), ("a", 651), ("b", None)], "g string, id int")
     assert rows_of(rollups.collapse(df, ["g"], "id"), "*") == [("a", "651, 5009"), ("b", "")]

@@ -19,8 +19,9 @@ from tidewater.functions.semantics import (
 from tidewater.functions.text import detail_link, id_name, period_text
 
 
-def row_count() -> Column:
-    return F.count(F.lit(1))
+def row_count(n: str | None = None) -> Column:
+    """Rows, or the rows behind a reduced table whose column ``n`` counts them."""
+    return F.sum(n) if n else F.count(F.lit(1))
 
 
 def station_year(
@@ -118,15 +119,41 @@ def value_summary(df: DataFrame, by: list[str], value: str = "ResultValue", digi
     )
 
 
+def value_cells(df: DataFrame, keys: list[str], value: str = "ResultValue") -> DataFrame:
+    """Observations reduced to their keys, keeping what counts and value summaries need.
+
+    One scan of the observations; every table whose keys are among ``keys``
+    follows from the cells.
+    """
+    return df.groupBy(*keys).agg(
+        row_count().alias("n_rows"),
+        F.count(value).alias("n_known"),
+        F.sum(value).alias("total"),
+        F.min(value).alias("lowest"),
+        F.max(value).alias("highest"),
+    )
+
+
+def cell_summary(cells: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
+    """``value_summary`` from the cells of the observations."""
+    whole = F.sum("n_known") == F.sum("n_rows")
+    return cells.groupBy(*by).agg(
+        F.sum("n_rows").alias("N_samples"),
+        round_half_even(F.when(whole, F.sum("total") / F.sum("n_rows")), digits).alias("mean"),
+        F.when(whole, F.min("lowest")).alias("min"),
+        F.when(whole, F.max("highest")).alias("max"),
+    )
+
+
 def coverage_overview(
-    df: DataFrame, by: list[str], station: str = "ProgramLocationID", year: str = "Year"
+    df: DataFrame, by: list[str], station: str = "ProgramLocationID", year: str = "Year", n: str | None = None
 ) -> DataFrame:
     """Stations, observations, years and period of record per group.
 
     Two distinct counts make Spark repeat its input once per count, so the
     observations are first reduced to one row per (group, station, year).
     """
-    cells = df.groupBy(*by, station, year).agg(row_count().alias("__n"))
+    cells = df.groupBy(*by, station, year).agg(row_count(n).alias("__n"))
     return cells.groupBy(*by).agg(
         distinct_with_null(station).alias("Number of Stations"),
         F.sum("__n").alias("Number of Observations"),
@@ -144,16 +171,16 @@ def program_areas(df: DataFrame, link_base: str) -> DataFrame:
     )
 
 
-def location_markers(df: DataFrame, n: str = "n_data") -> DataFrame:
+def location_markers(df: DataFrame, out: str = "n_data", n: str | None = None) -> DataFrame:
     """Count, years and parameters per sampling location.
 
     Reduced to (location, year, parameter) first, so the sets are built from a
     few rows per location and never from raw observations.
     """
     keys = ["ProgramLocationID", "ProgramID", "ProgramName", "LocationID"]
-    cells = df.groupBy(*keys, "Year", "ParameterName").agg(row_count().alias("__n"))
+    cells = df.groupBy(*keys, "Year", "ParameterName").agg(row_count(n).alias("__n"))
     return cells.groupBy(*keys).agg(
-        F.sum("__n").alias(n),
+        F.sum("__n").alias(out),
         sorted_set("Year").alias("years"),
         set_with_null("ParameterName").alias("params"),
     )

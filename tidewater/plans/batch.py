@@ -1,6 +1,6 @@
 """Batch runs: write the reduced input once, derive and write every table from it.
 
-The reduced tables (station-years; gated habitat rows) are durable Parquet, so
+The reduced tables (station-years; habitat cells) are durable Parquet, so
 the derived tables neither repeat the observation scan nor depend on executor
 storage, and a failed run resumes from them.
 """
@@ -13,7 +13,7 @@ from tidewater.plans import continuous, habitat
 from tidewater.sources.tables import load_table, write_tables
 
 STATION_YEARS = "station_years"
-HABITAT_INPUT = "habitat_input"
+HABITAT_CELLS = "habitat_cells"
 
 
 def run_continuous(
@@ -45,12 +45,8 @@ def run_habitat(
     flags: dict[str, object] | None = None,
     excluded=habitat.EXCLUDED_PARAMETERS,
 ) -> dict[str, str]:
-    """Gated, unit-enriched rows by habitat, then all habitat tables; name to path."""
-    columns = [
-        "Habitat", "ParameterName", "Units", "ProgramID", "ProgramName", "ProgramLocationID", "LocationID",
-        "ManagedAreaName", "Year", "ResultValue",
-    ]
-    rows = habitat.habitat_input(obs, thresholds, flags, excluded).select(*columns)
-    silver = write_tables({HABITAT_INPUT: rows}, root, partition_by={HABITAT_INPUT: ["Habitat"]})
-    df = load_table(spark, root, HABITAT_INPUT)
-    return {**silver, **write_tables(habitat.habitat_tables(df, points, as_of, link_base), root, as_of)}
+    """Cells of the gated, unit-enriched rows by habitat, then all habitat tables; name to path."""
+    cells = habitat.habitat_cells(habitat.habitat_input(obs, thresholds, flags, excluded))
+    silver = write_tables({HABITAT_CELLS: cells}, root, partition_by={HABITAT_CELLS: [habitat.HABITAT]})
+    cells = load_table(spark, root, HABITAT_CELLS)
+    return {**silver, **write_tables(habitat.habitat_tables(cells, points, as_of, link_base), root, as_of)}

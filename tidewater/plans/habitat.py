@@ -1,7 +1,8 @@
 """Habitat batch: one gated, unit-enriched input and the tables derived from it.
 
 The habitat is a column and part of every key, so each table of all habitats is
-one aggregation instead of one per habitat.
+one aggregation instead of one per habitat.  A batch run reduces the input to
+cells in one scan; the tables then read the cells.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from tidewater.operators import clean, joins, rollups, segments
 from tidewater.sources.constants import EXCLUDED_PARAMETERS
 
 HABITAT = "Habitat"
+CELL_KEYS = [
+    HABITAT, "ParameterName", "Units", "ProgramID", "ProgramName", "ProgramLocationID", "LocationID",
+    "ManagedAreaName", "Year",
+]
 
 
 def habitat_input(
@@ -33,10 +38,15 @@ def program_segments(df: DataFrame, as_of, mode: str = "reference") -> DataFrame
     return segments.with_status(segments.year_segments(df, keys, mode=mode), "endYear", as_of, per=keys)
 
 
-def location_map(df: DataFrame, points: DataFrame) -> DataFrame:
+def habitat_cells(df: DataFrame) -> DataFrame:
+    """The habitat input reduced once to the finest grain of the tables below."""
+    return rollups.value_cells(df, CELL_KEYS)
+
+
+def location_map(df: DataFrame, points: DataFrame, n: str | None = None) -> DataFrame:
     """Sampling locations that have a point, with pop-up, label and radius."""
     keys = ["ProgramLocationID", "ProgramID", "LocationID"]
-    marks = rollups.location_markers(df)
+    marks = rollups.location_markers(df, n=n)
     out = joins.attach_points(marks, points, [("ProgramLocationID", "ProgramLoc"), *keys[1:]])
     popup = X.labelled(
         [
@@ -55,15 +65,15 @@ def location_map(df: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
-def coverage(df: DataFrame, kind: str) -> DataFrame:
+def coverage(df: DataFrame, kind: str, n: str | None = None) -> DataFrame:
     """Coverage overview per program or per managed area (a missing area is a group)."""
     if kind == "program":
         keys = [HABITAT, "ProgramName", "ProgramID", "ParameterName", "Units"]
-        return rollups.coverage_overview(df, keys).withColumn("pNameID", X.id_name("ProgramID", "ProgramName"))
-    return rollups.coverage_overview(df, [HABITAT, "ManagedAreaName", "ParameterName", "Units"])
+        return rollups.coverage_overview(df, keys, n=n).withColumn("pNameID", X.id_name("ProgramID", "ProgramName"))
+    return rollups.coverage_overview(df, [HABITAT, "ManagedAreaName", "ParameterName", "Units"], n=n)
 
 
-def summary(df: DataFrame, kind: str = "all") -> DataFrame:
+def summary(df: DataFrame, kind: str = "all", cells: bool = False) -> DataFrame:
     """Value summary of the habitat, per program, or per known managed area."""
     keys = [HABITAT, "ParameterName", "Units"]
     if kind == "program":
@@ -71,19 +81,20 @@ def summary(df: DataFrame, kind: str = "all") -> DataFrame:
     elif kind == "area":
         df = df.where(F.col("ManagedAreaName").isNotNull())
         keys += ["ManagedAreaName"]
-    return rollups.value_summary(df, keys)
+    return rollups.cell_summary(df, keys) if cells else rollups.value_summary(df, keys)
 
 
-def habitat_tables(df: DataFrame, points: DataFrame, as_of, link_base: str) -> dict[str, DataFrame]:
-    """All habitat tables from the (preferably materialised) habitat input."""
+def habitat_tables(cells: DataFrame, points: DataFrame, as_of, link_base: str) -> dict[str, DataFrame]:
+    """All habitat tables from the (preferably materialised) cells of the habitat input."""
+    n = "n_rows"
     return {
-        "programs_per_parameter": rollups.distinct_per(df, [HABITAT, "ParameterName"], "ProgramID"),
-        "program_areas": rollups.program_areas(df, link_base),
-        "program_segments": program_segments(df, as_of),
-        "location_map": location_map(df, points),
-        "summary_all": summary(df),
-        "summary_program": summary(df, "program"),
-        "summary_area": summary(df, "area"),
-        "coverage_program": coverage(df, "program"),
-        "coverage_area": coverage(df, "area"),
+        "programs_per_parameter": rollups.distinct_per(cells, [HABITAT, "ParameterName"], "ProgramID"),
+        "program_areas": rollups.program_areas(cells, link_base),
+        "program_segments": program_segments(cells, as_of),
+        "location_map": location_map(cells, points, n),
+        "summary_all": summary(cells, cells=True),
+        "summary_program": summary(cells, "program", cells=True),
+        "summary_area": summary(cells, "area", cells=True),
+        "coverage_program": coverage(cells, "program", n),
+        "coverage_area": coverage(cells, "area", n),
     }

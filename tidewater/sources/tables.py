@@ -21,15 +21,20 @@ def write_tables(
     as_of: str | dt.date | None = None,
     partition_by: dict[str, list[str]] | None = None,
 ) -> dict[str, str]:
-    """Write each table as Parquet below ``root``; returns name to path."""
+    """Write each table as Parquet below ``root``; returns name to path.
+
+    A partitioned table is rebalanced by its partition columns first: adaptive
+    execution then writes files of the advisory size, splitting a hot partition
+    value over several tasks instead of one file per task and value.
+    """
     out = {}
     for name, df in tables.items():
         path = f"{root.rstrip('/')}/{name}"
         df = stamped(df, as_of) if as_of else df
-        writer = df.write.mode("overwrite")
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(*partition_by[name])
-        writer.parquet(path)
+        by = (partition_by or {}).get(name, [])
+        if by:
+            df = df.hint("rebalance", *[F.col(c) for c in by])
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
         out[name] = path
     return out
 
