@@ -89,7 +89,7 @@ def attach_entity(spark, sf):
 @query("o53_sites_with_points", X.with_(X.OBS, X.POINTS) + """,
 sites AS (SELECT Habitat AS habitat, ProgramID, ProgramLocationID, count(*) AS N_Data FROM obs GROUP BY ALL)
 SELECT s.habitat, p.ProgramLoc, p.ProgramID, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon,
-       '<b>Habitat</b>: ' || s.habitat || '<br> Station: ' || p.ProgramLoc || '<br> Program: ' || p.ProgramID AS popup
+       '<br> <b>' || s.habitat || '</b><br> ProgramLocationID: ' || p.ProgramLoc || '<br> ProgramID: ' || p.ProgramID AS popup
 FROM points p JOIN sites s ON p.ProgramLoc = s.ProgramLocationID AND p.ProgramID = s.ProgramID""")
 def sites_with_points(spark, sf):
     rows = X.obs(spark, sf).withColumnRenamed("Habitat", "habitat")
@@ -102,10 +102,10 @@ def sites_with_points(spark, sf):
          array_to_string(list_sort(list(DISTINCT Year)), ', ') AS years,
          array_to_string(list_sort(list(DISTINCT ParameterName)), ', ') AS params FROM hab GROUP BY ALL)
 SELECT m.*, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon, round(sqrt(n_data) / 8, 6) AS rad,
-       m.ProgramID || ': ' || ProgramName || ' - Location: ' || m.LocationID AS label,
-       'Program: ' || m.ProgramID || '<br> Name: ' || ProgramName || '<br> Location: ' || m.LocationID ||
-       '<br> Station: ' || ProgramLocationID || '<br> Observations: ' || n_data || '<br> Years: ' || years ||
-       '<br> Parameters: ' || params AS popup
+       m.ProgramID || ': ' || ProgramName || ' - LocID: ' || m.LocationID AS label,
+       '<br> ProgramID: ' || m.ProgramID || '<br> ProgramName: ' || ProgramName || '<br> LocID: ' || m.LocationID ||
+       '<br> ProgLocID: ' || ProgramLocationID || '<br> N_Data: ' || n_data || '<br> Years: ' || years ||
+       '<br> params: ' || params AS popup
 FROM m JOIN location_points p ON m.ProgramLocationID = p.ProgramLoc AND m.ProgramID = p.ProgramID AND m.LocationID = p.LocationID""")
 def location_map(spark, sf):
     from tidewater.functions.text import list_text

@@ -91,11 +91,11 @@ OBS = """obs AS (
 def dim_entity(spark, sf) -> DataFrame:
     """Partial on purpose: no program of one region, no entity for another."""
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).where(F.col("r_name") != "EUROPE")
-    return rows.select(
-        F.col("n_nationkey").alias("ProgramID"),
-        F.col("n_name").alias("ProgramName"),
-        F.when(F.col("r_name") != "MIDDLE EAST", F.concat(F.lit("GROUP_"), "r_name")).alias("Entity"),
+    rows = n.join(r, F.expr("n_regionkey = r_regionkey AND r_name <> 'EUROPE'"))
+    return rows.selectExpr(
+        "n_nationkey AS ProgramID",
+        "n_name AS ProgramName",
+        "CASE WHEN r_name <> 'MIDDLE EAST' THEN concat('GROUP_', r_name) END AS Entity",
     )
 
 
@@ -133,12 +133,12 @@ EY = f"""ey AS (
 
 def thresholds(spark, sf) -> DataFrame:
     """Units per parameter: one parameter missing, one duplicated."""
-    types = table(spark, sf, "part").select(F.col("p_type").alias("ParameterName")).distinct()
-    once = types.where(F.col("ParameterName") != "PROMO").select(
-        "ParameterName", F.lit("F").alias("Habitat"), F.concat(F.lit("u_"), "ParameterName").alias("Units")
+    types = table(spark, sf, "part").selectExpr("p_type AS ParameterName").distinct()
+    once = types.where("ParameterName <> 'PROMO'").selectExpr(
+        "ParameterName", "'F' AS Habitat", "concat('u_', ParameterName) AS Units"
     )
-    twice = types.where(F.col("ParameterName") == "LARGE").select(
-        "ParameterName", F.lit("F").alias("Habitat"), F.concat(F.lit("u2_"), "ParameterName").alias("Units")
+    twice = types.where("ParameterName = 'LARGE'").selectExpr(
+        "ParameterName", "'F' AS Habitat", "concat('u2_', ParameterName) AS Units"
     )
     return once.unionByName(twice)
 
@@ -161,12 +161,8 @@ HAB = """hab AS (
 
 def points(spark, sf) -> DataFrame:
     """Positions of the stations with a positive balance."""
-    s = table(spark, sf, "supplier").where("s_acctbal > 0")
-    return s.select(
-        F.col("s_suppkey").alias("ProgramLoc"),
-        F.col("s_nationkey").alias("ProgramID"),
-        (F.col("s_acctbal") / 1000).alias("lat"),
-        (-F.col("s_acctbal") / 500).alias("lon"),
+    return table(spark, sf, "supplier").where("s_acctbal > 0").selectExpr(
+        "s_suppkey AS ProgramLoc", "s_nationkey AS ProgramID", "s_acctbal / 1000 AS lat", "-s_acctbal / 500 AS lon"
     )
 
 
@@ -177,9 +173,7 @@ POINTS = """points AS (
 
 def location_points(spark, sf) -> DataFrame:
     """Positions per (station, program, sampling location)."""
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("ProgramLoc"), F.col("l_partkey").alias("LocationID")
-    )
+    lines = table(spark, sf, "lineitem").selectExpr("l_suppkey AS ProgramLoc", "l_partkey AS LocationID")
     return lines.distinct().join(points(spark, sf), "ProgramLoc")
 
 
@@ -188,29 +182,33 @@ LOCATION_POINTS = POINTS + """, location_points AS (
   FROM (SELECT DISTINCT l_suppkey AS ProgramLoc, l_partkey AS LocationID FROM lineitem) l JOIN points p USING (ProgramLoc))"""
 
 
+def typed_lines(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
+
+
 def trend_rows(spark, sf) -> DataFrame:
     """Trend statistics per station, parameter and activity, every outcome occurring."""
-    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    day, flag, qty = F.to_date("l_shipdate"), F.col("l_returnflag"), F.col("l_quantity")
-    n = lambda cond: F.count_if(cond)
-    return rows.groupBy("l_suppkey", "p_type", "l_returnflag").agg(
-        F.count_distinct(F.year(day)).alias("N_Years"),
-        F.min(F.year(day)).alias("EarliestYear"),
-        F.max(F.year(day)).alias("LatestYear"),
-        F.min(day).alias("EarliestSampleDate"),
-        F.max(day).alias("LastSampleDate"),
-        F.when(n(qty >= 48) > 0, n(F.col("l_tax") == 0) / F.lit(80.0)).alias("p"),
-        F.when(n((qty >= 45) & (qty < 48)) > 0, (n(qty <= 25) - n(qty > 25)) / F.lit(100.0)).alias("SennSlope"),
-        (n(qty < 10) / F.lit(4.0)).alias("SennIntercept"),
-        (n((qty >= 42) & (qty < 45)) > 0).alias("SufficientData"),
-        F.when(n((qty >= 39) & (qty < 42)) > 0, 1).alias("Trend"),
-    ).select(
-        F.col("l_suppkey").alias("ProgramLocationID"),
-        F.col("p_type").alias("ParameterName"),
-        F.concat_ws("-", F.col("l_suppkey").cast("string"), "p_type", flag).alias("MonitoringID"),
-        "N_Years", "EarliestYear", "LatestYear", "EarliestSampleDate", "LastSampleDate",
-        "p", "SennSlope", "SennIntercept", "SufficientData", "Trend",
+    columns = {
+        "N_Years": "count(DISTINCT year(l_shipdate))",
+        "EarliestYear": "min(year(l_shipdate))",
+        "LatestYear": "max(year(l_shipdate))",
+        "EarliestSampleDate": "min(to_date(l_shipdate))",
+        "LastSampleDate": "max(to_date(l_shipdate))",
+        "p": "CASE WHEN count_if(l_quantity >= 48) > 0 THEN count_if(l_tax = 0) / 80.0D END",
+        "SennSlope": "CASE WHEN count_if(l_quantity >= 45 AND l_quantity < 48) > 0 "
+        "THEN (count_if(l_quantity <= 25) - count_if(l_quantity > 25)) / 100.0D END",
+        "SennIntercept": "count_if(l_quantity < 10) / 4.0D",
+        "SufficientData": "count_if(l_quantity >= 42 AND l_quantity < 45) > 0",
+        "Trend": "CASE WHEN count_if(l_quantity >= 39 AND l_quantity < 42) > 0 THEN 1 END",
+    }
+    rows = typed_lines(spark, sf).groupBy("l_suppkey", "p_type", "l_returnflag").agg(
+        *[F.expr(f"{text} AS {name}") for name, text in columns.items()]
+    )
+    return rows.selectExpr(
+        "l_suppkey AS ProgramLocationID",
+        "p_type AS ParameterName",
+        "concat_ws('-', l_suppkey, p_type, l_returnflag) AS MonitoringID",
+        *columns,
     )
 
 
@@ -231,20 +229,20 @@ TREND_ROWS = """trend_rows AS (
 
 def intervals(spark, sf) -> DataFrame:
     """Interval estimates per customer, with blank and missing fields."""
-    bal, seg = F.col("c_acctbal"), F.col("c_mktsegment")
-    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.select(
-        F.col("c_custkey").alias("id"),
-        F.col("n_name").alias("ManagedAreaName"),
-        F.when(seg == "AUTOMOBILE", "Density").when(seg == "BUILDING", "Shell Height").otherwise("Percent Live").alias("ParameterName"),
-        seg.alias("ShellType"),
-        F.lower(seg).alias("HabitatType"),
-        F.when(bal < 2000, "").when(bal < 6000, "25-75mm").otherwise(">75mm").alias("SizeClass"),
-        F.when(~((bal > 1000) & (bal < 2500)), F.round(bal / 1000 - 4, 3)).alias("ModelEstimate"),
-        F.round(bal / 9000, 3).alias("StandardError"),
-        F.when(seg != "MACHINERY", F.round(bal / 1000 - 6, 3)).alias("LowerConfidence"),
-        F.round(bal / 1000 - 2, 3).alias("UpperConfidence"),
-        (F.col("n_regionkey") > 1).alias("SufficientData"),
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
+    return rows.selectExpr(
+        "c_custkey AS id",
+        "n_name AS ManagedAreaName",
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Density' WHEN 'BUILDING' THEN 'Shell Height' "
+        "ELSE 'Percent Live' END AS ParameterName",
+        "c_mktsegment AS ShellType",
+        "lower(c_mktsegment) AS HabitatType",
+        "CASE WHEN c_acctbal < 2000 THEN '' WHEN c_acctbal < 6000 THEN '25-75mm' ELSE '>75mm' END AS SizeClass",
+        "CASE WHEN NOT (c_acctbal > 1000 AND c_acctbal < 2500) THEN round(c_acctbal / 1000 - 4, 3) END AS ModelEstimate",
+        "round(c_acctbal / 9000, 3) AS StandardError",
+        "CASE WHEN c_mktsegment <> 'MACHINERY' THEN round(c_acctbal / 1000 - 6, 3) END AS LowerConfidence",
+        "round(c_acctbal / 1000 - 2, 3) AS UpperConfidence",
+        "n_regionkey > 1 AS SufficientData",
     )
 
 
@@ -262,15 +260,15 @@ INTERVALS = """intervals AS (
 
 def monthly(spark, sf) -> DataFrame:
     """Monthly means per station and parameter."""
-    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    year, month = F.year("l_shipdate"), F.month("l_shipdate")
-    return rows.groupBy(
-        F.col("l_suppkey").alias("ProgramLocationID"),
-        F.col("p_type").alias("ParameterName"),
-        year.alias("Year"),
-        (year + (month - 1) / F.lit(12.0)).alias("YearMonthDec"),
-    ).agg(F.avg("l_quantity").alias("Mean"))
+    rows = typed_lines(spark, sf).selectExpr(
+        "l_suppkey AS ProgramLocationID",
+        "p_type AS ParameterName",
+        "year(l_shipdate) AS Year",
+        "year(l_shipdate) + (month(l_shipdate) - 1) / 12.0D AS YearMonthDec",
+        "l_quantity",
+    )
+    keys = ["ProgramLocationID", "ParameterName", "Year", "YearMonthDec"]
+    return rows.groupBy(*keys).agg(F.avg("l_quantity").alias("Mean"))
 
 
 MONTHLY = """monthly AS (

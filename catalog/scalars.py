@@ -16,7 +16,7 @@ OBS = X.with_(X.OBS)
 SELECT DISTINCT ProgramLocationID, '{X.LINK}' || ProgramID AS link, ProgramID || ' - ' || ProgramName AS id_name,
        '<a href=''{X.LINK}' || ProgramID || ''' target=''_blank''>' || ProgramName || '</a>' AS anchor,
        '<a id=''button_' || ParameterName || '_' || ProgramLocationID || ''' href=''#''>' || ParameterName || ' (' || Year || ')</a>' AS button,
-       'Area: ' || coalesce(ManagedAreaName, 'NA') || '<br> Year: ' || Year AS popup
+       '<br> Area: ' || coalesce(ManagedAreaName, 'NA') || '<br> Year: ' || Year AS popup
 FROM obs""")
 def text_building(spark, sf):
     link = text.detail_link(X.LINK, "ProgramID")

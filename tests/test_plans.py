@@ -27,7 +27,7 @@ def test_continuous_tables(batch):
     pinned = batch["station_segments"].where("ProgramLocationID = 1")
     assert {tuple(r) for r in pinned.select("endYear", "Status").collect()} == {(2023, "Active")}
     marker = batch["station_markers"].first()
-    assert marker["popup"].startswith("<b>Station</b>: ") and marker["label"] == str(marker["ProgramLocationID"])
+    assert marker["popup"].startswith("<br> <b>ProgLocID</b>: ") and marker["label"] == str(marker["ProgramLocationID"])
     counted = batch["entity_table"].agg(F.sum("Data_N")).first()[0]
     assert counted == 6000
 
@@ -164,6 +164,30 @@ def test_batch_runs(spark, tmp_path):
     assert load_table(spark, str(tmp_path / "h"), "summary_program").agg(F.sum("N_samples")).first()[0] == total
 
 
+def test_trend_run(spark, tmp_path):
+    from tidewater.operators import trends
+    from tidewater.plans import batch as runs
+    from tidewater.sources.tables import load_table
+
+    areas = spark.createDataFrame([(1, "NATION_1", "NA1"), (2, "NATION_2", "NA2")], "AreaID int, ManagedAreaName string, Abbreviation string")
+    files = spark.createDataFrame([("f/NA1_multiplot.png",), ("f/Coral_pc_NATION_2.png",)], "path string")
+    species = X.trend_rows(spark, SF_DIR).withColumnsRenamed({
+        "ProgramLocationID": "ManagedAreaName", "ParameterName": "Species", "MonitoringID": "StatisticalTrend",
+        "SennIntercept": "LME_Intercept", "SennSlope": "LME_Slope",
+    })
+    stats = X.trend_rows(spark, SF_DIR)
+    done = runs.run_trends(
+        spark, {"disc": stats, "cont": stats}, species, X.intervals(spark, SF_DIR), areas, files, str(tmp_path), X.AS_OF
+    )
+    assert set(done) == {"trend_disc", "trend_cont", "species_trends", "interval_trends", "area_figures", "plots"}
+    found = load_table(spark, str(tmp_path), "area_figures").select("AreaID", "multiplot", "Coral_pc", "trendplot").collect()
+    assert sorted(map(tuple, found)) == [
+        (1, "f/NA1_multiplot.png", "FALSE", "FALSE"), (2, "FALSE", "f/Coral_pc_NATION_2.png", "FALSE"),
+    ]
+    trend = load_table(spark, str(tmp_path), "trend_cont")
+    assert trend.count() == trends.trend_class(stats).count()
+
+
 def test_initial_partitions():
     from tidewater.session import initial_partitions
 

@@ -96,6 +96,6 @@ def file_token(path: Column, index: int, sep: str = "_") -> Column:
 def labelled(pairs: list[tuple[str, Column]]) -> Column:
     """Pop-up text: one line per (label, value)."""
     parts: list[Column | str] = []
-    for i, (label, value) in enumerate(pairs):
-        parts += [f"{'<br> ' if i else ''}{label}: ", value]
+    for label, value in pairs:
+        parts += [f"<br> {label}: ", value]
     return paste(*parts)

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.functions.semantics import null_safe_join
+from tidewater.operators import figures, trends
 from tidewater.plans import continuous, habitat
+from tidewater.sources import dimensions
+from tidewater.sources.constants import PLOTS
 from tidewater.sources.tables import load_table, write_tables
 
 STATION_YEARS = "station_years"
@@ -50,3 +54,30 @@ def run_habitat(
     silver = write_tables({HABITAT_CELLS: cells}, root, partition_by={HABITAT_CELLS: [habitat.HABITAT]})
     cells = load_table(spark, root, HABITAT_CELLS)
     return {**silver, **write_tables(habitat.habitat_tables(cells, points, as_of, link_base), root, as_of)}
+
+
+def run_trends(
+    spark: SparkSession,
+    stats: dict[str, DataFrame],
+    species: DataFrame,
+    intervals: DataFrame,
+    areas: DataFrame,
+    files: DataFrame,
+    root: str,
+    as_of: str,
+) -> dict[str, str]:
+    """Classified trend tables, trend views, and the figures of every area; name to path.
+
+    ``stats`` maps a kind (such as discrete and continuous) to its trend rows,
+    usually one ``read_tables`` scan over all parameters and regions.
+    """
+    types = [p[0] for p in PLOTS]
+    found = figures.figures_wide(figures.match_figures(areas, types, files), types)
+    out = {f"trend_{kind}": trends.trend_class(df) for kind, df in stats.items()}
+    out |= {
+        "species_trends": trends.species_trends(species),
+        "interval_trends": trends.interval_trends(intervals),
+        "area_figures": null_safe_join(areas, found, ["ManagedAreaName"], "left"),
+        "plots": dimensions.plots(spark),
+    }
+    return write_tables(out, root, as_of)

@@ -50,13 +50,14 @@ def station_segments(df: DataFrame, as_of, mode: str = "reference") -> DataFrame
 def station_markers(df: DataFrame, as_of) -> DataFrame:
     """Map table with radius, pop-up, label and status."""
     out = segments.with_status(rollups.station_map(df), "YearMax", as_of)
+    # Labels of the pop-up lines.
     popup = X.labelled(
         [
-            ("<b>Station</b>", F.col("ProgramLocationID")),
-            ("<b>Program</b>", X.paste(F.col("ProgramName"), " (", F.col("ProgramID"), ")")),
-            ("<b>Observations</b>", X.thousands("Data_N")),
+            ("<b>ProgLocID</b>", F.col("ProgramLocationID")),
+            ("<b>ProgramName</b> (ID)", X.paste(F.col("ProgramName"), " (", F.col("ProgramID"), ")")),
+            ("<b>Data_N</b>", X.thousands("Data_N")),
             ("<b>Years</b>", X.list_text(F.col("years"))),
-            ("<b>Parameters</b>", X.list_text(F.col("params"))),
+            ("<b>Params</b>", X.list_text(F.col("params"))),
         ]
     )
     return out.withColumn("popup", popup).withColumn("label", F.col("ProgramLocationID").cast("string"))
@@ -89,13 +90,9 @@ def station_table(df: DataFrame, stats: DataFrame, as_of) -> DataFrame:
 def habitat_points(sites: DataFrame, points: DataFrame) -> DataFrame:
     """Habitat sampling sites with coordinates and pop-up."""
     out = joins.attach_points(points, sites, [("ProgramLoc", "ProgramLocationID"), "ProgramID"])
-    popup = X.labelled(
-        [
-            ("<b>Habitat</b>", F.col("habitat")),
-            ("Station", F.col("ProgramLoc")),
-            ("Program", F.col("ProgramID")),
-        ]
-    )
+    # Labels of the pop-up lines.
+    lines = X.labelled([("ProgramLocationID", F.col("ProgramLoc")), ("ProgramID", F.col("ProgramID"))])
+    popup = X.paste("<br> <b>", F.col("habitat"), "</b>", lines)
     return out.select("habitat", "ProgramLoc", "ProgramID", "lat", "lon", popup.alias("popup"))
 
 

@@ -48,18 +48,19 @@ def location_map(df: DataFrame, points: DataFrame, n: str | None = None) -> Data
     keys = ["ProgramLocationID", "ProgramID", "LocationID"]
     marks = rollups.location_markers(df, n=n)
     out = joins.attach_points(marks, points, [("ProgramLocationID", "ProgramLoc"), *keys[1:]])
+    # Labels of the pop-up lines.
     popup = X.labelled(
         [
-            ("Program", F.col("ProgramID")),
-            ("Name", F.col("ProgramName")),
-            ("Location", F.col("LocationID")),
-            ("Station", F.col("ProgramLocationID")),
-            ("Observations", F.col("n_data")),
+            ("ProgramID", F.col("ProgramID")),
+            ("ProgramName", F.col("ProgramName")),
+            ("LocID", F.col("LocationID")),
+            ("ProgLocID", F.col("ProgramLocationID")),
+            ("N_Data", F.col("n_data")),
             ("Years", X.list_text(F.col("years"))),
-            ("Parameters", X.list_text(F.col("params"))),
+            ("params", X.list_text(F.col("params"))),
         ]
     )
-    label = X.paste(F.col("ProgramID"), ": ", F.col("ProgramName"), " - Location: ", F.col("LocationID"))
+    label = X.paste(F.col("ProgramID"), ": ", F.col("ProgramName"), " - LocID: ", F.col("LocationID"))
     return out.withColumns(
         {"popup": popup, "label": label, "rad": rollups.bubble(F.col("n_data"), 8)}
     )
