@@ -29,7 +29,7 @@ def year_islands(spark, sf):
 @query("o42_entity_segments", X.with_(*X.ENTITY_CTES, X.segment_ctes("seg", "ey", "Entity"))
        + f"SELECT *, {X.status_sql('endYear')} AS Status FROM seg")
 def entity_segments(spark, sf):
-    return continuous.entity_segments(X.entity_years(spark, sf), X.AS_OF)
+    return continuous.entity_segments(X.entity_presence(spark, sf), X.AS_OF)
 
 
 _STATION = X.with_(*X.ENTITY_CTES, X.segment_ctes("seg", "ey", "Entity, ProgramLocationID, ProgramName"))
@@ -40,7 +40,7 @@ def station_segments(spark, sf):
     from tidewater.operators.clean import ordered
 
     return ordered(
-        continuous.station_segments(X.entity_years(spark, sf), X.AS_OF),
+        continuous.station_segments(X.entity_presence(spark, sf), X.AS_OF),
         ["ProgramName", "ProgramLocationID", "startYear"],
     )
 

@@ -74,7 +74,7 @@ def overrides(spark, sf):
     pinned = X.table(spark, sf, "supplier").where("s_acctbal < 0").select(
         F.col("s_suppkey").alias("ProgramLocationID"), F.lit(2023).alias("endYear"), F.lit("Active").alias("Status")
     )
-    rows = continuous.station_segments(X.entity_years(spark, sf), X.AS_OF)
+    rows = continuous.station_segments(X.entity_presence(spark, sf), X.AS_OF)
     return clean.apply_overrides(rows, pinned, ["ProgramLocationID"])
 
 

@@ -123,6 +123,11 @@ def entity_years(spark, sf) -> DataFrame:
     return continuous.entity_station_years(sy, dim_entity(spark, sf), LINK, HIGHLIGHTS, ["NATION_3"])
 
 
+def entity_presence(spark, sf) -> DataFrame:
+    seen = continuous.presence(obs(spark, sf))
+    return continuous.entity_station_years(seen, dim_entity(spark, sf), LINK, HIGHLIGHTS, ["NATION_3"])
+
+
 EY = f"""ey AS (
   SELECT sy.*, coalesce(d.Entity, sy.ProgramName) AS Entity,
          CASE WHEN coalesce(d.Entity, sy.ProgramName) = 'NATION_3' THEN '{LINK}' || sy.ProgramID ELSE d.link END AS link,

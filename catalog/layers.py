@@ -37,20 +37,20 @@ def habitat_layers(spark, sf):
 
 @query("o71_layer_grid", _MARKS + "SELECT * FROM grid")
 def layer_grid(spark, sf):
-    return layers.layer_grid(X.entity_years(spark, sf))
+    return layers.layer_grid(X.entity_presence(spark, sf))
 
 
 @query("o66_hidden_layers", _MARKS + "SELECT layer FROM grid EXCEPT SELECT layer FROM layered")
 def hidden_layers(spark, sf):
     shown = layers.assign_layers(_marks(spark, sf))
-    return layers.layer_diff(layers.layer_grid(X.entity_years(spark, sf)), shown)
+    return layers.layer_diff(layers.layer_grid(X.entity_presence(spark, sf)), shown)
 
 
 @query("o66_layer_visibility", _MARKS + """
 SELECT Entity, Status, layer, Entity = 'GROUP_ASIA' AND Status = 'Active' AS visible FROM grid
 UNION ALL SELECT 'All', Status, 'All_' || Status, false FROM (VALUES ('Active'), ('Historical')) s(Status)""")
 def layer_visibility(spark, sf):
-    return layers.layer_visibility(X.entity_years(spark, sf), "GROUP_ASIA", ["Active"])
+    return layers.layer_visibility(X.entity_presence(spark, sf), "GROUP_ASIA", ["Active"])
 
 
 @query("o66_layer_lists", X.with_(X.OBS) + """, l AS (

@@ -54,7 +54,7 @@ def station_parameters(spark, sf):
 
 
 def _segments(spark, sf):
-    df = X.entity_years(spark, sf)
+    df = X.entity_presence(spark, sf)
     return continuous.entity_segments(df, X.AS_OF), continuous.station_segments(df, X.AS_OF)
 
 

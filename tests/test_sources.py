@@ -81,6 +81,15 @@ def test_habitat_from_the_file_name(spark, exports):
     assert values(df.select(file_token(F.col(readers.FILE), 1), "v")) == [("CORAL", 2), ("SAV", 1)]
 
 
+def test_folder_names_with_blanks(spark, tmp_path):
+    root = tmp_path / "SAV root +1"
+    write(root, "sub dir/All_SAV_x.txt", "v\n1\n")
+    write(root, "All_CW_x.txt", "v\n2\n")
+    df = readers.read_delim(spark, str(root), ddl("v int"), include="SAV", with_file=True)
+    assert values(df) == [(1, "sub dir/All_SAV_x.txt")]
+    assert values(readers.list_files(spark, str(root), include="^All"), readers.FILE) == [("All_CW_x.txt",)]
+
+
 def test_list_files(spark, exports):
     got = values(readers.list_files(spark, exports, include="DO", exclude="_SW", suffix=".txt"), readers.FILE, "length")
     assert got == [("WQ_NUT_DO.txt", 4), ("WQ_cont_DO_NE.txt", 4)]

@@ -38,6 +38,11 @@ def entity_station_years(
     return joins.attach_entity(sy, entities, highlights, link_base, always_linked)
 
 
+def presence(obs: DataFrame) -> DataFrame:
+    """Years in which a station reported: all that coverage segments need of the observations."""
+    return obs.select("ProgramLocationID", "Year", "ProgramID", "ProgramName").distinct()
+
+
 def entity_segments(df: DataFrame, as_of, mode: str = "reference") -> DataFrame:
     return segments.with_status(segments.year_segments(df, ["Entity"], mode=mode), "endYear", as_of)
 

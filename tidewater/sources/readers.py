@@ -22,17 +22,25 @@ def wanted_path(path: Column, include=None, exclude=None, suffix: str | None = N
     return ok & path.endswith(suffix) if suffix else ok
 
 
-def relative_path(root: str) -> Column:
-    """Path of the scanned file below ``root``, so that the root itself cannot match."""
+def below(path: Column, root: str) -> Column:
+    """Part of a file path below ``root``, so that the root itself cannot match."""
     tail = root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    return F.element_at(F.split(F.col("_metadata.file_path"), rf"\Q{tail}\E", 2), -1)
+    return F.element_at(F.split(path, rf"\Q{tail}\E", 2), -1)
+
+
+def scanned_path() -> Column:
+    """Path of the scanned file; Spark gives it percent-encoded, a plus sign being itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def relative_path(root: str) -> Column:
+    return below(scanned_path(), root)
 
 
 def list_files(spark: SparkSession, root: str, include=None, exclude=None, suffix=None) -> DataFrame:
     """Files below ``root`` whose path fits, with size; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    tail = root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    rel = F.element_at(F.split("path", rf"\Q{tail}\E", 2), -1)
+    rel = below(F.col("path"), root)
     return files.select("path", rel.alias(FILE), "length").where(wanted_path(F.col(FILE), include, exclude, suffix))
 
 
@@ -90,7 +98,7 @@ def read_tables(
         return df
     if on_duplicate != "last" or not keys:
         raise ValueError("on_duplicate is 'union', or 'last' with keys")
-    df = df.select("*", F.regexp_extract("_metadata.file_path", source_pattern, 0).alias(FILE))
+    df = df.select("*", F.regexp_extract(scanned_path(), source_pattern, 0).alias(FILE))
     last = df.groupBy(*keys).agg(F.max(FILE).alias(FILE))
     return null_safe_join(df, last, [*keys, FILE], "left_semi").drop(FILE)
 
