@@ -70,8 +70,7 @@ def group_status(spark, sf):
 SELECT ProgramLocationID, ProgramName, Entity, max(Year) AS YearMax, {X.status_sql('max(Year)')} AS Status
 FROM ey GROUP BY ALL""")
 def station_status(spark, sf):
-    out = continuous.station_markers(X.entity_years(spark, sf), X.AS_OF)
-    return out.select("ProgramLocationID", "ProgramName", "Entity", "YearMax", "Status")
+    return continuous.station_status(X.entity_presence(spark, sf), X.AS_OF)
 
 
 @query("o48_parameter_status", OBS + f"""

@@ -16,7 +16,7 @@ grid AS (SELECT Entity, Status, Entity || '_by_entity_' || Status AS layer
 
 
 def _marks(spark, sf):
-    return continuous.station_markers(X.entity_years(spark, sf), X.AS_OF).select(
+    return continuous.station_status(X.entity_presence(spark, sf), X.AS_OF).select(
         "ProgramLocationID", "Entity", "Status"
     )
 
@@ -67,3 +67,17 @@ def layer_lists(spark, sf):
     out = layers.layer_lists(rows, "a", "s")
     text = lambda c: F.array_join(F.sort_array(c), ", ").alias(c)
     return out.select("LocationID", text("hidden"), text("every"))
+
+
+@query("o70_marker_layers", X.with_(*X.ENTITY_CTES) + f""", m AS (
+  SELECT ProgramLocationID, ProgramID, ProgramName, Entity, max(Year) AS y, CAST(sum(Data_N) AS BIGINT) AS n,
+         array_to_string(list_sort(list(DISTINCT Year)), ', ') AS years,
+         array_to_string(list_sort(list(DISTINCT Parameter)), ', ') AS params FROM ey GROUP BY ALL),
+t AS (SELECT *, {X.status_sql('y')} AS Status,
+        '<br> <b>ProgLocID</b>: ' || ProgramLocationID || '<br> <b>ProgramName</b> (ID): ' || ProgramName || ' (' || ProgramID ||
+        ')<br> <b>Data_N</b>: ' || format('{{:,}}', n) || '<br> <b>Years</b>: ' || years || '<br> <b>Params</b>: ' || params AS popup
+      FROM m)
+SELECT CAST(ProgramLocationID AS VARCHAR) AS label, popup, unnest(['All_' || Status, Entity || '_by_entity_' || Status]) AS layer FROM t""")
+def marker_layers(spark, sf):
+    marks = continuous.station_markers(X.entity_years(spark, sf), X.AS_OF)
+    return layers.assign_layers(marks).select("label", "popup", "layer")

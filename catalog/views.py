@@ -1,4 +1,8 @@
-"""Parameterised views with fixed arguments."""
+"""Parameterised views with fixed arguments.
+
+A view of one entity, program, area or station is the feature here; each table
+it filters is computed from the whole input.
+"""
 
 from pyspark.sql import functions as F
 

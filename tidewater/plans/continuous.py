@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
+from tidewater.functions.semantics import na_max
 from tidewater.operators import clean, joins, rollups, segments
 from tidewater.sources.constants import ALWAYS_LINKED, HIGHLIGHTS
 
@@ -52,6 +53,12 @@ def station_segments(df: DataFrame, as_of, mode: str = "reference") -> DataFrame
     return segments.with_status(segments.year_segments(df, keys, mode=mode), "endYear", as_of)
 
 
+def station_status(df: DataFrame, as_of) -> DataFrame:
+    """Last year and status per station, from station-years or presence."""
+    last = df.groupBy("ProgramLocationID", "ProgramName", "Entity").agg(na_max("Year").alias("YearMax"))
+    return segments.with_status(last, "YearMax", as_of)
+
+
 def station_markers(df: DataFrame, as_of) -> DataFrame:
     """Map table with radius, pop-up, label and status."""
     out = segments.with_status(rollups.station_map(df), "YearMax", as_of)
