@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, token_counts
+from tidewater.llm import bpe, chat, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,54 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(
         documents, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, TOKEN_LIMIT
     )
+
+
+OP9_EXTRA = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+def _escaped_sql(column: str) -> str:
+    e, out = chat.INSTRUCT.escape, column
+    for old, new in [(e, e + e), *((m, m[0] + e + m[1:]) for m in chat.INSTRUCT.marks())]:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+def _marks_length_sql() -> str:
+    t = chat.INSTRUCT
+    known = " ".join(f"WHEN '{r}' THEN {len(x.open) + len(x.close)}" for r, x in t.turns.items())
+    other = len(t.other.open) + len(t.other.close) + len(t.role_end)
+    return f"CASE role {known} ELSE {other} + length({_escaped_sql('role')}) END"
+
+
+OP9_SQL = f"""
+WITH every AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+), folded AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+           sum(length({_escaped_sql('text')}) + {_marks_length_sql()})::BIGINT AS formatted_chars
+    FROM every GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+       formatted_chars FROM folded
+"""
+
+
+@query("op9_chat_format", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = chat.formatted(rows.unionByName(spark.sql(OP9_EXTRA)))
+    turns = F.transform(
+        chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    )
+    out = out.withColumn("turns", turns).withColumn("learned", chat.loss_text(F.col("segments")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
