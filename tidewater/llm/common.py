@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,22 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors: once per context, as a zip that Spark hands out."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewater_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, f"{package.name}/{path.relative_to(package)}")
+    target = Path(tempfile.mkdtemp(prefix="tidewater-zip-")) / "tidewater_package.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._tidewater_shipped = True
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

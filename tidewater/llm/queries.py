@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, token_counts
+from tidewater.llm import bpe, chat, token_counts, warc
+from tidewater.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -102,3 +104,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+# A digest's 160 bits as text, five at a time.
+_BITS = "".join(f"WHEN '{c:x}' THEN '{c:04b}' " for c in range(16))
+_BASE32 = "".join(f"WHEN '{i:05b}' THEN '{c}' " for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+OP3_SQL = f"""
+WITH every AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+    SELECT page_id, strlen(html) AS payload_bytes, hex,
+           list_aggregate(list_transform(string_split(hex, ''), lambda c: CASE c {_BITS}END), 'string_agg', '') AS b
+    FROM every
+), typed AS (
+    SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY hex) AS top,
+           list_aggregate(list_transform(range(32), lambda i: CASE substr(b, i * 5 + 1, 5) {_BASE32}END), 'string_agg', '')
+               AS payload_digest
+    FROM bits
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM typed
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"), WARC_DATE)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
