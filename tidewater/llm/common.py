@@ -44,6 +44,19 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST = 32 << 20  # written bytes up to which a table may be sent to every executor
+
+
+def when_small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are at most BROADCAST bytes
+    together; beyond that the planner chooses, normally a shuffle join."""
+    files = df.inputFiles()
+    if not files:
+        return df
+    size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return F.broadcast(df) if size is not None and size <= BROADCAST else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors: once per context, as a zip that Spark hands out."""
     context = spark.sparkContext

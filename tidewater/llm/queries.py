@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontaminate, lm, quality, suffix_dedup, token_counts, warc
+from tidewater.llm import bpe, chat, decontaminate, lm, near_dedup, quality, suffix_dedup, token_counts, warc
 from tidewater.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.scored(documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
+@query("op2_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.grouped(table(spark, sf_dir, "documents"))

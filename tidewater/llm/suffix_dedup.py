@@ -19,7 +19,7 @@ A batch drops what repeats inside it before anything is shuffled, so a string
 that fills a third of the corpus reaches a shard once per batch.  Shards are
 numbered by ``spark.sql.shuffle.partitions``; a shard's arrays are what a task
 holds.  Only places go back to the texts: they are broadcast when their written
-size is below ``BROADCAST`` bytes and meet the texts in a shuffle join beyond.
+size is below ``common.BROADCAST`` bytes and meet the texts in a shuffle join beyond.
 
 Defined results: a null text is empty; texts shorter than SPAN lose nothing; a
 null id takes no part and loses nothing; rows that share an id are one document
@@ -45,12 +45,12 @@ from tidewater.llm.common import (
     shuffle_partitions,
     slices,
     text_or_empty,
+    when_small,
 )
 
 SPAN = 100
 GRAM = 32
 CHUNK = 1 << 20  # bytes worked on at once
-BROADCAST = 32 << 20
 
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 ENTRY = "shard int, resolved boolean, gram binary, context binary, doc binary, place binary"
@@ -336,15 +336,6 @@ def _sharded(rows: DataFrame, second: bool) -> DataFrame:
     return rows.repartitionById(n, F.col("shard")).mapInArrow(lambda it: scan_shard(it, second), FOUND)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if what was written of it is below BROADCAST bytes."""
-    files = df.inputFiles()
-    if not files:
-        return df
-    size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return F.broadcast(df) if size is not None and size <= BROADCAST else df
-
-
 def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM
 ) -> DataFrame:
@@ -370,7 +361,7 @@ def repeated_spans(
             at = [v.values.to_numpy() for v in batch.column(2)]
             yield from dealt(windows(raw, offsets, batch.column(0).to_numpy(), at, span, gram), shards)
 
-    some = docs.join(_small(opened), "doc").select("doc", "text", "open")
+    some = docs.join(when_small(opened), "doc").select("doc", "text", "open")
     again = _sharded(some.mapInArrow(opened_windows, ENTRY), True)
     places = found.select("doc", "covered", F.array().cast("array<long>").alias("starts")).unionByName(
         again.select("doc", F.array().cast("array<long>").alias("covered"), F.col("covered").alias("starts"))
@@ -414,7 +405,7 @@ def deduplicated(
 ) -> DataFrame:
     """Every row with ``spans`` (clipped, empty if none) and ``kept`` (binary) beside its columns."""
     found = repeated_spans(df, id_col, text_col, span, gram).select(F.col(id_col).alias("__s_doc"), F.col("spans").alias("__s_spans"))
-    out = df.join(_small(found), F.col(id_col).cast("long") == F.col("__s_doc"), "left").drop("__s_doc")
+    out = df.join(when_small(found), F.col(id_col).cast("long") == F.col("__s_doc"), "left").drop("__s_doc")
     text = text_or_empty(text_col).cast("binary")
     n = F.octet_length(text).cast("long")
     clipped = F.transform(
