@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontaminate, lm, near_dedup, quality, suffix_dedup, token_counts, warc
+from tidewater.llm import bpe, chat, decontaminate, html_text, lm, near_dedup, quality, suffix_dedup, token_counts, warc
 from tidewater.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.grouped(table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extracted(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
