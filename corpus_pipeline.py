@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import stages
-from tidewater.llm.common import shared_dir, ship
+from tidewater.llm.common import shared_dir
 
 STAGES = [
+    ("quality", stages.quality_rules),
+    ("near", stages.near_duplicates),
+    ("passages", stages.repeated_passages),
+    ("benchmark", stages.decontaminated),
     ("bpe", stages.byte_bpe),
 ]
 
@@ -17,7 +21,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each result is written to the shared folder and read again."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_dir(spark, f"pipeline-{name}")

@@ -70,7 +70,7 @@ def winnowed(df: DataFrame, keep: list[str], span: int, gram: int) -> DataFrame:
     """(keep, fingerprint, start, spans): a row per run of neighbouring spans with the
     same least gram hash; ``spans`` holds the hashes of the run's spans."""
     window = span - gram + 1
-    out = grams(df.where(F.col(P + "n") >= span), [gram, span])
+    out = grams(df, [gram, span])
     out = out.select(*keep, P + "n", F.col(f"{P}{gram}").alias(P + "m"), F.col(f"{P}{span}").alias(P + "s"))
     reach = 1
     while reach < window:
@@ -99,7 +99,7 @@ def unfolded(runs: DataFrame, keep: list[str]) -> DataFrame:
 
 def short_windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
     """(keep, fingerprint, start, span) of every gram of ``size`` words; its fingerprint is its size."""
-    out = grams(df.where(F.col(P + "n") >= size), [size])
+    out = grams(df, [size])
     out = out.select(*keep, F.posexplode(_cut(f"{P}{size}", size)).alias("start", "span"))
     return out.select(*keep, F.lit(size).cast("long").alias("fingerprint"), "start", "span")
 

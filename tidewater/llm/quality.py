@@ -272,18 +272,3 @@ def decided(
     out = statistics.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules
 
-
-def kept(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
-) -> DataFrame:
-    """Rows of ``df`` that neither the base rules nor the learnt ones reject.
-
-    The statistics of the rows are worked out again beside the text, which
-    costs less than sending every text through a join.
-    """
-    _, rules = decided(df, labels, id_col, text_col, label_col)
-    # Own names for the caller's columns, which may be called like a statistic.
-    names = df.columns
-    own = df.toDF(*[f"{PREFIX}own{i}" for i in range(len(names))])
-    out = with_statistics(own, f"{PREFIX}own{names.index(text_col)}").where(~base_failed() & verdict(rules))
-    return out.select(*[F.col(f"{PREFIX}own{i}").alias(n) for i, n in enumerate(names)])

@@ -1,4 +1,8 @@
-"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame."""
+"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``documents``.  Decisions travel as ids:
+the ids to leave out are written and anti-joined, broadcast only when small.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe
+from tidewater.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
+from tidewater.llm.common import materialised, ship, when_small
 from tidewater.llm.queries import RANKS
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """Rows whose id is not among ``ids``; rows without id stay."""
+    out = materialised(ids.select("doc_id").distinct(), label)
+    return docs.join(when_small(out), "doc_id", "left_anti").select(*DOCUMENT)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learnt rules reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, _ = quality.decided(docs, labels)
+    return without(docs, rows.where(~F.col("kept")), "pipeline-rejected")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    ship(spark)
+    groups = near_dedup.grouped(docs)
+    return without(docs, groups.where(~F.col("kept")), "pipeline-near-removed")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of strings that start earlier; characters stay whole."""
+    ship(spark)
+    out = suffix_dedup.deduplicated(docs.select(*DOCUMENT), whole_characters=True)
+    kept = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    out = out.withColumn("text", kept).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*DOCUMENT)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    rows = decontaminate.matched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, rows.where(decontaminate.contaminated()), "pipeline-contaminated")
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids and the digest of the decoded bytes."""
+    ship(spark)
     ranks = public_tokenizers.path(RANKS)
     ids = docs.select(
         "doc_id", "lang", "source", bpe.encode(spark, ranks, public_tokenizers.PATTERN, "text").alias("encoded")

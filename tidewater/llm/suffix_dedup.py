@@ -400,10 +400,33 @@ def without(text: Column, spans: Column) -> Column:
     return F.when(spans.isNull(), text).otherwise(F.array_join(parts, "").cast("binary"))
 
 
+def _inside(text: Column, at: Column) -> Column:
+    """Whether a character goes on at this byte of a UTF-8 text."""
+    return F.coalesce(F.hex(F.substring(text, (at + 1).cast("int"), F.lit(1))).between("80", "BF"), F.lit(False))
+
+
+def on_characters(text: Column, span: Column) -> Column:
+    """The span without the characters that it covers in part."""
+    start, end = span["start"], span["end"]
+    for _ in range(3):
+        start = F.when(_inside(text, start), start + 1).otherwise(start)
+        end = F.when(_inside(text, end), end - 1).otherwise(end)
+    return F.struct(start.alias("start"), F.greatest(start, end).alias("end"))
+
+
 def deduplicated(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    span: int = SPAN,
+    gram: int = GRAM,
+    whole_characters: bool = False,
 ) -> DataFrame:
-    """Every row with ``spans`` (clipped, empty if none) and ``kept`` (binary) beside its columns."""
+    """Every row with ``spans`` (clipped, empty if none) and ``kept`` (binary) beside its columns.
+
+    With ``whole_characters`` a character that a span covers in part stays, so
+    that ``kept`` is valid UTF-8.
+    """
     found = repeated_spans(df, id_col, text_col, span, gram).select(F.col(id_col).alias("__s_doc"), F.col("spans").alias("__s_spans"))
     out = df.join(when_small(found), F.col(id_col).cast("long") == F.col("__s_doc"), "left").drop("__s_doc")
     text = text_or_empty(text_col).cast("binary")
@@ -413,6 +436,8 @@ def deduplicated(
         lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], n).alias("end")),
     )
     out = out.withColumn("__s_spans", clipped)
+    if whole_characters:
+        out = out.withColumn("__s_spans", F.transform("__s_spans", lambda s: on_characters(text, s)))
     spans = F.col("__s_spans")
     return out.select(
         *df.columns,
