@@ -13,11 +13,11 @@ most SMALL documents are compared exhaustively; the others branch again.
 Independent trees are repeated until a linked pair is missed with a probability
 below about 1e-4.
 
-A large node first compares all its documents with its smallest id.  Documents
-confirmed to be linked with the same leader need no link between each other,
-and a node that holds only those ends there, which keeps a group of thousands
-of near copies linear.  What is still large and mixed after DEEPEST levels is
-compared in blocks, pair by pair, except within a leader's group.
+The first large nodes compare all their documents with their smallest id.
+Documents confirmed to be linked with the same leader need no link between each
+other, and a node that holds only those ends there, which keeps a group of
+thousands of near copies linear.  What is still large and mixed after ROUNDS
+steps is compared in blocks, pair by pair, except within a leader's group.
 
 Comparisons in nodes use set sizes and signatures with a margin of about 4.5
 standard deviations; each surviving pair is confirmed on the full sets.
@@ -31,6 +31,7 @@ that share an id are one document; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,9 @@ PERCENT = 85
 COORDINATES = 256
 TREES = 24
 FIRST_LEVELS = 3  # levels branched before nodes are counted
-SMALL = 32
-DEEPEST = 12  # further levels of large nodes
+SMALL = 256
+STEP = 2  # levels that large nodes branch before they are counted again
+ROUNDS = 6  # of such steps
 MARGIN = 0.10
 SLICE = 2 << 20
 
@@ -186,13 +188,14 @@ def roots(batches: Iterator[pa.RecordBatch], trees: int, levels: int, percent: i
                 )
 
 
-def descended(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(node, id, n) of the next level from (node, id, n, signature)."""
+def descended(batches: Iterator[pa.RecordBatch], percent: int, levels: int) -> Iterator[pa.RecordBatch]:
+    """(node, id, n) after further levels from (node, id, n, signature)."""
     for batch in batches:
         if batch.num_rows:
-            nodes, rows = children(
-                batch.column(0).to_numpy().view(U64), np.arange(batch.num_rows), signatures(batch.column(3)), percent
-            )
+            sig = signatures(batch.column(3))
+            nodes, rows = batch.column(0).to_numpy().view(U64), np.arange(batch.num_rows)
+            for _ in range(levels):
+                nodes, rows = children(nodes, rows, sig, percent)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes.view(np.int64)),
@@ -299,7 +302,6 @@ class Join:
         self.classes = materialised(
             classes.select("d1", "d2", F.col("n_shingles").alias("n"), "x.id", "x.signature"), "near-classes"
         )
-        self.sets: DataFrame | None = None
 
     def with_sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of the written ids, from the texts."""
@@ -323,68 +325,58 @@ class Join:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
         return materialised(both.mapInArrow(lambda it: confirmed(it, percent), "a long, b long"), "near-links")
 
+    def leaders(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(confirmed links of documents with the smallest id of their large node;
+        the smallest such leader of each document, as (id, label))."""
+        percent = self.percent
+        star = large.select(F.col("leader").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+        known = self.classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("signature_b"))
+        lead = known.toDF("a", "n_a", "signature_a")
+        star = star.join(known, "b").join(lead, "a").select("a", "n_a", "signature_a", "b", "n_b", "signature_b")
+        star = materialised(star.mapInArrow(lambda it: star_pairs(it, percent), "a long, b long"), "near-star")
+        links = self.links(star)
+        return links, materialised(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "near-labels")
+
     def all_links(self) -> DataFrame:
         """Links that connect everything that is linked: (a, b)."""
-        percent, trees, spark = self.percent, self.trees, self.spark
-        n = shuffle_partitions(spark)
+        percent, trees = self.percent, self.trees
+        n = shuffle_partitions(self.spark)
         marked = self.classes.select("id", "n", "signature")
-        first = marked.mapInArrow(lambda it: roots(it, trees, FIRST_LEVELS, percent), "node long, id long, n long")
-        rows = materialised(first, "near-rows")
+        rows = marked.mapInArrow(lambda it: roots(it, trees, FIRST_LEVELS, percent), "node long, id long, n long")
+        rows = materialised(rows, "near-rows")
         signature = marked.select("id", "signature")
-        labels: DataFrame | None = None
-        links: list[DataFrame] = []
-        small: list[DataFrame] = []
-        for level in range(DEEPEST + 1):
+        links, labels = None, None
+        compared: list[DataFrame] = []
+
+        def labelled(df: DataFrame) -> DataFrame:
+            if labels is None:
+                return df.withColumn("label", F.col("id"))
+            return df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+        for step in range(ROUNDS + 1):
             sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1")
             counted = materialised(rows.join(sizes, "node"), "near-nodes")
-            small.append(counted.where(F.col("size") <= SMALL).select("node", "id", "n"))
+            own = counted.where(F.col("size") <= SMALL).select("node", "id", "n")
+            compared.append(own.withColumn("block", F.lit(-1).cast("long")))
             large = counted.where(F.col("size") > SMALL)
             if large.isEmpty():
                 break
-            star = large.select(F.col("leader").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-            known = marked.toDF("b", "n_b", "signature_b")
-            lead = marked.toDF("a", "n_a", "signature_a")
-            star = star.join(known, "b").join(lead, "a")
-            star = star.select("a", "n_a", "signature_a", "b", "n_b", "signature_b")
-            star = materialised(star.mapInArrow(lambda it: star_pairs(it, percent), "a long, b long"), "near-star")
-            if links:
-                done = links[0]
-                for x in links[1:]:
-                    done = done.union(x)
-                star = star.join(done, ["a", "b"], "left_anti")
-            links.append(self.links(materialised(star, "near-star-new")))
-            every = links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            # A leader's own label is itself; a document takes its smallest confirmed leader.
-            labels = materialised(every.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "near-labels")
-            named = large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            mixed = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-            mixed = materialised(mixed.select("node"), "near-mixed")
-            left = large.join(mixed, "node", "left_semi")
-            if level == DEEPEST:
-                small.append(blocks(left.select("node", "id", "n", "size")))
+            if links is None:
+                links, labels = self.leaders(large)
+            mixed = labelled(large).groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+            left = large.join(mixed.where("x <> y").select("node"), "node", "left_semi")
+            if step == ROUNDS:
+                compared.append(blocks(left.select("node", "id", "n", "size")))
                 break
             below = left.select("node", "id", "n").join(signature, "id").select("node", "id", "n", "signature")
-            rows = materialised(
-                below.mapInArrow(lambda it: descended(it, percent), "node long, id long, n long").distinct(), "near-rows"
-            )
-        compared = None
-        for s in small:
-            s = s if "block" in s.columns else s.withColumn("block", F.lit(-1).cast("long"))
-            compared = s if compared is None else compared.unionByName(s)
-        if labels is not None:
-            compared = compared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        else:
-            compared = compared.withColumn("label", F.col("id"))
-        compared = compared.join(signature, "id").select("node", "id", "n", "label", "block", "signature")
-        compared = compared.repartition(n, "node").sortWithinPartitions("node")
-        pairs = compared.mapInArrow(lambda it: small_pairs(it, percent), "a long, b long").distinct()
-        links.append(self.links(materialised(pairs, "near-pairs")))
-        out = links[0]
-        for x in links[1:]:
-            out = out.union(x)
-        return materialised(out.distinct(), "near-all-links")
+            rows = below.mapInArrow(lambda it: descended(it, percent, STEP), "node long, id long, n long")
+            rows = materialised(rows, "near-rows")
+        every = labelled(reduce(DataFrame.unionByName, compared))
+        every = every.join(signature, "id").select("node", "id", "n", "label", "block", "signature")
+        every = every.repartition(n, "node").sortWithinPartitions("node")
+        pairs = every.mapInArrow(lambda it: small_pairs(it, percent), "a long, b long").distinct()
+        found = self.links(materialised(pairs, "near-pairs"))
+        return found if links is None else found.union(links).distinct()
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -410,7 +402,6 @@ def components(links: DataFrame) -> DataFrame:
         hooked = comp.join(near, "id").select(
             "id", F.col("component").alias("old"), F.least("component", "there").alias("component")
         )
-        hooked = materialised(hooked, "near-hooked")
         # The component's own id may know a smaller one by now.
         jump = hooked.select(F.col("id").alias("of"), F.col("component").alias("further"))
         new = hooked.join(jump, F.col("component") == F.col("of"), "left")
