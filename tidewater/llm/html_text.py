@@ -250,18 +250,19 @@ def template(tokens: list[tuple[str, int, int, int]], pages: int) -> dict:
             chars[token] = size
     held = {""}  # paths of the template so far, the page itself first
     texts: list[str] = []
-    waiting = sorted(classes.items(), key=lambda c: (-c[0][0], min(c[1], key=len), c[0][1]))
+    waiting = [sorted(c) for _, c in sorted(classes.items(), key=lambda c: (-c[0][0], c[0][1]))]
     grown = True
-    while grown:  # a class nests when each of its tokens continues the template or the class itself
+    while grown:
+        # A class nests with those of its tokens that continue the template; the others wait
+        # for the class that stands between them.
         grown, later = False, []
-        for key, members in waiting:
-            own = held | {t for t in members if "#" not in t}
-            if all(t.partition("#")[0].rpartition("/")[0] in own if "#" not in t else t.partition("#")[0] in own for t in members):
-                held |= {t for t in members if "#" not in t}
-                texts += [t for t in members if "#" in t]
-                grown = True
-            else:
-                later.append((key, members))
+        for members in waiting:
+            fits = [t for t in members if (t.partition("#")[0] if "#" in t else t.rpartition("/")[0]) in held]
+            held |= {t for t in fits if "#" not in t}
+            texts += [t for t in fits if "#" in t]
+            grown |= bool(fits)
+            if len(fits) < len(members):
+                later.append([t for t in members if t not in set(fits)])
         waiting = later
     marked = [p for p in held if p and p.rpartition("/")[2].partition(".")[0] in CONTENT]
     marked = [p for p in marked if not set(p.rpartition("/")[2].split(".")[1:]) & NOT_ARTICLE and chars[p]]
