@@ -50,7 +50,8 @@ from tidewater.llm.common import (
 
 SPAN = 100
 GRAM = 32
-CHUNK = 1 << 20  # bytes worked on at once
+CHUNK = 1 << 18  # bytes worked on at once
+BATCH = 8 << 20  # bytes of text whose suffixes form one batch
 
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 ENTRY = "shard int, resolved boolean, gram binary, context binary, doc binary, place binary"
@@ -349,7 +350,10 @@ def repeated_spans(
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat_bytes(batch.column(1))
-            yield from dealt(entries(raw, offsets, batch.column(0).to_numpy(), span, gram), shards)
+            ids = batch.column(0).to_numpy()
+            for i, j in slices(offsets, BATCH):
+                own = offsets[i : j + 1] - offsets[i]
+                yield from dealt(entries(raw[offsets[i] : offsets[j]], own, ids[i:j], span, gram), shards)
 
     found = materialised(_sharded(docs.mapInArrow(suffixes, ENTRY), False), "suffix-found")
     opened = found.where(F.size("open") > 0).groupBy("doc").agg(F.flatten(F.collect_list("open")).alias("open"))
@@ -358,8 +362,11 @@ def repeated_spans(
     def opened_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat_bytes(batch.column(1))
-            at = [v.values.to_numpy() for v in batch.column(2)]
-            yield from dealt(windows(raw, offsets, batch.column(0).to_numpy(), at, span, gram), shards)
+            ids, at = batch.column(0).to_numpy(), batch.column(2)
+            for i, j in slices(offsets, BATCH):
+                own = offsets[i : j + 1] - offsets[i]
+                opened_at = [v.values.to_numpy() for v in at.slice(i, j - i)]
+                yield from dealt(windows(raw[offsets[i] : offsets[j]], own, ids[i:j], opened_at, span, gram), shards)
 
     some = docs.join(when_small(opened), "doc").select("doc", "text", "open")
     again = _sharded(some.mapInArrow(opened_windows, ENTRY), True)
