@@ -49,7 +49,7 @@ def station_segments(spark, sf):
 SELECT Habitat, ProgramID, startYear, endYear,
        {X.status_sql('max(endYear) OVER (PARTITION BY Habitat, ProgramID)')} AS Status FROM seg""")
 def program_segments(spark, sf):
-    return habitat.program_segments(X.habitat_input(spark, sf), X.AS_OF)
+    return habitat.program_segments(X.habitat_cells(spark, sf), X.AS_OF)
 
 
 _SEG = X.with_(X.OBS, X.segment_ctes("seg", "obs", "LocationID, ActivityType"))

@@ -25,10 +25,9 @@ def units_per_parameter(spark, sf):
 
 @query("o16_renamed_view", OBS + """
 SELECT ProgramName AS "Program Name", ProgramLocationID AS "Station ID", ParameterName AS "Parameter", Year, 'obs' AS tag
-FROM obs WHERE Year = 2001""")
+FROM obs""")
 def renamed_view(spark, sf):
-    rows = X.obs(spark, sf).where("Year = 2001")
-    out = clean.view(rows, {
+    out = clean.view(X.obs(spark, sf), {
         "ProgramName": "Program Name", "ProgramLocationID": "Station ID", "ParameterName": "Parameter", "Year": "Year",
     })
     return out.withColumn("tag", F.lit("obs"))
@@ -97,20 +96,20 @@ def sites_with_points(spark, sf):
     return out.withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})
 
 
-@query("o54_location_map", X.with_(*X.HABITAT_CTES, X.LOCATION_POINTS) + """, m AS (
-  SELECT ProgramLocationID, ProgramID, ProgramName, LocationID, count(*) AS n_data,
+@query("o54_location_map", X.with_(*X.HABITAT_CTES, X.LOCATION_POINTS) + f""", m AS (
+  SELECT Habitat, ProgramLocationID, ProgramID, ProgramName, LocationID, count(*) AS n_data,
          array_to_string(list_sort(list(DISTINCT Year)), ', ') AS years,
          array_to_string(list_sort(list(DISTINCT ParameterName)), ', ') AS params FROM hab GROUP BY ALL)
-SELECT m.*, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon, round(sqrt(n_data) / 8, 6) AS rad,
+SELECT m.*, {X.HABITAT_NAME} AS habitat_name, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon, round(sqrt(n_data) / 8, 6) AS rad,
        m.ProgramID || ': ' || ProgramName || ' - LocID: ' || m.LocationID AS label,
-       '<br> ProgramID: ' || m.ProgramID || '<br> ProgramName: ' || ProgramName || '<br> LocID: ' || m.LocationID ||
-       '<br> ProgLocID: ' || ProgramLocationID || '<br> N_Data: ' || n_data || '<br> Years: ' || years ||
-       '<br> params: ' || params AS popup
+       concat_ws(' ', 'ProgramID: ', m.ProgramID, '<br> ProgramName: ', ProgramName, '<br> LocID: ', m.LocationID,
+                 '<br> ProgLocID: ', ProgramLocationID, '<br> N_Data: ', n_data, '<br> Years: ', years,
+                 '<br> params: ', params) AS popup
 FROM m JOIN location_points p ON m.ProgramLocationID = p.ProgramLoc AND m.ProgramID = p.ProgramID AND m.LocationID = p.LocationID""")
 def location_map(spark, sf):
     from tidewater.functions.text import list_text
 
-    out = habitat.location_map(X.habitat_input(spark, sf), X.location_points(spark, sf))
+    out = habitat.location_map(X.habitat_cells(spark, sf), X.location_points(spark, sf), "n_rows")
     return out.withColumns({
         "lat": F.round("lat", 5), "lon": F.round("lon", 5), "rad": F.round("rad", 6),
         "years": list_text(F.col("years")), "params": list_text(F.col("params")),
@@ -138,10 +137,11 @@ def threshold_habitat(spark, sf):
 
 @query("o57_known_points", X.with_(X.OBS, X.POINTS) + """
 SELECT ProgramLoc, ProgramID, round(lat, 5) AS lat FROM points p
-WHERE EXISTS (SELECT 1 FROM obs WHERE ProgramLocationID = p.ProgramLoc AND ParameterName = 'LARGE')""")
+WHERE EXISTS (SELECT 1 FROM obs WHERE ProgramLocationID = p.ProgramLoc)""")
 def known_points(spark, sf):
-    known = X.obs(spark, sf).where(F.col("ParameterName") == "LARGE").select("ProgramLocationID")
-    out = joins.known_only(X.points(spark, sf), known, [("ProgramLoc", "ProgramLocationID")])
+    """Every other point is of a station that no observation has."""
+    both = X.points(spark, sf).withColumn("ProgramLoc", F.explode(F.array("ProgramLoc", -F.col("ProgramLoc") - 1)))
+    out = joins.known_only(both, X.obs(spark, sf), [("ProgramLoc", "ProgramLocationID")])
     return out.select("ProgramLoc", "ProgramID", F.round("lat", 5).alias("lat"))
 
 
@@ -297,7 +297,7 @@ def backfill(spark, sf):
 
 @query("o67_record_rows", """
 SELECT o_orderpriority AS plot_type, t.label, count(*) AS n FROM orders
-JOIN (VALUES ('1-URGENT', 'first'), ('5-LOW', 'last')) t(plot_type, label) ON o_orderpriority = t.plot_type GROUP BY ALL""")
+LEFT JOIN (VALUES ('1-URGENT', 'first'), ('5-LOW', 'last')) t(plot_type, label) ON o_orderpriority = t.plot_type GROUP BY ALL""")
 def record_rows(spark, sf):
     from tidewater.sources.dimensions import records
 
@@ -305,10 +305,10 @@ def record_rows(spark, sf):
     counts = X.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("plot_type")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return null_safe_join(counts, rows, ["plot_type"])
+    return null_safe_join(counts, rows, ["plot_type"], "left")
 
 
-@query("o69_unnest_years", X.with_(*X.HABITAT_CTES) + "SELECT DISTINCT ProgramLocationID, LocationID, Year FROM hab")
+@query("o69_unnest_years", X.with_(*X.HABITAT_CTES) + "SELECT DISTINCT Habitat, ProgramLocationID, LocationID, Year FROM hab")
 def unnest_years(spark, sf):
-    marks = rollups.location_markers(X.habitat_input(spark, sf))
-    return marks.select("ProgramLocationID", "LocationID", F.explode("years").alias("Year"))
+    marks = rollups.location_markers(X.habitat_cells(spark, sf), n="n_rows")
+    return marks.select("Habitat", "ProgramLocationID", "LocationID", F.explode("years").alias("Year"))

@@ -2,7 +2,9 @@
 
 Suppliers play stations, nations programs, regions managed areas, part types
 parameters and order lines observations.  Nulls and partial dimensions are
-made from column values, since the driver tables have none.
+made from column values, since the driver tables have none.  Programs have years
+without data and some ended years ago; a third of the stations is sampled in two
+habitats; locations of the habitat input are few, so that its cells are too.
 """
 
 from __future__ import annotations
@@ -19,6 +21,17 @@ HIGHLIGHTS = ["GROUP_ASIA", "GROUP_AMERICA"]
 FLAGS = {"Include": "F", "MADup": 1}
 
 
+# Years move so that each program misses every third year and one in four programs is historical.
+YEAR = (
+    "year(l_shipdate) - CASE WHEN n_nationkey % 4 = 1 THEN 5 ELSE 0 END"
+    " - CASE WHEN (n_nationkey + year(l_shipdate)) % 3 = 0 THEN 1 ELSE 0 END"
+)
+HABITAT = (
+    "CASE WHEN l_suppkey % 3 = 0 THEN 'Water Column' WHEN l_suppkey % 3 = 1 OR l_returnflag = 'A'"
+    " THEN 'Oyster/Oyster Reef' ELSE 'Submerged Aquatic Vegetation' END"
+)
+HABITATS = ["Water Column", "Oyster/Oyster Reef", "Submerged Aquatic Vegetation"]
+
 # Declared, so that no job is run to infer them.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -66,9 +79,9 @@ def obs(spark, sf) -> DataFrame:
         "-s_acctbal / 500 AS OriginalLongitude",
         "p_type AS ParameterName",
         "concat('u_', p_type) AS ParameterUnits",
-        "l_linestatus AS Habitat",
+        f"{HABITAT} AS Habitat",
         "l_returnflag AS ActivityType",
-        "year(l_shipdate) AS Year",
+        f"CAST({YEAR} AS INT) AS Year",
         "l_quantity AS ResultValue",
         "nullif(l_discount, 0.0D) AS SparseValue",
         "l_linestatus AS Include",
@@ -76,12 +89,12 @@ def obs(spark, sf) -> DataFrame:
     )
 
 
-OBS = """obs AS (
+OBS = f"""obs AS (
   SELECT l.l_suppkey AS ProgramLocationID, l.l_partkey AS LocationID, n.n_nationkey AS ProgramID,
          n.n_name AS ProgramName, nullif(r.r_name, 'ASIA') AS ManagedAreaName, r.r_name AS Region,
          s.s_acctbal / 1000 AS OriginalLatitude, -s.s_acctbal / 500 AS OriginalLongitude,
-         p.p_type AS ParameterName, 'u_' || p.p_type AS ParameterUnits, l.l_linestatus AS Habitat,
-         l.l_returnflag AS ActivityType, CAST(year(l.l_shipdate) AS INTEGER) AS Year,
+         p.p_type AS ParameterName, 'u_' || p.p_type AS ParameterUnits, {HABITAT} AS Habitat,
+         l.l_returnflag AS ActivityType, CAST({YEAR} AS INTEGER) AS Year,
          l.l_quantity AS ResultValue, nullif(l.l_discount, 0.0) AS SparseValue,
          l.l_linestatus AS Include, CASE WHEN l.l_tax > 0 THEN 1 ELSE 0 END AS MADup
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
@@ -137,32 +150,46 @@ EY = f"""ey AS (
 
 
 def thresholds(spark, sf) -> DataFrame:
-    """Units per parameter: one parameter missing, one duplicated."""
-    types = table(spark, sf, "part").selectExpr("p_type AS ParameterName").distinct()
-    once = types.where("ParameterName <> 'PROMO'").selectExpr(
-        "ParameterName", "'F' AS Habitat", "concat('u_', ParameterName) AS Units"
+    """Units per parameter and habitat: one parameter missing, one missing in a habitat, one duplicated."""
+    types = table(spark, sf, "part").where("p_type <> 'PROMO'").select(F.col("p_type").alias("ParameterName")).distinct()
+    every = types.withColumn("Habitat", F.explode(F.array(*[F.lit(h) for h in HABITATS])))
+    once = every.where("NOT (ParameterName = 'MEDIUM' AND Habitat LIKE 'Sub%')")
+    twice = every.where("ParameterName = 'LARGE' AND Habitat LIKE 'Oyster%'")
+    return once.withColumn("Units", F.expr("concat('u_', ParameterName)")).unionByName(
+        twice.withColumn("Units", F.expr("concat('u2_', ParameterName)"))
     )
-    twice = types.where("ParameterName = 'LARGE'").selectExpr(
-        "ParameterName", "'F' AS Habitat", "concat('u2_', ParameterName) AS Units"
-    )
-    return once.unionByName(twice)
 
 
 THRESHOLDS = """thresholds AS (
-  SELECT DISTINCT p_type AS ParameterName, 'F' AS Habitat, 'u_' || p_type AS Units FROM part WHERE p_type <> 'PROMO'
+  SELECT DISTINCT p_type AS ParameterName, h AS Habitat, 'u_' || p_type AS Units
+  FROM part, (VALUES ('Water Column'), ('Oyster/Oyster Reef'), ('Submerged Aquatic Vegetation')) AS t(h)
+  WHERE p_type <> 'PROMO' AND NOT (p_type = 'MEDIUM' AND h LIKE 'Sub%')
   UNION ALL
-  SELECT DISTINCT p_type, 'F', 'u2_' || p_type FROM part WHERE p_type = 'LARGE')"""
+  SELECT DISTINCT p_type, 'Oyster/Oyster Reef', 'u2_' || p_type FROM part WHERE p_type = 'LARGE')"""
+
+
+def habitat_obs(spark, sf) -> DataFrame:
+    """Observations with a few sampling locations, each shared by several stations."""
+    return obs(spark, sf).withColumn("LocationID", F.col("ProgramLocationID") % 7)
 
 
 def habitat_input(spark, sf) -> DataFrame:
-    return habitat.habitat_input(obs(spark, sf), thresholds(spark, sf), FLAGS, ["SMALL"])
+    return habitat.habitat_input(habitat_obs(spark, sf), thresholds(spark, sf), FLAGS, ["SMALL"])
+
+
+def habitat_cells(spark, sf) -> DataFrame:
+    return habitat.habitat_cells(habitat_obs(spark, sf), thresholds(spark, sf), FLAGS, ["SMALL"])
 
 
 HAB = """hab AS (
-  SELECT obs.*, t.Units FROM obs JOIN thresholds t
+  SELECT obs.* REPLACE (ProgramLocationID % 7 AS LocationID), t.Units FROM obs JOIN thresholds t
     ON obs.ParameterName IS NOT DISTINCT FROM t.ParameterName AND obs.Habitat IS NOT DISTINCT FROM t.Habitat
   WHERE Include = 'F' AND MADup = 1 AND obs.ParameterName IS DISTINCT FROM 'SMALL')"""
 
+# A habitat's display name, as the tables' tag.
+HABITAT_NAME = """CASE Habitat WHEN 'Water Column' THEN 'Nekton' WHEN 'Oyster/Oyster Reef' THEN 'Oyster Reef'
+       WHEN 'Coral/Coral Reef' THEN 'Coral Reef' ELSE Habitat END"""
+
 
 def points(spark, sf) -> DataFrame:
     """Positions of the stations with a positive balance."""
@@ -178,13 +205,13 @@ POINTS = """points AS (
 
 def location_points(spark, sf) -> DataFrame:
     """Positions per (station, program, sampling location)."""
-    lines = table(spark, sf, "lineitem").selectExpr("l_suppkey AS ProgramLoc", "l_partkey AS LocationID")
+    lines = table(spark, sf, "lineitem").selectExpr("l_suppkey AS ProgramLoc", "l_suppkey % 7 AS LocationID")
     return lines.distinct().join(points(spark, sf), "ProgramLoc")
 
 
 LOCATION_POINTS = POINTS + """, location_points AS (
   SELECT p.*, l.LocationID
-  FROM (SELECT DISTINCT l_suppkey AS ProgramLoc, l_partkey AS LocationID FROM lineitem) l JOIN points p USING (ProgramLoc))"""
+  FROM (SELECT DISTINCT l_suppkey AS ProgramLoc, l_suppkey % 7 AS LocationID FROM lineitem) l JOIN points p USING (ProgramLoc))"""
 
 
 def typed_lines(spark, sf) -> DataFrame:

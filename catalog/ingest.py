@@ -67,18 +67,42 @@ def _tokens(spark, sf):
 
 
 @query("o04_file_selection", OBS + """
-SELECT Year, count(*) AS n FROM obs WHERE Habitat = 'F' AND ActivityType <> 'N' GROUP BY ALL""")
+SELECT Year, count(*) AS n FROM obs WHERE Habitat = 'Water Column' AND ActivityType <> 'N' GROUP BY ALL""")
 def file_selection(spark, sf):
     path = _tokens(spark, sf)
-    rows = readers.read_delim(spark, path, schema("Year int"), include="All_F", exclude="_N/")
+    rows = readers.read_delim(spark, path, schema("Year int"), include="All_Water", exclude="_N/")
     return rows.groupBy("Year").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("o04_mixed_layouts", OBS + """
+SELECT 'cont' AS kind, Year, count(*) AS n, CAST(sum(ResultValue) AS BIGINT) AS total, CAST(NULL AS BIGINT) AS located
+FROM obs GROUP BY Year
+UNION ALL
+SELECT 'All', Year, count(*), CAST(sum(ResultValue) AS BIGINT), count(ManagedAreaName) FROM obs GROUP BY Year""")
+def mixed_layouts(spark, sf):
+    """One folder with exports of two layouts, read together and told apart by name."""
+    root = scratch_path(spark, "mixed")
+    rows = X.obs(spark, sf)
+    for name, cols in (("WQ_cont_DO", ["ResultValue", "Year"]), ("All_OYSTER", ["Year", "ManagedAreaName", "ResultValue"])):
+        rows.select(*cols).write.options(header=True, sep="|", nullValue="NULL", emptyValue="").csv(f"{root}/{name}")
+    back = readers.read_delim(
+        spark, root, schema("Year int, ResultValue double, ManagedAreaName string"), include=["^WQ|^All"], with_file=True
+    )
+    kind = F.when(F.contains(F.col(readers.FILE), F.lit("_cont_")), "cont").otherwise("All").alias("kind")
+    located = F.when(F.col("kind") == "All", F.col("located")).alias("located")
+    out = back.groupBy(kind, "Year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ResultValue").cast("bigint").alias("total"),
+        F.count("ManagedAreaName").alias("located"),
+    )
+    return out.select("kind", "Year", "n", "total", located)
+
+
 @query("o05_habitat_from_file", OBS + """
 SELECT Habitat AS habitat, ProgramLocationID, count(*) AS N_Data FROM obs GROUP BY ALL""")
 def habitat_from_file(spark, sf):
     rows = readers.read_delim(spark, _tokens(spark, sf), schema("ProgramLocationID bigint"), with_file=True)
-    habitat = id_part(F.col(readers.FILE), 1, -1).alias("habitat")
+    # Folder names of partitions escape what a path cannot hold.
+    habitat = F.url_decode(id_part(F.col(readers.FILE), 1, -1)).alias("habitat")
     return rows.groupBy(habitat, "ProgramLocationID").agg(F.count(F.lit(1)).alias("N_Data"))
 
 
@@ -94,9 +118,10 @@ def multi_table_scan(spark, sf):
 
 
 @query("o09_last_export_wins", X.with_(X.OBS, X.SY) + """
-SELECT Parameter, Region, CAST(sum(Data_N) AS BIGINT) AS Data_N FROM sy WHERE Region = 'ASIA' GROUP BY ALL
-UNION ALL
-SELECT Parameter, Region, CAST(sum(Data_N) AS BIGINT) AS Data_N FROM sy WHERE Region <> 'ASIA' AND Year >= 1998 GROUP BY ALL""")
+SELECT Parameter, Region, CAST(sum(Data_N) AS BIGINT) AS Data_N FROM sy
+WHERE (Region <> 'ASIA' AND Year >= 1998)
+   OR (Parameter, Region) NOT IN (SELECT (Parameter, Region) FROM sy WHERE Region <> 'ASIA' AND Year >= 1998)
+GROUP BY ALL""")
 def last_export_wins(spark, sf):
     sy = X.station_years(spark, sf)
     newer = sy.where((F.col("Region") != "ASIA") & (F.col("Year") >= 1998))
@@ -105,7 +130,9 @@ def last_export_wins(spark, sf):
     return rows.groupBy("Parameter", "Region").agg(F.sum("Data_N").alias("Data_N"))
 
 
-RULES = [("LARGE", "A", "F"), ("SMALL", "N", "O"), ("PROMO", "R", "F")]
+RULES = [
+    ("LARGE", "A", "Oyster/Oyster Reef"), ("SMALL", "N", "Water Column"), ("PROMO", "R", "Submerged Aquatic Vegetation"),
+]
 _RULES = "(VALUES " + ", ".join(map(str, RULES)) + ") r(param, activity, depth)"
 
 
@@ -139,19 +166,15 @@ SELECT n_nationkey AS ID, n_name AS Name, nullif(r_name, 'ASIA') AS "Group"
 FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def dimension_with_preamble(spark, sf):
     n, r = X.table(spark, sf, "nation"), X.table(spark, sf, "region")
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.lit(1).alias("at"), "n_nationkey",
-        F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name",
-                    F.coalesce(F.nullif("r_name", F.lit("ASIA")), F.lit(""))).alias("value"),
+    line = F.concat_ws(
+        "|", F.col("n_nationkey").cast("string"), "n_name", F.coalesce(F.nullif("r_name", F.lit("ASIA")), F.lit(""))
     )
-    top = F.inline(F.array(
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n_nationkey"), F.lit("Program groups, revised").alias("value")),
-        F.struct(F.lit(0).alias("at"), F.lit(1).alias("n_nationkey"), F.lit("ID|Name|Group").alias("value")),
-    ))
-    lines = clean.union_strict(r.groupBy().agg(F.count(F.lit(1))).select(top), rows)
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("n_nationkey") % 4).alias("part"), line.alias("line"))
+    # Several files, each with its own preamble and header.
+    body = rows.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
+    files = body.select("part", F.concat_ws("\n", F.lit("Program groups, revised"), F.lit("ID|Name|Group"), "body").alias("value"))
     path = scratch_path(spark, "dimension")
-    # A dimension file: one row per nation, so one ordered output file is fine.
-    lines.coalesce(1).sortWithinPartitions("at", "n_nationkey").select("value").write.text(path)
+    files.write.partitionBy("part").text(path)
     return read_dimension(spark, path, schema("ID int, Name string, Group string"), skip_rows=1)
 
 
@@ -175,13 +198,13 @@ def materialised_table(spark, sf):
 
 
 @query("o13_loaded_view", X.with_(X.OBS, X.SY) + """
-SELECT Region, Parameter, CAST(sum(Data_N) AS BIGINT) AS Data_N FROM sy WHERE Region = 'ASIA' GROUP BY ALL""")
+SELECT Region, Parameter, CAST(sum(Data_N) AS BIGINT) AS Data_N FROM sy GROUP BY ALL""")
 def loaded_view(spark, sf):
     root = scratch_path(spark, "tables")
     tables.write_tables({"station_year_view": X.station_years(spark, sf)}, root, partition_by={"station_year_view": ["Region"]})
     tables.load_table(spark, root, "station_year_view", view=True)
     return spark.sql(
-        "SELECT Region, Parameter, sum(Data_N) AS Data_N FROM station_year_view WHERE Region = 'ASIA' GROUP BY ALL"
+        "SELECT Region, Parameter, sum(Data_N) AS Data_N FROM station_year_view GROUP BY ALL"
     )
 
 

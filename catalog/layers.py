@@ -27,12 +27,13 @@ def assign_layers(spark, sf):
 
 
 @query("o70_habitat_layers", X.with_(X.OBS, X.POINTS) + """
-SELECT s.Habitat AS habitat, p.ProgramLoc, s.Habitat AS layer
-FROM points p JOIN (SELECT DISTINCT Habitat, ProgramLocationID FROM obs) s ON p.ProgramLoc = s.ProgramLocationID""")
+SELECT s.Habitat AS habitat, p.ProgramLoc, upper(s.Habitat) AS layer
+FROM points p JOIN (SELECT DISTINCT Habitat, ProgramLocationID FROM obs) s ON p.ProgramLoc = s.ProgramLocationID
+WHERE s.Habitat <> 'Submerged Aquatic Vegetation'""")
 def habitat_layers(spark, sf):
     sites = rollups.site_counts(X.obs(spark, sf).withColumnRenamed("Habitat", "habitat"))
     pts = continuous.habitat_points(sites, X.points(spark, sf)).select("habitat", "ProgramLoc")
-    return layers.habitat_layers(pts, ["f", "O"])
+    return layers.habitat_layers(pts, ["water column", "Oyster/Oyster Reef"])
 
 
 @query("o71_layer_grid", _MARKS + "SELECT * FROM grid")

@@ -74,7 +74,7 @@ def station_detail(spark, sf):
 @query("o27_programs_per_parameter", HAB + """
 SELECT Habitat, ParameterName, count(DISTINCT ProgramID) AS n FROM hab GROUP BY ALL""")
 def programs_per_parameter(spark, sf):
-    return rollups.distinct_per(X.habitat_input(spark, sf), ["Habitat", "ParameterName"], "ProgramID")
+    return rollups.distinct_per(X.habitat_cells(spark, sf), ["Habitat", "ParameterName"], "ProgramID")
 
 
 @query("o27_areas_per_parameter_with_missing", OBS + """
@@ -83,28 +83,31 @@ def areas_per_parameter(spark, sf):
     return rollups.distinct_per(X.obs(spark, sf), ["ParameterName"], "ManagedAreaName")
 
 
-@query("o28_programs_per_habitat", OBS + """
-SELECT Habitat, count(DISTINCT ProgramID) AS numPrograms FROM obs GROUP BY ALL""")
+@query("o28_programs_per_habitat", X.with_(*X.HABITAT_CTES, X.LOCATION_POINTS) + f"""
+SELECT habitat_name, count(DISTINCT ProgramID) AS numPrograms FROM (
+  SELECT {X.HABITAT_NAME} AS habitat_name, h.ProgramID FROM hab h JOIN location_points p
+    ON h.ProgramLocationID = p.ProgramLoc AND h.ProgramID = p.ProgramID AND h.LocationID = p.LocationID)
+GROUP BY habitat_name""")
 def programs_per_habitat(spark, sf):
     from tidewater.plans.views import programs_per_habitat as view
 
-    return view(X.obs(spark, sf), "Habitat")
+    return view(habitat.location_map(X.habitat_cells(spark, sf), X.location_points(spark, sf), "n_rows"))
 
 
 @query("o29_program_areas", HAB + f"""
-SELECT DISTINCT ProgramID, ProgramName, ManagedAreaName, ProgramID || ' - ' || ProgramName AS pNameID,
+SELECT DISTINCT Habitat, ProgramID, ProgramName, ManagedAreaName, ProgramID || ' - ' || ProgramName AS pNameID,
        '{X.LINK}' || ProgramID AS link FROM hab""")
 def program_areas(spark, sf):
-    return rollups.program_areas(X.habitat_input(spark, sf), X.LINK)
+    return rollups.program_areas(X.habitat_cells(spark, sf), X.LINK)
 
 
 @query("o30_location_markers", HAB + """
-SELECT ProgramLocationID, ProgramID, ProgramName, LocationID, count(*) AS n_data,
+SELECT Habitat, ProgramLocationID, ProgramID, ProgramName, LocationID, count(*) AS n_data,
        array_to_string(list_sort(list(DISTINCT Year)), ', ') AS years,
        array_to_string(list_sort(list(DISTINCT ParameterName)), ', ') AS params
 FROM hab GROUP BY ALL""")
 def location_markers(spark, sf):
-    out = rollups.location_markers(X.habitat_input(spark, sf))
+    out = rollups.location_markers(X.habitat_cells(spark, sf), n="n_rows")
     return out.withColumns({"years": list_text(F.col("years")), "params": list_text(F.col("params"))})
 
 
@@ -113,7 +116,7 @@ _VALUES = f"count(*) AS N_samples, {X.r_round('avg(ResultValue)', 2)} AS mean, m
 
 @query("o31_value_summary", HAB + f"SELECT Habitat, ParameterName, Units, {_VALUES} FROM hab GROUP BY ALL")
 def value_summary(spark, sf):
-    return habitat.summary(X.habitat_input(spark, sf))
+    return habitat.summary(X.habitat_cells(spark, sf), cells=True)
 
 
 @query("o31_value_summary_with_missing", OBS + f"""
@@ -131,7 +134,7 @@ SELECT Habitat, ParameterName, Units, ProgramID, ProgramName, {_VALUES} FROM hab
 def value_summary_by_program(spark, sf):
     from tidewater.operators.clean import ordered
 
-    return ordered(habitat.summary(X.habitat_input(spark, sf), "program"), ["ProgramID", "ParameterName", "Units"])
+    return ordered(habitat.summary(X.habitat_cells(spark, sf), "program", cells=True), ["ProgramID", "ParameterName", "Units"])
 
 
 @query("o33_value_summary_by_area", HAB + f"""
@@ -143,7 +146,7 @@ def value_summary_by_area(spark, sf):
 @query("o33_area_summary_from_cells", HAB + f"""
 SELECT Habitat, ParameterName, Units, ManagedAreaName, {_VALUES} FROM hab WHERE ManagedAreaName IS NOT NULL GROUP BY ALL""")
 def area_summary_from_cells(spark, sf):
-    return habitat.summary(habitat.habitat_cells(X.habitat_input(spark, sf)), "area", cells=True)
+    return habitat.summary(X.habitat_cells(spark, sf), "area", cells=True)
 
 
 _COVER = """count(DISTINCT ProgramLocationID) AS "Number of Stations", count(*) AS "Number of Observations",
@@ -154,13 +157,13 @@ _COVER = """count(DISTINCT ProgramLocationID) AS "Number of Stations", count(*)
 SELECT Habitat, ProgramName, ProgramID, ParameterName, Units, {_COVER}, ProgramID || ' - ' || ProgramName AS pNameID
 FROM hab GROUP BY Habitat, ProgramName, ProgramID, ParameterName, Units""")
 def coverage_by_program(spark, sf):
-    return habitat.coverage(X.habitat_input(spark, sf), "program")
+    return habitat.coverage(X.habitat_cells(spark, sf), "program", "n_rows")
 
 
 @query("o35_coverage_by_area", HAB + f"""
 SELECT Habitat, ManagedAreaName, ParameterName, Units, {_COVER} FROM hab GROUP BY Habitat, ManagedAreaName, ParameterName, Units""")
 def coverage_by_area(spark, sf):
-    return habitat.coverage(X.habitat_input(spark, sf), "area")
+    return habitat.coverage(X.habitat_cells(spark, sf), "area", "n_rows")
 
 
 @query("o36_distinct_lists", OBS + """

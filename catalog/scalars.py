@@ -159,8 +159,8 @@ def axis_label(spark, sf):
 
 @query("o87_tick_step", OBS + """, s AS (
   SELECT LocationID, CAST(min(Year) AS INTEGER) AS lo, CAST(max(Year) AS INTEGER) AS hi FROM obs GROUP BY LocationID)
-SELECT LocationID, CASE WHEN hi - lo >= 4 THEN 2 ELSE 1 END AS step,
-       array_to_string(range(hi, lo - 1, CASE WHEN hi - lo >= 4 THEN -2 ELSE -1 END), ', ') AS ticks FROM s""")
+SELECT LocationID, step, array_to_string(range(hi, lo - 1, -step), ', ') AS ticks
+FROM (SELECT *, CASE WHEN hi - lo >= 30 THEN 10 WHEN hi - lo >= 10 THEN 4 WHEN hi - lo >= 4 THEN 2 ELSE 1 END AS step FROM s)""")
 def tick_step(spark, sf):
     rows = rollups.extent(X.obs(spark, sf), "Year", "Year", ["LocationID"])
     lo, hi = F.col("min_value"), F.col("max_value")
@@ -178,12 +178,12 @@ def coverage_ticks(spark, sf):
 
 
 @query("o89_array_functions", X.with_(*X.HABITAT_CTES) + """
-SELECT ProgramLocationID, LocationID, count(DISTINCT Year) AS n_years, bool_or(Year = 2000) AS has_2000,
-       count(DISTINCT ParameterName) AS n_params, CAST(min(Year) AS INTEGER) AS first_year FROM hab GROUP BY ALL""")
+SELECT Habitat, ProgramLocationID, LocationID, count(DISTINCT Year) AS n_years, bool_or(Year = 2000) AS has_2000,
+       count(DISTINCT ParameterName) AS n_params, CAST(min(Year) AS INTEGER) AS first_year FROM hab GROUP BY Habitat, ProgramLocationID, ProgramID, ProgramName, LocationID""")
 def array_functions(spark, sf):
-    marks = rollups.location_markers(X.habitat_input(spark, sf))
+    marks = rollups.location_markers(X.habitat_cells(spark, sf), n="n_rows")
     return marks.select(
-        "ProgramLocationID", "LocationID",
+        "Habitat", "ProgramLocationID", "LocationID",
         F.size("years").cast("bigint").alias("n_years"),
         F.array_contains("years", 2000).alias("has_2000"),
         F.size(F.array_distinct("params")).cast("bigint").alias("n_params"),

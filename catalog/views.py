@@ -120,15 +120,21 @@ def trend_plot_axes(spark, sf):
 
 @query("o99_program_years", X.with_(*X.HABITAT_CTES, X.segment_ctes("seg", "hab", "Habitat, ProgramID")) + f"""
 SELECT ProgramID, round(startYear - 0.1::DOUBLE, 4) AS bar_start, round(endYear + 0.1::DOUBLE, 4) AS bar_end,
-       {X.status_sql('max(endYear) OVER (PARTITION BY Habitat, ProgramID)')} AS Status FROM seg WHERE Habitat = 'F'""")
+       {X.status_sql('max(endYear) OVER (PARTITION BY Habitat, ProgramID)')} AS Status FROM seg WHERE Habitat = 'Oyster/Oyster Reef'""")
 def program_years(spark, sf):
-    out = views.program_years(habitat.program_segments(X.habitat_input(spark, sf), X.AS_OF), "F")
+    out = views.program_years(habitat.program_segments(X.habitat_cells(spark, sf), X.AS_OF), "Oyster Reef")
     return out.withColumns({"bar_start": F.round("bar_start", 4), "bar_end": F.round("bar_end", 4)})
 
 
 def _one(spark, sf, make, kind):
     """Just the table that a view reads."""
-    return {f"{make.__name__}_{kind}": make(X.habitat_input(spark, sf), kind)}
+    cells = X.habitat_cells(spark, sf)
+    table = make(cells, kind, "n_rows") if make is habitat.coverage else make(cells, kind, cells=True)
+    return {f"{make.__name__}_{kind}": table}
+
+
+def _areas(spark, sf):
+    return rollups.program_areas(X.habitat_cells(spark, sf), X.LINK)
 
 
 _COVER = """count(DISTINCT ProgramLocationID) AS "Number of Stations", count(*) AS "Number of Observations",
@@ -137,53 +143,53 @@ _VALUES = f"count(*) AS N_samples, {X.r_round('avg(ResultValue)', 2)} AS mean, m
 
 
 @query("o100_coverage_of_program", HAB + f"""
-SELECT ProgramID, ParameterName, Units, {_COVER} FROM hab WHERE ProgramName = 'NATION_8' GROUP BY ProgramID, ParameterName, Units""")
+SELECT ProgramID, ParameterName, Units, {_COVER} FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ProgramName = 'NATION_8' GROUP BY ProgramID, ParameterName, Units""")
 def coverage_of_program(spark, sf):
-    return views.coverage_table(_one(spark, sf, habitat.coverage, "program"), "F", "NATION_8", "program")
+    return views.coverage_table(_one(spark, sf, habitat.coverage, "program"), "Oyster Reef", "NATION_8", "program")
 
 
 @query("o100_coverage_of_areas", HAB + f"""
-SELECT ManagedAreaName, ParameterName, Units, {_COVER} FROM hab WHERE ManagedAreaName IS NOT NULL
+SELECT ManagedAreaName, ParameterName, Units, {_COVER} FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ManagedAreaName IS NOT NULL
 GROUP BY ManagedAreaName, ParameterName, Units""")
 def coverage_of_areas(spark, sf):
-    return views.coverage_table(_one(spark, sf, habitat.coverage, "area"), "F", "All", "area")
+    return views.coverage_table(_one(spark, sf, habitat.coverage, "area"), "Oyster Reef", "All", "area")
 
 
-@query("o101_summary_of_habitat", HAB + f"SELECT ParameterName, Units, {_VALUES} FROM hab GROUP BY ParameterName, Units")
+@query("o101_summary_of_habitat", HAB + f"SELECT ParameterName, Units, {_VALUES} FROM hab WHERE Habitat = 'Oyster/Oyster Reef' GROUP BY ParameterName, Units")
 def summary_of_habitat(spark, sf):
-    return views.summary_table(_one(spark, sf, habitat.summary, "all"), "F", "All", "program")
+    return views.summary_table(_one(spark, sf, habitat.summary, "all"), "Oyster Reef", "All", "program")
 
 
 @query("o101_summary_of_area", HAB + f"""
-SELECT ParameterName, Units, {_VALUES} FROM hab WHERE ManagedAreaName = 'EUROPE' GROUP BY ParameterName, Units""")
+SELECT ParameterName, Units, {_VALUES} FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ManagedAreaName = 'EUROPE' GROUP BY ParameterName, Units""")
 def summary_of_area(spark, sf):
-    return views.summary_table(_one(spark, sf, habitat.summary, "area"), "F", "EUROPE", "area")
+    return views.summary_table(_one(spark, sf, habitat.summary, "area"), "Oyster Reef", "EUROPE", "area")
 
 
 @query("o101_summary_of_program", HAB + f"""
-SELECT ParameterName, Units, {_VALUES} FROM hab WHERE ProgramName = 'NATION_8' GROUP BY ParameterName, Units""")
+SELECT ParameterName, Units, {_VALUES} FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ProgramName = 'NATION_8' GROUP BY ParameterName, Units""")
 def summary_of_program(spark, sf):
-    return views.summary_table(_one(spark, sf, habitat.summary, "program"), "F", "NATION_8", "program")
+    return views.summary_table(_one(spark, sf, habitat.summary, "program"), "Oyster Reef", "NATION_8", "program")
 
 
 @query("o102_area_programs", HAB + """
-SELECT DISTINCT ProgramID || ' - ' || ProgramName AS pNameID FROM hab WHERE ManagedAreaName = 'AFRICA'""")
+SELECT DISTINCT ProgramID || ' - ' || ProgramName AS pNameID FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ManagedAreaName = 'AFRICA'""")
 def area_programs(spark, sf):
-    return views.area_programs(rollups.program_areas(X.habitat_input(spark, sf), X.LINK), "AFRICA")
+    return views.area_programs(_areas(spark, sf), "Oyster Reef", "AFRICA")
 
 
 @query("o102_program_area_list", HAB + """
 SELECT ProgramName, string_agg(DISTINCT ManagedAreaName, ', ' ORDER BY ManagedAreaName) AS areas
-FROM hab WHERE ProgramName = 'NATION_8' AND ManagedAreaName IS NOT NULL GROUP BY ProgramName""")
+FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ProgramName = 'NATION_8' AND ManagedAreaName IS NOT NULL GROUP BY ProgramName""")
 def program_area_list(spark, sf):
-    return views.program_area_list(rollups.program_areas(X.habitat_input(spark, sf), X.LINK), "NATION_8")
+    return views.program_area_list(_areas(spark, sf), "Oyster Reef", "NATION_8")
 
 
 @query("o102_program_link", HAB + f"""
 SELECT DISTINCT '<a href=''{X.LINK}' || ProgramID || ''' target=''_blank''>' || ProgramName || '</a>' AS anchor
-FROM hab WHERE ProgramName = 'NATION_8'""")
+FROM hab WHERE Habitat = 'Oyster/Oyster Reef' AND ProgramName = 'NATION_8'""")
 def program_link(spark, sf):
-    return views.program_link(rollups.program_areas(X.habitat_input(spark, sf), X.LINK), "NATION_8")
+    return views.program_link(_areas(spark, sf), "Oyster Reef", "NATION_8")
 
 
 @query("o102_area_link", f"""
@@ -212,6 +218,6 @@ def status_choices(spark, sf):
     return views.status_choices(entity_table(spark, sf), None, "All")
 
 
-@query("o104_habitat_choices", HAB + "SELECT DISTINCT ProgramName, ProgramID || ' - ' || ProgramName AS pNameID FROM hab")
+@query("o104_habitat_choices", HAB + "SELECT DISTINCT ProgramName, ProgramID || ' - ' || ProgramName AS pNameID FROM hab WHERE Habitat = 'Oyster/Oyster Reef'")
 def habitat_choices(spark, sf):
-    return views.habitat_choices(_one(spark, sf, habitat.coverage, "program"), "F", "program")
+    return views.habitat_choices(_one(spark, sf, habitat.coverage, "program"), "Oyster Reef", "program")

@@ -11,7 +11,8 @@ from compare import connect, diff
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # Python workers and joins without a key.
 UNWANTED = re.compile("EvalPython|InPandas|InArrow|CartesianProduct|BroadcastNestedLoop")
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+QUERIES = entry_module.catalog_queries()
+ORACLE = {k: v for k, v in entry_module.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -58,7 +58,7 @@ def test_coverage_views(batch):
 def test_habitat_tables(spark):
     df = X.habitat_input(spark, SF_DIR)
     pts = X.location_points(spark, SF_DIR)
-    tables = habitat.habitat_tables(habitat.habitat_cells(df), pts, X.AS_OF, X.LINK)
+    tables = habitat.habitat_tables(X.habitat_cells(spark, SF_DIR), pts, X.AS_OF, X.LINK)
     n = df.count()
     rows = lambda t: sorted(map(str, t.collect()))
     for kind in ("all", "program", "area"):
@@ -68,11 +68,12 @@ def test_habitat_tables(spark):
     assert rows(tables["location_map"]) == rows(habitat.location_map(df, pts))
     assert tables["summary_all"].agg(F.sum("N_samples")).first()[0] == n
     assert tables["coverage_program"].agg(F.sum("Number of Observations")).first()[0] == n
-    assert views.summary_table(tables, "F", "All", "area").columns == ["ParameterName", "Units", "N_samples", "mean", "min", "max"]
+    assert views.summary_table(tables, "Oyster Reef", "All", "area").columns == ["ParameterName", "Units", "N_samples", "mean", "min", "max"]
     program = tables["coverage_program"].first()["ProgramName"]
-    one = views.coverage_table(tables, "F", program, "program")
-    assert one.count() == tables["coverage_program"].where(F.col("ProgramName") == program).count()
-    assert {r[0] for r in views.habitat_choices(tables, "F", "area").collect()} <= {"AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"}
+    one = views.coverage_table(tables, "Oyster Reef", program, "program")
+    whole = tables["coverage_program"].where((F.col("ProgramName") == program) & (F.col("Habitat") == "Oyster/Oyster Reef"))
+    assert one.count() == whole.count()
+    assert {r[0] for r in views.habitat_choices(tables, "Nekton", "area").collect()} <= {"AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"}
 
 
 def test_habitat_views_take_display_names(spark):
@@ -123,9 +124,58 @@ def test_segments_use_one_exchange_per_grain(spark):
         assert text.count("Exchange hashpartitioning(g") == 2  # distinct (g, Year), then g
 
 
-def test_station_year_scans_once(spark):
-    text = executed(rollups.station_year(X.obs(spark, SF_DIR), ["LocationID", "Year"], ["ProgramID"]))
-    assert text.count("ReusedExchange [LocationID") == 1
+@pytest.mark.parametrize("kept", ["all", "pruned", "attribute", "year", "map", "map_pruned"])
+def test_observations_are_scanned_once(spark, kept):
+    """Whatever columns and filters the consumer of a station-year table or station map has."""
+    sy = rollups.station_year(X.obs(spark, SF_DIR), ["LocationID", "Year"], ["ProgramID"])
+    df = {
+        "all": lambda: sy,
+        "pruned": lambda: sy.drop("Data_N"),
+        "attribute": lambda: sy.where("ProgramID > 3"),
+        "year": lambda: sy.where("Year > 1996"),
+        "map": lambda: rollups.station_map(X.entity_years(spark, SF_DIR)),
+        "map_pruned": lambda: rollups.station_map(X.entity_years(spark, SF_DIR)).drop("Data_N", "rad"),
+    }[kept]()
+    text = executed(df).split("== Initial Plan ==")[0]
+    assert text.count("lineitem.parquet") == 1
+
+
+def test_units_are_joined_to_cells(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(X.habitat_cells(spark, SF_DIR))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The units' join is the topmost one; below it the cells' aggregate, below that the raw rows.
+    assert text.index("SortMergeJoin [coalesce(ParameterName") < text.index("HashAggregate") < text.index("lineitem.parquet")
+
+
+def test_cells_give_what_rows_give(spark):
+    rows = lambda t: sorted(map(str, t.collect()))
+    cells, raw = X.habitat_cells(spark, SF_DIR), X.habitat_input(spark, SF_DIR)
+    assert cells.agg(F.sum("n_rows")).first()[0] == raw.count()
+    assert rows(habitat.summary(cells, "program", cells=True)) == rows(habitat.summary(raw, "program"))
+
+
+def test_fixtures_can_fail(spark):
+    """Several habitats, sites in two of them, both statuses, gaps, and cells fewer than rows."""
+    raw, cells = X.habitat_input(spark, SF_DIR), X.habitat_cells(spark, SF_DIR)
+    assert raw.select("Habitat").distinct().count() == 3
+    twice = raw.groupBy("ProgramLocationID").agg(F.count_distinct("Habitat").alias("n")).where("n = 2")
+    assert not twice.isEmpty() and cells.count() * 2 < raw.count()
+    seen = X.entity_presence(spark, SF_DIR)
+    for table in (continuous.entity_segments(seen, X.AS_OF), continuous.station_segments(seen, X.AS_OF),
+                  habitat.program_segments(cells, X.AS_OF), continuous.entity_table(X.entity_years(spark, SF_DIR), X.AS_OF)):
+        assert {r[0] for r in table.select("Status").distinct().collect()} == {"Active", "Historical"}
+    gaps = habitat.program_segments(cells, X.AS_OF).groupBy("Habitat", "ProgramID").count().where("count > 1")
+    assert not gaps.isEmpty()
+
+
+def test_site_in_two_habitats_has_two_markers(spark):
+    marks = habitat.location_map(X.habitat_cells(spark, SF_DIR), X.location_points(spark, SF_DIR), "n_rows")
+    two = marks.groupBy("ProgramLocationID", "LocationID").agg(F.collect_set("habitat_name").alias("h")).where("size(h) = 2")
+    assert {"Oyster Reef", "Submerged Aquatic Vegetation"} == set(two.first()["h"])
+    assert views.programs_per_habitat(marks).count() == 3
 
 
 def test_first_row_is_limited_before_the_shuffle(spark):

@@ -48,11 +48,36 @@ def test_missing_column_and_bad_value_are_errors(spark, tmp_path):
         readers.read_delim(spark, path, ddl("y int")).collect()
 
 
-def test_other_column_order_is_an_error(spark, tmp_path):
-    write(tmp_path, "in/a.txt", "x|y\n1|2\n")
-    write(tmp_path, "in/b.txt", "y|x\n1|2\n")
-    with pytest.raises(Exception):
-        readers.read_delim(spark, str(tmp_path / "in"), ddl("x int, y int")).collect()
+def test_layouts_are_united_by_name(spark, tmp_path):
+    """A folder with exports of different columns and sizes, read both ways and together."""
+    root = tmp_path / "in"
+    write(root, "All_OYSTER_x.txt", "a|b|c\n" + "1|2|3\n" * 50)
+    write(root, "WQ_cont_x.txt", "y|x\n5|6\n")
+    write(root, "WQ_cont_y.txt", "x|z|y\n7|8|9\n")
+    write(root, "WQ_cont_empty.txt", "")
+    read = lambda spec, **kw: values(readers.read_delim(spark, str(root), ddl(spec), **kw))
+    assert read("x int, y int", include="_cont_") == [(6, 5), (7, 9)]
+    assert read("a int", include="^All_") == [(1,)] * 50
+    assert read("x int, z int", include="_cont_") == [(6, None), (7, 8)]
+    assert readers.read_delim(spark, str(root), ddl("x int"), include="nothing").count() == 0
+    with pytest.raises(ValueError, match="no column"):
+        read("a int", include="_cont_")
+
+
+@pytest.mark.parametrize("form", ["{root}", "file://{root}", "{root}/*", "{root}/WQ_[c]ont_a.txt", "{root}/WQ_cont_a.txt"])
+def test_the_root_never_matches(spark, tmp_path, form):
+    root = tmp_path / "cont" / "in" / "cont"
+    write(root, "WQ_cont_a.txt", "v\n1\n")
+    path = form.format(root=root)
+    read = lambda **kw: [r[0] for r in values(readers.read_delim(spark, path, ddl("v int"), **kw))]
+    assert read(exclude="in/") == [1] and read(include="^cont/") == [] and read(include="^WQ") == [1]
+
+
+def test_tables_of_different_columns(spark, tmp_path):
+    a, b = spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2, "x")], "n int, extra string")
+    paths = list(tables.write_tables({"a": a, "b": b}, str(tmp_path)).values())
+    for order in (paths, paths[::-1]):
+        assert values(readers.read_tables(spark, order), "n", "extra") == [(1, None), (2, "x")]
 
 
 @pytest.fixture()
@@ -133,11 +158,21 @@ def test_dimension_with_preamble(spark, tmp_path):
     assert values(df) == [(1, "First", "A|B"), (2, "Second", None)]
 
 
-def test_dimension_file_size_is_checked(spark, tmp_path, monkeypatch):
-    path = write(tmp_path, "big.txt", "ID\n1\n2\n")
-    monkeypatch.setattr(dimensions, "DIMENSION_FILE_LIMIT", 3)
-    with pytest.raises(ValueError, match="too large"):
-        dimensions.read_dimension(spark, path, ddl("ID int"))
+def test_dimension_of_many_splits(spark, tmp_path):
+    """The preamble is dropped from each file's top only, however the file is split."""
+    body = "".join(f"{i}|n{i}\n" for i in range(400))
+    for k in range(2):
+        write(tmp_path, f"d/{k}.txt", "notes\nmore|notes\n" + ("ID|Name\n" + body if k else "Name|ID\nx|-1\n"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = dimensions.read_dimension(spark, str(tmp_path / "d"), ddl("ID int, Name string"), skip_rows=2)
+        got = values(df)
+        assert df.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted([(i, f"n{i}") for i in range(400)] + [(-1, "x")], key=str)
 
 
 def test_literal_dimensions_have_a_known_size(spark):

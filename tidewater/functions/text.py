@@ -24,7 +24,10 @@ def list_text(values: Column, sep: str = ", ") -> Column:
 
 def number_text(x: Column) -> Column:
     """Decimal number as text without a trailing ``.0`` and without a minus zero."""
-    return F.regexp_replace((x + F.lit(0.0)).cast("string"), r"\.0$", "")
+    plain = F.regexp_replace((x + F.lit(0.0)).cast("string"), r"\.0$", "")
+    # From here on a double's own text has an exponent.
+    large = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e27), large).otherwise(plain)
 
 
 def thousands(x: Column | str) -> Column:

@@ -72,6 +72,11 @@ def threshold_habitat(habitat: Column) -> Column:
     )
 
 
+def habitat_name(habitat: Column) -> Column:
+    """Display name of a habitat as the thresholds spell it."""
+    return F.when(habitat == "Water Column", "Nekton").otherwise(F.element_at(F.split(habitat, "/"), -1))
+
+
 def known_only(df: DataFrame, known: DataFrame, on: list[str | tuple[str, str]]) -> DataFrame:
     """Rows whose key occurs in the other table."""
     return null_safe_join(df, known, on, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.dates import status_of
@@ -11,7 +11,6 @@ from tidewater.functions.semantics import (
     na_max,
     na_mean,
     na_min,
-    null_safe_join,
     round_half_even,
     set_with_null,
     sorted_set,
@@ -30,30 +29,24 @@ def station_year(
     """Observations per key, on every distinct attribute combination of that key.
 
     Each combination carries the count of the whole key.  Rows are first
-    reduced to (key, attributes); the totals are an aggregate of that reduction
-    joined back, so a hot key is spread over its attribute combinations and the
-    join can be split, which a window over the key could not.  Both sides of
-    the join use the same columns of the reduction (hence the ``greatest``, which
-    never changes a total), so Spark shuffles the observations once and reuses
-    the exchange.
+    reduced to (key, attributes) with a partial aggregate; the total is a window
+    over that reduction, which has a few rows per key, so the observations are
+    scanned once whatever columns or filters follow.
 
     ``strict`` raises where the combinations of a key cannot be read as equally
     long lists of attribute values (or a single value) side by side.
     """
     combos = df.groupBy(*keys, *attrs).agg(row_count().alias("__part"))
-    totals = [F.sum("__part").alias(n)]
-    if strict:
-        totals += [row_count().alias("__rows")] + [
-            distinct_with_null(a).alias(f"__distinct_{i}") for i, a in enumerate(attrs)
-        ]
-    total = combos.groupBy(*keys).agg(*totals)
-    out = null_safe_join(combos, total, keys).withColumn(n, F.greatest(n, "__part"))
+    key = Window.partitionBy(*keys)
+    out = combos.withColumn(n, F.sum("__part").over(key))
     if strict:
         fits = F.lit(True)
-        for i in range(len(attrs)):
-            fits = fits & F.col(f"__distinct_{i}").isin(F.lit(1), F.col("__rows"))
+        for a in attrs:
+            distinct = F.size(F.collect_set(F.struct(a)).over(key))
+            fits = fits & distinct.isin(F.lit(1), F.count(F.lit(1)).over(key))
         clash = F.raise_error(F.lit("attributes of a station-year have clashing lengths"))
-        out = out.withColumn(n, F.when(fits, F.col(n)).otherwise(clash.cast("bigint")))
+        out = out.withColumn("__fits", fits)
+        out = out.withColumn(n, F.when(F.col("__fits"), F.col(n)).otherwise(clash.cast("bigint")))
     return out.select(*keys, *attrs, n)
 
 
@@ -64,22 +57,22 @@ def site_counts(df: DataFrame, by: list[str] = ("habitat", "ProgramID", "Program
 def station_map(df: DataFrame) -> DataFrame:
     """Map table: one row per station and distinct position, from the station-year table.
 
-    Summary and positions come from one reduction with one exchange, which both
-    sides of the join reuse (see ``station_year`` for the ``greatest``).
+    Summary and positions come from one aggregate per station: its distinct
+    positions are a set beside its years and parameters, which is then unfolded.
     """
     keys = ["ProgramLocationID", "ProgramID", "ProgramName", "Entity"]
     place = ["Lat", "Lon", "Region"]
     cells = df.groupBy(*keys, *place, "Year", "Parameter").agg(F.sum("Data_N").alias("__n"))
-    summary = cells.groupBy(*keys).agg(
+    out = cells.groupBy(*keys).agg(
+        F.collect_set(F.struct(*place)).alias("__places"),
         sorted_set("Year").alias("years"),
         set_with_null("Parameter").alias("params"),
         na_min("Year").alias("YearMin"),
         na_max("Year").alias("YearMax"),
         F.sum("__n").alias("Data_N"),
     )
-    places = cells.groupBy(*keys, *place).agg(F.sum("__n").alias("__part"))
-    out = null_safe_join(summary, places, keys).withColumn("Data_N", F.greatest("Data_N", "__part"))
-    return out.drop("__part").withColumn("rad", bubble(F.col("Data_N"), 100))
+    out = out.withColumn("rad", bubble(F.col("Data_N"), 100))
+    return out.select("*", F.inline("__places")).drop("__places")
 
 
 def bubble(n: Column, scale: float) -> Column:
@@ -162,22 +155,24 @@ def coverage_overview(
     )
 
 
-def program_areas(df: DataFrame, link_base: str) -> DataFrame:
-    """Distinct (program, area) with label and link."""
-    return df.select("ProgramID", "ProgramName", "ManagedAreaName").distinct().select(
+def program_areas(df: DataFrame, link_base: str, habitat: str = "Habitat") -> DataFrame:
+    """Distinct (habitat, program, area) with label and link."""
+    return df.select(habitat, "ProgramID", "ProgramName", "ManagedAreaName").distinct().select(
         "*",
         id_name("ProgramID", "ProgramName").alias("pNameID"),
         detail_link(link_base, "ProgramID").alias("link"),
     )
 
 
-def location_markers(df: DataFrame, out: str = "n_data", n: str | None = None) -> DataFrame:
-    """Count, years and parameters per sampling location.
+def location_markers(
+    df: DataFrame, out: str = "n_data", n: str | None = None, habitat: str = "Habitat"
+) -> DataFrame:
+    """Count, years and parameters per habitat and sampling location.
 
     Reduced to (location, year, parameter) first, so the sets are built from a
     few rows per location and never from raw observations.
     """
-    keys = ["ProgramLocationID", "ProgramID", "ProgramName", "LocationID"]
+    keys = [habitat, "ProgramLocationID", "ProgramID", "ProgramName", "LocationID"]
     cells = df.groupBy(*keys, "Year", "ParameterName").agg(row_count(n).alias("__n"))
     return cells.groupBy(*keys).agg(
         F.sum("__n").alias(out),
@@ -195,7 +190,11 @@ def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def collapse(df: DataFrame, by: list[str], col: str, sep: str = ", ", out: str | None = None) -> DataFrame:
-    """Distinct values of ``col`` per group as one sorted text."""
+    """Distinct values of ``col`` per group as one sorted text.
+
+    A group's values become one text, so ``col`` should have a bounded number
+    of them (parameters, areas), which duplicates do not change.
+    """
     values = df.select(*by, F.col(col).alias("__v")).distinct()
     texts = F.transform(F.sort_array(F.collect_list("__v")), lambda v: v.cast("string"))
     return values.groupBy(*by).agg(F.array_join(texts, sep).alias(out or col))

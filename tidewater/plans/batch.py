@@ -2,7 +2,7 @@
 
 The reduced tables (station-years; habitat cells) are durable Parquet, so
 the derived tables neither repeat the observation scan nor depend on executor
-storage, and a failed run resumes from them.
+storage.  Every run computes them anew.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ def run_habitat(
     flags: dict[str, object] | None = None,
     excluded=habitat.EXCLUDED_PARAMETERS,
 ) -> dict[str, str]:
-    """Cells of the gated, unit-enriched rows by habitat, then all habitat tables; name to path."""
-    cells = habitat.habitat_cells(habitat.habitat_input(obs, thresholds, flags, excluded))
+    """Cells of the gated rows with their units, by habitat, then all habitat tables; name to path."""
+    cells = habitat.habitat_cells(obs, thresholds, flags, excluded)
     silver = write_tables({HABITAT_CELLS: cells}, root, partition_by={HABITAT_CELLS: [habitat.HABITAT]})
     cells = load_table(spark, root, HABITAT_CELLS)
     return {**silver, **write_tables(habitat.habitat_tables(cells, points, as_of, link_base), root, as_of)}

@@ -1,8 +1,9 @@
 """Habitat batch: one gated, unit-enriched input and the tables derived from it.
 
 The habitat is a column and part of every key, so each table of all habitats is
-one aggregation instead of one per habitat.  A batch run reduces the input to
-cells in one scan; the tables then read the cells.
+one aggregation instead of one per habitat.  A batch run reduces the gated input
+to cells in one scan and joins the units to the cells, whose keys hold all that
+the units depend on; the tables then read the cells.
 """
 
 from __future__ import annotations
@@ -16,20 +17,24 @@ from tidewater.sources.constants import EXCLUDED_PARAMETERS
 
 HABITAT = "Habitat"
 CELL_KEYS = [
-    HABITAT, "ParameterName", "Units", "ProgramID", "ProgramName", "ProgramLocationID", "LocationID",
+    HABITAT, "ParameterName", "ProgramID", "ProgramName", "ProgramLocationID", "LocationID",
     "ManagedAreaName", "Year",
 ]
 
 
+def gated(obs: DataFrame, flags: dict[str, object] | None = None, excluded=EXCLUDED_PARAMETERS) -> DataFrame:
+    """Quality gate and excluded parameters."""
+    return clean.exclude(clean.quality_gate(obs, flags), "ParameterName", excluded)
+
+
 def habitat_input(
     obs: DataFrame,
     thresholds: DataFrame,
     flags: dict[str, object] | None = None,
     excluded=EXCLUDED_PARAMETERS,
 ) -> DataFrame:
-    """Quality gate, units and excluded parameters; gates run before the join."""
-    gated = clean.exclude(clean.quality_gate(obs, flags), "ParameterName", excluded)
-    return joins.attach_units(gated, thresholds)
+    """Gated observations with units, row by row; tables are better made from ``habitat_cells``."""
+    return joins.attach_units(gated(obs, flags, excluded), thresholds)
 
 
 def program_segments(df: DataFrame, as_of, mode: str = "reference") -> DataFrame:
@@ -38,31 +43,44 @@ def program_segments(df: DataFrame, as_of, mode: str = "reference") -> DataFrame
     return segments.with_status(segments.year_segments(df, keys, mode=mode), "endYear", as_of, per=keys)
 
 
-def habitat_cells(df: DataFrame) -> DataFrame:
-    """The habitat input reduced once to the finest grain of the tables below."""
-    return rollups.value_cells(df, CELL_KEYS)
+def habitat_cells(
+    obs: DataFrame,
+    thresholds: DataFrame,
+    flags: dict[str, object] | None = None,
+    excluded=EXCLUDED_PARAMETERS,
+) -> DataFrame:
+    """The gated input reduced once to the finest grain of the tables below, then its units.
+
+    A duplicated threshold multiplies cells as it would multiply their rows.
+    """
+    return joins.attach_units(rollups.value_cells(gated(obs, flags, excluded), CELL_KEYS), thresholds)
 
 
 def location_map(df: DataFrame, points: DataFrame, n: str | None = None) -> DataFrame:
-    """Sampling locations that have a point, with pop-up, label and radius."""
+    """Sampling locations of each habitat that have a point, with pop-up, label, radius and the
+    habitat's display name as ``habitat_name``."""
     keys = ["ProgramLocationID", "ProgramID", "LocationID"]
     marks = rollups.location_markers(df, n=n)
     out = joins.attach_points(marks, points, [("ProgramLocationID", "ProgramLoc"), *keys[1:]])
     # Labels of the pop-up lines.
-    popup = X.labelled(
-        [
-            ("ProgramID", F.col("ProgramID")),
-            ("ProgramName", F.col("ProgramName")),
-            ("LocID", F.col("LocationID")),
-            ("ProgLocID", F.col("ProgramLocationID")),
-            ("N_Data", F.col("n_data")),
-            ("Years", X.list_text(F.col("years"))),
-            ("params", X.list_text(F.col("params"))),
-        ]
-    )
+    lines = [
+        ("ProgramID: ", F.col("ProgramID")),
+        ("<br> ProgramName: ", F.col("ProgramName")),
+        ("<br> LocID: ", F.col("LocationID")),
+        ("<br> ProgLocID: ", F.col("ProgramLocationID")),
+        ("<br> N_Data: ", F.col("n_data")),
+        ("<br> Years: ", X.list_text(F.col("years"))),
+        ("<br> params: ", X.list_text(F.col("params"))),
+    ]
+    parts = [p for i, (name, value) in enumerate(lines) for p in (" " * (i > 0) + name + " ", value)]
     label = X.paste(F.col("ProgramID"), ": ", F.col("ProgramName"), " - LocID: ", F.col("LocationID"))
     return out.withColumns(
-        {"popup": popup, "label": label, "rad": rollups.bubble(F.col("n_data"), 8)}
+        {
+            "popup": X.paste(*parts),
+            "label": label,
+            "rad": rollups.bubble(F.col("n_data"), 8),
+            "habitat_name": joins.habitat_name(F.col(HABITAT)),
+        }
     )
 
 

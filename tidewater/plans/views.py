@@ -140,19 +140,20 @@ def summary_table(tables: dict[str, DataFrame], habitat: str, id_: str, kind: st
     return rows.where(F.col("ManagedAreaName") == id_).drop("Habitat", "ManagedAreaName")
 
 
-def area_programs(program_areas: DataFrame, area: str) -> DataFrame:
-    """Programs of an area."""
-    return program_areas.where(F.col("ManagedAreaName") == area).select("pNameID")
+def area_programs(program_areas: DataFrame, habitat: str, area: str) -> DataFrame:
+    """Programs of an area in a habitat."""
+    return program_areas.where(of_habitat(habitat) & (F.col("ManagedAreaName") == area)).select("pNameID")
 
 
-def program_area_list(program_areas: DataFrame, program: str) -> DataFrame:
-    """Areas of a program as one text."""
-    rows = program_areas.where((F.col("ProgramName") == program) & F.col("ManagedAreaName").isNotNull())
+def program_area_list(program_areas: DataFrame, habitat: str, program: str) -> DataFrame:
+    """Areas of a program in a habitat as one text."""
+    rows = program_areas.where(of_habitat(habitat) & (F.col("ProgramName") == program))
+    rows = rows.where(F.col("ManagedAreaName").isNotNull())
     return rollups.collapse(rows, ["ProgramName"], "ManagedAreaName", out="areas")
 
 
-def program_link(program_areas: DataFrame, program: str) -> DataFrame:
-    rows = program_areas.where(F.col("ProgramName") == program)
+def program_link(program_areas: DataFrame, habitat: str, program: str) -> DataFrame:
+    rows = program_areas.where(of_habitat(habitat) & (F.col("ProgramName") == program))
     return rows.select(X.anchor(F.col("link"), F.col("ProgramName")).alias("anchor")).distinct()
 
 
@@ -182,8 +183,8 @@ def region_markers(markers: DataFrame, areas: DataFrame, region: str) -> DataFra
     return joins.known_only(markers, inside, ["ManagedAreaName"])
 
 
-def programs_per_habitat(markers: DataFrame, habitat: str = "habitat") -> DataFrame:
-    """Pie chart data, largest first."""
+def programs_per_habitat(markers: DataFrame, habitat: str = "habitat_name") -> DataFrame:
+    """Pie chart data from the location map, largest first."""
     return clean.ordered(rollups.distinct_per(markers, [habitat], "ProgramID", "numPrograms"), ["-numPrograms", habitat])
 
 

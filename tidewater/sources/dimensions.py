@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewater.sources import constants as C
 
 TEXT = T.StringType()
-DIMENSION_FILE_LIMIT = 64 * 1024 * 1024
 
 
 def columns(*names: str) -> T.StructType:
@@ -63,36 +64,40 @@ def read_dimension(
     sep: str = "|",
     null: str | None = None,
 ) -> DataFrame:
-    """Delimited dimension whose header comes after ``skip_rows`` preamble lines.
+    """Delimited table whose header comes after ``skip_rows`` preamble lines in each file.
 
-    Columns are picked by header name, so the file may hold more of them and in
-    any order.  The preamble can only be counted from the top of a file, so
-    each file is one row here; that is refused above ``DIMENSION_FILE_LIMIT``
-    bytes, where the preamble should be stripped and ``read_delim`` used.
+    Columns are picked by header name, so the files may hold more of them and in
+    any order.  Files are scanned in splits like any text; only the lines of a
+    file's first split are numbered, to find its preamble and header.
     """
-    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-    if sizes > DIMENSION_FILE_LIMIT:
-        raise ValueError(f"{path}: {sizes} bytes is too large for a dimension file")
-    text = F.regexp_replace(F.col("value"), "^﻿", "")
-    lines = F.split(text, "\r?\n")
-    lines = F.slice(lines, F.lit(skip_rows + 1), F.greatest(F.size(lines) - skip_rows, F.lit(0)))
-    body = spark.read.text(path, wholetext=True).select(lines.alias("lines"))
-    cells = lambda line: F.transform(
-        F.split(line, _quoted_split(sep), -1), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")
+    scan = spark.read.text(path).select(
+        F.col("value"),
+        F.col("_metadata.file_path").alias("file"),
+        (F.col("_metadata.file_block_start") == 0).alias("top"),
+        F.monotonically_increasing_id().alias("id"),
     )
-    rows = body.select(
-        cells(F.col("lines")[0]).alias("header"),
-        F.explode(F.slice(F.col("lines"), F.lit(2), F.size("lines"))).alias("line"),
-    ).where(F.trim("line") != "")
-    rows = rows.select(F.map_from_arrays("header", cells(F.col("line"))).alias("m"))
-    out = []
-    for f in schema:
-        raw = F.col("m")[f.name]
-        empty = raw.isin([""] if null is None else ["", null])
-        out.append(F.when(~empty, raw).cast(f.dataType).alias(f.name))
-    return rows.select(*out)
-
-
-def _quoted_split(sep: str) -> str:
-    """Separator outside double quotes."""
-    return rf'[{sep}](?=(?:[^"]*"[^"]*")*[^"]*$)'
+    # Ids follow each other within a split, so the line number is the distance to the file's first line.
+    first = scan.where("top").groupBy("file").agg(F.min("id").alias("first"))
+    lines = scan.join(first, "file").withColumn("line", F.when(F.col("top"), F.col("id") - F.col("first")))
+    bare = F.regexp_replace("value", "^\ufeff", "")
+    heads = lines.where(F.col("line") == skip_rows).groupBy(bare.alias("head")).agg(F.collect_list("file").alias("files"))
+    body = lines.where(F.col("line").isNull() | (F.col("line") > skip_rows)).where(F.trim("value") != "")
+    out = None
+    for row in heads.collect():  # as many as the files have different headers
+        head = row["head"]
+        names = [c.strip().strip('"') for c in next(csv.reader([head], delimiter=sep))]
+        slots = T.StructType([T.StructField(f"c{i}", TEXT) for i in range(len(names))])
+        missing = [f.name for f in schema if f.name not in names]
+        if missing:
+            raise ValueError(f"{path}: no column {missing}; the header has {names}")
+        parsed = F.from_csv("value", slots.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep})
+        own = body.join(heads.where(F.col("head") == head).select(F.explode("files").alias("file")), "file", "left_semi")
+        cells = own.select(parsed.alias("cells"))
+        cols = []
+        for f in schema:
+            raw = F.trim(F.col(f"cells.c{names.index(f.name)}"))
+            empty = raw.isin([""] if null is None else ["", null])
+            cols.append(F.when(~empty, raw).cast(f.dataType).alias(f.name))
+        cells = cells.select(*cols)
+        out = cells if out is None else out.unionByName(cells)
+    return out if out is not None else spark.createDataFrame([], schema)

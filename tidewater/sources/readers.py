@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +25,26 @@ def wanted_path(path: Column, include=None, exclude=None, suffix: str | None = N
     return ok & path.endswith(suffix) if suffix else ok
 
 
+def fixed_prefix(root: str) -> str:
+    """Folder part of a root without scheme and host; of a glob, the folders before its first pattern."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    if not path.startswith("/"):
+        path = posixpath.abspath(path)
+    glob = re.search(r"[*?\[{]", path)
+    return path[: path.rindex("/", 0, glob.start())] if glob else path.rstrip("/")
+
+
 def below(path: Column, root: str) -> Column:
-    """Part of a file path below ``root``, so that the root itself cannot match."""
-    tail = root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    return F.element_at(F.split(path, rf"\Q{tail}\E", 2), -1)
+    """Part of a file path below ``root``, so that the root itself cannot match.
+
+    Below a glob it is the part after the folders without a pattern; of a
+    single file it is the file's name.
+    """
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    prefix = fixed_prefix(root)
+    inside = F.substring(bare, F.lit(len(prefix) + 2), F.length(bare))
+    name = F.element_at(F.split(bare, "/"), -1)
+    return F.when(F.startswith(bare, F.lit(prefix + "/")), inside).otherwise(name)
 
 
 def scanned_path() -> Column:
@@ -57,26 +76,44 @@ def read_delim(
 ) -> DataFrame:
     """Header-named delimited scan over a file, a folder or a glob.
 
+    The files are chosen by name first, from the listing alone.  Then the
+    header of each chosen file is read (a job that reads one line), files with
+    the same header share one scan, and several layouts give one union.
     Columns are taken by header name and only those of ``schema`` are parsed;
-    further file columns are ignored.  ``enforceSchema`` stays off so that a
-    file with another column order is an error rather than shifted data.  File
-    selection is a predicate on file metadata: unwanted files are pruned from
-    the scan before any of their bytes are read.
+    further file columns are ignored.  A column that some layouts lack is null
+    there, one that all lack is an error.
     """
-    options = {"header": True, "sep": sep, "recursiveFileLookup": True, "mode": mode}
+    options = {"header": True, "sep": sep, "mode": mode}
     if null is not None:
         options["nullValue"] = null
-    header = spark.read.options(**options).csv(path).columns
     types = {f.name: f.dataType for f in schema}
-    missing = [n for n in types if n not in header]
+    chosen = list_files(spark, path, include, exclude).select("path", "length").collect()
+    # Files without a byte have no header and no rows.
+    names = sorted(r["path"] for r in chosen if r["length"])
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for name in names:
+        header = tuple(spark.read.options(**options).csv(literal_path(name)).columns)
+        layouts.setdefault(header, []).append(name)
+    missing = [n for n in types if layouts and not any(n in header for header in layouts)]
     if missing:
-        raise ValueError(f"{path}: no column {missing}; the header has {header}")
-    layout = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
-    df = spark.read.schema(layout).options(enforceSchema=False, **options).csv(path)
+        raise ValueError(f"{path}: no column {missing}; the headers have {sorted(layouts)}")
     file = relative_path(path)
-    df = df.where(wanted_path(file, include, exclude))
-    cols = [F.col(f"`{n}`") for n in types]
-    return df.select(*cols, file.alias(FILE)) if with_file else df.select(*cols)
+    out = None
+    for header, files in layouts.items():
+        layout = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
+        df = spark.read.schema(layout).options(enforceSchema=False, **options).csv([literal_path(f) for f in files])
+        cols = [F.col(f"`{n}`") if n in header else F.lit(None).cast(t).alias(n) for n, t in types.items()]
+        df = df.select(*cols, file.alias(FILE)) if with_file else df.select(*cols)
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        full = T.StructType([*schema, *([T.StructField(FILE, T.StringType())] if with_file else [])])
+        return spark.createDataFrame([], full)
+    return out
+
+
+def literal_path(path: str) -> str:
+    """A listed path as one that names itself where globs are read."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 def read_tables(
@@ -86,14 +123,14 @@ def read_tables(
     keys: list[str] | None = None,
     source_pattern: str = r"[^/]+$",
 ) -> DataFrame:
-    """One scan over many Parquet tables.
+    """One scan over many Parquet tables; a column that some lack is null there.
 
     ``on_duplicate='last'`` keeps, for each value of ``keys``, only the rows of
     the source that sorts last; ``source_pattern`` names the part of the file
-    path that identifies a source.  The choice is a small aggregate of
-    (keys, source), joined back as a semi join.
+    path that identifies a source.  The choice reads the key columns only and is
+    a small aggregate of (keys, source), joined back as a semi join.
     """
-    df = spark.read.parquet(*paths)
+    df = spark.read.option("mergeSchema", True).parquet(*paths)
     if on_duplicate == "union":
         return df
     if on_duplicate != "last" or not keys:
