@@ -16,9 +16,9 @@ ordered by the hash of each of its windows.  Both give the exact answer for
 every window; hashes have 64 bits, in addition to the 64 of the gram.
 
 A batch drops what repeats inside it before anything is shuffled, so a string
-that fills a third of the corpus reaches a shard once per batch.  Shards are
-numbered by ``spark.sql.shuffle.partitions``; a shard's arrays are what a task
-holds.  Only places go back to the texts: they are broadcast when their written
+that fills a third of the corpus reaches a shard once per batch.  There are
+SHARDS times ``spark.sql.shuffle.partitions`` shards, and a shard's arrays are
+what a task holds.  Only places go back to the texts: they are broadcast when their written
 size is below ``common.BROADCAST`` bytes and meet the texts in a shuffle join beyond.
 
 Defined results: a null text is empty; texts shorter than SPAN lose nothing; a
@@ -52,6 +52,7 @@ SPAN = 100
 GRAM = 32
 CHUNK = 1 << 18  # bytes worked on at once
 BATCH = 8 << 20  # bytes of text whose suffixes form one batch
+SHARDS = 4  # shards per shuffle partition
 
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 ENTRY = "shard int, resolved boolean, gram binary, context binary, doc binary, place binary"
@@ -333,7 +334,7 @@ def spans_of(covered: list | None, starts: list | None, span: int, gram: int) ->
 
 
 def _sharded(rows: DataFrame, second: bool) -> DataFrame:
-    n = shuffle_partitions(rows.sparkSession)
+    n = shuffle_partitions(rows.sparkSession) * SHARDS
     return rows.repartitionById(n, F.col("shard")).mapInArrow(lambda it: scan_shard(it, second), FOUND)
 
 
@@ -342,8 +343,7 @@ def repeated_spans(
 ) -> DataFrame:
     """(id, spans): for each document that loses bytes, the runs (start, end) of
     bytes covered by a string of ``span`` bytes that starts earlier."""
-    spark = df.sparkSession
-    shards = shuffle_partitions(spark)
+    shards = shuffle_partitions(df.sparkSession) * SHARDS
     docs = df.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     docs = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= span))
 
