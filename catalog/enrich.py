@@ -23,6 +23,20 @@ def units_per_parameter(spark, sf):
     return joins.lookup(counts, units, ["ParameterName"], ["unit"]).select("Habitat", "ParameterName", "unit", "n")
 
 
+@query("o14_habitat_codes", OBS + """
+SELECT code, t.habitat, count(ProgramLocationID) AS n FROM (VALUES ('sav', 'Submerged Aquatic Vegetation'), ('oyster', 'Oyster Reef'),
+  ('coral', 'Coral Reef'), ('cw', 'Coastal Wetlands'), ('nekton', 'Nekton')) t(code, habitat)
+LEFT JOIN obs ON t.habitat = CASE obs.Habitat WHEN 'Water Column' THEN 'Nekton' WHEN 'Oyster/Oyster Reef' THEN 'Oyster Reef' ELSE obs.Habitat END
+GROUP BY ALL""")
+def habitat_codes(spark, sf):
+    """The fixed habitat table beside the observations of each habitat."""
+    from tidewater.sources.dimensions import habitats
+
+    rows = X.obs(spark, sf).select(joins.habitat_name(F.col("Habitat")).alias("habitat"))
+    counts = rows.groupBy("habitat").agg(F.count(F.lit(1)).alias("n"))
+    return joins.lookup(habitats(spark), counts, ["habitat"], ["n"]).fillna(0, ["n"])
+
+
 @query("o16_renamed_view", OBS + """
 SELECT ProgramName AS "Program Name", ProgramLocationID AS "Station ID", ParameterName AS "Parameter", Year, 'obs' AS tag
 FROM obs""")

@@ -199,19 +199,33 @@ def test_batch_runs(spark, tmp_path):
     from tidewater.sources.tables import load_table
 
     obs = X.obs(spark, SF_DIR)
+    stats, monthly = X.trend_rows(spark, SF_DIR), X.monthly(spark, SF_DIR)
+    sites = obs.withColumnRenamed("Habitat", "habitat")
+    one = F.col("ProgramLocationID") == 3
+    earlier = runs.Archive([3], obs.where(one), stats.where(one), monthly)
+    root = str(tmp_path / "c")
     done = runs.run_continuous(
-        spark, obs, X.dim_entity(spark, SF_DIR), X.trend_rows(spark, SF_DIR), str(tmp_path / "c"), X.AS_OF, X.LINK,
-        highlights=X.HIGHLIGHTS,
+        spark, obs.where(~one), X.dim_entity(spark, SF_DIR), stats.where(~one), monthly.where(~one), sites,
+        X.points(spark, SF_DIR), root, X.AS_OF, X.LINK, highlights=X.HIGHLIGHTS, archive=earlier,
     )
-    assert len(done) == 6
-    assert load_table(spark, str(tmp_path / "c"), "entity_table").agg(F.sum("Data_N")).first()[0] == 6000
+    assert len(done) == 9
+    # The archived station is back in every table, each of which reads back.
+    read = {name: load_table(spark, root, name) for name in done}
+    assert read["entity_table"].agg(F.sum("Data_N")).first()[0] == 6000
+    assert read["trend_rows"].count() == stats.count() and read["monthly_means"].count() == monthly.count()
+    for name in ("station_years", "station_segments", "station_markers", "station_table", "trend_rows", "monthly_means"):
+        assert not read[name].where(one).isEmpty()
+    assert read["site_points"].select("habitat").distinct().count() == 3 and not read["entity_segments"].isEmpty()
     done = runs.run_habitat(
         spark, obs, X.thresholds(spark, SF_DIR), X.location_points(spark, SF_DIR), str(tmp_path / "h"), X.AS_OF, X.LINK,
         X.FLAGS, ["SMALL"],
     )
     assert len(done) == 10
     total = X.habitat_input(spark, SF_DIR).count()
-    assert load_table(spark, str(tmp_path / "h"), "summary_program").agg(F.sum("N_samples")).first()[0] == total
+    root = str(tmp_path / "h")
+    assert views.programs_per_habitat(load_table(spark, root, "location_map")).count() >= 2
+    assert all(not load_table(spark, root, name).isEmpty() for name in done)
+    assert load_table(spark, root, "summary_program").agg(F.sum("N_samples")).first()[0] == total
 
 
 def test_trend_run(spark, tmp_path):

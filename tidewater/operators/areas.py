@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,7 +27,14 @@ def area_bbox(vertices: DataFrame, by: str = "area") -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, out: str = "Median") -> DataFrame:
+def middle_edges(value: str) -> Column:
+    """Aggregate: a bounded quantile sketch's values just below and above the middle."""
+    return F.percentile_approx(value, F.array(F.lit(0.5 - SLACK), F.lit(0.5 + SLACK)), ACCURACY)
+
+
+def exact_median(
+    df: DataFrame, by: list[str], value: str, out: str = "Median", edges: DataFrame | None = None
+) -> DataFrame:
     """Exact median per group without gathering a group in one task.
 
     ``percentile`` keeps all distinct values of a group in one buffer, which a
@@ -35,11 +42,15 @@ def exact_median(df: DataFrame, by: list[str], value: str, out: str = "Median")
     sketches, merged from the map tasks, cut each group into a range below, a
     narrow one around and a range above its middle.  Exact row counts per range
     then tell which range holds the middle rank (the narrow one, unless a
-    sketch was off, and then another one), and only that range is ranked.
+    sketch was off, and then another one), and only that range is ranked.  The
+    ranking reads its distinct values, at most 2 * SLACK of the group's rows.
+
+    ``edges`` holds ``middle_edges`` per group as ``__edges`` where a caller's
+    own aggregate has them already, which saves a scan.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    cuts = F.array(F.lit(0.5 - SLACK), F.lit(0.5 + SLACK))
-    edges = rows.groupBy(*by).agg(F.percentile_approx("__v", cuts, ACCURACY).alias("__edges"))
+    if edges is None:
+        edges = rows.groupBy(*by).agg(middle_edges("__v").alias("__edges"))
     # Equal values always share a range: one comparison per edge.
     place = (F.col("__v") >= F.col("__edges")[0]).cast("int") + (F.col("__v") > F.col("__edges")[1]).cast("int")
     ranged = null_safe_join(rows, edges, by).select(*by, "__v", place.alias("__range"))
@@ -79,36 +90,31 @@ def area_stats(
     """
     rows = df.where(F.col(value).isNotNull() & F.col(area).isNotNull())
     keys = [area, *by]
-    cells = rows.groupBy(*keys, year, "ProgramID", "ProgramName").agg(
-        F.min(value).alias("__min"), F.max(value).alias("__max")
-    )
-    profile = cells.groupBy(*keys).agg(
-        F.count_distinct(year).alias("N_Years"),
+    # One scan gives all but the median; sets hold years and programs, not rows.
+    profile = rows.groupBy(*keys).agg(
+        F.size(F.collect_set(year)).cast("bigint").alias("N_Years"),
         F.min(year).alias("EarliestYear"),
         F.max(year).alias("LatestYear"),
-        F.min("__min").alias("Min"),
-        F.max("__max").alias("Max"),
+        F.min(value).alias("Min"),
+        F.max(value).alias("Max"),
         F.array_join(sorted_set("ProgramName"), ", ").alias("Programs"),
         F.array_join(F.transform(sorted_set("ProgramID"), lambda i: i.cast("string")), ", ").alias("ProgramIDs"),
-    )
-    moments = rows.groupBy(*keys).agg(
         F.count(value).alias("N_Data"),
         F.avg(value).alias("Mean"),
         F.stddev_samp(value).alias("StandardDeviation"),
+        F.min(F.struct(F.col(value), F.col(year))).alias("__lowest"),
+        F.max(F.struct(F.col(value).alias("v"), (-F.col(year)).alias("y"))).alias("__highest"),
+        middle_edges(value).alias("__edges"),
     )
-    extremes = (
-        cells.groupBy(area, year)
-        .agg(F.min("__min").alias("__min"), F.max("__max").alias("__max"))
-        .groupBy(area)
-        .agg(
-            F.min_by(year, F.struct("__min", year)).alias("Year_MinRichness"),
-            F.max_by(year, F.struct(F.col("__max"), -F.col(year))).alias("Year_MaxRichness"),
-        )
+    median = exact_median(rows, keys, value, edges=profile.select(*keys, "__edges"))
+    whole = W.partitionBy(area)  # a row per group of the area
+    out = profile.drop("__edges").withColumns(
+        {
+            "Year_MinRichness": F.min("__lowest").over(whole)[year],
+            "Year_MaxRichness": -F.max("__highest").over(whole)["y"],
+        }
     )
-    out = areas.select(area).distinct()
-    out = null_safe_join(out, profile, [area], "left")
-    out = null_safe_join(out, moments, keys, "left")
-    out = null_safe_join(out, exact_median(rows, keys, value), keys, "left")
-    out = null_safe_join(out, extremes, [area], "left")
+    out = null_safe_join(out.drop("__lowest", "__highest"), median, keys, "left")
+    out = null_safe_join(areas.select(area).distinct(), out, [area], "left")
     zero = F.lit(0).cast("bigint")
     return out.withColumn("N_Years", F.coalesce("N_Years", zero)).withColumn("N_Data", F.coalesce("N_Data", zero))

@@ -45,11 +45,16 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, on: list[str]) -> DataF
     """Pin columns to given values on every row of the listed keys.
 
     Columns of ``overrides`` other than ``on`` replace the same column of
-    ``df``; a null there leaves the row as it is.  One row per key is enforced
-    so that the join cannot multiply rows.
+    ``df``; a null there leaves the row as it is.  One row per key is made so
+    that the join cannot multiply rows; values that clash for a key are an error.
     """
     pinned = [c for c in overrides.columns if c not in on]
-    once = overrides.groupBy(*on).agg(*[F.max(c).alias(f"__pin_{c}") for c in pinned])
+
+    def only(c: str) -> Column:
+        clash = F.raise_error(F.lit(f"overrides of {c} clash")).cast(overrides.schema[c].dataType)
+        return F.when(F.min(c).eqNullSafe(F.max(c)), F.max(c)).otherwise(clash)
+
+    once = overrides.groupBy(*on).agg(*[only(c).alias(f"__pin_{c}") for c in pinned])
     out = null_safe_join(df, once, on, "left")
     cols = [F.coalesce(f"__pin_{c}", c).alias(c) if c in pinned else F.col(f"`{c}`") for c in df.columns]
     return out.select(*cols)

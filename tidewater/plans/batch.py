@@ -7,10 +7,12 @@ storage.  Every run computes them anew.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.functions.semantics import null_safe_join
-from tidewater.operators import figures, trends
+from tidewater.operators import clean, figures, rollups, trends
 from tidewater.plans import continuous, habitat
 from tidewater.sources import dimensions
 from tidewater.sources.constants import PLOTS
@@ -20,21 +22,51 @@ STATION_YEARS = "station_years"
 HABITAT_CELLS = "habitat_cells"
 
 
+@dataclass(frozen=True)
+class Archive:
+    """Earlier exports from which the listed stations are taken as well."""
+
+    stations: list
+    obs: DataFrame | None = None
+    stats: DataFrame | None = None
+    monthly: DataFrame | None = None
+
+    def with_earlier(self, current: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        return current if earlier is None else clean.backfill(current, earlier, "ProgramLocationID", self.stations)
+
+
 def run_continuous(
     spark: SparkSession,
     obs: DataFrame,
     entities: DataFrame,
     stats: DataFrame,
+    monthly: DataFrame,
+    sites: DataFrame,
+    points: DataFrame,
     root: str,
     as_of: str,
     link_base: str,
     overrides: DataFrame | None = None,
     highlights=continuous.HIGHLIGHTS,
+    archive: Archive | None = None,
 ) -> dict[str, str]:
-    """Station-years from the observations, then all continuous tables; name to path."""
-    silver = write_tables({STATION_YEARS: continuous.station_years(obs)}, root)
+    """Station-years from the observations, then all continuous tables; name to path.
+
+    ``sites`` are the habitat observations whose sampling sites get points.
+    Station-years, trend rows and monthly means are completed from ``archive``.
+    """
+    archive = archive or Archive([])
+    sy = continuous.station_years(obs)
+    sy = archive.with_earlier(sy, None if archive.obs is None else continuous.station_years(archive.obs))
+    silver = write_tables({STATION_YEARS: sy}, root)
     sy = load_table(spark, root, STATION_YEARS)
+    stats = archive.with_earlier(stats, archive.stats)
     out = continuous.continuous_tables(sy, entities, stats, as_of, link_base, overrides, highlights)
+    out |= {
+        "trend_rows": stats,
+        "monthly_means": archive.with_earlier(monthly, archive.monthly),
+        "site_points": continuous.habitat_points(rollups.site_counts(sites), points),
+    }
     return {**silver, **write_tables(out, root, as_of)}
 
 

@@ -27,23 +27,6 @@ HIGHLIGHTS = [
     "National Estuarine Research Reserve SWMP",
 ]
 
-# Entity choices after the highlighted ones.
-FURTHER_ENTITIES = [
-    "National Water Information System",
-    "Water Temperature on Coral Reefs in the Florida Keys",
-    "AOML South Florida Program Moored Instrument Array",
-    "FKNMS Seagrass Monitoring Project",
-    "FDEP Bureau of Survey and Mapping Continuous WQ Program",
-    "National Data Buoy Center",
-    "St. Johns River Water Management District Continuous WQ Programs",
-    "USGS Coral Reef Ecosystem Studies (CREST) Project",
-    "Pensacola Bay WQ Monitoring Program",
-    "Continuous Bottom Temperature Measurements along the Florida Reef Tract",
-]
-
-# Entity choices of the overview, in order.
-ENTITY_CHOICES = ["All", *HIGHLIGHTS, *FURTHER_ENTITIES]
-
 # Entity whose link is always derived from its program id.
 ALWAYS_LINKED = ["USGS Coral Reef Ecosystem Studies (CREST) Project"]
 
