@@ -32,7 +32,7 @@ def test_near_groups_of_documents(spark, texts):
 def test_near_copies(spark, monkeypatch, small):
     """A dense group, a loose cloud whose nodes stay large, chains and short texts."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "ROUNDS", 6 if small > 4 else 1)
+    monkeypatch.setattr(near_dedup, "COPIES", 16 if small > 4 else 4)
     rng = random.Random(4)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
     rows = [(i, edited(rng, base, 1)) for i in range(60)]

@@ -16,8 +16,9 @@ below about 1e-4.
 The first large nodes compare all their documents with their smallest id.
 Documents confirmed to be linked with the same leader need no link between each
 other, and a node that holds only those ends there, which keeps a group of
-thousands of near copies linear.  What is still large and mixed after ROUNDS
-steps is compared in blocks, pair by pair, except within a leader's group.
+thousands of near copies linear.  Mixed large nodes branch until comparing them
+in blocks, pair by pair except within a leader's group, sends a document to
+COPIES blocks on average, or until ROUNDS steps were made.
 
 Comparisons in nodes use set sizes and signatures with a margin of about 4.5
 standard deviations; each surviving pair is confirmed on the full sets.
@@ -58,9 +59,10 @@ PERCENT = 85
 COORDINATES = 256
 TREES = 24
 FIRST_LEVELS = 3  # levels branched before nodes are counted
-SMALL = 256
+SMALL = 64
 STEP = 2  # levels that large nodes branch before they are counted again
-ROUNDS = 6  # of such steps
+ROUNDS = 12  # of such steps at most
+COPIES = 16  # blocks that a document of a large node may be sent to on average instead of branching on
 MARGIN = 0.10
 SLICE = 2 << 20
 
@@ -359,13 +361,14 @@ class Join:
             own = counted.where(F.col("size") <= SMALL).select("node", "id", "n")
             compared.append(own.withColumn("block", F.lit(-1).cast("long")))
             large = counted.where(F.col("size") > SMALL)
-            if large.isEmpty():
+            copies = large.agg(F.avg("size") / (SMALL // 2)).first()[0]  # null without large nodes
+            if copies is None:
                 break
             if links is None:
                 links, labels = self.leaders(large)
             mixed = labelled(large).groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"))
             left = large.join(mixed.where("x <> y").select("node"), "node", "left_semi")
-            if step == ROUNDS:
+            if copies <= COPIES or step == ROUNDS:
                 compared.append(blocks(left.select("node", "id", "n", "size")))
                 break
             below = left.select("node", "id", "n").join(signature, "id").select("node", "id", "n", "signature")
