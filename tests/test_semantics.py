@@ -124,3 +124,10 @@ def test_trend_axis(spark, lo, hi, step, axis, ticks):
 def test_ticks_of_an_inverted_range_are_missing(spark):
     row = spark.range(1).select(dates.coverage_ticks(F.lit(2000), F.lit(1999)), dates.coverage_ticks(F.lit(1999), F.lit(2003))).first()
     assert tuple(row) == (None, [2003, 2001, 1999])
+
+
+def test_numbers_in_text(spark):
+    """Whole doubles without decimals, large ones without an exponent, text as it is."""
+    df = spark.createDataFrame([(5.0, 12345678.25, "v1.0", 7), (2.5, 1e15, None, None)], "a double, b double, c string, d int")
+    out = df.select(text.paste(F.col("a"), "|", F.col("c"), "|", F.col("d")), text.interval_text(F.col("b"), F.col("a")))
+    assert [tuple(r) for r in out.collect()] == [("5|v1.0|7", "12345678.25 to 5"), ("2.5|NA|NA", "1000000000000000 to 2.5")]

@@ -9,11 +9,15 @@ from tidewater.functions.semantics import as_col, round_half_even
 
 
 def paste(*parts: Column | str, sep: str = "") -> Column:
-    """Concatenate; a ``str`` is literal text and a missing value reads ``NA``."""
-    cells = [
-        F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("NA"))
-        for p in parts
-    ]
+    """Concatenate; a ``str`` is literal text, a missing value reads ``NA`` and a
+    whole floating-point number reads without decimals."""
+
+    def cell(p: Column) -> Column:
+        # The type is known when the plan is made, so only one branch stays in it.
+        number = F.typeof(p).isin("double", "float")
+        return F.when(number, number_text(p.try_cast("double"))).otherwise(p.cast("string"))
+
+    cells = [F.lit(p) if isinstance(p, str) else F.coalesce(cell(p), F.lit("NA")) for p in parts]
     return F.concat_ws(sep, *cells) if sep else F.concat(*cells)
 
 
