@@ -392,19 +392,11 @@ def repeated_spans(
 
 def without(text: Column, spans: Column) -> Column:
     """Bytes of ``text`` (binary) outside the sorted ``spans``; all of them where spans are null."""
-    edges = F.concat(
-        F.array(F.lit(0).cast("long")), F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
-    )
     n = F.octet_length(text).cast("long")
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size(spans)),
-        lambda i: F.substring(
-            text,
-            (F.get(edges, i * 2) + 1).cast("int"),
-            F.greatest(F.coalesce(F.get(edges, i * 2 + 1), n) - F.get(edges, i * 2), F.lit(0)).cast("int"),
-        ).cast("string"),
-    )
-    return F.when(spans.isNull(), text).otherwise(F.array_join(parts, "").cast("binary"))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(n))
+    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    return F.when(spans.isNull(), text).otherwise(F.array_join(F.zip_with(begins, ends, cut), "").cast("binary"))
 
 
 def _inside(text: Column, at: Column) -> Column:
@@ -413,12 +405,13 @@ def _inside(text: Column, at: Column) -> Column:
 
 
 def on_characters(text: Column, span: Column) -> Column:
-    """The span without the characters that it covers in part."""
+    """The span without the characters that it covers in part (of four bytes at most)."""
     start, end = span["start"], span["end"]
-    for _ in range(3):
-        start = F.when(_inside(text, start), start + 1).otherwise(start)
-        end = F.when(_inside(text, end), end - 1).otherwise(end)
-    return F.struct(start.alias("start"), F.greatest(start, end).alias("end"))
+    ahead, back = F.lit(3), F.lit(3)
+    for k in (2, 1, 0):
+        ahead = F.when(~_inside(text, start + k), F.lit(k)).otherwise(ahead)
+        back = F.when(~_inside(text, end - k), F.lit(k)).otherwise(back)
+    return F.struct((start + ahead).alias("start"), F.greatest(start + ahead, end - back).alias("end"))
 
 
 def deduplicated(
