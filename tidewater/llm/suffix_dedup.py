@@ -51,7 +51,8 @@ from tidewater.llm.common import (
 SPAN = 100
 GRAM = 32
 CHUNK = 1 << 18  # bytes worked on at once
-BATCH = 8 << 20  # bytes of text whose suffixes form one batch
+BATCH = 4 << 20  # bytes of text whose suffixes form one batch
+WINDOW_BATCH = 1 << 20  # bytes of text whose windows, up to one a byte, form one batch
 SHARDS = 4  # shards per shuffle partition
 
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
@@ -363,7 +364,7 @@ def repeated_spans(
         for batch in batches:
             raw, offsets = flat_bytes(batch.column(1))
             ids, at = batch.column(0).to_numpy(), batch.column(2)
-            for i, j in slices(offsets, BATCH):
+            for i, j in slices(offsets, WINDOW_BATCH):
                 own = offsets[i : j + 1] - offsets[i]
                 opened_at = [v.values.to_numpy() for v in at.slice(i, j - i)]
                 yield from dealt(windows(raw[offsets[i] : offsets[j]], own, ids[i:j], opened_at, span, gram), shards)
