@@ -52,7 +52,7 @@ SPAN = 100
 GRAM = 32
 CHUNK = 1 << 18  # bytes worked on at once
 BATCH = 4 << 20  # bytes of text whose suffixes form one batch
-WINDOW_BATCH = 1 << 20  # bytes of text whose windows, up to one a byte, form one batch
+WINDOW_BATCH = 1 << 19  # bytes of text whose windows, up to one a byte, form one batch
 SHARDS = 4  # shards per shuffle partition
 
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
