@@ -47,6 +47,25 @@ def test_near_copies(spark, monkeypatch, small):
     assert got == want
 
 
+def test_near_copies_of_short_texts(spark):
+    """Texts of 10 words and their copies with one word more: Jaccard 6 / 7."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 1000, 2):
+        words = [f"s{rng.randrange(10**6)}" for _ in range(11)]
+        rows += [(i, " ".join(words[:10])), (i + 1, " ".join(words))]
+    assert {r[0]: r[1:] for r in near(spark, rows)} == brute.near_groups(rows)
+
+
+def test_empty_bins_are_filled_evenly():
+    rng = near_dedup.np.random.default_rng(9)
+    sets = [near_dedup.np.sort(rng.integers(0, 1 << 63, 7, near_dedup.U64) * near_dedup.U64(2)) for _ in range(400)]
+    whole = near_dedup.signature_rows(sets)
+    less = near_dedup.signature_rows([near_dedup.np.delete(s, k % 7) for k, s in enumerate(sets)])
+    agree = (whole == less).mean(axis=1)
+    assert abs(agree.mean() - 6 / 7) < 0.01 and agree.std() < 0.04
+
+
 def test_near_edge_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = near(spark, [(5, text), (5, text), (None, text), (9, text), (None, None)])

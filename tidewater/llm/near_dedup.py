@@ -3,7 +3,7 @@
 A document's set is its distinct shingles; equal sets are one class, told by a
 128-bit digest, and its smallest id stands for it.  Each class has a signature:
 the minwise token of each of COORDINATES bins (one permutation, empty bins
-filled from other bins by a fixed sequence).
+filled from other bins, each in its own fixed order).
 
 A tree branches recursively.  A node picks one or two coordinates from its own
 hash, on average one over the similarity asked for, and each document goes to
@@ -20,8 +20,9 @@ thousands of near copies linear.  Mixed large nodes branch until comparing them
 in blocks, pair by pair except within a leader's group, sends a document to
 COPIES blocks on average, or until ROUNDS steps were made.
 
-Comparisons in nodes use set sizes and signatures with a margin of about 4.5
-standard deviations; each surviving pair is confirmed on the full sets.
+Comparisons in nodes use set sizes and, for sets of more than FEW shingles,
+signatures with a margin of about 4.5 standard deviations; each surviving pair
+is confirmed on the full sets.
 Components follow by hooking and pointer jumping on the confirmed links.
 
 Defined results: texts without words have empty sets and are linked with
@@ -64,6 +65,7 @@ STEP = 2  # levels that large nodes branch before they are counted again
 ROUNDS = 12  # of such steps at most
 COPIES = 16  # blocks that a document of a large node may be sent to on average instead of branching on
 MARGIN = 0.10
+FEW = 64  # shingles up to which a set's signature decides nothing
 SLICE = 2 << 20
 
 PRINTS = "id long, n_shingles long, d1 long, d2 long, signature binary"
@@ -96,7 +98,10 @@ def shingles(text: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _probes() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(0, COORDINATES, (64, COORDINATES))
+    """Bins that an empty bin (a column) takes its token from, the first filled one counts;
+    a permutation per bin, so that each own bin of a set fills as many others on average."""
+    bins = np.tile(np.arange(COORDINATES)[:, None], COORDINATES)
+    return np.random.default_rng(20240229).permuted(bins, axis=0)
 
 
 def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
@@ -111,16 +116,18 @@ def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
             first[1:] = bins[1:] != bins[:-1]
             out[row, bins[first]] = (s[first] & U64(255)).astype(np.uint8)
             filled[row, bins[first]] = True
-    own = filled.copy()
-    some = own.any(axis=1)
-    for probe in _probes():
-        take = ~filled & own[:, probe]
-        out[take] = out[:, probe][take]
-        filled |= take
-    left = np.flatnonzero(some & ~filled.all(axis=1))
-    if len(left):  # very small sets: the first own bin
-        first = own[left].argmax(axis=1)
-        out[left] = np.where(filled[left], out[left], out[left, first][:, None])
+    left = np.flatnonzero(filled.any(axis=1) & ~filled.all(axis=1))
+    own, values, full = filled[left], out[left], filled[left]
+    for k, probe in enumerate(_probes()):
+        take = ~full & own[:, probe]
+        values[take] = values[:, probe][take]
+        full |= take
+        if k % 8 == 7:  # only sets with empty bins go on
+            done = full.all(axis=1)
+            out[left[done]] = values[done]
+            left, own, values, full = left[~done], own[~done], values[~done], full[~done]
+            if not len(left):
+                break
     return out
 
 
@@ -211,7 +218,7 @@ def descended(batches: Iterator[pa.RecordBatch], percent: int, levels: int) -> I
 def similar(n_a, n_b, sig_a, sig_b, percent: int) -> np.ndarray:
     """Pairs that sizes and signatures allow to reach the similarity."""
     ok = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(ok & (np.minimum(n_a, n_b) > FEW))
     for i in range(0, len(at), 20_000):
         part = at[i : i + 20_000]
         agree = (sig_a[part] == sig_b[part]).mean(axis=1)
