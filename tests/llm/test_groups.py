@@ -66,6 +66,22 @@ def test_empty_bins_are_filled_evenly():
     assert abs(agree.mean() - 6 / 7) < 0.01 and agree.std() < 0.04
 
 
+def test_recall_at_the_greatest_depth():
+    deepest = near_dedup.FIRST_LEVELS + near_dedup.STEP * near_dedup.ROUNDS
+    assert near_dedup.missed(near_dedup.PERCENT, near_dedup.TREES, deepest) < 1e-4
+
+
+def test_near_nodes_at_the_greatest_depth(spark, monkeypatch):
+    """Nodes that are still mixed and large after the last step are compared whole."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "COPIES", 1)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(i, edited(rng, base, rng.randrange(1, 7))) for i in range(80)]
+    assert {r[0]: r[1:] for r in near(spark, rows)} == brute.near_groups(rows)
+
+
 def test_near_edge_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = near(spark, [(5, text), (5, text), (None, text), (9, text), (None, None)])

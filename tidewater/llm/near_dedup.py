@@ -18,7 +18,10 @@ Documents confirmed to be linked with the same leader need no link between each
 other, and a node that holds only those ends there, which keeps a group of
 thousands of near copies linear.  Mixed large nodes branch until comparing them
 in blocks, pair by pair except within a leader's group, sends a document to
-COPIES blocks on average, or until ROUNDS steps were made.
+COPIES blocks on average, or until ROUNDS steps were made: the greatest depth is
+FIRST_LEVELS + STEP * ROUNDS = 11 levels, where a pair at the threshold of 85 per
+cent is missed with a probability of 8.1e-5 (``missed``).  Larger nodes at that
+depth are compared exactly, at a cost that is quadratic in their documents.
 
 Comparisons in nodes use set sizes and, for sets of more than FEW shingles,
 signatures with a margin of about 4.5 standard deviations; each surviving pair
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +66,7 @@ TREES = 24
 FIRST_LEVELS = 3  # levels branched before nodes are counted
 SMALL = 64
 STEP = 2  # levels that large nodes branch before they are counted again
-ROUNDS = 12  # of such steps at most
+ROUNDS = 4  # of such steps at most; what is still large then is compared whole, in blocks
 COPIES = 16  # blocks that a document of a large node may be sent to on average instead of branching on
 MARGIN = 0.10
 FEW = 64  # shingles up to which a set's signature decides nothing
@@ -215,6 +219,21 @@ def descended(batches: Iterator[pa.RecordBatch], percent: int, levels: int) -> I
             )
 
 
+def missed(percent: int, trees: int, levels: int) -> float:
+    """Probability that a pair at the similarity shares no node of any tree after so many
+    levels, over the agreements that its signatures may have."""
+    p, twice = percent / 100, (100 - percent) / percent
+    out = 0.0
+    for equal in range(COORDINATES + 1):
+        a = (equal + (COORDINATES - equal) / 256) / COORDINATES  # tokens of 8 bits may agree by chance
+        apart = 0.0
+        for _ in range(levels):
+            one = 1 - a + a * apart
+            apart = one * (1 - twice + twice * one)
+        out += comb(COORDINATES, equal) * p**equal * (1 - p) ** (COORDINATES - equal) * apart**trees
+    return out
+
+
 def similar(n_a, n_b, sig_a, sig_b, percent: int) -> np.ndarray:
     """Pairs that sizes and signatures allow to reach the similarity."""
     ok = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
