@@ -225,3 +225,29 @@ def test_repeated_passages_of_articles_stay(spark):
     page = "<html><body><nav>menu</nav><article><h1>T</h1><p>same passage</p><p>own %d</p></article></body></html>"
     df = spark.createDataFrame([(i, "http://a.example/", page % i) for i in range(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_text.extracted(df).collect()} == {i: f"T\nsame passage\nown {i}" for i in range(8)}
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extracted(df).collect()}
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-ads", "social-layout", "content-widget"])
+def test_wrappers_of_articles_stay(spark, name):
+    page = f'<html><body><nav>menu</nav><div class="{name}"><article><h1>T%d</h1><p>text %d</p></article><p class="share">Share</p></div></body></html>'
+    rows = [(i, "http://a.example/", page % (i, i)) for i in range(4)] + [(9, "http://alone.example/", page % (9, 9))]
+    assert texts_of(spark, rows) == {i: f"T{i}\ntext {i}" for i in (0, 1, 2, 3, 9)}
+
+
+def test_class_words_need_the_template(spark):
+    """An advert on every page is left out; a section that one page names alike stays."""
+    page = '<html><body><article><p>text %d <span class="ad">BUY %d</span></p>%s</article></body></html>'
+    own = ['<section id="related-work"><h2 id="social-history">Work</h2><p>real</p></section>', "", "", '<p id="comments-on-method">method</p>']
+    got = texts_of(spark, [(i, "http://a.example/", page % (i, i, own[i])) for i in range(4)])
+    assert got == {0: "text 0\nWork\nreal", 1: "text 1", 2: "text 2", 3: "text 3\nmethod"}
+
+
+def test_most_of_the_changing_text_is_no_boilerplate(spark):
+    page = '<html><body><div class="menu">Home</div><div class="social-main"><p>long and changing text %d</p></div></body></html>'
+    got = texts_of(spark, [(i, "http://a.example/", page % i) for i in range(4)] + [(9, None, page % 9)])
+    assert got == {i: f"long and changing text {i}" for i in (0, 1, 2, 3, 9)}

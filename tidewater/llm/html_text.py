@@ -11,7 +11,10 @@ a class are the template's own (menus, notices); the slots below the template's
 content root hold the article.  The root is the template's article or main
 element, or else the deepest path that holds most of the host's changing text.
 Slots inside the root that stand in menus, adverts, forms, comments and the like
-are left out, by element, role or class name.
+are left out, by element, role or class name.  A class or id name counts only
+where the template agrees: the element's path is one of the template's, holds no
+article or main and not most of the host's changing text.  On a page without
+template it counts outside of marked articles, unless most of the page is in it.
 
 Vectors are never gathered: a token's vector is the exclusive or of a hash of
 (page, count), which tasks add up per batch and Spark adds up per host, so a
@@ -32,7 +35,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -78,10 +81,12 @@ SCOPE = frozenset("ul ol table tbody thead tfoot dl select article main section
 
 
 class Element:
-    __slots__ = ("tag", "path", "bad", "content")
+    __slots__ = ("tag", "path", "bad", "content", "named", "holds")
 
-    def __init__(self, tag: str, path: str, bad: bool, content: bool):
+    def __init__(self, tag: str, path: str, bad: bool, content: bool, named: tuple[Element, ...] = (), own: bool = False):
         self.tag, self.path, self.bad, self.content = tag, path, bad, content
+        self.named = (*named, self) if own else named  # the elements around that a class word marks
+        self.holds = False  # an article or main, which is known once the page is read
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -92,6 +97,7 @@ def element(tag: str, attrs: str, parent: Element) -> Element:
     found = attributes(attrs) if attrs.strip(" /\n\t\r") else {}
     names = {w.lower() for k in ("class", "id") for w in NAMES.findall(found.get(k, ""))}
     role = found.get("role", "").lower()
+    marked = False
     if tag in CONTENT:
         bad = bool(names & NOT_ARTICLE)
     elif tag in ("html", "body"):
@@ -99,25 +105,43 @@ def element(tag: str, attrs: str, parent: Element) -> Element:
     elif tag == "header":  # an article's own header belongs to it
         bad = not parent.content
     else:
-        bad = tag in BOILERPLATE or role in ROLES or bool(names & CLASSES)
+        bad = tag in BOILERPLATE or role in ROLES
+        marked = not bad and bool(names & CLASSES)
     label = tag + "".join("." + n for n in sorted(names))
     content = not (parent.bad or bad) and (parent.content or tag in CONTENT or role in ("main", "article"))
-    return Element(tag, f"{parent.path}/{label}", parent.bad or bad, content)
+    if tag in CONTENT and content:
+        for e in parent.named:
+            e.holds = True
+    return Element(tag, f"{parent.path}/{label}", parent.bad or bad, content, parent.named, marked)
 
 
-def read(page: str) -> Iterator[tuple[str, Element, str]]:
-    """("tag", element, "") for each start tag and ("text", element, text) for each
-    block of text outside of boilerplate; white space is folded and references are decoded."""
+Parts = list[tuple[Element, Element, str]]
+
+
+def composed(parts: Parts, left: Callable[[Element], bool]) -> str:
+    """A block's text without the parts inside elements that are left out; white space
+    is folded and references are decoded."""
+    kept = [t for _, e, t in parts if not any(not x.holds and left(x) for x in e.named)]
+    return " ".join(html.unescape("".join(kept)).split())
+
+
+def unnamed(parts: Parts) -> str:
+    """A block's text as its token has it: without marked parts if others are there."""
+    return composed(parts, lambda e: True) or composed(parts, lambda e: False)
+
+
+def read(page: str) -> Iterator[tuple[str, Element, Parts]]:
+    """("tag", element, []) for each start tag and ("text", element, parts) for each block
+    of text outside of boilerplate; parts are (block element, innermost element, text)."""
     root = Element("", "", False, False)
     stack = [root]
-    parts: list[str] = []
-    owner = root
+    parts: Parts = []
     at = 0
 
-    def block() -> list[tuple[str, Element, str]]:
-        text = " ".join(html.unescape("".join(parts)).split())
+    def block() -> list[tuple[str, Element, Parts]]:
+        own = parts.copy()
         parts.clear()
-        return [("text", owner, text)] if text else []
+        return [("text", own[0][0], own)] if any(t and not t.isspace() for _, _, t in own) else []
 
     def holder() -> Element:  # inline elements belong to the block around them, unless they are left out
         for e in reversed(stack):
@@ -132,9 +156,7 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
         if piece:
             here = holder()
             if not here.bad:  # what is left out takes no part in blocks
-                if not parts:
-                    owner = here
-                parts.append(piece)
+                parts.append((here, stack[-1], piece))
         if not m:
             break
         at = m.end()
@@ -157,9 +179,8 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
                     break
             continue
         if tag == "br":
-            parts.append(" ")
-            if len(parts) == 1:  # nothing of the block came yet
-                parts.clear()
+            if parts:  # something of the block came already
+                parts.append((parts[0][0], stack[-1], " "))
             continue
         if tag in BLOCK:
             yield from block()
@@ -173,7 +194,7 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
         if tag == "body":  # the head ends
             stack = [e for e in stack if e.tag != "head"]
         own = element(tag, attrs, stack[-1])
-        yield "tag", own, ""
+        yield "tag", own, []
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
@@ -194,14 +215,23 @@ def text_token(e: Element, text: str) -> str:
 
 
 def occurrences(page: str) -> dict[str, list[int]]:
-    """Token to [times it occurs, characters of text below it]."""
+    """Token to [times it occurs, characters of text below it]; "!" and a path stand for
+    the elements of that path that a class word marks and that hold no article or main."""
     out: dict[str, list[int]] = {}
-    for kind, e, text in read(page):
+    for kind, e, parts in list(read(page)):  # what an element holds is known at the end
         if kind == "tag":
             out.setdefault(e.path, [0, 0])[0] += 1
+            if e.named and e.named[-1] is e and not e.holds:
+                out.setdefault("!" + e.path, [0, 0])[0] += 1
         else:
+            text = composed(parts, lambda e: False)
             if not e.content:
-                out.setdefault(text_token(e, text), [0, 0])[0] += 1
+                own = out.setdefault(text_token(e, unnamed(parts)), [0, 0])
+                own[0] += 1
+                own[1] += len(text)
+            for _, inner, piece in parts:
+                for path in {"!" + x.path for x in inner.named if not x.holds}:
+                    out.setdefault(path, [0, 0])[1] += len(piece.strip())
             path = e.path
             while path:
                 out.setdefault(path, [0, 0])[1] += len(text)
@@ -240,12 +270,16 @@ def template(tokens: list[tuple[str, int, int, int]], pages: int) -> dict:
     """Template of a host from (token, pages, vector, chars): valid classes, nested.
 
     ``paths`` and ``texts`` are the tokens of valid classes, ``root`` the path
-    of the content root (empty if there is none).
+    of the content root (empty if there is none), ``left`` the paths that their
+    class names leave out.
     """
     classes: dict[tuple[int, int], list[str]] = {}
-    chars = {}
+    chars, marks = {}, {}
     for token, support, vector, size in sorted(tokens):
-        if token and support * SHARE >= pages:
+        if token.startswith("!"):
+            if support * SHARE >= pages:
+                marks[token[1:]] = size
+        elif token and support * SHARE >= pages:
             classes.setdefault((support, vector), []).append(token)
             chars[token] = size
     held = {""}  # paths of the template so far, the page itself first
@@ -264,35 +298,61 @@ def template(tokens: list[tuple[str, int, int, int]], pages: int) -> dict:
             if len(fits) < len(members):
                 later.append([t for t in members if t not in set(fits)])
         waiting = later
+    constant = [(t.partition("#")[0] + "/", chars[t]) for t in texts]
+    changing = max([chars[p] for p in held if p], default=0) - sum(n for _, n in constant)
+    left = set()
+    for p, size in sorted(marks.items()):
+        own = size - sum(n for q, n in constant if q.startswith(p + "/"))
+        # Most of the host's changing text is no boilerplate, whatever it is called.
+        if p in held and (own <= 0 or own < MOST * changing):
+            left.add(p)
+    inside = {p for p in held if any(p == q or p.startswith(q + "/") for q in left)}
+    for p in held - inside - {""}:  # characters that are left out hold no root
+        outermost = [q for q in left if q.startswith(p + "/") and q.rpartition("/")[0] not in inside]
+        chars[p] -= sum(marks[q] for q in outermost)
     marked = [p for p in held if p and p.rpartition("/")[2].partition(".")[0] in CONTENT]
     marked = [p for p in marked if not set(p.rpartition("/")[2].split(".")[1:]) & NOT_ARTICLE and chars[p]]
     if marked:
         root = min(marked, key=lambda p: (-chars[p], p.count("/"), p))
     else:
-        root, total = "", max([chars[p] for p in held if p], default=0)
+        root, total = "", max([chars[p] for p in held - inside if p], default=0)
         while total:
-            below = [p for p in held if p and p.rpartition("/")[0] == root and chars[p] >= MOST * total]
+            below = [p for p in held - inside if p and p.rpartition("/")[0] == root and chars[p] >= MOST * total]
             if not below:
                 break
             root = min(below, key=lambda p: (-chars[p], p))
-    return {"root": root, "texts": sorted(texts), "paths": sorted(held - {""})}
+    return {"root": root, "texts": sorted(texts), "paths": sorted(held - {""}), "left": sorted(left)}
+
+
+def alone(found: list[tuple[Element, Parts]]) -> Callable[[Element], bool]:
+    """What class words leave out of a page without template."""
+    total, below = 0, {}
+    for _, parts in found:
+        for _, inner, piece in parts:
+            size = len(piece.strip())
+            total += size
+            for e in inner.named:
+                below[id(e)] = below.get(id(e), 0) + size
+    return lambda e: not e.content and below.get(id(e), 0) < MOST * total
 
 
 def main_text(page: str, plan: dict | None = None) -> str:
     """The article's blocks, one per line, from the slots of the host's template."""
-    found = [(e, text) for kind, e, text in read(page) if kind == "text"]
-    own = [text for e, text in found if e.content]
+    blocks = [(e, parts) for kind, e, parts in read(page) if kind == "text"]
+    if plan and "constant" not in plan:
+        plan["constant"], plan["left"] = frozenset(plan["texts"]), frozenset(plan["left"])
+    left = (lambda e: e.path in plan["left"]) if plan else alone(blocks)
+    found = [(e, t, parts) for e, parts in blocks if (t := composed(parts, left))]
+    own = [text for e, text, _ in found if e.content]
     if plan and plan["root"]:
         root = plan["root"]
-        slots = [(e, t) for e, t in found if e.path == root or e.path.startswith(root + "/")]
-        constant = plan.get("constant")
-        if constant is None:
-            constant = plan["constant"] = frozenset(plan["texts"])
-        slots = [t for e, t in slots if e.content or text_token(e, t) not in constant]
+        slots = [(e, t, x) for e, t, x in found if e.path == root or e.path.startswith(root + "/")]
+        constant = plan["constant"]
+        slots = [t for e, t, x in slots if e.content or text_token(e, unnamed(x)) not in constant]
         # A page may hold its article beside the place that the template gives it.
         if slots or not own:
             return "\n".join(slots if len(slots) >= len(own) else own)
-    return "\n".join(own or [t for _, t in found])
+    return "\n".join(own or [t for _, t, _ in found])
 
 
 def templates(pages: DataFrame) -> DataFrame:
