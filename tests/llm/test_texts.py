@@ -251,3 +251,12 @@ def test_most_of_the_changing_text_is_no_boilerplate(spark):
     page = '<html><body><div class="menu">Home</div><div class="social-main"><p>long and changing text %d</p></div></body></html>'
     got = texts_of(spark, [(i, "http://a.example/", page % i) for i in range(4)] + [(9, None, page % 9)])
     assert got == {i: f"long and changing text {i}" for i in (0, 1, 2, 3, 9)}
+
+
+def test_copies_make_no_template(spark):
+    """Three copies among six pages of a host without article elements, and a near copy each."""
+    page = '<html><body><div class="top">Same everywhere</div><div id="col"><p>para a%s of the article</p><p>para b%s</p></div>%s</body></html>'
+    rows = [(i, "http://a.example/", page % (i // 3 * i, i // 3 * i, "")) for i in range(6)]
+    rows += [(10 + i, "http://near.example/", page % (i // 3 * i, i // 3 * i, f"<footer>{i}</footer>")) for i in range(6)]
+    want = {i: f"para a{i // 3 * i} of the article\npara b{i // 3 * i}" for i in range(6)}
+    assert texts_of(spark, rows) == want | {10 + i: t for i, t in want.items()}

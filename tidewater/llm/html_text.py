@@ -16,18 +16,18 @@ where the template agrees: the element's path is one of the template's, holds no
 article or main and not most of the host's changing text.  On a page without
 template it counts outside of marked articles, unless most of the page is in it.
 
+Each distinct content counts as one page of its host, so copies make no template.
 Vectors are never gathered: a token's vector is the exclusive or of a hash of
-(page, count), which tasks add up per batch and Spark adds up per host, so a
+(content, count), which tasks add up per batch and Spark adds up per host, so a
 host with a third of all pages is spread like any other.  A template holds
 tokens of at least half of its host's pages, hence no more than twice what a
-page has.  Hosts with fewer than PAGES pages, pages without host and pages
-that lack the host's root are read by their own article or main element, or
-else whole.
-
-Defined results: a null html is empty and has the empty text; a null page id is
-a page of its own; repeated rows count as pages of their own unless they share
-the id; ties between paths go to the first in order; an empty table gives no
-rows.
+page has.  Hosts with fewer than PAGES distinct pages, pages without host
+and pages that lack the host's root are read by their own article or main
+element, or else whole.  Where nothing but texts of the template stands under
+the root, these are the page's text.
+
+Defined results: a null html is empty and has the empty text; ids play no part;
+ties between paths go to the first in order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -246,19 +246,17 @@ _VECTORS = pa.schema(
 
 
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's share of the occurrence vectors, by (host, token); "" counts the pages."""
+    """Each batch's share of the occurrence vectors, by (host, token), from (host, digest, page);
+    "" counts the pages."""
     for batch in batches:
         held: dict[tuple[str, str], list[int]] = {}
-        for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            host = host_of(url)
-            if not host:
-                continue
+        for host, digest, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for token, (times, chars) in [("", [1, 0]), *occurrences(page).items()]:
                 if not times:  # only text below a tag that another path token stands for
                     continue
                 own = held.setdefault((host, token), [0, 0, 0])
                 own[0] += 1
-                own[1] ^= xxhash.xxh64_intdigest(f"{page_id} {times}")
+                own[1] ^= xxhash.xxh64_intdigest(f"{digest} {times}")
                 own[2] += chars
         rows = [(h, t, p, v - (1 << 64) if v >> 63 else v, c) for (h, t), (p, v, c) in held.items()]
         for i in range(0, len(rows), 10_000):
@@ -348,16 +346,27 @@ def main_text(page: str, plan: dict | None = None) -> str:
         root = plan["root"]
         slots = [(e, t, x) for e, t, x in found if e.path == root or e.path.startswith(root + "/")]
         constant = plan["constant"]
-        slots = [t for e, t, x in slots if e.content or text_token(e, unnamed(x)) not in constant]
+        fresh = [t for e, t, x in slots if e.content or text_token(e, unnamed(x)) not in constant]
+        slots = fresh or [t for _, t, _ in slots]
         # A page may hold its article beside the place that the template gives it.
-        if slots or not own:
+        if slots:
             return "\n".join(slots if len(slots) >= len(own) else own)
     return "\n".join(own or [t for _, t, _ in found])
 
 
+def distinct_contents(pages: DataFrame) -> DataFrame:
+    """(host, digest, page) of each content of a host, once.  Only contents that occur
+    more often on a host are shuffled, one of them per task."""
+    keyed = pages.where("host <> ''").select("host", F.sha1("page").alias("digest"), "page")
+    often = materialised(keyed.groupBy("host", "digest").count().where("count > 1").drop("count"), "html-copies")
+    often = when_small(often)
+    copies = keyed.join(often, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.min("page").alias("page"))
+    return keyed.join(often, ["host", "digest"], "left_anti").unionByName(copies)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, plan): one template per host with enough pages, as JSON."""
-    parts = pages.mapInArrow(vectors, VECTORS)
+    parts = distinct_contents(pages).mapInArrow(vectors, VECTORS)
     tokens = parts.groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")
     )
@@ -380,12 +389,14 @@ def extracted(
     pages = df.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("page")
     )
-    plans = templates(pages)
 
     @F.arrow_udf("string")
     def host(urls: pa.Array) -> pa.Array:
         return pa.array([host_of(u) for u in urls.to_pylist()], pa.string())
 
+    pages = pages.withColumn("host", host("url"))
+    plans = templates(pages)
+
     @F.arrow_udf("string")
     def text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known: dict[str, dict] = {}
@@ -399,5 +410,5 @@ def extracted(
                 out.append(main_text(p, known[j] if j is not None else None))
             yield pa.array(out, pa.string())
 
-    rows = pages.withColumn("host", host("url")).join(when_small(plans), "host", "left")
+    rows = pages.join(when_small(plans), "host", "left")
     return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text("page", "plan").alias("text"))
