@@ -80,5 +80,5 @@ def test_stages_take_nulls_and_empty_tables(spark):
 
 def test_registry():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)

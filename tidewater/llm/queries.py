@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontaminate, html_text, lm, near_dedup, quality, suffix_dedup, token_counts, warc
+from tidewater.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    fill_middle,
+    fingerprint,
+    html_text,
+    lm,
+    near_dedup,
+    quality,
+    suffix_dedup,
+    token_counts,
+    vector_codes,
+    warc,
+)
 from tidewater.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +228,94 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extracted(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+OP11_ROUND = """
+nearest{n} AS (
+    SELECT vec_id, part, arg_min(entry, (apart, entry)) AS entry, min(apart) AS apart
+    FROM (SELECT v.row AS row, v.vec_id, v.part, c.entry,
+                 list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS apart
+          FROM pieces v JOIN book{n} c USING (part))
+    GROUP BY row, vec_id, part
+)"""
+OP11_UPDATE = """, means{n} AS (
+    SELECT part, entry, list(mean ORDER BY place) AS x
+    FROM (SELECT part, entry, place, floor(sum(value)::DOUBLE / count(*))::BIGINT AS mean
+          FROM (SELECT part, entry, unnest(x) AS value, unnest(range(4)) AS place
+                FROM nearest{n} JOIN pieces USING (vec_id, part))
+          GROUP BY part, entry, place)
+    GROUP BY part, entry
+), book{m} AS (
+    SELECT part, entry, coalesce(means{n}.x, book{n}.x) AS x FROM book{n} LEFT JOIN means{n} USING (part, entry)
+), """
+OP11_SQL = f"""
+WITH kept AS (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS (
+    SELECT vec_id, label, row, part, v[part * 4 + 1 : part * 4 + 4] AS x FROM kept, (SELECT unnest(range(16)) AS part)
+), book0 AS (
+    SELECT part, row - 1 AS entry, x FROM pieces WHERE row <= 64
+), {OP11_ROUND.format(n=0)}{OP11_UPDATE.format(n=0, m=1)}{OP11_ROUND.format(n=1)}{OP11_UPDATE.format(n=1, m=2)}{OP11_ROUND.format(n=2)}
+, coded AS (
+    SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(apart)::BIGINT AS error
+    FROM nearest2 GROUP BY vec_id
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+@query("op11_vector_codes", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.coded(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("code", F.lower(F.hex("code")))
+
+
+_FIM = fill_middle.MARKS
+_FIM_P, _FIM_M = "substr(text, 1, low)", "substr(text, low + 1, high - low)"
+_FIM_S = "substr(text, high + 1)"
+OP12_SQL = f"""
+WITH every AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents
+), drawn AS (
+    SELECT doc_id, text, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+           CASE WHEN text = '' OR contains(text, '{_FIM.prefix}') OR contains(text, '{_FIM.suffix}')
+                     OR contains(text, '{_FIM.middle}') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM every
+), cut AS (
+    SELECT *, least(a, b) AS low, greatest(a, b) AS high FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '{_FIM.prefix}' || {_FIM_P} || '{_FIM.suffix}' || {_FIM_S} || '{_FIM.middle}' || {_FIM_M}
+              ELSE '{_FIM.suffix}' || {_FIM_S} || '{_FIM.prefix}' || {_FIM_P} || '{_FIM.middle}' || {_FIM_M} END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@query("op12_fill_middle", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.rearranged(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_fingerprint")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.beside_next(table(spark, sf_dir, "documents"))
