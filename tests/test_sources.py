@@ -1,5 +1,7 @@
 """Readers and writers on small files written by the tests."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,6 +130,55 @@ def test_unwanted_files_are_not_read(spark, exports):
     assert metrics.apply("numFiles").value() == 1
 
 
+def jobs_of(spark, run):
+    """Spark jobs that ``run`` starts."""
+    group = f"g{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    """Jobs and rows on the driver follow the layouts, not the files."""
+    few, many = tmp_path / "few", tmp_path / "many"
+    for root, n in ((few, 200), (many, 500)):
+        for i in range(n):
+            write(root, f"sub{i % 7}/WQ_cont_{i}.txt", ("x|y\n" if i % 5 else "\n \ny|z|x\n") + (f"{i}|1\n" if i % 5 else f"1|q|{i}\n"))
+        write(root, "other.txt", "never|read\n")
+    frames = {}
+
+    def read(root):
+        frames[root] = readers.read_delim(spark, str(root), ddl("x int, y int"), include="WQ_cont")
+
+    assert jobs_of(spark, lambda: read(few)) == jobs_of(spark, lambda: read(many))
+    assert sorted(r.x for r in frames[many].collect()) == list(range(500))
+    assert frames[many].agg(F.sum("y")).first()[0] == 500
+    census = readers.header_census(spark, str(many), include="WQ_cont")
+    assert sorted(map(tuple, census.groupBy("header").count().collect())) == [("x|y", 400), ("y|z|x", 100)]
+
+
+@pytest.mark.parametrize("small", [0, 1 << 24])
+def test_headers_of_large_and_odd_files(spark, tmp_path, monkeypatch, small):
+    """One task per file whatever its size; blank lines, quotes, marks and nameless columns."""
+    monkeypatch.setattr(readers, "SMALL_FILE", small)
+    write(tmp_path, "a/big.txt", "\n\n\"n|m\"|v\n" + "1|2\n" * 200_000)
+    write(tmp_path, "a/blank.txt", "\n  \n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = readers.read_delim(spark, str(tmp_path / "a"), T.StructType([T.StructField("v", T.IntegerType()), T.StructField("n|m", T.IntegerType())]))
+        assert df.rdd.getNumPartitions() > 100
+        assert df.agg(F.sum("v"), F.sum("`n|m`")).first() == (400_000, 200_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    write(tmp_path, "b/x.csv", "v,,w\n1,2,3\n", "utf-8-sig")
+    write(tmp_path, "b/y.csv", "w,v\n5,6\n")
+    assert values(readers.read_delim(spark, str(tmp_path / "b"), ddl("w int, v int"), sep=",")) == [(3, 1), (5, 6)]
+    assert readers.header_names('a||"b|c"|', "|") == ["a", "_c1", "b|c", "_c3"]
+
+
 def test_duplicate_tables(spark, tmp_path):
     rows = lambda data: spark.createDataFrame(data, "p string, r string, n int")
     paths = tables.write_tables(

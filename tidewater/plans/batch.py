@@ -2,7 +2,9 @@
 
 The reduced tables (station-years; habitat cells) are durable Parquet, so
 the derived tables neither repeat the observation scan nor depend on executor
-storage.  Every run computes them anew.
+storage.  Every run computes them anew.  The tables of a run take their names
+together, when all of them are written; so what a run reads (its archive, trend
+rows, monthly means) may be tables of the root that it writes to.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from tidewater.operators import clean, figures, rollups, trends
 from tidewater.plans import continuous, habitat
 from tidewater.sources import dimensions
 from tidewater.sources.constants import PLOTS
-from tidewater.sources.tables import load_table, write_tables
+from tidewater.sources.tables import publish, write_tables
 
 STATION_YEARS = "station_years"
 HABITAT_CELLS = "habitat_cells"
@@ -58,8 +60,8 @@ def run_continuous(
     archive = archive or Archive([])
     sy = continuous.station_years(obs)
     sy = archive.with_earlier(sy, None if archive.obs is None else continuous.station_years(archive.obs))
-    silver = write_tables({STATION_YEARS: sy}, root)
-    sy = load_table(spark, root, STATION_YEARS)
+    silver = write_tables({STATION_YEARS: sy}, root, switch=False)
+    sy = spark.read.parquet(silver[STATION_YEARS])
     stats = archive.with_earlier(stats, archive.stats)
     out = continuous.continuous_tables(sy, entities, stats, as_of, link_base, overrides, highlights)
     out |= {
@@ -67,7 +69,9 @@ def run_continuous(
         "monthly_means": archive.with_earlier(monthly, archive.monthly),
         "site_points": continuous.habitat_points(rollups.site_counts(sites), points),
     }
-    return {**silver, **write_tables(out, root, as_of)}
+    paths = silver | write_tables(out, root, as_of, switch=False)
+    publish(spark, root, paths)
+    return paths
 
 
 def run_habitat(
@@ -83,9 +87,11 @@ def run_habitat(
 ) -> dict[str, str]:
     """Cells of the gated rows with their units, by habitat, then all habitat tables; name to path."""
     cells = habitat.habitat_cells(obs, thresholds, flags, excluded)
-    silver = write_tables({HABITAT_CELLS: cells}, root, partition_by={HABITAT_CELLS: [habitat.HABITAT]})
-    cells = load_table(spark, root, HABITAT_CELLS)
-    return {**silver, **write_tables(habitat.habitat_tables(cells, points, as_of, link_base), root, as_of)}
+    silver = write_tables({HABITAT_CELLS: cells}, root, partition_by={HABITAT_CELLS: [habitat.HABITAT]}, switch=False)
+    cells = spark.read.parquet(silver[HABITAT_CELLS])
+    paths = silver | write_tables(habitat.habitat_tables(cells, points, as_of, link_base), root, as_of, switch=False)
+    publish(spark, root, paths)
+    return paths
 
 
 def run_trends(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import posixpath
 import re
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.semantics import null_safe_join
+from tidewater.sources.scratch import scratch_path
 
 FILE = "source_file"
+SMALL_FILE = 16 << 20  # bytes up to which reading a file whole costs less than a task that stops
 
 
 def wanted_path(path: Column, include=None, exclude=None, suffix: str | None = None) -> Column:
@@ -63,6 +66,60 @@ def list_files(spark: SparkSession, root: str, include=None, exclude=None, suffi
     return files.select("path", rel.alias(FILE), "length").where(wanted_path(F.col(FILE), include, exclude, suffix))
 
 
+def one_file_per_task(spark: SparkSession) -> SparkSession:
+    """Session of its own in which a scan deals out whole files, one to a task, and hands few rows at a time to Python."""
+    probe = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            probe.conf.set(name, value)
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        probe.conf.set(name, str(2**40))
+    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    return probe
+
+
+def header_census(spark: SparkSession, root: str, include=None, exclude=None) -> DataFrame:
+    """(path, header) of the files below ``root`` whose path fits: the first line that is not blank.
+
+    As many jobs for any number of files.  Files up to SMALL_FILE bytes are
+    scanned as lines, many to a task, of which the first is aggregated.  A larger
+    file has a task that stops reading after its first line.  Files without such
+    a line have no row.  The result is written to the shared folder.
+    """
+
+    def first_line(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, line, top in zip(*(c.to_pylist() for c in batch.columns)):
+                if top and line.strip():
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([line])], names=["path", "header"])
+                if not top or line.strip():
+                    return
+
+    def lines(session: SparkSession, large: bool) -> DataFrame:
+        scan = session.read.option("recursiveFileLookup", True).text(root)
+        size = F.col("_metadata.file_size")
+        scan = scan.where(wanted_path(relative_path(root), include, exclude) & ((size > SMALL_FILE) if large else (size <= SMALL_FILE)))
+        return scan.select(scanned_path().alias("path"), "value", (F.col("_metadata.file_block_start") == 0).alias("top"))
+
+    path = scratch_path(spark, "headers")
+    # Ids follow each other within a split.
+    small = lines(spark, False).withColumn("id", F.monotonically_increasing_id()).where(F.col("top") & F.rlike("value", F.lit(r"[^\s]")))
+    small = small.groupBy("path").agg(F.min_by("value", "id").alias("header"))
+    mark = F.regexp_replace("header", "^\ufeff", "").alias("header")
+    small.select("path", mark).write.parquet(path)
+    large = lines(one_file_per_task(spark), True).mapInArrow(first_line, "path string, header string")
+    large.select("path", mark).write.mode("append").parquet(path)
+    return spark.read.schema("path string, header string").parquet(path)
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header line; nameless ones go by their place."""
+    cells = next(csv.reader([header], delimiter=sep)) if len(sep) == 1 else header.split(sep)
+    return [c or f"_c{i}" for i, c in enumerate(cells)]
+
+
 def read_delim(
     spark: SparkSession,
     path: str,
@@ -76,33 +133,35 @@ def read_delim(
 ) -> DataFrame:
     """Header-named delimited scan over a file, a folder or a glob.
 
-    The files are chosen by name first, from the listing alone.  Then the
-    header of each chosen file is read (a job that reads one line), files with
-    the same header share one scan, and several layouts give one union.
+    The files are chosen by name; unwanted ones are never opened.  One job reads
+    the headers of all of them (``header_census``), of which the driver sees the
+    distinct ones.  Files of one header are one scan: of a single layout by the
+    condition on the path, of several by the list of each layout's files.
     Columns are taken by header name and only those of ``schema`` are parsed;
     further file columns are ignored.  A column that some layouts lack is null
     there, one that all lack is an error.
     """
-    options = {"header": True, "sep": sep, "mode": mode}
+    options = {"header": True, "sep": sep, "mode": mode, "recursiveFileLookup": True}
     if null is not None:
         options["nullValue"] = null
     types = {f.name: f.dataType for f in schema}
-    chosen = list_files(spark, path, include, exclude).select("path", "length").collect()
-    # Files without a byte have no header and no rows.
-    names = sorted(r["path"] for r in chosen if r["length"])
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for name in names:
-        header = tuple(spark.read.options(**options).csv(literal_path(name)).columns)
-        layouts.setdefault(header, []).append(name)
-    missing = [n for n in types if layouts and not any(n in header for header in layouts)]
+    census = header_census(spark, path, include, exclude)
+    heads = sorted(r["header"] for r in census.select("header").distinct().collect())
+    layouts = {h: header_names(h, sep) for h in heads}
+    missing = [n for n in types if layouts and not any(n in names for names in layouts.values())]
     if missing:
-        raise ValueError(f"{path}: no column {missing}; the headers have {sorted(layouts)}")
+        raise ValueError(f"{path}: no column {missing}; the headers have {sorted(map(tuple, layouts.values()))}")
     file = relative_path(path)
+    wanted = wanted_path(file, include, exclude)
     out = None
-    for header, files in layouts.items():
-        layout = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
-        df = spark.read.schema(layout).options(enforceSchema=False, **options).csv([literal_path(f) for f in files])
-        cols = [F.col(f"`{n}`") if n in header else F.lit(None).cast(t).alias(n) for n, t in types.items()]
+    for head, names in layouts.items():
+        layout = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        files = [path]
+        if len(layouts) > 1:
+            files = sorted(literal_path(r["path"]) for r in census.where(F.col("header") == head).select("path").collect())
+        named = not any(f"_c{i}" == n for i, n in enumerate(names))  # only then names can be checked against the files
+        df = spark.read.schema(layout).options(enforceSchema=not named, **options).csv(files).where(wanted)
+        cols = [F.col(f"`{n}`") if n in names else F.lit(None).cast(t).alias(n) for n, t in types.items()]
         df = df.select(*cols, file.alias(FILE)) if with_file else df.select(*cols)
         out = df if out is None else out.unionByName(df)
     if out is None:
