@@ -82,6 +82,60 @@ def test_near_nodes_at_the_greatest_depth(spark, monkeypatch):
     assert {r[0]: r[1:] for r in near(spark, rows)} == brute.near_groups(rows)
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85])
+def test_near_groups_in_chunks_and_blocks(spark, monkeypatch, percent):
+    """Many chunks and blocks per node; strays beside a large group; the first tree emits."""
+    for name, value in {"SMALL": 4, "BLOCK": 3, "CHUNK": 6, "COPIES": 2}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(percent)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(i, edited(rng, base, rng.choice([0, 1, 1, 2, 3, 5, 8]))) for i in range(140)]
+    rows += [(200 + i, edited(rng, base[:75] + [f"t{rng.randrange(50)}" for _ in range(75)], 4)) for i in range(60)]
+    got = {r[0]: r[1:] for r in near(spark, rows, percent=percent, trees=40)}
+    assert got == brute.near_groups(rows, percent=percent)
+
+
+@pytest.mark.parametrize("n_major,n_other", [(1, 1), (7, 1), (20, 3), (9, 11), (2, 16)])
+def test_blocks_bring_all_pairs_together(spark, monkeypatch, n_major, n_other):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    n = n_major + n_other
+    data = [(0, 77, i, 9, n, -5 if i < n_major else i, -5, n_major) for i in range(n)]
+    df = spark.createDataFrame(data, "tree int, node long, id long, n long, size long, label long, major long, n_major long")
+    units = {}
+    for r in near_dedup.blocks(df).collect():
+        units.setdefault(r.node, []).append((r.id, r.block))
+    met = [
+        tuple(sorted((x, y)))
+        for rows in units.values()
+        for k, (x, a) in enumerate(rows)
+        for y, b in rows[k + 1 :]
+        if x != y and (a < 0 or a != b) and not (x < n_major and y < n_major)
+    ]
+    assert set(met) == {(x, y) for x in range(n) for y in range(x + 1, n) if y >= n_major}
+    assert len(met) == len(set(met))
+
+
+def test_first_shared_tree():
+    """Against the nodes of either document; large nodes count through the masks."""
+    np = near_dedup.np
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (60, near_dedup.COORDINATES)).astype(np.uint8)
+    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 256, a.shape).astype(np.uint8))
+    mask_a, mask_b = rng.integers(0, 1 << 24, (2, 60))
+
+    def nodes(sig, tree):
+        at, rows = near_dedup.tree_root(tree).repeat(len(sig)), np.arange(len(sig))
+        for _ in range(3):
+            at, rows = near_dedup.children(at, rows, sig, 85)
+        return [set(at[rows == k].tolist()) for k in range(len(sig))]
+
+    shared = [[bool(x & y) for x, y in zip(nodes(a, t), nodes(b, t))] for t in range(24)]
+    got = near_dedup.first_shared(a, b, mask_a, mask_b, 24, 3, 85)
+    for k in range(60):
+        own = [t for t in range(24) if shared[t][k] and not (mask_a[k] & mask_b[k]) >> t & 1]
+        assert got[k] == (own[0] if own else -1)
+
+
 def test_near_edge_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = near(spark, [(5, text), (5, text), (None, text), (9, text), (None, None)])
@@ -89,6 +143,10 @@ def test_near_edge_rows(spark):
         [(5, 26, 5, True), (5, 26, 5, True), (None, 26, None, True), (9, 26, 5, False), (None, 0, None, True)], key=str
     )
     assert near(spark, [(1, "a")])[0] == (1, 1, 1, True)
+    other = " ".join(f"v{i}" for i in range(30))
+    shared = [(1, text), (2, text + " x"), (2, other), (4, other), (4, other + " y"), (0, "z")]
+    want = [(0, 1, 0, True), (1, 26, 1, True), (2, 26, 2, True), (2, 27, 1, False), (4, 26, 2, False), (4, 27, 2, False)]
+    assert sorted(near(spark, shared)) == want
     assert near_dedup.grouped(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -38,7 +38,7 @@ def test_quality_stage(spark, runs):
 
 
 def test_near_stage(runs):
-    groups = brute.near_groups([(r.doc_id, r.text) for r in runs[1].collect()])
+    groups = brute.near_groups([(r.doc_id, r.text) for r in runs[1].collect()], percent=80)
     assert ids(runs[2]) == sorted(i for i, g in groups.items() if g[2])
 
 
@@ -78,6 +78,50 @@ def test_stages_take_nulls_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def decided(spark, name, rows):
+    """Ids and tags (in ``lang``) of the rows that a stage leaves."""
+    docs = spark.createDataFrame([(i, t, tag, "s", 1) for i, t, tag in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF_DIR).collect()
+    return sorted((str(r.doc_id), r.lang) for r in out)
+
+
+GOOD = "The harbour was quiet when the boats came in, and every crew unloaded crates of silver fish beside old stone steps under slowly turning gulls."
+BAD = "buy now " * 60
+
+
+def test_quality_verdicts_by_row(spark):
+    """Null, shared and repeated ids: each row by its own text."""
+    rows = [(None, BAD, "a"), (None, GOOD, "b"), (5, BAD, "c"), (5, GOOD, "d"), (5, GOOD, "e"), (6, None, "f")]
+    assert decided(spark, "quality", rows) == [("5", "d"), ("5", "e"), ("None", "b")]
+
+
+def test_near_verdicts_by_row(spark):
+    other = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, GOOD, "a"), (2, GOOD + " Again.", "b"), (2, other, "c"), (2, other, "d"), (None, GOOD, "e"), (3, None, "f"), (4, other, "g")]
+    assert decided(spark, "near", rows) == [("1", "a"), ("2", "c"), ("2", "d"), ("3", "f"), ("None", "e")]
+
+
+def test_near_stage_takes_four_fifths(spark):
+    """50 shingles, of which edits leave 46 and 42 in common: 0.85 and 0.72; 44: 0.79; 45: 0.82."""
+    words = [f"w{i}" for i in range(54)]
+    cut = lambda k: " ".join([*(f"x{i}" for i in range(k)), *words[k:]])
+    rows = [(1, " ".join(words), "a"), (2, cut(5), "b"), (3, cut(6), "c")]
+    assert decided(spark, "near", rows[:2]) == [("1", "a")]
+    assert decided(spark, "near", [rows[0], rows[2]]) == [("1", "a"), ("3", "c")]
+
+
+def test_benchmark_verdicts_by_row(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect() if len((r.text or "").split()) >= 13)
+    rows = [(None, item, "a"), (None, GOOD, "b"), (5, item, "c"), (5, GOOD, "d"), (6, GOOD, "e"), (7, None, "f")]
+    assert decided(spark, "benchmark", rows) == [("5", "d"), ("6", "e"), ("7", "f"), ("None", "b")]
+
+
+def test_passages_by_row(spark):
+    """Equal ids and null ids keep their rows; what repeats is cut from the later one."""
+    rows = [(1, GOOD, "a"), (1, GOOD, "b"), (None, GOOD, "c"), (2, None, "d")]
+    assert decided(spark, "passages", rows) == [("1", "a"), ("1", "b"), ("2", "d"), ("None", "c")]
+
+
 def test_registry():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))

@@ -13,24 +13,30 @@ most SMALL documents are compared exhaustively; the others branch again.
 Independent trees are repeated until a linked pair is missed with a probability
 below about 1e-4.
 
-The first large nodes compare all their documents with their smallest id.
-Documents confirmed to be linked with the same leader need no link between each
-other, and a node that holds only those ends there, which keeps a group of
+Large nodes first make groups in linear work: the documents of a large node of
+the first LEAD_TREES trees are dealt to chunks of about CHUNK, in which each one
+is paired with its most similar predecessor.  The components of the confirmed
+pairs are labels; documents of one label need no comparison, since the result is
+components.  A node that holds one label ends there, which keeps a group of
 thousands of near copies linear.  Mixed large nodes branch until comparing them
-in blocks, pair by pair except within a leader's group, sends a document to
-COPIES blocks on average, or until ROUNDS steps were made: the greatest depth is
-FIRST_LEVELS + STEP * ROUNDS = 11 levels, where a pair at the threshold of 85 per
-cent is missed with a probability of 8.1e-5 (``missed``).  Larger nodes at that
-depth are compared exactly, at a cost that is quadratic in their documents.
+in blocks, pair by pair, sends a document to COPIES blocks on average, or until
+ROUNDS steps were made: the greatest depth is FIRST_LEVELS + STEP * ROUNDS = 11
+levels, where a pair at the threshold of 85 per cent is missed with a probability
+of 8.1e-5 (``missed``).  Larger nodes at that depth are compared exactly, at a
+cost that is quadratic in their documents without the most frequent label.
+
+A pair that comes up is emitted once: by the first tree in which its documents
+share a small node for certain, which follows from their signatures and the
+trees in which either document lies in a large node.
 
 Comparisons in nodes use set sizes and, for sets of more than FEW shingles,
-signatures with a margin of about 4.5 standard deviations; each surviving pair
-is confirmed on the full sets.
+signatures with a margin of SIGMAS standard deviations; each surviving pair is
+confirmed on the full sets.
 Components follow by hooking and pointer jumping on the confirmed links.
 
 Defined results: texts without words have empty sets and are linked with
 nothing; a null id is linked with nothing, has no component and is kept; rows
-that share an id are one document; an empty table gives no rows.
+that share an id are judged by their own texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,15 +73,16 @@ FIRST_LEVELS = 3  # levels branched before nodes are counted
 SMALL = 64
 STEP = 2  # levels that large nodes branch before they are counted again
 ROUNDS = 4  # of such steps at most; what is still large then is compared whole, in blocks
-COPIES = 16  # blocks that a document of a large node may be sent to on average instead of branching on
-MARGIN = 0.10
+BLOCK = 256  # documents of a large node that are compared at once with as many others
+COPIES = 4  # blocks that a document of a large node may be sent to on average instead of branching on
+LEAD_TREES = 4  # trees whose large nodes pair documents with predecessors first
+CHUNK = 512
+SIGMAS = 4.5
 FEW = 64  # shingles up to which a set's signature decides nothing
 SLICE = 2 << 20
 
-PRINTS = "id long, n_shingles long, d1 long, d2 long, signature binary"
-_PRINTS = pa.schema(
-    [("id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.binary())]
-)
+PRINTS = "id long, carried string, n_shingles long, d1 long, d2 long, signature binary"
+_PRINTS = ["id", "carried", "n_shingles", "d1", "d2", "signature"]
 
 
 def shingles(text: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -135,10 +142,14 @@ def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def first_digest(s: np.ndarray) -> np.uint64:
+    return np.add.reduce(mix(s))
+
+
 def prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """PRINTS of (id, text, carried)."""
     for batch in batches:
         sets: list[np.ndarray] = []
-        ids = batch.column(0)
         done = 0
         every = shingles(batch.column(1), words)
         while done < batch.num_rows:
@@ -150,17 +161,18 @@ def prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
                     break
             n = len(sets)
             rows = signature_rows(sets)
-            d1 = np.array([np.add.reduce(mix(s)) for s in sets], U64)
+            d1 = np.array([first_digest(s) for s in sets], U64)
             d2 = np.array([np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D))) for s in sets], U64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(done, n),
+                    batch.column(0).slice(done, n),
+                    batch.column(2).slice(done, n),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(d1.view(np.int64)),
                     pa.array(d2.view(np.int64)),
                     pa.array([r.tobytes() for r in rows], pa.binary()),
                 ],
-                schema=_PRINTS,
+                names=_PRINTS,
             )
             done += n
 
@@ -172,20 +184,37 @@ def signatures(column: pa.Array) -> np.ndarray:
 
 def children(nodes: np.ndarray, rows: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """One level: (child nodes, rows).  A node's coordinates follow from its hash."""
+    return shared_children(nodes, rows, sig, sig, percent)
+
+
+def shared_children(nodes, rows, sig, other, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """One level: (child nodes, rows) where the rows of two tables of signatures go together."""
     one, two = mix(nodes + U64(1)), mix(nodes + U64(2))
     # Expected coordinates per node: 100 / percent.
     twice = (two >> U64(32)) % U64(percent) < U64(100 - percent)
     out_n, out_r = [], []
     for pick, some in ((one, np.ones(len(nodes), bool)), (two, twice)):
-        at = (pick[some] % U64(COORDINATES)).astype(np.int64)
-        token = sig[rows[some], at].astype(U64)
-        out_n.append(chain(pick[some], (at.astype(U64) << U64(8)) | token))
-        out_r.append(rows[some])
+        pick, own = pick[some], rows[some]
+        at = (pick % U64(COORDINATES)).astype(np.int64)
+        token = sig[own, at]
+        if other is not sig:
+            both = token == other[own, at]
+            pick, own, at, token = pick[both], own[both], at[both], token[both]
+        out_n.append(chain(pick, (at.astype(U64) << U64(8)) | token.astype(U64)))
+        out_r.append(own)
     return np.concatenate(out_n), np.concatenate(out_r)
 
 
+NODES = "tree int, node long, id long, n long"
+_NODES = ["tree", "node", "id", "n"]
+
+
+def tree_root(tree: int) -> np.ndarray:
+    return mix(np.array([tree + 1], U64))
+
+
 def roots(batches: Iterator[pa.RecordBatch], trees: int, levels: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(node, id, n) after the first levels of every tree."""
+    """NODES after the first levels of every tree, from (id, n, signature)."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
@@ -193,30 +222,38 @@ def roots(batches: Iterator[pa.RecordBatch], trees: int, levels: int, percent: i
             sig = signatures(part.column(2))
             for tree in range(trees):
                 rows = np.arange(len(ids))
-                nodes = np.full(len(ids), mix(np.array([tree + 1], U64))[0])
+                nodes = np.full(len(ids), tree_root(tree)[0])
                 for _ in range(levels):
                     nodes, rows = children(nodes, rows, sig, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes.view(np.int64)), pa.array(ids[rows]), pa.array(n[rows])], names=["node", "id", "n"]
-                )
+                columns = [np.full(len(rows), tree, np.int32), nodes.view(np.int64), ids[rows], n[rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NODES)
 
 
 def descended(batches: Iterator[pa.RecordBatch], percent: int, levels: int) -> Iterator[pa.RecordBatch]:
-    """(node, id, n) after further levels from (node, id, n, signature)."""
+    """NODES after further levels, from NODES with signatures."""
     for batch in batches:
         if batch.num_rows:
-            sig = signatures(batch.column(3))
-            nodes, rows = batch.column(0).to_numpy().view(U64), np.arange(batch.num_rows)
+            sig = signatures(batch.column(4))
+            nodes, rows = batch.column(1).to_numpy().view(U64), np.arange(batch.num_rows)
             for _ in range(levels):
                 nodes, rows = children(nodes, rows, sig, percent)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(nodes.view(np.int64)),
-                    pa.array(batch.column(1).to_numpy()[rows]),
-                    pa.array(batch.column(2).to_numpy()[rows]),
-                ],
-                names=["node", "id", "n"],
-            )
+            tree, ids, n = (batch.column(k).to_numpy()[rows] for k in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tree, nodes.view(np.int64), ids, n)], names=_NODES)
+
+
+def first_shared(sig_a, sig_b, mask_a, mask_b, trees: int, levels: int, percent: int) -> np.ndarray:
+    """First tree in which each pair shares a node after the first levels that is small for
+    certain, because one of the two lies in no large node of that tree; -1 without one."""
+    out = np.full(len(sig_a), -1)
+    for tree in range(trees):
+        left = np.flatnonzero((out < 0) & ((mask_a & mask_b) >> tree & 1 == 0))
+        if not len(left):
+            continue
+        nodes, rows = np.full(len(left), tree_root(tree)[0]), left
+        for _ in range(levels):
+            nodes, rows = shared_children(nodes, rows, sig_a, sig_b, percent)
+        out[rows] = tree
+    return out
 
 
 def missed(percent: int, trees: int, levels: int) -> float:
@@ -241,16 +278,18 @@ def similar(n_a, n_b, sig_a, sig_b, percent: int) -> np.ndarray:
     for i in range(0, len(at), 20_000):
         part = at[i : i + 20_000]
         agree = (sig_a[part] == sig_b[part]).mean(axis=1)
-        ok[part] = agree >= percent / 100 - MARGIN
+        ok[part] = agree >= percent / 100 - SIGMAS * deviation(percent)
     return ok
 
 
-def small_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, from rows (node, id, n, label, block, signature) sorted by node.
+def deviation(percent: int) -> float:
+    """Standard deviation of the agreement of signatures at the similarity."""
+    p = percent / 100
+    return (p * (1 - p) / COORDINATES) ** 0.5
 
-    Rows of a node compare with each other; where ``block`` is set (nodes that
-    come in blocks) 0 marks the left and 1 the right side of a block pair.
-    """
+
+def node_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole nodes from rows that are sorted by their first column, the node."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -260,47 +299,70 @@ def small_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             continue
         cut = int(np.searchsorted(nodes, nodes[-1], "left"))  # the last node may go on
         rest = table.slice(cut)
-        yield from _pairs(table.slice(0, cut), percent)
-    if rest is not None:
-        yield from _pairs(rest, percent)
-
-
-def _pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    if not table.num_rows:
-        return
-    nodes, ids, n, label, block = (table.column(k).to_numpy() for k in range(5))
-    sig = signatures(table.column(5).combine_chunks())
-    cuts = np.append(np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])), len(nodes))
-    size = np.repeat(np.diff(cuts), np.diff(cuts))
-    place = np.arange(len(nodes)) - np.repeat(cuts[:-1], np.diff(cuts))
-    found = []
-    for step in range(1, int(size.max()) if len(size) else 1):
-        a = np.flatnonzero(place + step < size)
-        b = a + step
-        # A block pair's sides compare with each other only; ids of -1 in ``block`` mean a whole node.
-        keep = (ids[a] != ids[b]) & (label[a] != label[b]) & ((block[a] < 0) | (block[a] != block[b]))
-        a, b = a[keep], b[keep]
-        ok = similar(n[a], n[b], sig[a], sig[b], percent)
-        a, b = a[ok], b[ok]
-        found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(pairs, axis=0)
+        if cut:
+            yield table.slice(0, cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def pair_batch(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     if len(pairs):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def star_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows (a, n_a, signature_a, b, n_b, signature_b) that may be similar."""
-    for batch in batches:
-        if batch.num_rows:
-            ok = similar(
-                batch.column(1).to_numpy(),
-                batch.column(4).to_numpy(),
-                signatures(batch.column(2)),
-                signatures(batch.column(5)),
-                percent,
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(ok))
+def parents(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of each document with the most similar one of smaller id in its chunk, if
+    that is likely to reach the similarity, from (chunk, id, n, signature) sorted by chunk."""
+    for table in node_groups(batches):
+        chunk, ids, n = (table.column(k).to_numpy() for k in range(3))
+        sig = signatures(table.column(3).combine_chunks())
+        cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
+        child, parent = [], []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            by = i + np.argsort(ids[i:j], kind="stable")
+            for k in range(1, j - i):
+                before, own = by[:k], by[k]
+                agree = (sig[before] == sig[own]).mean(axis=1)
+                agree[(np.minimum(n[before], n[own]) * 100 < np.maximum(n[before], n[own]) * percent) | (ids[before] == ids[own])] = 0
+                best = int(agree.argmax())
+                if agree[best] >= percent / 100 - deviation(percent):
+                    child.append(ids[own])
+                    parent.append(ids[before[best]])
+        if child:
+            yield from pair_batch(np.array(parent), np.array(child))
+
+
+def node_pairs(batches: Iterator[pa.RecordBatch], percent: int, trees: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a < b, that may be similar, from rows (node, tree, id, n, block, label,
+    mask, signature) sorted by node.
+
+    Rows of a node compare with each other unless their ``block`` is the same number from
+    0 on (sides of a block that comes in two parts).  ``tree`` is -1 below the first
+    levels and in blocks; there a pair counts only if no tree surely holds it in a small node.
+    """
+    for table in node_groups(batches):
+        nodes, tree, ids, n, block, label, mask = (table.column(k).to_numpy() for k in range(7))
+        sig = signatures(table.column(7).combine_chunks())
+        cuts = np.append(np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])), len(nodes))
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        place = np.arange(len(nodes)) - np.repeat(cuts[:-1], np.diff(cuts))
+        found_a, found_b = [], []
+        for step in range(1, int(size.max())):
+            a = np.flatnonzero(place + step < size)
+            b = a + step
+            keep = (ids[a] != ids[b]) & (label[a] != label[b]) & ((block[a] < 0) | (block[a] != block[b]))
+            a, b = a[keep], b[keep]
+            ok = similar(n[a], n[b], sig[a], sig[b], percent)
+            found_a.append(a[ok])
+            found_b.append(b[ok])
+        if found_a:
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            for i in range(0, len(a), 100_000):
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                first = first_shared(sig[x], sig[y], mask[x], mask[y], trees, FIRST_LEVELS, percent)
+                here = (first < 0) | (first == tree[x])
+                yield from pair_batch(ids[x[here]], ids[y[here]])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -320,28 +382,46 @@ def confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 class Join:
     """The similarity join over one table of documents."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, trees: int):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, trees: int, carry: str | None = None):
         self.words, self.percent, self.trees = words, percent, trees
         self.spark = df.sparkSession
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        self.prints = materialised(self.docs.mapInArrow(lambda it: prints(it, words), PRINTS), "near-prints")
+        carried = F.lit(None) if carry is None else F.col(carry)
+        rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), carried.cast("string").alias("carried"))
+        self.prints = materialised(rows.mapInArrow(lambda it: prints(it, words), PRINTS), "near-prints")
         usable = self.prints.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
         classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x"))
-        self.classes = materialised(
-            classes.select("d1", "d2", F.col("n_shingles").alias("n"), "x.id", "x.signature"), "near-classes"
-        )
+        classes = classes.select("d1", "d2", F.col("n_shingles").alias("n"), F.col("x.id").alias("doc"), "x.signature")
+        classes = materialised(classes, "near-classes")
+        # A class goes by its smallest id.  Where rows of different texts share that id, a hash
+        # takes its place, and the results get the smallest ids of their components at the end.
+        shared = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc")
+        shared = materialised(shared, "near-shared")
+        self.shared = not shared.isEmpty()
+        if self.shared:
+            held = when_small(shared).withColumn("held", F.lit(True))
+            classes = classes.join(held, "doc", "left").withColumn("id", F.when(F.col("held"), F.xxhash64("d1", "d2", "n")).otherwise(F.col("doc")))
+            classes = materialised(classes.drop("held"), "near-classes")
+        else:
+            classes = classes.withColumn("id", F.col("doc"))
+        self.classes = classes
 
     def with_sets(self, ids: DataFrame) -> DataFrame:
-        """(id, set) of the written ids, from the texts."""
+        """(id, set) of the written ids of classes, from the texts."""
         words = self.words
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [s.astype("<u8").tobytes() for s in shingles(batch.column(1), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
-
-        texts = self.docs.join(when_small(ids), "id", "left_semi")
-        sets = texts.mapInArrow(full, "id long, set binary")
+                sets = list(shingles(batch.column(1), words))
+                d1 = np.array([first_digest(s) for s in sets], U64).view(np.int64)
+                own = pa.array(d1 == batch.column(2).to_numpy())
+                rows = [batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=["id", "set"]).filter(own)
+
+        asked = self.classes.select("id", "doc", "d1").join(ids, "id")
+        asked = materialised(asked, "near-asked")
+        texts = self.docs.withColumnRenamed("id", "doc").join(when_small(asked), "doc")
+        sets = texts.select("id", "text", "d1").mapInArrow(full, "id long, set binary")
         return materialised(sets.distinct(), "near-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -353,72 +433,101 @@ class Join:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
         return materialised(both.mapInArrow(lambda it: confirmed(it, percent), "a long, b long"), "near-links")
 
-    def leaders(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(confirmed links of documents with the smallest id of their large node;
-        the smallest such leader of each document, as (id, label))."""
+    def groups(self, large: DataFrame) -> DataFrame:
+        """Confirmed links of documents in large nodes with similar ones of their chunk, (a, b)."""
         percent = self.percent
-        star = large.select(F.col("leader").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-        known = self.classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("signature_b"))
-        lead = known.toDF("a", "n_a", "signature_a")
-        star = star.join(known, "b").join(lead, "a").select("a", "n_a", "signature_a", "b", "n_b", "signature_b")
-        star = materialised(star.mapInArrow(lambda it: star_pairs(it, percent), "a long, b long"), "near-star")
-        links = self.links(star)
-        return links, materialised(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "near-labels")
+        chunks = F.ceil(F.col("size") / CHUNK).cast("long")
+        rows = large.where(F.col("tree") < LEAD_TREES)
+        rows = rows.select(F.xxhash64("node", F.pmod(F.xxhash64("id"), chunks)).alias("chunk"), "id", "n")
+        rows = rows.join(self.classes.select("id", "signature"), "id").select("chunk", "id", "n", "signature")
+        rows = rows.repartition(shuffle_partitions(self.spark), "chunk").sortWithinPartitions("chunk")
+        pairs = rows.mapInArrow(lambda it: parents(it, percent), "a long, b long").distinct()
+        return self.links(materialised(pairs, "near-parents"))
 
     def all_links(self) -> DataFrame:
         """Links that connect everything that is linked: (a, b)."""
         percent, trees = self.percent, self.trees
         n = shuffle_partitions(self.spark)
-        marked = self.classes.select("id", "n", "signature")
-        rows = marked.mapInArrow(lambda it: roots(it, trees, FIRST_LEVELS, percent), "node long, id long, n long")
+        known = self.classes.select("id", "n", "signature")
+        rows = known.mapInArrow(lambda it: roots(it, trees, FIRST_LEVELS, percent), NODES)
         rows = materialised(rows, "near-rows")
-        signature = marked.select("id", "signature")
-        links, labels = None, None
+        # What comparisons ask of a document: its label and the trees in which it lies in a large node.
+        known = known.select("id", "signature", F.col("id").alias("label"), F.lit(0).cast("long").alias("mask"))
+        links = None
         compared: list[DataFrame] = []
-
-        def labelled(df: DataFrame) -> DataFrame:
-            if labels is None:
-                return df.withColumn("label", F.col("id"))
-            return df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
         for step in range(ROUNDS + 1):
-            sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1")
+            sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
             counted = materialised(rows.join(sizes, "node"), "near-nodes")
-            own = counted.where(F.col("size") <= SMALL).select("node", "id", "n")
+            own = counted.where(F.col("size") <= SMALL).select("node", "tree", "id", "n")
             compared.append(own.withColumn("block", F.lit(-1).cast("long")))
             large = counted.where(F.col("size") > SMALL)
-            copies = large.agg(F.avg("size") / (SMALL // 2)).first()[0]  # null without large nodes
-            if copies is None:
+            if large.isEmpty():
                 break
             if links is None:
-                links, labels = self.leaders(large)
-            mixed = labelled(large).groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-            left = large.join(mixed.where("x <> y").select("node"), "node", "left_semi")
+                links = self.groups(large)
+                label = components(links).toDF("id", "label")
+                mask = large.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"))
+                known = known.select("id", "signature").join(label, "id", "left").join(mask, "id", "left")
+                known = known.select(
+                    "id", "signature", F.coalesce("label", "id").alias("label"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")
+                )
+                known = materialised(known, "near-known")
+            labelled = large.join(known.select("id", "label"), "id")
+            left = materialised(self.mixed(labelled), "near-mixed")
+            copies = left.agg(F.avg("size") / BLOCK).first()[0]
+            if copies is None:  # every large node holds one label
+                break
             if copies <= COPIES or step == ROUNDS:
-                compared.append(blocks(left.select("node", "id", "n", "size")))
+                compared.append(blocks(left))
                 break
-            below = left.select("node", "id", "n").join(signature, "id").select("node", "id", "n", "signature")
-            rows = below.mapInArrow(lambda it: descended(it, percent, STEP), "node long, id long, n long")
-            rows = materialised(rows, "near-rows")
-        every = labelled(reduce(DataFrame.unionByName, compared))
-        every = every.join(signature, "id").select("node", "id", "n", "label", "block", "signature")
+            below = left.join(known.select("id", "signature"), "id").select("tree", "node", "id", "n", "signature")
+            rows = below.mapInArrow(lambda it: descended(it, percent, STEP), NODES)
+            rows = materialised(rows.withColumn("tree", F.lit(-1)), "near-rows")
+        every = reduce(DataFrame.unionByName, compared)
+        every = every.join(known, "id").select("node", "tree", "id", "n", "block", "label", "mask", "signature")
         every = every.repartition(n, "node").sortWithinPartitions("node")
-        pairs = every.mapInArrow(lambda it: small_pairs(it, percent), "a long, b long").distinct()
+        pairs = every.mapInArrow(lambda it: node_pairs(it, percent, trees), "a long, b long").distinct()
         found = self.links(materialised(pairs, "near-pairs"))
         return found if links is None else found.union(links).distinct()
 
+    def mixed(self, large: DataFrame) -> DataFrame:
+        """Rows of large nodes with more than one label, with the node's most frequent label
+        as ``major`` and the number of its documents of that label: ``n_major``."""
+        per = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+        per = per.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
+        per = per.where("top.c < size").select("node", F.col("top.label").alias("major"), F.col("top.c").alias("n_major"))
+        return large.join(per, "node").select("tree", "node", "id", "n", "size", "label", "major", "n_major")
+
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Rows of large nodes dealt to pairs of blocks of SMALL / 2 documents, so that any two
-    documents of a node meet in one pair of blocks: (node, id, n, block)."""
-    half = SMALL // 2
-    count = F.ceil(F.col("size") / half).cast("long")
-    own = F.pmod(F.xxhash64("id"), count)
-    out = rows.withColumn("k", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    low, high = F.least("k", "other"), F.greatest("k", "other")
+    """Rows of mixed nodes dealt to units of at most two blocks of about BLOCK documents, so
+    that any two documents meet in one unit unless both have the most frequent label:
+    (node, tree, id, n, block).
+
+    Documents of that label meet each block of the others; the others meet each
+    block of that label, and each block of their own kind.
+    """
+    long = lambda x: x.cast("long")
+    zero = F.lit(0).cast("long")
+    major = F.col("label") == F.col("major")
+    count = lambda x: F.greatest(long(F.ceil(x / BLOCK)), F.lit(1).cast("long"))
+    n_of, n_other = count(F.col("n_major")), count(F.col("size") - F.col("n_major"))
+    own = F.pmod(F.xxhash64("id"), F.when(major, n_of).otherwise(n_other))
+    unit = lambda kind, x, y, side: F.struct(
+        F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), long(side).alias("block")
+    )
+    across = F.sequence(zero, F.when(major, n_other).otherwise(n_of) - 1)
+    across = F.transform(
+        across, lambda k: unit("across", F.when(major, F.col("k")).otherwise(k), F.when(major, k).otherwise(F.col("k")), F.when(major, 0).otherwise(1))
+    )
     # Within its own block a document meets every other one: side -1.
-    side = F.when(F.col("k") == F.col("other"), F.lit(-1)).when(F.col("k") == low, F.lit(0)).otherwise(F.lit(1))
-    return out.select(F.xxhash64("node", low, high).alias("node"), "id", "n", side.cast("long").alias("block"))
+    side = lambda k: F.when(F.col("k") == k, F.lit(-1)).when(F.col("k") < k, F.lit(0)).otherwise(F.lit(1))
+    within = F.transform(F.sequence(zero, n_other - 1), lambda k: unit("within", F.least("k", k), F.greatest("k", k), side(k)))
+    units = F.when(major, across).otherwise(F.concat(across, within))
+    out = rows.withColumn("k", own).withColumn("u", F.explode(units))
+    return out.select(
+        F.xxhash64("node", "u.kind", "u.x", "u.y").alias("node"), F.lit(-1).alias("tree"), "id", "n", F.col("u.block").alias("block")
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -449,17 +558,22 @@ def grouped(
     words: int = WORDS,
     percent: int = PERCENT,
     trees: int = TREES,
+    carry: str | None = None,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row."""
-    join = Join(df, id_col, text_col, words, percent, trees)
+    """(id, n_shingles, component_id, kept) for every row, and its column ``carry`` as text if named."""
+    join = Join(df, id_col, text_col, words, percent, trees, carry)
     comp = components(join.all_links()).toDF("rep", "component")
-    named = join.classes.select("d1", "d2", F.col("n").alias("n_shingles"), F.col("id").alias("rep"))
-    named = named.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = join.prints.select("id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+    named = join.classes.select("d1", "d2", F.col("n").alias("n_shingles"), F.col("id").alias("rep"), "doc")
+    if join.shared:
+        least = comp.join(named, "rep").groupBy("component").agg(F.min("doc").alias("least"))
+        comp = comp.join(least, "component").select("rep", F.col("least").alias("component"))
+    named = named.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "doc")).drop("doc")
+    out = join.prints.select("id", "carried", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
         own.alias("component_id"),
         F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"),
+        *([] if carry is None else [F.col("carried").alias(carry)]),
     )

@@ -261,12 +261,17 @@ def _prune(rows: DataFrame, rule: Rule, how: Learning) -> Rule | None:
 
 
 def decided(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    carry: tuple[str, ...] = (),
 ) -> tuple[DataFrame, list[Rule]]:
-    """(rows with id, statistics, ``base_failed`` and ``kept``; the rules learnt)."""
+    """(rows with id, ``carry`` columns, statistics, ``base_failed`` and ``kept``; the rules learnt)."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     more = ["n_lines", "n_distinct", "n_upper", "n_digits"]
-    statistics = with_statistics(df.select(id_col, text_col), text_col).select(id_col, *counts, *more)
+    statistics = with_statistics(df.select(id_col, text_col, *carry), text_col).select(id_col, *carry, *counts, *more)
     statistics = materialised(statistics, "quality-statistics")
     rules = learn(statistics, labels, id_col, label_col)
     out = statistics.withColumn("base_failed", base_failed())
