@@ -66,6 +66,27 @@ def test_empty_bins_are_filled_evenly():
     assert abs(agree.mean() - 6 / 7) < 0.01 and agree.std() < 0.04
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("union", [7, 10, 14, 20, 40, 60, 66, 80, 160, 400, 1000, 3000])
+def test_filter_keeps_pairs_at_the_similarity(percent, union):
+    """Sets whose similarity is the threshold or little more pass; of those far below few do."""
+    np = near_dedup.np
+    rng = np.random.default_rng(union)
+
+    def pairs(common, n):
+        sets = [np.unique(rng.integers(0, 1 << 63, union, near_dedup.U64) * near_dedup.U64(2)) for _ in range(n)]
+        cut = [(rng.permutation(s), (union - common) // 2) for s in sets]
+        a = [np.sort(s[: common + k]) for s, k in cut]
+        b = [np.sort(np.concatenate([s[:common], s[common + k :]])) for s, k in cut]
+        sizes = [np.array([len(x) for x in y]) for y in (a, b)]
+        return near_dedup.similar(*sizes, near_dedup.full_rows(a), near_dedup.full_rows(b), percent)
+
+    n = 3000 if union <= 400 else 400
+    assert pairs(-(-union * percent // 100), n).mean() >= 1 - 1 / n
+    if union > near_dedup.TINY:
+        assert pairs(union // 2, 200).mean() < 0.05
+
+
 def test_recall_at_the_greatest_depth():
     deepest = near_dedup.FIRST_LEVELS + near_dedup.STEP * near_dedup.ROUNDS
     assert near_dedup.missed(near_dedup.PERCENT, near_dedup.TREES, deepest) < 1e-4
@@ -119,20 +140,21 @@ def test_first_shared_tree():
     """Against the nodes of either document; large nodes count through the masks."""
     np = near_dedup.np
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 256, (60, near_dedup.COORDINATES)).astype(np.uint8)
-    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 256, a.shape).astype(np.uint8))
-    mask_a, mask_b = rng.integers(0, 1 << 24, (2, 60))
+    a = rng.integers(0, 256, (80, near_dedup.COORDINATES)).astype(np.uint8)
+    b = np.where(rng.random(a.shape) < rng.choice([0.3, 0.6, 0.9], (80, 1)), a, rng.integers(0, 256, a.shape).astype(np.uint8))
+    mask_a, mask_b = rng.integers(0, 1 << 24, (2, 80)) | ((rng.random(80) < 0.5) * ((1 << 24) - 1)).astype(np.int64)
 
-    def nodes(sig, tree):
+    def nodes(sig, tree, levels):
         at, rows = near_dedup.tree_root(tree).repeat(len(sig)), np.arange(len(sig))
-        for _ in range(3):
+        for _ in range(levels):
             at, rows = near_dedup.children(at, rows, sig, 85)
         return [set(at[rows == k].tolist()) for k in range(len(sig))]
 
-    shared = [[bool(x & y) for x, y in zip(nodes(a, t), nodes(b, t))] for t in range(24)]
-    got = near_dedup.first_shared(a, b, mask_a, mask_b, 24, 3, 85)
-    for k in range(60):
-        own = [t for t in range(24) if shared[t][k] and not (mask_a[k] & mask_b[k]) >> t & 1]
+    shared = {n: [[bool(x & y) for x, y in zip(nodes(a, t, n), nodes(b, t, n))] for t in range(24)] for n in (3, 7)}
+    got = near_dedup.first_shared(a, b, mask_a, mask_b, 24, 3, 7, 85)
+    for k in range(80):
+        large = (mask_a[k] & mask_b[k]).item()
+        own = [t for t in range(24) if shared[7][t][k] or shared[3][t][k] and not large >> t & 1]
         assert got[k] == (own[0] if own else -1)
 
 

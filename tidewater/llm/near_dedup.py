@@ -25,12 +25,12 @@ levels, where a pair at the threshold of 85 per cent is missed with a probabilit
 of 8.1e-5 (``missed``).  Larger nodes at that depth are compared exactly, at a
 cost that is quadratic in their documents without the most frequent label.
 
-A pair that comes up is emitted once: by the first tree in which its documents
-share a small node for certain, which follows from their signatures and the
-trees in which either document lies in a large node.
+A pair that comes up is emitted once: by the first tree that compares it for
+certain, which follows from its signatures, the trees in which either document
+lies in a large node, and the depth that the join went to.
 
-Comparisons in nodes use set sizes and, for sets of more than FEW shingles,
-signatures with a margin of SIGMAS standard deviations; each surviving pair is
+Comparisons in nodes use set sizes and signatures, with a margin of SIGMAS
+standard deviations (LEAST_MARGIN at least for tiny sets); each surviving pair is
 confirmed on the full sets.
 Components follow by hooking and pointer jumping on the confirmed links.
 
@@ -73,12 +73,13 @@ FIRST_LEVELS = 3  # levels branched before nodes are counted
 SMALL = 64
 STEP = 2  # levels that large nodes branch before they are counted again
 ROUNDS = 4  # of such steps at most; what is still large then is compared whole, in blocks
-BLOCK = 256  # documents of a large node that are compared at once with as many others
-COPIES = 4  # blocks that a document of a large node may be sent to on average instead of branching on
+BLOCK = 1024  # documents of a large node that are compared at once with as many others
+COPIES = 2  # blocks that a document of a large node may be sent to on average instead of branching on
 LEAD_TREES = 4  # trees whose large nodes pair documents with predecessors first
 CHUNK = 512
 SIGMAS = 4.5
-FEW = 64  # shingles up to which a set's signature decides nothing
+TINY = 64  # shingles of a union up to which the margin is LEAST_MARGIN at least
+LEAST_MARGIN = 0.25
 SLICE = 2 << 20
 
 PRINTS = "id long, carried string, n_shingles long, d1 long, d2 long, signature binary"
@@ -117,6 +118,11 @@ def _probes() -> np.ndarray:
 
 def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
     """Minwise tokens (8 bits each) of each set, a row per set."""
+    return full_rows(sets)[:, :COORDINATES]
+
+
+def full_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """Minwise tokens of each set and, packed, which bins hold a shingle of their own."""
     out = np.zeros((len(sets), COORDINATES), np.uint8)
     filled = np.zeros((len(sets), COORDINATES), bool)
     shift = U64(64 - COORDINATES.bit_length() + 1)
@@ -127,6 +133,7 @@ def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
             first[1:] = bins[1:] != bins[:-1]
             out[row, bins[first]] = (s[first] & U64(255)).astype(np.uint8)
             filled[row, bins[first]] = True
+    occupied = np.packbits(filled, axis=1)
     left = np.flatnonzero(filled.any(axis=1) & ~filled.all(axis=1))
     own, values, full = filled[left], out[left], filled[left]
     for k, probe in enumerate(_probes()):
@@ -139,7 +146,7 @@ def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
             left, own, values, full = left[~done], own[~done], values[~done], full[~done]
             if not len(left):
                 break
-    return out
+    return np.concatenate([out, occupied], axis=1)
 
 
 def first_digest(s: np.ndarray) -> np.uint64:
@@ -160,7 +167,7 @@ def prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
                 if len(sets) >= 1000 or held >= 1_000_000:
                     break
             n = len(sets)
-            rows = signature_rows(sets)
+            rows = full_rows(sets)
             d1 = np.array([first_digest(s) for s in sets], U64)
             d2 = np.array([np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D))) for s in sets], U64)
             yield pa.RecordBatch.from_arrays(
@@ -178,8 +185,9 @@ def prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
 
 
 def signatures(column: pa.Array) -> np.ndarray:
+    """Rows of tokens, followed by the packed marks of occupied bins."""
     raw, _ = flat_bytes(column)
-    return raw.reshape(-1, COORDINATES)
+    return raw.reshape(-1, COORDINATES + COORDINATES // 8)
 
 
 def children(nodes: np.ndarray, rows: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,17 +249,26 @@ def descended(batches: Iterator[pa.RecordBatch], percent: int, levels: int) -> I
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tree, nodes.view(np.int64), ids, n)], names=_NODES)
 
 
-def first_shared(sig_a, sig_b, mask_a, mask_b, trees: int, levels: int, percent: int) -> np.ndarray:
-    """First tree in which each pair shares a node after the first levels that is small for
-    certain, because one of the two lies in no large node of that tree; -1 without one."""
+def first_shared(sig_a, sig_b, mask_a, mask_b, trees: int, levels: int, deepest: int, percent: int) -> np.ndarray:
+    """First tree in which each pair is compared for certain; -1 without one.
+
+    That is a tree in which it shares a node after the first levels that is small,
+    because one of the two documents lies in no large node there, or a node of the
+    greatest depth that the join went to, where everything left is compared.
+    """
     out = np.full(len(sig_a), -1)
     for tree in range(trees):
-        left = np.flatnonzero((out < 0) & ((mask_a & mask_b) >> tree & 1 == 0))
-        if not len(left):
-            continue
-        nodes, rows = np.full(len(left), tree_root(tree)[0]), left
+        rows = np.flatnonzero(out < 0)
+        if not len(rows):
+            break
+        nodes = np.full(len(rows), tree_root(tree)[0])
         for _ in range(levels):
             nodes, rows = shared_children(nodes, rows, sig_a, sig_b, percent)
+        small = (mask_a[rows] & mask_b[rows]) >> tree & 1 == 0
+        out[rows[small]] = tree
+        nodes, rows = nodes[~small], rows[~small]
+        for _ in range(deepest - levels):
+            nodes, rows = shared_children(nodes, rows, sig_a, sig_b, percent)
         out[rows] = tree
     return out
 
@@ -272,13 +289,25 @@ def missed(percent: int, trees: int, levels: int) -> float:
 
 
 def similar(n_a, n_b, sig_a, sig_b, percent: int) -> np.ndarray:
-    """Pairs that sizes and signatures allow to reach the similarity."""
+    """Pairs that sizes and signatures allow to reach the similarity.
+
+    Of the bins that either set occupies, those with the same token in both are a
+    sample of the union without replacement: small sets are nearly counted.
+    """
     ok = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
-    at = np.flatnonzero(ok & (np.minimum(n_a, n_b) > FEW))
+    at = np.flatnonzero(ok)
+    p = percent / 100
     for i in range(0, len(at), 20_000):
         part = at[i : i + 20_000]
-        agree = (sig_a[part] == sig_b[part]).mean(axis=1)
-        ok[part] = agree >= percent / 100 - SIGMAS * deviation(percent)
+        a, b = sig_a[part], sig_b[part]
+        mark_a, mark_b = a[:, COORDINATES:], b[:, COORDINATES:]
+        either = np.bitwise_count(mark_a | mark_b).sum(axis=1, dtype=np.int64)
+        both = np.unpackbits(mark_a & mark_b, axis=1).view(bool)
+        equal = ((a[:, :COORDINATES] == b[:, :COORDINATES]) & both).sum(axis=1)
+        union = (n_a[part] + n_b[part]) / (1 + p)
+        margin = SIGMAS * np.sqrt(p * (1 - p) * np.maximum(1 / either - 1 / union, 0))
+        margin = np.where(union <= TINY, np.maximum(margin, LEAST_MARGIN), margin)
+        ok[part] = equal >= (p - margin) * either
     return ok
 
 
@@ -323,7 +352,7 @@ def parents(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             by = i + np.argsort(ids[i:j], kind="stable")
             for k in range(1, j - i):
                 before, own = by[:k], by[k]
-                agree = (sig[before] == sig[own]).mean(axis=1)
+                agree = (sig[before, :COORDINATES] == sig[own, :COORDINATES]).mean(axis=1)
                 agree[(np.minimum(n[before], n[own]) * 100 < np.maximum(n[before], n[own]) * percent) | (ids[before] == ids[own])] = 0
                 best = int(agree.argmax())
                 if agree[best] >= percent / 100 - deviation(percent):
@@ -333,13 +362,13 @@ def parents(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield from pair_batch(np.array(parent), np.array(child))
 
 
-def node_pairs(batches: Iterator[pa.RecordBatch], percent: int, trees: int) -> Iterator[pa.RecordBatch]:
+def node_pairs(batches: Iterator[pa.RecordBatch], percent: int, trees: int, deepest: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b), a < b, that may be similar, from rows (node, tree, id, n, block, label,
     mask, signature) sorted by node.
 
     Rows of a node compare with each other unless their ``block`` is the same number from
-    0 on (sides of a block that comes in two parts).  ``tree`` is -1 below the first
-    levels and in blocks; there a pair counts only if no tree surely holds it in a small node.
+    0 on (sides of a block that comes in two parts).  A pair counts in the first tree that
+    surely compares it, or wherever it meets if there is none.
     """
     for table in node_groups(batches):
         nodes, tree, ids, n, block, label, mask = (table.column(k).to_numpy() for k in range(7))
@@ -360,7 +389,7 @@ def node_pairs(batches: Iterator[pa.RecordBatch], percent: int, trees: int) -> I
             a, b = np.concatenate(found_a), np.concatenate(found_b)
             for i in range(0, len(a), 100_000):
                 x, y = a[i : i + 100_000], b[i : i + 100_000]
-                first = first_shared(sig[x], sig[y], mask[x], mask[y], trees, FIRST_LEVELS, percent)
+                first = first_shared(sig[x], sig[y], mask[x], mask[y], trees, FIRST_LEVELS, deepest, percent)
                 here = (first < 0) | (first == tree[x])
                 yield from pair_batch(ids[x[here]], ids[y[here]])
 
@@ -482,11 +511,12 @@ class Join:
                 break
             below = left.join(known.select("id", "signature"), "id").select("tree", "node", "id", "n", "signature")
             rows = below.mapInArrow(lambda it: descended(it, percent, STEP), NODES)
-            rows = materialised(rows.withColumn("tree", F.lit(-1)), "near-rows")
+            rows = materialised(rows, "near-rows")
         every = reduce(DataFrame.unionByName, compared)
         every = every.join(known, "id").select("node", "tree", "id", "n", "block", "label", "mask", "signature")
         every = every.repartition(n, "node").sortWithinPartitions("node")
-        pairs = every.mapInArrow(lambda it: node_pairs(it, percent, trees), "a long, b long").distinct()
+        deepest = FIRST_LEVELS + STEP * step
+        pairs = every.mapInArrow(lambda it: node_pairs(it, percent, trees, deepest), "a long, b long").distinct()
         found = self.links(materialised(pairs, "near-pairs"))
         return found if links is None else found.union(links).distinct()
 
@@ -526,7 +556,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     units = F.when(major, across).otherwise(F.concat(across, within))
     out = rows.withColumn("k", own).withColumn("u", F.explode(units))
     return out.select(
-        F.xxhash64("node", "u.kind", "u.x", "u.y").alias("node"), F.lit(-1).alias("tree"), "id", "n", F.col("u.block").alias("block")
+        F.xxhash64("node", "u.kind", "u.x", "u.y").alias("node"), "tree", "id", "n", F.col("u.block").alias("block")
     )
 
 
