@@ -1,6 +1,8 @@
 """Gates, overrides, unions, entity join, figures and layers."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +109,37 @@ def test_figures_equal_brute_force(spark, token):
     }
 
 
+@pytest.mark.parametrize("token", [False, True])
+def test_rare_pieces_leave_few_candidates(spark, token):
+    """Keys of one, two and eight characters among 3,000 paths: as many candidates as the rarest piece allows."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    paths = [f"figs/{word(1)}_{word(2)}-{word(8)}_multiplot_{i}.png" for i in range(3000)]
+    keys = [paths[0][5:6], paths[0][7:9], paths[0][10:18], f"{paths[1][7:9]}-{paths[1][10:18]}", "zz", "q.q"]
+    targets = spark.createDataFrame([(f"n{k}", "multiplot", k) for k in keys], "ManagedAreaName string, plot_type string, key string")
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = Counter(r["key"] for r in figures.figure_candidates(targets, ["multiplot", "trendplot"], files, token).collect())
+    for k in keys[:4]:
+        if token:
+            want = min(sum(w in re.split("[^a-z0-9]+", p) for p in paths) for w in k.split("-"))
+        else:
+            size = 1 if len(k) == 1 else 2 if len(k) == 2 else 8
+            runs = [r for r in k.split("-") if len(r) >= size]
+            want = min(sum(r[i : i + size] in p for p in paths) for r in runs for i in range(len(r) - size + 1))
+        assert got[k] == want
+    assert got[keys[2]] <= 3 and got[keys[3]] <= 3 and got["zz"] == 0
+    assert got["q.q"] == (len(paths) if token else 0)
+    matches = sum(keys[2] in p for p in paths)
+    assert 1 <= matches <= got[keys[2]]
+
+
+def test_tokens_are_indexed_once(spark):
+    rows = spark.createDataFrame([("www/a_b/A-bc.PNG",)], "path string")
+    pieces = lambda token: rows.select(F.explode(figures.path_pieces(F.lower("path"), token)).alias("p")).collect()
+    assert sorted(r.p for r in pieces(True)) == ["", "a", "b", "bc", "png", "www"]
+    assert len(pieces(False)) > 40
+
+
 def test_substring_match_is_kept_by_default_and_dropped_with_token(spark):
     assert expected_figures(False)["Alpha Bay Preserve", "multiplot"].endswith("gabap_multiplot.png")
     assert expected_figures(True)["Alpha Bay Preserve", "multiplot"].endswith("multiplot_ABAP.png")

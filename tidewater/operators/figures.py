@@ -9,8 +9,10 @@ from tidewater.functions.semantics import null_safe_join
 from tidewater.functions.text import without_blanks
 from tidewater.sources.constants import FIGURES_BY_NAME, FIGURES_WITHOUT_TABLE, NO_FIGURE
 
-# Lengths of the anchors that keys and paths are joined on.
-GRAMS = (1, 2, 4, 8, 16)
+# Lengths of the pieces that keys and paths are joined on where a key may sit inside a longer word.
+GRAMS = (1, 2, 4, 8)
+TOKEN_EDGE = "[^a-z0-9]+"
+ANY = ""  # piece of a key that has none of its own: every path that names the plot type holds it
 
 
 def figure_key(plot_type: Column, by_name: list[str] = FIGURES_BY_NAME) -> Column:
@@ -30,27 +32,61 @@ def _literal(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"([^\p{L}\p{N}. ])", r"\\$1")
 
 
-def _anchor_gram(key: Column) -> Column:
-    """Leading characters of the longest literal run of a key; any match contains them.
+def _grams(text: Column, size: int) -> Column:
+    n = F.length(text)
+    pieces = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(n >= size, pieces).otherwise(F.array().cast("array<string>"))
 
-    As many as the largest anchor length that fits, so that long names meet
-    few paths and short ones are not lost.
-    """
-    runs = F.split(F.lower(key), r"[^\p{L}\p{N}]+")
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
-    size = F.greatest(*[F.when(longest["n"] >= size, size).otherwise(0) for size in GRAMS])
-    return F.left(longest["run"], size)
 
+def path_pieces(path: Column, token: bool) -> Column:
+    """Distinct pieces of a path: its delimited words, or its substrings of the lengths in GRAMS."""
+    pieces = F.split(path, TOKEN_EDGE) if token else F.concat(*[_grams(path, size) for size in GRAMS])
+    return F.array_distinct(F.concat(F.array(F.lit(ANY)), pieces))
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of the anchor lengths."""
-    n = F.length(text)
 
-    def of_size(size: int) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
-        return F.when(n >= size, pieces).otherwise(F.array().cast("array<string>"))
+def key_pieces(key: Column, token: bool) -> Column:
+    """Pieces of which every path that matches the key holds all.
+
+    A dot in a key stands for any character.  So between delimiters, words next
+    to a dot are no words of the path for certain and are left out.  Inside words
+    the pieces are the substrings of the key's literal runs, of the largest length
+    that the longest run has.  A key without a piece gets ANY.
+    """
+    low = F.lower(key)
+    if token:
+        # A dot joins its neighbours into one piece that is dropped, as it holds the dot.
+        pieces = F.filter(F.split(low, "[^a-z0-9.]+"), lambda w: (w != "") & ~F.contains(w, F.lit(".")))
+    else:
+        runs = F.split(low, r"[^\p{L}\p{N}]+")
+        longest = F.array_max(F.transform(runs, F.length))
+        pieces = F.array().cast("array<string>")
+        for size in GRAMS:
+            pieces = F.when(longest >= size, F.flatten(F.transform(runs, lambda r: _grams(r, size)))).otherwise(pieces)  # noqa: B023
+    return F.when(F.size(pieces) > 0, F.array_distinct(pieces)).otherwise(F.array(F.lit(ANY)))
 
-    return F.array_distinct(F.concat(*[of_size(size) for size in GRAMS]))
+
+def figure_candidates(targets: DataFrame, plot_types: list[str], files: DataFrame, token: bool = False) -> DataFrame:
+    """(ManagedAreaName, plot_type, key, path): the pairs that a pattern has to decide.
+
+    An inverted index holds, for every plot type and piece that some key has, the
+    paths with both.  Each key takes its **rarest** piece, by the number of paths
+    that hold it; a key with a piece that no path holds has no candidate.
+    """
+    keys = targets.where(F.col("key").isNotNull())
+    pieces = keys.select("plot_type", "key", F.explode(key_pieces(F.col("key"), token)).alias("piece")).distinct()
+    path = F.lower("path")
+    named = F.filter(F.array(*[F.lit(t) for t in plot_types]), lambda t: F.contains(path, F.lower(t)))
+    index = files.select("path", F.explode(path_pieces(path, token)).alias("piece"), named.alias("named"))
+    index = index.select("path", F.explode("named").alias("plot_type"), "piece")
+    wanted = pieces.select("plot_type", "piece").distinct()
+    index = index.join(wanted, ["plot_type", "piece"], "left_semi")
+    held = index.groupBy("plot_type", "piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(held, ["plot_type", "piece"], "left").groupBy("plot_type", "key").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least")
+    )
+    rarest = rarest.where("least.n > 0").select("plot_type", "key", F.col("least.piece").alias("piece"))
+    found = index.join(rarest, ["plot_type", "piece"])
+    return found.join(keys, ["plot_type", "key"]).select("ManagedAreaName", "plot_type", "key", "path")
 
 
 def match_figures(
@@ -66,20 +102,14 @@ def match_figures(
     (preferred) or the other way round, in any letter case.  By default the key
     may sit inside a longer word; ``token=True`` asks for delimiters around it.
 
-    A pattern join would test every file against every pattern.  Instead a file
-    is first unfolded to the plot types it names, then meets only those areas
-    that share an anchor (an equi-join on plot type and the key's leading
-    characters), and the pattern decides among these candidates.  The first
-    path is a partial aggregate, so popular areas cost no large group.
+    A pattern join would test every file against every pattern.  Instead each key
+    meets the files of its rarest piece (``figure_candidates``), and the pattern
+    decides among these.  The first path is a partial aggregate, so popular areas
+    cost no large group.
     """
     targets = figure_targets(areas, plot_types, by_name)
+    found = figure_candidates(targets, plot_types, files, token)
     path = F.lower("path")
-    named = F.filter(F.array(*[F.lit(t) for t in plot_types]), lambda t: F.contains(path, F.lower(t)))
-    hits = files.select("path", F.explode(named).alias("plot_type"))
-    hits = hits.select("path", "plot_type", F.explode(_grams(path)).alias("gram"))
-    anchors = targets.where(F.col("key").isNotNull()).withColumn("gram", _anchor_gram(F.col("key")))
-    found = hits.join(anchors, ["plot_type", "gram"])
-
     key, kind = _literal(F.col("key")), _literal(F.col("plot_type"))
     if token:
         edge, start, end = "[^a-z0-9]", "(^|[^a-z0-9])", "($|[^a-z0-9])"
