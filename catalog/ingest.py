@@ -5,10 +5,21 @@ from pyspark.sql import types as T
 
 from catalog import fixtures as X
 from catalog import query
+from tidewater.functions.semantics import null_safe_join
 from tidewater.functions.text import id_part
 from tidewater.operators import clean
+from tidewater.operators.joins import habitat_name, lookup
+from tidewater.plans import partials
 from tidewater.sources import readers, tables
-from tidewater.sources.dimensions import columns, dimension, read_dimension
+from tidewater.sources.constants import INPUT_RULES, PARAMETER_UNITS, PLOTS
+from tidewater.sources.dimensions import (
+    columns,
+    dimension,
+    input_rules,
+    parameter_units,
+    plots,
+    read_dimension,
+)
 from tidewater.sources.scratch import scratch_path
 
 OBS = X.with_(X.OBS)
@@ -152,6 +163,103 @@ def rule_based_inputs(spark, sf):
     return rows.groupBy("param", "activity", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("o07_partitioned_inputs", OBS + f"""
+SELECT param, activity, depth, count(*) AS n
+FROM obs JOIN {_RULES} ON ParameterName = param AND ActivityType = activity AND Habitat = depth GROUP BY ALL""")
+def partitioned_inputs(spark, sf):
+    """Inputs in folders by parameter, activity and depth: those without a rule are not opened."""
+    root = scratch_path(spark, "inputs")
+    rules = dimension(spark, RULES, columns("param", "activity", "depth"))
+    keys = ["param", "activity", "depth"]
+    tables.write_tables({"inputs": _inputs(spark, sf), "rules": rules}, root, partition_by={"inputs": keys})
+    rows = readers.select_inputs(tables.load_table(spark, root, "inputs"), tables.load_table(spark, root, "rules"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_turns(values: list[str], column: str) -> str:
+    """Values of the fixed tables, which those of a column stand for by turns."""
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {column} % {len(values)} {cases} END"
+
+
+_RULED = [r[0] for r in INPUT_RULES]
+_RULE_VALUES = "(VALUES " + ", ".join(map(str, INPUT_RULES)) + ") r(param, activity, depth)"
+_RULE_INPUT = f"""SELECT {_by_turns(_RULED, 'LocationID')} AS param, {_by_turns(['Lab', 'Field', 'All'], 'ProgramLocationID')} AS activity,
+       {_by_turns(['All', 'Surface'], 'Year')} AS depth, ResultValue FROM obs"""
+
+
+@query("o14_fixed_input_rules", OBS + f""", inputs AS ({_RULE_INPUT})
+SELECT param, activity, depth, count(*) AS n, CAST(sum(ResultValue) AS BIGINT) AS total
+FROM inputs JOIN {_RULE_VALUES} USING (param, activity, depth) GROUP BY ALL""")
+def fixed_input_rules(spark, sf):
+    inputs = spark.sql(_RULE_INPUT.replace("FROM obs", "FROM {obs}"), obs=X.obs(spark, sf))
+    rows = readers.select_inputs(inputs, input_rules(spark))
+    return rows.groupBy("param", "activity", "depth").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ResultValue").cast("bigint").alias("total")
+    )
+
+
+_UNIT_VALUES = "(VALUES " + ", ".join(map(str, PARAMETER_UNITS)) + ") u(ParameterName, unit)"
+_MEASURED = f"SELECT {_by_turns([*[u[0] for u in PARAMETER_UNITS], 'Chlorophyll a'], 'LocationID')} AS ParameterName, ResultValue FROM obs"
+
+
+@query("o14_fixed_units", OBS + f""", measured AS ({_MEASURED})
+SELECT ParameterName, unit, CASE WHEN ParameterName = 'pH' THEN 'pH' ELSE ParameterName || ' (' || unit || ')' END AS axis, count(*) AS n
+FROM measured LEFT JOIN {_UNIT_VALUES} USING (ParameterName) GROUP BY ALL""")
+def fixed_units(spark, sf):
+    rows = spark.sql(_MEASURED.replace("FROM obs", "FROM {obs}"), obs=X.obs(spark, sf))
+    rows = lookup(rows.groupBy("ParameterName").agg(F.count(F.lit(1)).alias("n")), parameter_units(spark), ["ParameterName"], ["unit"])
+    axis = F.when(F.col("ParameterName") == "pH", F.lit("pH")).otherwise(F.concat("ParameterName", F.lit(" ("), "unit", F.lit(")")))
+    return rows.select("ParameterName", "unit", axis.alias("axis"), "n")
+
+
+_PLOT_VALUES = "(VALUES " + ", ".join(map(str, PLOTS)) + ") p(plot_type, title, alt, label, habitat)"
+
+
+@query("o14_fixed_plots", OBS + f""", named AS (
+  SELECT CASE Habitat WHEN 'Oyster/Oyster Reef' THEN 'Oyster Reef' WHEN 'Water Column' THEN 'Nekton' ELSE Habitat END AS habitat, ManagedAreaName
+  FROM obs WHERE ManagedAreaName IS NOT NULL)
+SELECT habitat, ManagedAreaName, plot_type, title || ManagedAreaName AS title, alt, label, count(*) AS n
+FROM named JOIN {_PLOT_VALUES} USING (habitat) GROUP BY ALL""")
+def fixed_plots(spark, sf):
+    rows = X.obs(spark, sf).where(F.col("ManagedAreaName").isNotNull())
+    rows = rows.groupBy(habitat_name(F.col("Habitat")).alias("habitat"), "ManagedAreaName").agg(F.count(F.lit(1)).alias("n"))
+    out = null_safe_join(rows, plots(spark), ["habitat"])
+    title = F.concat("title", "ManagedAreaName").alias("title")
+    return out.select("habitat", "ManagedAreaName", "plot_type", title, "alt", "label", "n")
+
+
+def _station_store(spark, sf):
+    """Partials of three exports, one of them replaced."""
+    obs = X.obs(spark, sf)
+    schema_ = partials.station_partials(obs).schema
+    store = partials.PartialStore(spark, scratch_path(spark, "partials"), schema_, ("Parameter", "Region"))
+    part = lambda k: F.col("LocationID") % 3 == k
+    store.put("export_0", partials.station_partials(obs.where(part(0))))
+    store.put("export_1", partials.station_partials(obs.where(part(1) & (F.col("Year") < 1998))))
+    store.put("export_2", partials.station_partials(obs.where(part(2) & (F.col("Region") != "ASIA"))))
+    store.put("export_1", partials.station_partials(obs.where(part(1))))
+    return store
+
+
+@query("o22_partials_by_export", OBS + """
+SELECT ProgramLocationID, Year, ParameterName AS Parameter, Region, count(*) AS Data_N FROM obs
+WHERE NOT (LocationID % 3 = 2 AND Region = 'ASIA') GROUP BY ALL""")
+def partials_by_export(spark, sf):
+    """Station-years from the partials of each export, the newest of every one."""
+    years = partials.station_years(_station_store(spark, sf).read())
+    return years.select("ProgramLocationID", "Year", "Parameter", "Region", "Data_N").distinct()
+
+
+@query("o09_last_partials_win", OBS + """
+SELECT ParameterName AS Parameter, Region, count(*) AS Data_N FROM obs
+WHERE LocationID % 3 = CASE WHEN Region = 'ASIA' THEN 1 ELSE 2 END GROUP BY ALL""")
+def last_partials_win(spark, sf):
+    """Each parameter and region from the export that sorts last; decided before a row is read."""
+    rows = _station_store(spark, sf).read("last")
+    return rows.groupBy("Parameter", "Region").agg(F.sum("n").alias("Data_N"))
+
+
 @query("o08_data_inputs", OBS + f"""
 SELECT ParameterName AS param, ActivityType AS activity, Habitat AS depth, count(*) AS n
 FROM obs WHERE ParameterName IN (SELECT param FROM {_RULES}) GROUP BY ALL""")
@@ -197,6 +305,18 @@ def materialised_table(spark, sf):
     return tables.load_table(spark, root, "station_year")
 
 
+@query("o12_republished_table", X.with_(X.OBS, X.SY) + """
+SELECT ProgramLocationID, Year, Parameter, Region, ManagedAreaName, Data_N FROM sy""")
+def republished_table(spark, sf):
+    """A table that its own earlier version completes."""
+    root = scratch_path(spark, "tables")
+    sy = X.station_years(spark, sf).select("ProgramLocationID", "Year", "Parameter", "Region", "ManagedAreaName", "Data_N")
+    tables.write_tables({"station_year": sy.where("Year < 1997")}, root)
+    earlier = tables.load_table(spark, root, "station_year")
+    tables.write_tables({"station_year": earlier.unionByName(sy.where("Year >= 1997"))}, root, cluster_by={"station_year": ["ProgramLocationID"]})
+    return tables.load_table(spark, root, "station_year")
+
+
 @query("o13_loaded_view", X.with_(X.OBS, X.SY) + """
 SELECT Region, Parameter, CAST(sum(Data_N) AS BIGINT) AS Data_N FROM sy GROUP BY ALL""")
 def loaded_view(spark, sf):

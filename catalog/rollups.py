@@ -119,6 +119,18 @@ def value_summary(spark, sf):
     return habitat.summary(X.habitat_cells(spark, sf), cells=True)
 
 
+@query("o31_summaries_of_all_grains", HAB + f"""
+SELECT 'all' AS grain, Habitat, ParameterName, Units, NULL::INTEGER AS ProgramID, NULL::VARCHAR AS ProgramName,
+       NULL::VARCHAR AS ManagedAreaName, {_VALUES} FROM hab GROUP BY ALL
+UNION ALL
+SELECT 'program', Habitat, ParameterName, Units, ProgramID, ProgramName, NULL, {_VALUES} FROM hab GROUP BY ALL
+UNION ALL
+SELECT 'area', Habitat, ParameterName, Units, NULL, NULL, ManagedAreaName, {_VALUES} FROM hab
+WHERE ManagedAreaName IS NOT NULL GROUP BY ALL""")
+def summaries_of_all_grains(spark, sf):
+    return habitat.summaries(X.habitat_cells(spark, sf))
+
+
 @query("o31_value_summary_with_missing", OBS + f"""
 SELECT ParameterName, ProgramID, Year, count(*) AS N_samples,
        CASE WHEN count(SparseValue) = count(*) THEN {X.r_round('avg(SparseValue)', 6)} END AS mean,

@@ -220,7 +220,7 @@ def test_batch_runs(spark, tmp_path):
         spark, obs, X.thresholds(spark, SF_DIR), X.location_points(spark, SF_DIR), str(tmp_path / "h"), X.AS_OF, X.LINK,
         X.FLAGS, ["SMALL"],
     )
-    assert len(done) == 10
+    assert len(done) == 11
     total = X.habitat_input(spark, SF_DIR).count()
     root = str(tmp_path / "h")
     assert views.programs_per_habitat(load_table(spark, root, "location_map")).count() >= 2

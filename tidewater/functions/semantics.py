@@ -114,3 +114,13 @@ def null_safe_join(
         cond = eq if cond is None else cond & eq
     joined = left.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*tmp.values())
+
+
+def choosing(df: DataFrame, col: str) -> DataFrame:
+    """The same rows, by a condition that tells the planner that this side of a join chooses.
+
+    Only a side with a condition of its own makes Spark prune the other side at
+    run time, by partition or by Bloom filter.  The value compared is none that a
+    key has.
+    """
+    return df.where(~F.col(col).cast("string").eqNullSafe(F.lit("\x00")))

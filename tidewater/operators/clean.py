@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.semantics import member, null_safe_join
+from tidewater.functions.semantics import choosing, member, null_safe_join
 
 
 def quality_gate(df: DataFrame, flags: dict[str, object] | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def quality_gate(df: DataFrame, flags: dict[str, object] | None = None) -> DataF
 def keep(df: DataFrame, col: str, values) -> DataFrame:
     """Rows whose ``col`` is in a list, or in the only column of a DataFrame."""
     if isinstance(values, DataFrame):
-        return null_safe_join(df, values, [(col, values.columns[0])], "left_semi")
+        return null_safe_join(df, choosing(values, values.columns[0]), [(col, values.columns[0])], "left_semi")
     return df.where(member(col, values))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.semantics import member, null_safe_join
+from tidewater.functions.semantics import choosing, member, null_safe_join
 from tidewater.functions.text import detail_link
 
 
@@ -79,7 +79,8 @@ def habitat_name(habitat: Column) -> Column:
 
 def known_only(df: DataFrame, known: DataFrame, on: list[str | tuple[str, str]]) -> DataFrame:
     """Rows whose key occurs in the other table."""
-    return null_safe_join(df, known, on, "left_semi")
+    key = on[0] if isinstance(on[0], str) else on[0][1]
+    return null_safe_join(df, choosing(known, key), on, "left_semi")
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str | tuple[str, str]], cols: list[str]) -> DataFrame:

@@ -127,15 +127,36 @@ def value_cells(df: DataFrame, keys: list[str], value: str = "ResultValue") -> D
     )
 
 
-def cell_summary(cells: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
-    """``value_summary`` from the cells of the observations."""
+def _of_cells(digits: int) -> list[Column]:
     whole = F.sum("n_known") == F.sum("n_rows")
-    return cells.groupBy(*by).agg(
+    return [
         F.sum("n_rows").alias("N_samples"),
         round_half_even(F.when(whole, F.sum("total") / F.sum("n_rows")), digits).alias("mean"),
         F.when(whole, F.min("lowest")).alias("min"),
         F.when(whole, F.max("highest")).alias("max"),
+    ]
+
+
+def cell_summary(cells: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
+    """``value_summary`` from the cells of the observations."""
+    return cells.groupBy(*by).agg(*_of_cells(digits))
+
+
+def cell_summaries(cells: DataFrame, grains: dict[str, list[str]], grain: str = "grain", digits: int = 2) -> DataFrame:
+    """``cell_summary`` at several grains in one scan and one exchange, told apart by ``grain``.
+
+    Key columns that a grain lacks are null there; a null in a key that it has is
+    a group of its own, since the grain follows from the grouping and not from nulls.
+    """
+    keys = list(dict.fromkeys(k for by in grains.values() for k in by))
+    out = cells.groupingSets([[F.col(k) for k in by] for by in grains.values()], *keys).agg(
+        F.grouping_id().alias("__grouping"), *_of_cells(digits)
     )
+    name = None
+    for label, by in grains.items():
+        bits = sum(1 << i for i, k in enumerate(reversed(keys)) if k not in by)
+        name = (F if name is None else name).when(F.col("__grouping") == bits, F.lit(label))
+    return out.withColumn(grain, name).drop("__grouping")
 
 
 def coverage_overview(

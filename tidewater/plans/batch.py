@@ -22,6 +22,18 @@ from tidewater.sources.tables import publish, write_tables
 
 STATION_YEARS = "station_years"
 HABITAT_CELLS = "habitat_cells"
+SUMMARIES = "summaries"
+# What the views look up: tables are written in ranges of these columns.
+STATION_CLUSTERS = {
+    "station_table": ["Entity", "ProgramLocationID"],
+    "station_segments": ["Entity", "ProgramLocationID"],
+    "trend_rows": ["ProgramLocationID"],
+    "monthly_means": ["ProgramLocationID"],
+}
+HABITAT_CLUSTERS = {
+    name: [habitat.HABITAT]
+    for name in ("program_areas", "program_segments", "location_map", "coverage_program", "coverage_area", "summary_program", "summary_area")
+}
 
 
 @dataclass(frozen=True)
@@ -69,7 +81,7 @@ def run_continuous(
         "monthly_means": archive.with_earlier(monthly, archive.monthly),
         "site_points": continuous.habitat_points(rollups.site_counts(sites), points),
     }
-    paths = silver | write_tables(out, root, as_of, switch=False)
+    paths = silver | write_tables(out, root, as_of, cluster_by=STATION_CLUSTERS, switch=False)
     publish(spark, root, paths)
     return paths
 
@@ -89,7 +101,11 @@ def run_habitat(
     cells = habitat.habitat_cells(obs, thresholds, flags, excluded)
     silver = write_tables({HABITAT_CELLS: cells}, root, partition_by={HABITAT_CELLS: [habitat.HABITAT]}, switch=False)
     cells = spark.read.parquet(silver[HABITAT_CELLS])
-    paths = silver | write_tables(habitat.habitat_tables(cells, points, as_of, link_base), root, as_of, switch=False)
+    silver |= write_tables(
+        {SUMMARIES: habitat.summaries(cells)}, root, partition_by={SUMMARIES: [habitat.GRAIN]}, switch=False
+    )
+    tables = habitat.habitat_tables(cells, points, as_of, link_base, spark.read.parquet(silver[SUMMARIES]))
+    paths = silver | write_tables(tables, root, as_of, cluster_by=HABITAT_CLUSTERS, switch=False)
     publish(spark, root, paths)
     return paths
 

@@ -103,17 +103,41 @@ def summary(df: DataFrame, kind: str = "all", cells: bool = False) -> DataFrame:
     return rollups.cell_summary(df, keys) if cells else rollups.value_summary(df, keys)
 
 
-def habitat_tables(cells: DataFrame, points: DataFrame, as_of, link_base: str) -> dict[str, DataFrame]:
-    """All habitat tables from the (preferably materialised) cells of the habitat input."""
+GRAIN = "grain"
+GRAINS = {
+    "all": [HABITAT, "ParameterName", "Units"],
+    "program": [HABITAT, "ParameterName", "Units", "ProgramID", "ProgramName"],
+    "area": [HABITAT, "ParameterName", "Units", "ManagedAreaName"],
+}
+
+
+def summaries(cells: DataFrame) -> DataFrame:
+    """Value summaries of the habitat, its programs and its known managed areas, told apart by ``grain``."""
+    out = rollups.cell_summaries(cells, GRAINS, GRAIN)
+    return out.where((F.col(GRAIN) != "area") | F.col("ManagedAreaName").isNotNull())
+
+
+def summary_of(grains: DataFrame, kind: str = "all") -> DataFrame:
+    """One grain of ``summaries``, with the columns of ``summary``; read from a table
+    partitioned by grain, only that grain's files are opened."""
+    return grains.where(F.col(GRAIN) == kind).select(*GRAINS[kind], "N_samples", "mean", "min", "max")
+
+
+def habitat_tables(
+    cells: DataFrame, points: DataFrame, as_of, link_base: str, grains: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All habitat tables from the (preferably materialised) cells of the habitat input and
+    their ``summaries``."""
     n = "n_rows"
+    grains = summaries(cells) if grains is None else grains
     return {
         "programs_per_parameter": rollups.distinct_per(cells, [HABITAT, "ParameterName"], "ProgramID"),
         "program_areas": rollups.program_areas(cells, link_base),
         "program_segments": program_segments(cells, as_of),
         "location_map": location_map(cells, points, n),
-        "summary_all": summary(cells, cells=True),
-        "summary_program": summary(cells, "program", cells=True),
-        "summary_area": summary(cells, "area", cells=True),
+        "summary_all": summary_of(grains),
+        "summary_program": summary_of(grains, "program"),
+        "summary_area": summary_of(grains, "area"),
         "coverage_program": coverage(cells, "program", n),
         "coverage_area": coverage(cells, "area", n),
     }

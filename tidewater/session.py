@@ -27,6 +27,15 @@ SIZES = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
 }
 
+# Joins in which one side chooses: the other side's scan drops rows by a Bloom filter of the keys
+# where these are too large to broadcast, and opens only the partitions that the keys name.
+PRUNING = {
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
+}
+
 # Lost executors: shuffle files move off before a planned loss and stages retry.
 RESILIENCE = {
     "spark.decommission.enabled": "true",
@@ -47,6 +56,7 @@ def cluster_session(app: str, checkpoint_dir: str, shuffled_bytes: int) -> Spark
     options = {
         **ADAPTIVE,
         **SIZES,
+        **PRUNING,
         **RESILIENCE,
         "spark.sql.shuffle.partitions": str(initial_partitions(shuffled_bytes)),
         "spark.checkpoint.dir": checkpoint_dir,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.semantics import null_safe_join
+from tidewater.functions.semantics import choosing, null_safe_join
 from tidewater.sources.scratch import scratch_path
 
 FILE = "source_file"
@@ -208,7 +208,16 @@ def select_inputs(
     """Rows of ``files`` that the rules ask for.
 
     A rule fixes activity and depth per parameter; inputs of type ``data`` hold
-    everything for a parameter and are chosen by the parameter alone.
+    everything for a parameter and are chosen by the parameter alone.  Of files
+    partitioned by the keys, Spark opens at run time only the folders that the
+    rules name, if these come from a table.
     """
     on = [keys[0]] if filetype == "data" else list(keys)
-    return null_safe_join(files, rules.select(*on).distinct(), on, "left_semi")
+    # One equality over all keys, unlike null-safe comparisons, prunes exactly the partitions that
+    # have a rule; a missing key is a value of its own.
+    known = lambda df, names: F.concat_ws(
+        "\u0001", *[F.coalesce(df[n].cast("string"), F.lit("\u0000")) for n in names]
+    )
+    named = choosing(rules.select(*on), on[0]).withColumnsRenamed({k: f"__{k}" for k in on})
+    same = known(files, on) == known(named, [f"__{k}" for k in on])
+    return files.join(named, same, "left_semi")

@@ -35,12 +35,15 @@ def write_tables(
     as_of: str | dt.date | None = None,
     partition_by: dict[str, list[str]] | None = None,
     switch: bool = True,
+    cluster_by: dict[str, list[str]] | None = None,
 ) -> dict[str, str]:
     """Write each table as Parquet below ``root``, then publish them; returns name to path.
 
     A partitioned table is rebalanced by its partition columns first: adaptive
     execution then writes files of the advisory size, splitting a hot partition
     value over several tasks instead of one file per task and value.
+    ``cluster_by`` writes a table in ranges of its look-up columns, so that a
+    filter on them skips files and row groups by their statistics.
     ``switch=False`` leaves publishing to the caller (``publish``).
     """
     out, spark = {}, None
@@ -51,6 +54,7 @@ def write_tables(
         by = (partition_by or {}).get(name, [])
         if by:
             df = df.hint("rebalance", *[F.col(c) for c in by])
+        df = clustered(df, [*by, *(cluster_by or {}).get(name, [])]) if name in (cluster_by or {}) else df
         df.write.partitionBy(*by).parquet(path)
         if by and not readable(spark, path):  # no partition, no file: an empty one holds the columns
             df.limit(0).write.mode("append").parquet(path)
@@ -60,6 +64,12 @@ def write_tables(
     return out
 
 
+def clustered(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in ranges of ``by``, sorted within; a value with many rows is split by a hash of the row."""
+    order = [*[F.col(c).asc_nulls_first() for c in by], F.xxhash64(*df.columns)]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def readable(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
