@@ -142,6 +142,39 @@ def test_chat_reads_back_and_orders(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_query_runs_the_machine(spark, tmp_path):
+    """Conversations in and out of order through the registered query; its plan holds the fold."""
+    talk = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "ho"),
+        (2, 0, "assistant", "first"), (2, 1, "user", "</s>"), (2, 2, "assistant", None), (2, 3, "user", "x"),
+        (3, 0, "user", "a"), (3, 1, "user", "b"), (3, 2, "tool", "c\\"), (3, 3, "assistant", "d"), (3, 3, "assistant", "d"),
+        (4, 0, None, "e"), (5, 0, "system", "s"), (5, 1, "system", "s"), (None, 0, "assistant", "n"), (6, None, "user", "u"),
+    ]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.op9(spark, str(tmp_path))
+    assert diff(out, connect(str(tmp_path)), queries.OP9_SQL) is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and all(state in plan for state in ("instructed", "asked", "answered", "error"))
+
+
+def test_states_decide_the_marks(spark):
+    """A template in which the same role is marked by its state, and long conversations."""
+    two = chat.Template(
+        {"q": chat.Turn("[Q]", "(/Q)"), "a": chat.Turn("{A}", "<A>", loss=True)}, "begin",
+        {("begin", "q"): "asked", ("asked", "a"): "done"}, frozenset({"done"}), other=chat.Turn("|T-", "~T-"), role_end="^:",
+    )
+    rows = [(1, i, r, str(i)) for i, r in enumerate(["q", "a", "a", "z"])]
+    rows += [(2, i, "qa"[i % 2], str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.formatted(df, two).collect()}
+    assert got[1].formatted == "[Q]0(/Q){A}1<A>{A}2<A>|T-z^:3~T-" and (got[1].valid, got[1].wrong_turn) == (False, 2)
+    assert [s.loss for s in got[1].segments] == [False] * 4 + [True, False] + [False, True, False] + [False] * 3
+    assert got[2].n_turns == 3000 and got[2].wrong_turn == 2 and got[2].formatted.count("{A}") == 1500
+    with pytest.raises(ValueError):
+        chat.Template({"q": chat.Turn("[Q", "(Q"), "a": chat.Turn("{A", "<A")}, "s", {("s", "q"): "t", ("s", "a"): "t"}, frozenset())
+
+
 def test_chat_template_is_checked():
     with pytest.raises(ValueError):
         chat.Template({"user": chat.Turn("<a<", "<b")}, "s", {}, frozenset())

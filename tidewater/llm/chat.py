@@ -2,8 +2,11 @@
 
 Turns of a conversation, in turn order, become text segments with a loss flag
 each: an opening mark, the turn's text with control strings escaped, a closing
-mark.  The machine's moves are data as well; it reports whether the order of
-roles is allowed and the first turn that is not, and never drops a turn.
+mark.  The machine's moves are data as well, and so is what a state emits: one
+fold over the turns gives the state that each turn leads to, which decides the
+turn's marks and loss flag.  A turn out of order, and every one after it, leads
+to the error state; there the marks go by the role, and no turn is dropped.  The
+fold also reports whether the order is allowed and the first turn that is not.
 
 Everything is column expressions.  A conversation is one row of the result, so
 its turns meet in one row; nothing larger is gathered.
@@ -49,6 +52,10 @@ class Template:
     escape: str = "\\"
     error: str = field(default="error")
 
+    def emits(self) -> dict[str, str]:
+        """The role whose marks a state emits: that of the moves into it."""
+        return {state: role for (_, role), state in self.moves.items()}
+
     def marks(self) -> list[str]:
         every = [m for t in [*self.turns.values(), self.other] for m in (t.open, t.close)]
         return list(dict.fromkeys([*every, self.role_end]))
@@ -58,6 +65,8 @@ class Template:
         for m in self.marks():
             if len(m) < 2 or self.escape in m or heads & set(m[1:]):
                 raise ValueError(f"mark {m!r} does not fit")
+        if any(self.emits()[state] != role for (_, role), state in self.moves.items()) or self.error in self.emits():
+            raise ValueError("all moves into a state have the same role, and none leads to the error state")
         if len(self.escape) != 1 or self.escape in heads:
             raise ValueError("the escape is one character that begins no mark")
 
@@ -110,8 +119,16 @@ def segment(text: Column, loss: Column) -> Column:
     return F.struct(text.alias("text"), loss.alias("loss"))
 
 
-def turn_segments(turn: Column, template: Template) -> Column:
+def turn_segments(turn: Column, state: Column, template: Template) -> Column:
+    """What the state that a turn led to emits; in the error state the turn's role decides."""
     opening, closing, loss = role_marks(turn["role"], template)
+    for name, role in template.emits().items():
+        if role not in template.turns:
+            continue  # the generic marks carry the role's name
+        known = template.turns[role]
+        opening = F.when(state == name, F.lit(known.open)).otherwise(opening)
+        closing = F.when(state == name, F.lit(known.close)).otherwise(closing)
+        loss = F.when(state == name, F.lit(known.loss)).otherwise(loss)
     no = F.lit(False)
     return F.array(
         segment(opening, no), segment(escaped(turn["text"], template), loss), segment(closing, no)
@@ -119,7 +136,8 @@ def turn_segments(turn: Column, template: Template) -> Column:
 
 
 def machine(turns: Column, template: Template) -> Column:
-    """Struct of the last state, the turns taken and the first wrong turn (0-based, null if none)."""
+    """Struct of the state after each turn, the last one, the turns taken and the first wrong turn
+    (0-based, null if none)."""
 
     def move(acc: Column, turn: Column) -> Column:
         state = F.lit(template.error)
@@ -127,12 +145,14 @@ def machine(turns: Column, template: Template) -> Column:
             state = F.when((acc["state"] == origin) & (turn["role"] == role), F.lit(target)).otherwise(state)
         wrong = acc["wrong"].isNull() & (state == template.error)
         return F.struct(
+            F.concat(acc["states"], F.array(state)).alias("states"),
             state.alias("state"),
             (acc["taken"] + 1).alias("taken"),
             F.when(wrong, acc["taken"]).otherwise(acc["wrong"]).alias("wrong"),
         )
 
     zero = F.struct(
+        F.array().cast("array<string>").alias("states"),
         F.lit(template.start).alias("state"), F.lit(0).alias("taken"), F.lit(None).cast("int").alias("wrong")
     )
     return F.aggregate(turns, zero, move)
@@ -153,15 +173,12 @@ def formatted(
         F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")).alias("t"),
     )
     grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    run = grouped.select(
-        "id",
-        F.size("turns").cast("long").alias("n_turns"),
-        machine(F.col("turns"), template).alias("run"),
-        F.flatten(F.transform("turns", lambda t: turn_segments(t, template))).alias("segments"),
-    )
+    run = grouped.select("id", "turns", machine(F.col("turns"), template).alias("run"))
+    emitted = F.zip_with("turns", "run.states", lambda t, state: turn_segments(t, state, template))
+    run = run.select("id", "turns", "run", F.flatten(emitted).alias("segments"))
     return run.select(
         F.col("id").alias(id_col),
-        "n_turns",
+        F.size("turns").cast("long").alias("n_turns"),
         (F.col("run.wrong").isNull() & F.col("run.state").isin(*template.final)).alias("valid"),
         F.col("run.wrong").alias("wrong_turn"),
         "segments",
