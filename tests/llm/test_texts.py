@@ -4,6 +4,8 @@ import gzip
 import html
 import io
 import re
+import time
+import tracemalloc
 
 import pytest
 from compare import connect, diff
@@ -293,3 +295,65 @@ def test_copies_make_no_template(spark):
     rows += [(10 + i, "http://near.example/", page % (i // 3 * i, i // 3 * i, f"<footer>{i}</footer>")) for i in range(6)]
     want = {i: f"para a{i // 3 * i} of the article\npara b{i // 3 * i}" for i in range(6)}
     assert texts_of(spark, rows) == want | {10 + i: t for i, t in want.items()}
+
+
+NOTICE = """<html><body><nav>menu</nav><article><h1>Title %d</h1><p>An own paragraph, number %d, long enough to be one.</p>
+<div class="box"><p>Our readers pay for this site.</p><p>Join them.</p></div><section><p>Shared passage.</p><p>More of %d.</p></section>
+</article></body></html>"""
+
+
+def test_unlisted_notice_inside_articles_goes(spark):
+    """The notice's element holds nothing else on any page; the shared passage stands where texts change."""
+    rows = [(i, "http://a.example/", NOTICE % (i, i, i)) for i in range(5)] + [(9, "http://alone.example/", NOTICE % (9, 9, 9))]
+    want = "Title {0}\nAn own paragraph, number {0}, long enough to be one.\n{1}Shared passage.\nMore of {0}."
+    got = texts_of(spark, rows)
+    assert got == {i: want.format(i, "") for i in range(5)} | {9: want.format(9, "Our readers pay for this site.\nJoin them.\n")}
+
+
+def test_near_copies_of_one_article_stay_whole(spark):
+    page = "<html><body><main><div class='lead'><p>The lead of it.</p></div><p>First part of the article.</p><p>Second part, copy %d.</p></main></body></html>"
+    got = texts_of(spark, [(i, "http://a.example/", page % i) for i in range(5)])
+    assert got == {i: f"The lead of it.\nFirst part of the article.\nSecond part, copy {i}." for i in range(5)}
+
+
+def test_unclosed_quote_ends_its_tag():
+    assert html_text.main_text('<p>a <b "x>one</b> two</p>') == "a one two"
+    assert html_text.main_text("<p title='x > y'>one</p><p>two") == "one\ntwo"
+
+
+HOSTILE = {
+    "quotes": '<a "' * 250_000 + ">",
+    "two quotes": "<a '<b \"" * 125_000 + "> x",
+    "blocks": "<div>" * 200_000 + "deep",
+    "marked": '<div class="ad">x' * 60_000,
+    "inline": "<b>x" * 250_000,
+    "articles": '<article><div class="ad">x' * 40_000,
+    "closing": "<b><div>" + "<i>x" * 100_000 + "</b>" * 100_000,
+    "bodies": "<head><body>" * 80_000,
+    "names": '<p class="' + "ab cd " * 160_000 + '">' + "<p>z" * 100,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_work_follows_the_length_of_hostile_pages(name):
+    """1 MB each: minutes to days where any step goes by the square."""
+    begun = time.process_time()
+    found = html_text.occurrences(HOSTILE[name])
+    html_text.main_text(HOSTILE[name])
+    assert time.process_time() - begun < 60
+    assert sum(map(len, found)) < 100 * len(HOSTILE[name])
+
+
+def test_memory_of_deep_pages():
+    tracemalloc.start()
+    html_text.occurrences("<div>" * 50_000 + "deep")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+
+
+def test_deep_host_equals_its_pages(spark):
+    """Long paths are named by digests; template and root are found below them."""
+    page = "<html><body><nav>m</nav>" + '<div class="wrapping-column">' * 60 + "<p>text %d</p><p>Same</p>" + "</div>" * 60 + "<div>foot</div></body></html>"
+    got = texts_of(spark, [(i, "http://a.example/", page % i) for i in range(4)])
+    assert got == {i: f"text {i}" for i in range(4)}

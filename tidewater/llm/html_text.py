@@ -1,15 +1,23 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is read as tokens: a tag with the path of tags that it stands in, and,
-outside of marked articles, a text with its path.  Over the pages of one host
-each token has an occurrence vector (how often it occurs on each page); tokens
-with the same vector form an equivalence class.  Classes that occur on at least
-half of the pages are valid when their tokens nest: a token's path continues a
-path that a valid class holds already.  The valid classes, nested, are the
-host's template; what lies between its tokens are slots.  Texts that belong to
-a class are the template's own (menus, notices); the slots below the template's
-content root hold the article.  The root is the template's article or main
-element, or else the deepest path that holds most of the host's changing text.
+A page is read as tokens: a tag with the path of tags that it stands in, and a
+text with its path.  Over the pages of one host each token has an occurrence
+vector (how often it occurs on each page); tokens with the same vector form an
+equivalence class.  Classes that occur on at least half of the pages are valid
+when their tokens nest: a token's path continues a path that a valid class holds
+already.  The valid classes, nested, are the host's template; what lies between
+its tokens are slots.  Texts that belong to a class are the template's own
+(menus, notices); the slots below the template's content root hold the article.
+The root is the template's article or main element, or else the deepest path
+that holds most of the host's changing text.
+
+Inside a marked article the class of the root decides: a text that occurs with
+the same vector as the root is the template's if no text at its path, or below
+it, has another vector.  So a notice in an element of its own goes, and a
+passage that articles share stays where the path changes elsewhere.  Headings
+and paragraphs directly below an article stay always.  Where most of the text
+beside such notices has the root's vector as well, the host's pages are near
+copies of one article, which tell nothing, and all of it stays.
 Slots inside the root that stand in menus, adverts, forms, comments and the like
 are left out, by element, role or class name.  A class or id name counts only
 where the template agrees: the element's path is one of the template's, holds no
@@ -26,6 +34,11 @@ and pages that lack the host's root are read by their own article or main
 element, or else whole.  Where nothing but texts of the template stands under
 the root, these are the page's text.
 
+Work and memory follow the page's length: a tag whose quote never closes ends at
+its first ">", at most three searches for such an end reach the page's end, open
+elements are found by their tag, a long path is named by its digest, and sizes
+are added up once, from the leaves.
+
 Defined results: a null html is empty and has the empty text; ids play no part;
 ties between paths go to the first in order; an empty table gives no rows.
 """
@@ -49,7 +62,14 @@ PAGES = 3  # pages from which on a host has a template
 SHARE = 2  # a class occurs on one page in so many at least
 MOST = 0.6  # share of the changing text that a path must hold to be gone into
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+LONG = 200  # characters from which on a path or a label is named by its digest
+
+START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)  # comment, declaration or the like
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+TAG = re.compile(NAME.pattern + "(" + QUOTED.pattern + ")>")
+QUOTES = re.compile(r"\"[^\"]*+\"?|'[^']*+'?")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMES = re.compile(r"[A-Za-z]+")
 
@@ -73,6 +93,7 @@ CLASSES = frozenset(
     " recommended recommendations teaser teasers comment comments commentlist reply replies respond disqus widget login"
     " pagination pager footer copyright".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 # What an article element itself may be called and still be no article.
 NOT_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies teaser related".split())
 # A tag that is opened inside one of these ends it first.
@@ -81,18 +102,32 @@ SCOPE = frozenset("ul ol table tbody thead tfoot dl select article main section
 
 
 class Element:
-    __slots__ = ("tag", "path", "bad", "content", "named", "holds")
+    """An open tag.  ``mark`` is the innermost element, itself included, that a class word
+    marks, ``outer`` the next one around that; ``near`` the innermost block; ``holder`` the
+    innermost element that texts belong to; ``scope`` the place of the innermost scope."""
+
+    __slots__ = ("tag", "path", "bad", "content", "parent", "mark", "outer", "holds", "near", "holder", "place", "scope", "under")
 
-    def __init__(self, tag: str, path: str, bad: bool, content: bool, named: tuple[Element, ...] = (), own: bool = False):
-        self.tag, self.path, self.bad, self.content = tag, path, bad, content
-        self.named = (*named, self) if own else named  # the elements around that a class word marks
+    def __init__(self, tag: str, path: str, bad: bool, content: bool, parent: Element | None = None, marked: bool = False):
+        self.tag, self.path, self.bad, self.content, self.parent = tag, path, bad, content, parent
+        around = parent.mark if parent else None
+        self.mark, self.outer = (self, around) if marked else (around, None)
         self.holds = False  # an article or main, which is known once the page is read
+        self.near = self if tag in BLOCK else parent.near if parent else None
+        self.holder = self if bad or content or tag in BLOCK else parent.holder if parent else None
+        self.place = self.scope = 0
+        self.under: bool | None = None  # below the template's root
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(text)}
 
 
+def short(name: str) -> str:
+    """A path as it stands in the paths below it."""
+    return name if len(name) <= LONG else "~" + xxhash.xxh64_hexdigest(name)
+
+
 def element(tag: str, attrs: str, parent: Element) -> Element:
     found = attributes(attrs) if attrs.strip(" /\n\t\r") else {}
     names = {w.lower() for k in ("class", "id") for w in NAMES.findall(found.get(k, ""))}
@@ -107,27 +142,92 @@ def element(tag: str, attrs: str, parent: Element) -> Element:
     else:
         bad = tag in BOILERPLATE or role in ROLES
         marked = not bad and bool(names & CLASSES)
-    label = tag + "".join("." + n for n in sorted(names))
+    label = tag.replace("#", "~") + "".join("." + n for n in sorted(names))
+    if len(label) > LONG:
+        label = ".".join([tag[:20].replace("#", "~"), *sorted(names & NOT_ARTICLE), "~" + xxhash.xxh64_hexdigest(label)])
     content = not (parent.bad or bad) and (parent.content or tag in CONTENT or role in ("main", "article"))
     if tag in CONTENT and content:
-        for e in parent.named:
+        e = parent.mark
+        while e is not None and not e.holds:
             e.holds = True
-    return Element(tag, f"{parent.path}/{label}", parent.bad or bad, content, parent.named, marked)
+            e = e.outer
+    return Element(tag, f"{short(parent.path)}/{label}", parent.bad or bad, content, parent, marked)
 
 
 Parts = list[tuple[Element, Element, str]]
 
 
-def composed(parts: Parts, left: Callable[[Element], bool]) -> str:
-    """A block's text without the parts inside elements that are left out; white space
-    is folded and references are decoded."""
-    kept = [t for _, e, t in parts if not any(not x.holds and left(x) for x in e.named)]
+def leaving(left: Callable[[Element], bool]) -> Callable[[Element], bool]:
+    """Whether an element stands in a marked one that is left out; each is asked once."""
+    known: dict[int, bool] = {}
+
+    def out(e: Element) -> bool:
+        asked, m = [], e.mark
+        while m is not None and id(m) not in known:
+            if not m.holds and left(m):
+                known[id(m)] = True
+                break
+            asked.append(m)
+            m = m.outer
+        found = m is not None and known[id(m)]
+        for x in asked:
+            known[id(x)] = found
+        return found
+
+    return out
+
+
+def composed(parts: Parts, out: Callable[[Element], bool] | None = None) -> str:
+    """A block's text without the parts that are left out; white space is folded and
+    references are decoded."""
+    kept = [t for _, e, t in parts if out is None or e.mark is None or not out(e)]
     return " ".join(html.unescape("".join(kept)).split())
 
 
 def unnamed(parts: Parts) -> str:
     """A block's text as its token has it: without marked parts if others are there."""
-    return composed(parts, lambda e: True) or composed(parts, lambda e: False)
+    return composed(parts, lambda e: not e.mark.holds) or composed(parts)
+
+
+class Tags:
+    """Finds a page's tags, each character being looked at a bounded number of times.
+
+    Quotes of two kinds only swap the states "outside", "in double" and "in single quotes",
+    so searches for a tag's end follow one of three traces; a trace that found no end is
+    known by the quotes that it opened and is not followed again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.endless = page, page.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends a tag whose attributes begin at ``at``."""
+        first = self.page.find(">", at)
+        quotes = [q for q in (self.page.find(c, at, first) for c in "\"'") if q >= 0]
+        if not quotes or min(quotes) in self.endless:
+            return first
+        found = QUOTED.match(self.page, at).end()
+        if found <= self.last and self.page[found] == ">":
+            return found
+        self.endless.update(m.start() for m in QUOTES.finditer(self.page, min(quotes)))
+        return first
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        """(start, end, "/" of an end tag, name, attributes); the name of what is no tag is None."""
+        while m := START.search(self.page, at):
+            start = m.start()
+            if m[0] in ("<!", "<?"):
+                return start, ASIDE.match(self.page, start).end(), "", None, ""
+            if start < self.last:
+                whole = not self.endless and TAG.match(self.page, start)
+                if whole:
+                    return start, whole.end(), whole[1], whole[2].lower(), whole[3]
+                name = NAME.match(self.page, start)
+                end = self.end(name.end())
+                return start, end + 1, name[1], name[2].lower(), self.page[name.end() : end]
+            at = self.page.find("<!", start + 1)  # no tag ends any more
+            other = self.page.find("<?", start + 1)
+            at = min((x for x in (at, other) if x >= 0), default=len(self.page))
+        return None
 
 
 def read(page: str) -> Iterator[tuple[str, Element, Parts]]:
@@ -135,7 +235,9 @@ def read(page: str) -> Iterator[tuple[str, Element, Parts]]:
     of text outside of boilerplate; parts are (block element, innermost element, text)."""
     root = Element("", "", False, False)
     stack = [root]
+    places: dict[str, list[int]] = {}  # where the open elements of a tag are in the stack
     parts: Parts = []
+    tags = Tags(page)
     at = 0
 
     def block() -> list[tuple[str, Element, Parts]]:
@@ -143,40 +245,36 @@ def read(page: str) -> Iterator[tuple[str, Element, Parts]]:
         parts.clear()
         return [("text", own[0][0], own)] if any(t and not t.isspace() for _, _, t in own) else []
 
-    def holder() -> Element:  # inline elements belong to the block around them, unless they are left out
-        for e in reversed(stack):
-            if e.bad or e.tag in BLOCK or e.content != stack[0].content:
-                return e
-        return stack[-1]
+    def opened(e: Element) -> None:
+        e.place = len(stack)
+        e.scope = e.place if e.tag in SCOPE else stack[-1].scope
+        places.setdefault(e.tag, []).append(e.place)
+        stack.append(e)
+
+    def cut(place: int) -> None:
+        for e in stack[place:]:
+            places[e.tag].pop()
+        del stack[place:]
 
     n = len(page)
+    headless = False
     while at < n:
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        m = tags.next(at)
+        piece = page[at : m[0]] if m else page[at:]
         if piece:
-            here = holder()
+            here = stack[-1].holder or stack[-1]  # inline elements belong to the block around them
             if not here.bad:  # what is left out takes no part in blocks
                 parts.append((here, stack[-1], piece))
         if not m:
             break
-        at = m.end()
-        closing, tag, attrs = m[1], m[2], m[3]
-        if tag is None:  # comment, declaration or the like
-            if m[0].startswith("<![CDATA["):
-                continue
+        _, at, closing, tag, attrs = m
+        if tag is None:
             continue
-        tag = tag.lower()
         if closing:
             if tag in BLOCK:
                 yield from block()
-            if tag == "p" and not any(e.tag == "p" for e in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in BLOCK:
-                    break
+            if places.get(tag) and (tag in BLOCK or stack[-1].scope <= places[tag][-1]):
+                cut(places[tag][-1])
             continue
         if tag == "br":
             if parts:  # something of the block came already
@@ -185,21 +283,22 @@ def read(page: str) -> Iterator[tuple[str, Element, Parts]]:
         if tag in BLOCK:
             yield from block()
             ends = ENDS.get(tag) or ({"p"} if tag not in ("html", "body", "head") else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and stack[i].tag not in ends:
-                    break
-        if tag == "body":  # the head ends
-            stack = [e for e in stack if e.tag != "head"]
+            place = max((places[t][-1] for t in ends if places.get(t)), default=0)
+            if place > stack[-1].scope:
+                cut(place)
+        if tag == "body" and not headless:  # the head ends
+            headless = True
+            kept = [e for e in stack[1:] if e.tag != "head"]
+            cut(1)
+            for e in kept:
+                opened(e)
         own = element(tag, attrs, stack[-1])
         yield "tag", own, []
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
-            stack.append(own)
+            opened(own)
     yield from block()
 
 
@@ -211,31 +310,50 @@ def host_of(url: str | None) -> str:
 
 
 def text_token(e: Element, text: str) -> str:
-    return f"{e.path}#{xxhash.xxh64_hexdigest(text)}"
+    """A text at its path.  Texts of marked articles stand at their block: "#=" before those
+    that always stay (directly in an article, or its headings and paragraphs), "#+" before others."""
+    kind = ""
+    if e.content:
+        e = e.near if e.near is not None and e.near.content else e
+        tops = [x for x in (e, e.parent) if x.tag in CONTENT or not x.parent or not x.parent.content]
+        kind = "=" if tops and (tops[0] is e or e.tag in PROSE) else "+"
+    return f"{e.path}#{kind}{xxhash.xxh64_hexdigest(text)}"
 
 
 def occurrences(page: str) -> dict[str, list[int]]:
     """Token to [times it occurs, characters of text below it]; "!" and a path stand for
     the elements of that path that a class word marks and that hold no article or main."""
     out: dict[str, list[int]] = {}
+    above: dict[str, str] = {}  # path to the path around it, outer ones first
+    marks: dict[int, int] = {}  # characters of text in a marked element
+    marked: list[Element] = []  # outer ones first
     for kind, e, parts in list(read(page)):  # what an element holds is known at the end
         if kind == "tag":
+            above.setdefault(e.path, e.parent.path)
             out.setdefault(e.path, [0, 0])[0] += 1
-            if e.named and e.named[-1] is e and not e.holds:
-                out.setdefault("!" + e.path, [0, 0])[0] += 1
-        else:
-            text = composed(parts, lambda e: False)
-            if not e.content:
-                own = out.setdefault(text_token(e, unnamed(parts)), [0, 0])
-                own[0] += 1
-                own[1] += len(text)
-            for _, inner, piece in parts:
-                for path in {"!" + x.path for x in inner.named if not x.holds}:
-                    out.setdefault(path, [0, 0])[1] += len(piece.strip())
-            path = e.path
-            while path:
-                out.setdefault(path, [0, 0])[1] += len(text)
-                path = path.rpartition("/")[0]
+            if e.mark is e:
+                marked.append(e)
+                if not e.holds:
+                    out.setdefault("!" + e.path, [0, 0])[0] += 1
+            continue
+        text = composed(parts)
+        own = out.setdefault(text_token(e, unnamed(parts) if any(x.mark for _, x, _ in parts) else text), [0, 0])
+        own[0] += 1
+        own[1] += len(text)
+        for _, inner, piece in parts:
+            if inner.mark:
+                marks[id(inner.mark)] = marks.get(id(inner.mark), 0) + len(piece.strip())
+        if e.path:
+            out[e.path][1] += len(text)
+    for path, around in reversed(above.items()):
+        if around:
+            out[around][1] += out[path][1]
+    for e in reversed(marked):
+        size = marks.get(id(e), 0)
+        if size and not e.holds:
+            out["!" + e.path][1] += size
+        if size and e.outer:
+            marks[id(e.outer)] = marks.get(id(e.outer), 0) + size
     return out
 
 
@@ -267,91 +385,141 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def template(tokens: list[tuple[str, int, int, int]], pages: int) -> dict:
     """Template of a host from (token, pages, vector, chars): valid classes, nested.
 
-    ``paths`` and ``texts`` are the tokens of valid classes, ``root`` the path
-    of the content root (empty if there is none), ``left`` the paths that their
-    class names leave out.
+    ``paths`` and ``texts`` are the tokens of valid classes, ``root`` the path of the
+    content root (empty if there is none), ``left`` the paths that their class names
+    leave out, ``fixed`` the texts inside marked articles that belong to the root's class.
     """
-    classes: dict[tuple[int, int], list[str]] = {}
-    chars, marks = {}, {}
+    classes: dict[str, tuple[int, int]] = {}  # token to its equivalence class
+    chars, marks = {"": 0}, {}
+    below: dict[str, list[str]] = {}  # paths and texts that continue a path
     for token, support, vector, size in sorted(tokens):
         if token.startswith("!"):
             if support * SHARE >= pages:
                 marks[token[1:]] = size
         elif token and support * SHARE >= pages:
-            classes.setdefault((support, vector), []).append(token)
+            classes[token] = (support, vector)
             chars[token] = size
-    held = {""}  # paths of the template so far, the page itself first
+            below.setdefault(token.rpartition("#" if "#" in token else "/")[0], []).append(token)
+    # Classes nest from the page inwards: a path's tokens continue the template once it holds the path.
+    held, around, depth = [""], {"": ""}, {"": 0}
     texts: list[str] = []
-    waiting = [sorted(c) for _, c in sorted(classes.items(), key=lambda c: (-c[0][0], c[0][1]))]
-    grown = True
-    while grown:
-        # A class nests with those of its tokens that continue the template; the others wait
-        # for the class that stands between them.
-        grown, later = False, []
-        for members in waiting:
-            fits = [t for t in members if (t.partition("#")[0] if "#" in t else t.rpartition("/")[0]) in held]
-            held |= {t for t in fits if "#" not in t}
-            texts += [t for t in fits if "#" in t]
-            grown |= bool(fits)
-            if len(fits) < len(members):
-                later.append([t for t in members if t not in set(fits)])
-        waiting = later
-    constant = [(t.partition("#")[0] + "/", chars[t]) for t in texts]
-    changing = max([chars[p] for p in held if p], default=0) - sum(n for _, n in constant)
-    left = set()
-    for p, size in sorted(marks.items()):
-        own = size - sum(n for q, n in constant if q.startswith(p + "/"))
-        # Most of the host's changing text is no boilerplate, whatever it is called.
-        if p in held and (own <= 0 or own < MOST * changing):
-            left.add(p)
-    inside = {p for p in held if any(p == q or p.startswith(q + "/") for q in left)}
-    for p in held - inside - {""}:  # characters that are left out hold no root
-        outermost = [q for q in left if q.startswith(p + "/") and q.rpartition("/")[0] not in inside]
-        chars[p] -= sum(marks[q] for q in outermost)
-    marked = [p for p in held if p and p.rpartition("/")[2].partition(".")[0] in CONTENT]
+    for p in held:
+        texts += [t for t in below.get(p, []) if "#" in t]
+        for q in below.get(short(p), []):
+            if "#" not in q:
+                held.append(q)
+                around[q], depth[q] = p, depth[p] + 1
+
+    def summed(sizes: dict[str, int]) -> dict[str, int]:
+        out = dict.fromkeys(held, 0) | sizes
+        for p in reversed(held[1:]):
+            out[around[p]] += out[p]
+        return out
+
+    def at_paths(some: list[str]) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for t in some:
+            out[t.partition("#")[0]] = out.get(t.partition("#")[0], 0) + chars[t]
+        return summed(out)
+
+    inner = [t for t in texts if t.partition("#")[2][0] in "=+"]
+    texts = [t for t in texts if t.partition("#")[2][0] not in "=+"]
+    constant = at_paths(texts)
+    sizes = {p: chars[p] for p in held}
+    changing = max((chars[p] for p in held[1:]), default=0) - constant[""]
+    left, inside = set(), set()
+    for p in held[1:]:
+        if p in marks:
+            own = marks[p] - constant[p]
+            # Most of the host's changing text is no boilerplate, whatever it is called.
+            if own <= 0 or own < MOST * changing:
+                left.add(p)
+        if p in left or around[p] in inside:
+            inside.add(p)
+    # Characters that are left out hold no root.
+    outermost = {}
+    for p in left:
+        if around[p] not in inside:
+            outermost[around[p]] = outermost.get(around[p], 0) + marks[p]
+    gone = summed(outermost)
+    for p in held[1:]:
+        if p not in inside:
+            chars[p] -= gone[p]
+    marked = [p for p in held[1:] if p.rpartition("/")[2].partition(".")[0] in CONTENT]
     marked = [p for p in marked if not set(p.rpartition("/")[2].split(".")[1:]) & NOT_ARTICLE and chars[p]]
+    fixed: list[str] = []
     if marked:
-        root = min(marked, key=lambda p: (-chars[p], p.count("/"), p))
+        root = min(marked, key=lambda p: (-chars[p], depth[p], p))
+        common = [t for t in inner if classes[t] == classes[root]]
+        still = at_paths([t for t in common if "#+" in t])
+        fixed = [t for t in common if "#+" in t and still[t.partition("#")[0]] == sizes[t.partition("#")[0]]]
+        rest = sizes[root] - sum(chars[t] for t in fixed)
+        if 2 * sum(chars[t] for t in common if t not in set(fixed)) >= rest:
+            fixed = []
     else:
-        root, total = "", max([chars[p] for p in held - inside if p], default=0)
+        root, total = "", max((chars[p] for p in held[1:] if p not in inside), default=0)
         while total:
-            below = [p for p in held - inside if p and p.rpartition("/")[0] == root and chars[p] >= MOST * total]
-            if not below:
+            next_ = [p for p in below.get(short(root), []) if "#" not in p and p not in inside and chars[p] >= MOST * total]
+            if not next_:
                 break
-            root = min(below, key=lambda p: (-chars[p], p))
-    return {"root": root, "texts": sorted(texts), "paths": sorted(held - {""}), "left": sorted(left)}
+            root = min(next_, key=lambda p: (-chars[p], p))
+    return {"root": root, "texts": sorted(texts), "paths": sorted(held[1:]), "left": sorted(left), "fixed": sorted(fixed)}
 
 
 def alone(found: list[tuple[Element, Parts]]) -> Callable[[Element], bool]:
     """What class words leave out of a page without template."""
-    total, below = 0, {}
+    total, below, marked = 0, {}, {}
     for _, parts in found:
         for _, inner, piece in parts:
             size = len(piece.strip())
             total += size
-            for e in inner.named:
+            e = inner.mark
+            if e:
                 below[id(e)] = below.get(id(e), 0) + size
+            while e and id(e) not in marked:
+                marked[id(e)] = e
+                e = e.outer
+    for e in sorted(marked.values(), key=lambda e: -e.place):  # inner ones first
+        if e.outer:
+            below[id(e.outer)] = below.get(id(e.outer), 0) + below[id(e)]
     return lambda e: not e.content and below.get(id(e), 0) < MOST * total
 
 
+def stands_in(e: Element, root: str) -> bool:
+    """Whether an element is the root or below it; each element is asked once."""
+    asked: list[Element] = []
+    while e.under is None:
+        if e.path == root or e.parent is None:
+            e.under = e.path == root
+            break
+        asked.append(e)
+        e = e.parent
+    for x in asked:
+        x.under = e.under
+    return bool(e.under)
+
+
 def main_text(page: str, plan: dict | None = None) -> str:
     """The article's blocks, one per line, from the slots of the host's template."""
     blocks = [(e, parts) for kind, e, parts in read(page) if kind == "text"]
     if plan and "constant" not in plan:
-        plan["constant"], plan["left"] = frozenset(plan["texts"]), frozenset(plan["left"])
-    left = (lambda e: e.path in plan["left"]) if plan else alone(blocks)
-    found = [(e, t, parts) for e, parts in blocks if (t := composed(parts, left))]
-    own = [text for e, text, _ in found if e.content]
+        plan["constant"], plan["left"] = frozenset(plan["texts"] + plan["fixed"]), frozenset(plan["left"])
+    out = leaving((lambda e: e.path in plan["left"]) if plan else alone(blocks))
+    found = [(e, t, parts) for e, parts in blocks if (t := composed(parts, out))]
+    own = [(e, t, x) for e, t, x in found if e.content]
     if plan and plan["root"]:
-        root = plan["root"]
-        slots = [(e, t, x) for e, t, x in found if e.path == root or e.path.startswith(root + "/")]
-        constant = plan["constant"]
-        fresh = [t for e, t, x in slots if e.content or text_token(e, unnamed(x)) not in constant]
-        slots = fresh or [t for _, t, _ in slots]
+        asked = bool(plan["fixed"])
+
+        def fresh(rows: list[tuple[Element, str, Parts]]) -> list[str]:
+            """Texts that are not the template's; all of them if there is nothing else."""
+            kept = [t for e, t, x in rows if e.content and not asked or text_token(e, unnamed(x)) not in plan["constant"]]
+            return kept or [t for _, t, _ in rows]
+
+        slots, articles = fresh([r for r in found if stands_in(r[0], plan["root"])]), fresh(own)
         # A page may hold its article beside the place that the template gives it.
-        if slots:
-            return "\n".join(slots if len(slots) >= len(own) else own)
-    return "\n".join(own or [t for _, t, _ in found])
+        if slots or articles:
+            return "\n".join(slots if len(slots) >= len(articles) else articles)
+    return "\n".join(t for _, t, _ in own or found)
 
 
 def distinct_contents(pages: DataFrame) -> DataFrame:
