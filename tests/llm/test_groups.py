@@ -262,3 +262,51 @@ def test_every_long_shared_span_is_found(spark):
         w = t.split()
         hit = {p for k in range(len(w) - 12) if tuple(w[k : k + 13]) in grams for p in range(k, k + 13)}
         assert got[i] == len(hit)
+
+
+def test_short_items_of_every_length_in_one_scan(spark, tmp_path):
+    """Items of 1 to 15 words against documents that hold, break and repeat them."""
+    rng = random.Random(7)
+    items = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(1 + i % 15))) for i in range(1, 46)]
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += [" x ".join(t for _, t in items), items[13][1] + " " + items[13][1], items[1][1], "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d, b = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.matched(d, b)
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in out.collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        words, hit, named = (text or "").split(), set(), set()
+        for item, t in items:
+            of = t.split()
+            windows = [of[k : k + 13] for k in range(max(1, len(of) - 12))]
+            for w in windows:
+                for at in range(len(words) - len(w) + 1):
+                    if words[at : at + len(w)] == w:
+                        hit |= set(range(at, at + len(w)))
+                        named.add(str(item))
+        want[i] = (len(words), len(hit), sorted(named))
+    assert got == want and sum(n for _, n, _ in want.values()) > 500
+
+
+def test_documents_are_hashed_once_whatever_the_lengths(spark, monkeypatch, tmp_path):
+    read = []
+    plain = decontaminate.winnowed
+    monkeypatch.setattr(decontaminate, "winnowed", lambda df, keep, *a: read.append(keep) or plain(df, keep, *a))
+    d = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join("abcdefghijkl"[:i])) for i in range(1, 13)], "item_id long, text string")
+    assert decontaminate.matched(d, b).first().n_hit == 5
+    assert read.count(["id"]) == 1
+
+
+def test_long_texts_of_5_mb(spark):
+    """Near-duplicates and benchmark hits in texts of 5 MB, in closed form."""
+    long = " ".join(f"w{i}" for i in range(700_000))
+    item = " ".join(f"w{i}" for i in range(350_000, 350_020))
+    rows = [(1, long), (2, long + " end"), (3, "w5 w6 w7"), (4, " ".join(f"v{i}" for i in range(700_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "w7")], "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.matched(df, b).collect()}
+    assert hits == {1: (700_000, 21, ["1", "2"]), 2: (700_001, 21, ["1", "2"]), 3: (3, 1, ["2"]), 4: (700_000, 0, [])}
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.grouped(df).collect()}
+    assert groups == {1: (699_996, 1), 2: (699_997, 1), 3: (1, 3), 4: (699_996, 4)}

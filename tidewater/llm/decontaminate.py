@@ -5,9 +5,11 @@ of W consecutive K-grams, with K + W - 1 = the span that has to be found.  So
 any shared span of that many words shares a fingerprint.  Documents' and items'
 fingerprints meet in an equi-join; each hit is extended to the whole spans that
 have this fingerprint as their least: they must agree in the hash of all their
-words as well.  Items shorter than the span are one window each, looked for by
-their own length (K = length, W = 1).  Hashes have 64 bits; fingerprint and span
-together tell texts apart.
+words as well.  Items shorter than the span are one window each.  Their fingerprint
+is the gram of the shortest such length that they begin with, and each place of a
+document carries this gram and the spans of all short lengths, so that one scan
+serves every length and a place meets the join once.  Hashes have 64 bits;
+fingerprint and span together tell texts apart.
 
 The benchmark's tables are written first, so that Spark knows their size and
 broadcasts them below its threshold; beyond it the joins are adaptive shuffle
@@ -66,12 +68,20 @@ def grams(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df
 
 
-def winnowed(df: DataFrame, keep: list[str], span: int, gram: int) -> DataFrame:
-    """(keep, fingerprint, start, spans): a row per run of neighbouring spans with the
-    same least gram hash; ``spans`` holds the hashes of the run's spans."""
+def winnowed(df: DataFrame, keep: list[str], span: int, gram: int, short: tuple[int, ...] = ()) -> DataFrame:
+    """(keep, fingerprint, start, spans, short): a row per run of neighbouring spans with the
+    same least gram hash; ``spans`` holds the hashes of the run's spans.  With ``short``
+    lengths, ascending, also a row per place, with the gram of the shortest length as
+    fingerprint and the spans of all of them, null beyond the text's end."""
     window = span - gram + 1
-    out = grams(df, [gram, span])
-    out = out.select(*keep, P + "n", F.col(f"{P}{gram}").alias(P + "m"), F.col(f"{P}{span}").alias(P + "s"))
+    out = grams(df, [gram, span, *short])
+    out = out.select(
+        *keep,
+        P + "n",
+        F.col(f"{P}{gram}").alias(P + "m"),
+        F.col(f"{P}{span}").alias(P + "s"),
+        *[F.col(f"{P}{size}").alias(f"{P}w{size}") for size in short],
+    )
     reach = 1
     while reach < window:
         step = min(reach, window - reach)
@@ -87,21 +97,41 @@ def winnowed(df: DataFrame, keep: list[str], span: int, gram: int) -> DataFrame:
         F.get(m, i).alias("fingerprint"),
         i.alias("start"),
         F.slice(F.col(P + "s"), i + 1, F.coalesce(j, F.size(m)) - i).alias("spans"),
+        F.lit(False).alias("short"),
+    )
+    rows = _later(P + "r", 1, run)
+    if short:
+        place = lambda h, i: F.struct(
+            h.alias("fingerprint"),
+            i.alias("start"),
+            F.array(*[F.when(i + size <= F.col(P + "n"), F.get(f"{P}w{size}", i)) for size in short]).alias("spans"),
+            F.lit(True).alias("short"),
+        )
+        rows = F.concat(rows, F.transform(_cut(f"{P}w{short[0]}", short[0]), place))
+    return out.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.*")
+
+
+def unfolded(runs: DataFrame, keep: list[str], span: int, short: tuple[int, ...] = ()) -> DataFrame:
+    """(keep, fingerprint, start, span, size) of each span of the rows of ``winnowed``."""
+    out = runs.select(*keep, "fingerprint", "start", "short", F.posexplode("spans").alias("j", "span"))
+    sizes = F.array(*[F.lit(m) for m in short or (span,)])
+    return out.where(F.col("span").isNotNull()).select(
+        *keep,
+        "fingerprint",
+        F.when(F.col("short"), F.col("start")).otherwise(F.col("start") + F.col("j")).alias("start"),
+        "span",
+        F.when(F.col("short"), F.get(sizes, "j")).otherwise(F.lit(span)).alias("size"),
     )
-    return out.select(*keep, F.explode(_later(P + "r", 1, run)).alias("x")).select(*keep, "x.*")
-
-
-def unfolded(runs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, fingerprint, start, span) of each span of the runs."""
-    out = runs.select(*keep, "fingerprint", "start", F.posexplode("spans").alias("j", "span"))
-    return out.select(*keep, "fingerprint", (F.col("start") + F.col("j")).alias("start"), "span")
 
 
-def short_windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """(keep, fingerprint, start, span) of every gram of ``size`` words; its fingerprint is its size."""
-    out = grams(df, [size])
-    out = out.select(*keep, F.posexplode(_cut(f"{P}{size}", size)).alias("start", "span"))
-    return out.select(*keep, F.lit(size).cast("long").alias("fingerprint"), "start", "span")
+def short_windows(items: DataFrame, keep: list[str], short: tuple[int, ...]) -> DataFrame:
+    """(keep, fingerprint, span, size) of each item that is one window of a short length."""
+    out = grams(items, list(short))
+    whole = F.coalesce(*[F.when(F.col(P + "n") == m, F.get(f"{P}{m}", F.lit(0))) for m in short])
+    out = out.where(F.col(P + "n").isin(*short))
+    return out.select(
+        *keep, F.get(f"{P}{short[0]}", F.lit(0)).alias("fingerprint"), whole.alias("span"), F.col(P + "n").alias("size")
+    )
 
 
 def matched(
@@ -119,31 +149,23 @@ def matched(
     as (first word, words)."""
     items = hashed(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), ["item"], "text")
     lengths = items.where((F.col(P + "n") > 0) & (F.col(P + "n") < span)).select(P + "n").distinct()
-    short = sorted(r[0] for r in lengths.collect())  # below ``span`` different values at most
-    long_items = unfolded(winnowed(items, ["item"], span, gram), ["item"]).withColumn("size", F.lit(span))
-    parts = [long_items.drop("start")]
-    for m in short:
-        own = short_windows(items.where(F.col(P + "n") == m), ["item"], m)
-        parts.append(own.drop("start").withColumn("size", F.lit(m)))
-    windows = parts[0]
-    for p in parts[1:]:
-        windows = windows.unionByName(p)
+    short = tuple(sorted(r[0] for r in lengths.collect()))  # below ``span`` different values at most
+    windows = unfolded(winnowed(items, ["item"], span, gram), ["item"], span).drop("start")
+    if short:
+        windows = windows.unionByName(short_windows(items, ["item"], short))
     windows = materialised(windows.distinct(), "decontaminate-windows")
-    prints = windows.where(F.col("size") == span).select("fingerprint").distinct()
     known = windows.select("fingerprint", "span", "size").distinct()
+    prints = known.select("fingerprint", (F.col("size") < span).alias("short")).distinct()
 
     docs = hashed(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text")
-    runs = winnowed(docs, ["id"], span, gram).join(prints, "fingerprint", "left_semi")
-    found = unfolded(runs, ["id"])
-    for m in short:
-        found = found.unionByName(short_windows(docs, ["id"], m))
-    hits = found.join(known, ["fingerprint", "span"])
+    runs = winnowed(docs, ["id"], span, gram, short).join(prints, ["fingerprint", "short"], "left_semi")
+    hits = unfolded(runs, ["id"], span, short).join(known, ["fingerprint", "span", "size"])
     # Written once: two aggregates read it.
     hits = materialised(hits.select("id", "start", "size", "fingerprint", "span"), "decontaminate-hits")
 
     placed = F.sort_array(F.collect_set(F.struct("start", "size")))
     places = hits.groupBy("id").agg(placed.alias("hits"))
-    named = hits.select("id", "fingerprint", "span").distinct().join(windows, ["fingerprint", "span"])
+    named = hits.select("id", "fingerprint", "span", "size").distinct().join(windows, ["fingerprint", "span", "size"])
     named = named.groupBy("id").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     named = named.withColumnRenamed("id", "owner")
     both = places.join(named, F.col("id").eqNullSafe(F.col("owner")), "left")
