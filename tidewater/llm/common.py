@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.scratch import scratch_path
+
 U64 = np.uint64
 # White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -23,16 +24,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """New folder name below the shared folder of ``spark.checkpoint.dir``.
 
     Only a purely local session (one process) may do without that option; it
-    then gets a temporary folder.  Elsewhere a missing option is an error.
+    then gets a temporary folder, its options staying as they are.  Elsewhere a missing
+    option is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidewater-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return scratch_path(spark, label)
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
