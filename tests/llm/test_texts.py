@@ -357,3 +357,21 @@ def test_deep_host_equals_its_pages(spark):
     page = "<html><body><nav>m</nav>" + '<div class="wrapping-column">' * 60 + "<p>text %d</p><p>Same</p>" + "</div>" * 60 + "<div>foot</div></body></html>"
     got = texts_of(spark, [(i, "http://a.example/", page % i) for i in range(4)])
     assert got == {i: f"text {i}" for i in range(4)}
+
+
+def test_texts_of_5_mb(spark):
+    """Archives, statistics and chats of one text of 5 MB each, in closed form."""
+    n = 700_000
+    long = " ".join(f"w{i}" for i in range(n))
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, len(r.payload or b"")) for r in warc.archived(pages, "d").collect()}
+    assert got == {1: ("revisit", 2, 0), 2: ("response", None, len(long))}
+
+    docs = spark.createDataFrame([(1, long), (2, "# a\n" * n)], "doc_id long, text string")
+    rows = quality.with_statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert {tuple(r) for r in rows.collect()} == {(1, n, len(long) - n + 1, 0, 0, 0), (2, 2 * n, 2 * n, n, n - 1, 2 * n)}
+
+    turns = [(1, 0, "user", "</s>" + long), (1, 1, "assistant", long)]
+    out = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    row = out.withColumn("loss", chat.loss_text(F.col("segments"))).first()
+    assert row.n_turns == 2 and row.valid and row.loss == long
