@@ -7,6 +7,7 @@ import re
 import time
 import tracemalloc
 
+import numpy as np
 import pytest
 from compare import connect, diff
 from pyspark.sql import functions as F
@@ -51,6 +52,30 @@ def test_lm_edge_rows(spark):
     assert lm.scored(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_messages_follow_the_text(spark, documents, monkeypatch):
+    """Buckets and shards depend on bytes, never on shuffle partitions; a bucket sends a row per distinct n-gram at most."""
+    assert lm.dealt(0, 2) == (1, lm.SHARDS)
+    assert lm.dealt(40 * lm.BUCKET_BYTES, 2)[0] == 41
+    words = np.array([5, 5, 9 << 60, lm.END], lm.U64)
+    for shards in (64, 1 << 20):
+        sent = list(lm.requests(0, words, np.array([4]), np.array([True]), 3, shards))
+        assert [b.num_rows for b in sent] == [min(b.num_rows, 4) for b in sent]
+        assert sum(len(r) for b in sent for r in b.column("keys").to_pylist()) == 8 * (4 + 4 + 3)
+    empty = list(lm.requests(7, words[3:], np.array([1]), np.array([True]), 3, 64))[2]  # no n-gram of three words
+    assert empty.num_rows == 1 and empty.column("keys").to_pylist() == [b""]
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 20000)
+    few = documents.where("doc_id < 60")
+    want, kept = None, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.doc_id: tuple(r)[1:] for r in lm.scored(few, held(), order=3).collect()}
+            close(got, want or got)
+            want = got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_lm_distributions_sum_to_one(spark):
     """All words after a context, with one class for the unseen ones: text scores differ by the next word only."""
     train = [(0, "a b a c"), (1, "a b b"), (3, "c a")]

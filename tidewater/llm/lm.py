@@ -15,17 +15,21 @@ meets a word it has not been seen with.  With one class for all unseen words
 each distribution sums to one.
 
 The model grows with the corpus and is nowhere whole.  Documents are dealt to
-buckets; a bucket sends its distinct n-grams (hashes and training counts, as
-packed arrays) to shards by hash; a shard adds up and answers every bucket with
-the counts of what it asked for and with its share of the totals; a bucket
-builds the part of the automaton that its texts can reach and traverses it.
-A frequent word is one entry per bucket, so no shard is hot.  All of it is one
-Spark plan, in which the documents' exchange is used twice.
+buckets of some BUCKET_BYTES, whatever the number of shuffle partitions; a bucket
+sends its distinct n-grams (hashes and training counts, as packed arrays) to
+shards by hash, nothing where it has none; a shard adds up and answers each
+bucket with the counts of what it asked for; the totals of a length, one row
+each, are added up beside that and broadcast; a bucket builds the part of the
+automaton that its texts can reach and traverses it.  A frequent word is one
+entry per bucket, so no shard is hot, and a bucket sends at most a row per
+distinct n-gram.  All of it is one Spark plan, in which the exchanges of the
+documents and of the requests are used twice each.
 
 Defined results: a null text has only the end token; a null id belongs to the
-training part; repeated rows count as often as they occur; without training
-rows every token has probability one by the base and the model; an empty table
-gives no rows.
+training part; repeated rows count as often as they occur and, being equal in id
+and text, share a bucket; a text longer than BUCKET_BYTES is a bucket of its own
+size; without training rows every token has probability one by the base and the
+model; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,20 +55,21 @@ from tidewater.llm.common import (
 
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)  # marks before the first and after the last word
 SLICE = 4 << 20  # bytes tokenised at once
-BUCKETS = 2  # buckets per shuffle partition
+BUCKET_BYTES = 4 << 20  # text of a bucket, on average
+SHARD_BYTES = 32 << 20  # text per shard and n-gram length, on average
+SHARDS = 64  # shards of small inputs
 
 REQUEST = "shard int, bucket int, length int, keys binary, counts binary"
 _REQUEST = pa.schema(
     [("shard", pa.int32()), ("bucket", pa.int32()), ("length", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 )
-ANSWER = (
-    "bucket int, shard int, length int, low binary, place binary, high binary, tokens long, types long, once long"
-)
+ANSWER = "bucket int, shard int, length int, low binary, place binary, high binary"
 _ANSWER = pa.schema(
     [("bucket", pa.int32()), ("shard", pa.int32()), ("length", pa.int32())]
     + [(n, pa.binary()) for n in ("low", "place", "high")]
-    + [(n, pa.int64()) for n in ("tokens", "types", "once")]
 )
+TOTAL = "length int, tokens long, types long, once long"
+_TOTAL = pa.schema([("length", pa.int32())] + [(n, pa.int64()) for n in ("tokens", "types", "once")])
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,41 +133,74 @@ def requests(bucket: int, words, sizes, train, order: int, shards: int) -> Itera
         total = np.zeros(len(every), np.uint32)
         total[np.searchsorted(every, own)] = counts
         cuts = shard_cuts(every, shards)
+        filled = np.flatnonzero(np.diff(cuts)).tolist() or [0]  # without n-grams, an empty slice asks for the totals
         rows = [
             (s, bucket, length, packed_keys(every[cuts[s] : cuts[s + 1]]), total[cuts[s] : cuts[s + 1]].tobytes())
-            for s in range(shards)  # empty ones too: each bucket needs every shard's totals
+            for s in filled
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REQUEST)], schema=_REQUEST)
 
 
-def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """A shard: sums of the counts of each n-gram, given back to all that asked."""
-    for length in sorted({r[2] for r in rows}):
-        asked = [(r[0], r[1], unpacked_keys(r[3]), np.frombuffer(r[4], np.uint32)) for r in rows if r[2] == length]
-        keys = np.concatenate([a[2] for a in asked])
-        counts = np.concatenate([a[3] for a in asked]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = keys[order][1:] != keys[order][:-1]
-        begins = np.flatnonzero(fresh)
-        total = np.add.reduceat(counts[order], begins) if len(begins) else np.zeros(0, np.int64)
-        of = np.empty(len(keys), np.int64)
-        of[order] = np.cumsum(fresh) - 1
-        # BEGIN is a context and no token.
-        word = total if length > 1 else total[keys[order][begins] != BEGIN]
-        totals = (int(word.sum()), int((word > 0).sum()), int((word == 1).sum()))
-        at, out = 0, []
-        for shard, bucket, own, _ in asked:
-            found = total[of[at : at + len(own)]]
-            at += len(own)
-            high = np.flatnonzero(found > 254)
-            low = np.minimum(found, 255).astype(np.uint8)
-            out.append((bucket, shard, length, low.tobytes(), high.astype(np.uint32).tobytes(), found[high].tobytes(), *totals))
-        for i in range(0, len(out), 500):
-            part = list(zip(*out[i : i + 500]))
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The requests of one shard and length after the other, from rows sorted by both."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and (held[0][0], held[0][2]) != (row[0], row[2]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def added(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys of a shard's requests, their total counts, for each key asked the place in these)."""
+    keys = np.concatenate([unpacked_keys(r[3]) for r in rows])
+    counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
+    order = np.argsort(keys, kind="stable")
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[order][1:] != keys[order][:-1]
+    begins = np.flatnonzero(fresh)
+    total = np.add.reduceat(counts[order].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return keys[order][begins], total, of
+
+
+def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each n-gram, given back to all that asked."""
+    for rows in by_shard(batches):
+        _, total, of = added(rows)
+        at = 0
+        for i in range(0, len(rows), 500):
+            out = []
+            for shard, bucket, length, _, asked in rows[i : i + 500]:
+                n = len(asked) // 4
+                found = total[of[at : at + n]]
+                at += n
+                high = np.flatnonzero(found > 254)
+                low = np.minimum(found, 255).astype(np.uint8)
+                out.append((bucket, shard, length, low.tobytes(), high.astype(np.uint32).tobytes(), found[high].tobytes()))
+            part = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _ANSWER)], schema=_ANSWER)
 
 
+def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's share of the totals of a length: tokens learned from, distinct ones, ones that occurred once."""
+    out: dict[int, list[int]] = {}
+    for rows in by_shard(batches):
+        length = rows[0][2]
+        keys, total, _ = added(rows)
+        word = total if length > 1 else total[keys != BEGIN]  # BEGIN is a context and no token
+        own = out.setdefault(length, [0, 0, 0])
+        for k, n in enumerate((word.sum(), (word > 0).sum(), (word == 1).sum())):
+            own[k] += int(n)
+    if out:
+        part = list(zip(*[(length, *own) for length, own in out.items()]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _TOTAL)], schema=_TOTAL)
+
+
 class Automaton:
     """The part of the model that a bucket's texts can reach.
 
@@ -234,30 +272,32 @@ class Automaton:
         return out
 
 
+def dealt(size: int, order: int) -> tuple[int, int]:
+    """(buckets, shards) for ``size`` bytes of text."""
+    return 1 + size // BUCKET_BYTES, max(SHARDS, order * size // SHARD_BYTES)
+
+
 def scored(
     df: DataFrame, held_out: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row;
     the model learns from rows where ``held_out`` is false or null."""
-    spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    buckets = n * BUCKETS
+    n = shuffle_partitions(df.sparkSession)
+    size = df.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    buckets, shards = dealt(size, order)
+    text = text_or_empty(text_col)
     docs = df.select(
-        F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(id_col, text), F.lit(buckets)).cast("int").alias("bucket"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(held_out, F.lit(False)).alias("held"),
-        text_or_empty(text_col).alias("text"),
+        text.alias("text"),
     ).repartition(n, "bucket")
 
     def ask(table: pa.Table) -> pa.Table:
         words, sizes = tokens(table.column("text"))
         train = ~table.column("held").to_numpy()
         bucket = table.column("bucket")[0].as_py()
-        return pa.Table.from_batches(list(requests(bucket, words, sizes, train, order, n)), schema=_REQUEST)
-
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-        yield from answers(rows)
+        return pa.Table.from_batches(list(requests(bucket, words, sizes, train, order, shards)), schema=_REQUEST)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         words, sizes = tokens(left.column("text"))
@@ -273,7 +313,7 @@ def scored(
                 part[np.frombuffer(r[4], np.uint32)] = np.frombuffer(r[5], np.int64)
                 parts.append(part)
             found[length] = np.concatenate(parts)
-            totals[length] = tuple(sum(r[k] for r in rows) for k in (6, 7, 8))
+            totals[length] = rows[0][6:]
         model = Automaton(words, sizes, order, found, totals)
         begins = np.cumsum(sizes) - sizes
         return pa.table(
@@ -289,7 +329,11 @@ def scored(
         )
 
     asked = docs.groupBy("bucket").applyInArrow(ask, REQUEST)
-    answered = asked.repartitionById(n, F.col("shard")).mapInArrow(reply, ANSWER)
+    asked = asked.repartitionById(min(n, shards), F.pmod("shard", F.lit(min(n, shards))).cast("int"))
+    asked = asked.sortWithinPartitions("shard", "length")
+    totals = asked.mapInArrow(shares, TOTAL).groupBy("length").agg(*[F.sum(c).alias(c) for c in ("tokens", "types", "once")])
+    answered = asked.mapInArrow(answers, ANSWER).join(F.broadcast(totals), "length")  # a row per length
+    answered = answered.select("bucket", "shard", "length", "low", "place", "high", "tokens", "types", "once")
     out = docs.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(
         score,
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
