@@ -5,6 +5,7 @@ import random
 import hashlib
 import pytest
 from compare import connect, diff
+from pyspark.sql import functions as F
 
 import brute
 from conftest import SF_DIR
@@ -289,6 +290,21 @@ def test_short_items_of_every_length_in_one_scan(spark, tmp_path):
     assert got == want and sum(n for _, n, _ in want.values()) > 500
 
 
+def test_places_without_a_bit_stay_in_the_row(spark):
+    """Of 20,000 words only those whose gram sets a bit of the short items' table become rows; no hit is lost."""
+    text = " ".join(f"w{i}" for i in range(20_000))
+    d = decontaminate.hashed(spark.createDataFrame([(1, text)], "id long, text string"), ["id"], "text")
+    prints = spark.range(0, 20_000, 200).select(F.xxhash64(F.concat(F.lit("w"), "id")).alias("fingerprint"))
+    left = decontaminate.winnowed(d, ["id"], 13, 8, (1, 2), decontaminate.bit_table(prints)).where("short")
+    starts = {r.start for r in left.collect()}
+    assert set(range(0, 20_000, 200)) <= starts and len(starts) < 200
+    h = F.col("h")
+    edge = spark.createDataFrame([(x,) for x in (0, -1, 63, -(2**63), 2**63 - 1)], "h long")
+    table = decontaminate.bit_table(edge.withColumnRenamed("h", "fingerprint"))
+    assert edge.where(decontaminate.has_bit(table, h)).count() == 5
+    assert spark.range(64, 1000).where(decontaminate.has_bit(table, F.col("id"))).count() == 0
+
+
 def test_documents_are_hashed_once_whatever_the_lengths(spark, monkeypatch, tmp_path):
     read = []
     plain = decontaminate.winnowed

@@ -8,7 +8,8 @@ have this fingerprint as their least: they must agree in the hash of all their
 words as well.  Items shorter than the span are one window each.  Their fingerprint
 is the gram of the shortest such length that they begin with, and each place of a
 document carries this gram and the spans of all short lengths, so that one scan
-serves every length and a place meets the join once.  Hashes have 64 bits;
+serves every length and a place meets the join once.  Places whose gram sets no bit
+in a table of BITS bits over the short items' grams are left inside the row.  Hashes have 64 bits;
 fingerprint and span together tell texts apart.
 
 The benchmark's tables are written first, so that Spark knows their size and
@@ -31,6 +32,7 @@ from tidewater.llm.common import lowered, materialised, text_or_empty
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 13
 GRAM = 8
+BITS = 1 << 18  # of the table of short items' grams: 32 kB, whatever the benchmark's size
 P = "__d_"
 
 
@@ -68,11 +70,31 @@ def grams(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df
 
 
-def winnowed(df: DataFrame, keep: list[str], span: int, gram: int, short: tuple[int, ...] = ()) -> DataFrame:
+def bit_table(prints: DataFrame) -> Column:
+    """Constant array of BITS bits, as longs, in which each ``fingerprint`` sets one."""
+    place = F.col("fingerprint").bitwiseAND(F.lit(BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    rows = prints.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit)).collect()  # BITS / 64 at most
+    table = ["0"] * (BITS // 64)
+    for word, bits in rows:
+        table[word] = str(bits)
+    return F.split(F.lit(",".join(table)), ",").cast("array<long>")
+
+
+def has_bit(table: Column, h: Column) -> Column:
+    place = h.bitwiseAND(F.lit(BITS - 1))
+    word = F.get(table, F.shiftright(place, 6).cast("int"))
+    return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def winnowed(
+    df: DataFrame, keep: list[str], span: int, gram: int, short: tuple[int, ...] = (), table: Column | None = None
+) -> DataFrame:
     """(keep, fingerprint, start, spans, short): a row per run of neighbouring spans with the
     same least gram hash; ``spans`` holds the hashes of the run's spans.  With ``short``
-    lengths, ascending, also a row per place, with the gram of the shortest length as
-    fingerprint and the spans of all of them, null beyond the text's end."""
+    lengths, ascending, also a row per place whose gram of the shortest length has a bit in
+    ``table``, with that gram as fingerprint and the spans of all of them, null beyond the
+    text's end."""
     window = span - gram + 1
     out = grams(df, [gram, span, *short])
     out = out.select(
@@ -101,13 +123,17 @@ def winnowed(df: DataFrame, keep: list[str], span: int, gram: int, short: tuple[
     )
     rows = _later(P + "r", 1, run)
     if short:
-        place = lambda h, i: F.struct(
-            h.alias("fingerprint"),
-            i.alias("start"),
-            F.array(*[F.when(i + size <= F.col(P + "n"), F.get(f"{P}w{size}", i)) for size in short]).alias("spans"),
-            F.lit(True).alias("short"),
+        place = lambda h, i: F.when(
+            has_bit(table, h),
+            F.struct(
+                h.alias("fingerprint"),
+                i.alias("start"),
+                F.array(*[F.when(i + size <= F.col(P + "n"), F.get(f"{P}w{size}", i)) for size in short]).alias("spans"),
+                F.lit(True).alias("short"),
+            ),
         )
-        rows = F.concat(rows, F.transform(_cut(f"{P}w{short[0]}", short[0]), place))
+        places = F.transform(_cut(f"{P}w{short[0]}", short[0]), place)
+        rows = F.concat(rows, F.filter(places, lambda x: x.isNotNull()))
     return out.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.*")
 
 
@@ -158,7 +184,8 @@ def matched(
     prints = known.select("fingerprint", (F.col("size") < span).alias("short")).distinct()
 
     docs = hashed(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text")
-    runs = winnowed(docs, ["id"], span, gram, short).join(prints, ["fingerprint", "short"], "left_semi")
+    table = bit_table(prints.where("short")) if short else None
+    runs = winnowed(docs, ["id"], span, gram, short, table).join(prints, ["fingerprint", "short"], "left_semi")
     hits = unfolded(runs, ["id"], span, short).join(known, ["fingerprint", "span", "size"])
     # Written once: two aggregates read it.
     hits = materialised(hits.select("id", "start", "size", "fingerprint", "span"), "decontaminate-hits")
