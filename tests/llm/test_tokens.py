@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -58,6 +59,35 @@ def test_encode_decode_rows(spark, enc):
     assert bpe.encoded(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_round_trip_takes_one_worker(spark, documents):
+    """Each evaluation in a plan is a further Python worker for every running task."""
+    from tidewater.llm import stages
+
+    for df in (queries.op1(spark, SF_DIR), stages.byte_bpe(spark, documents, SF_DIR)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_results_leave_in_parts(enc):
+    """The results of a large batch, here of 10 MB, are never held as a whole."""
+    texts = pa.array(["Quiet boats came in, 12 gulls. " * 107] * 3_000)
+    rows = 0
+    for out in bpe.coded(enc, iter([texts]), back=True):
+        assert out.nbytes < 4 * bpe.PART
+        assert out.field("decoded").cast(pa.string()).equals(texts.slice(rows, len(out)))
+        rows += len(out)
+    assert rows == len(texts)
+
+
+def test_round_trip_rows(spark, enc):
+    rows = [(1, "Straße 12\n\n  x"), (2, None), (2, ""), (None, "é" * 50), (3, "ab 1" * (bpe.PART // 3)), (4, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    both = bpe.round_trip(spark, RANKS, P.PATTERN, "text").alias("c")
+    got = [(r.doc_id, r.c.n_tokens, bytes(r.c.ids), bytes(r.c.decoded)) for r in df.select("doc_id", both).collect()]
+    ids = [np.asarray(bpe.encode_text(enc, t or ""), "<u4") for _, t in rows]
+    assert got == [(i, len(n), n.tobytes(), (t or "").encode()) for (i, t), n in zip(rows, ids, strict=True)]
+    assert df.limit(0).select(both).count() == 0
+
+
 def test_op1_equals_library(spark, enc, texts):
     got = {r.doc_id: tuple(r)[1:] for r in queries.op1(spark, SF_DIR).collect()}
     digest = lambda b: hashlib.sha256(b).hexdigest()

@@ -3,7 +3,9 @@
 Texts are cut at places where a match of the pre-split pattern always ends, so
 that a long text goes through the library in short pieces with the same result.
 Ids leave the operator packed (little-endian unsigned 32-bit), the layout in
-which token files are stored; ``unpack_ids`` gives an array column.
+which token files are stored; ``unpack_ids`` gives an array column.  Results
+leave the worker in parts, so that it holds the batch that Spark sent and the
+ids of few texts beside it, however many rows a batch has.
 
 Defined results: a null text encodes as the empty text, which has no tokens and
 no bytes; null ids decode to null; rows are independent of each other, so
@@ -22,8 +24,9 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import text_or_empty
+from tidewater.llm.common import flat_bytes, slices, text_or_empty
 
+PART = 2 << 20  # bytes of texts or ids whose results are held at once, one row at least
 PIECE = 20_000  # characters that go to the library at once, where a safe boundary exists
 RUN = 2_000  # white space runs from this length on are encoded apart from the pattern
 
@@ -87,23 +90,48 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
     return ids
 
 
+def parts(batches: Iterator[pa.Array], most: int = PART) -> Iterator[pa.Array]:
+    """The rows of text or binary batches in parts of at most ``most`` bytes, one row at least."""
+    for batch in batches:
+        if len(batch):
+            for i, j in slices(flat_bytes(batch)[1], most):
+                yield batch.slice(i, j - i)
+
+
+def packed(enc: tiktoken.Encoding, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(number of tokens, packed ids) of texts without nulls."""
+    sizes, ids = [], []
+    for value in texts:
+        row = np.asarray(encode_text(enc, value.as_py()), "<u4")
+        sizes.append(len(row))
+        ids.append(row.tobytes())
+    return pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())
+
+
+def unpacked(enc: tiktoken.Encoding, ids: pa.Array) -> pa.Array:
+    out = [None if not v.is_valid else enc.decode_bytes(np.frombuffer(v.as_buffer(), "<u4").tolist()) for v in ids]
+    return pa.array(out, pa.binary())
+
+
+def coded(enc: tiktoken.Encoding, batches: Iterator[pa.Array], back: bool = False) -> Iterator[pa.Array]:
+    """Structs of ``n_tokens`` and ``ids``; with ``back`` also ``decoded``, the bytes of those ids."""
+    for texts in parts(batches):
+        sizes, ids = packed(enc, texts)
+        if back:
+            yield pa.StructArray.from_arrays([sizes, ids, unpacked(enc, ids)], ["n_tokens", "ids", "decoded"])
+        else:
+            yield pa.StructArray.from_arrays([sizes, ids], ["n_tokens", "ids"])
+
+
 def encode(spark: SparkSession, ranks_path: str, pattern: str, text: str | Column) -> Column:
     """Struct of ``n_tokens`` (long) and ``ids`` (binary, packed) for a text column."""
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     @F.arrow_udf("n_tokens long, ids binary")
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(ranks.value, pattern)
-        for batch in batches:
-            sizes, ids = [], []
-            for value in batch:
-                row = np.asarray(encode_text(enc, value.as_py()), "<u4")
-                sizes.append(len(row))
-                ids.append(row.tobytes())
-            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], fields=list(kind))
+    def encoding(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from coded(encoder(ranks.value, pattern), batches)
 
-    return packed(text_or_empty(text))
+    return encoding(text_or_empty(text))
 
 
 def decode(spark: SparkSession, ranks_path: str, pattern: str, ids: str | Column) -> Column:
@@ -111,16 +139,27 @@ def decode(spark: SparkSession, ranks_path: str, pattern: str, ids: str | Column
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")
-    def unpacked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def decoding(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(ranks.value, pattern)
-        for batch in batches:
-            out = [
-                None if not v.is_valid else enc.decode_bytes(np.frombuffer(v.as_buffer(), "<u4").tolist())
-                for v in batch
-            ]
-            yield pa.array(out, pa.binary())
-
-    return unpacked(F.col(ids) if isinstance(ids, str) else ids)
+        for part in parts(batches):
+            yield unpacked(enc, part)
+
+    return decoding(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def round_trip(spark: SparkSession, ranks_path: str, pattern: str, text: str | Column) -> Column:
+    """Struct of ``n_tokens``, ``ids`` and ``decoded`` (the bytes of those ids) for a text column.
+
+    Both ways share a worker; ``decode`` of what ``encode`` gives takes two for
+    each running task, and sends all ids to the second one.
+    """
+    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    @F.arrow_udf("n_tokens long, ids binary, decoded binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from coded(encoder(ranks.value, pattern), batches, back=True)
+
+    return both(text_or_empty(text))
 
 
 def unpack_ids(ids: str | Column) -> Column:

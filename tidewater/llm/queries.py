@@ -51,13 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_byte_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
-    ids = bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(spark, ranks, public_tokenizers.PATTERN, "ids")
-    return ids.select(
+    coded = bpe.round_trip(spark, ranks, public_tokenizers.PATTERN, "text").alias("coded")
+    return table(spark, sf_dir, "documents").select("doc_id", coded).select(
         "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decoded, 256).alias("decoded_sha256"),
+        "coded.n_tokens",
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 

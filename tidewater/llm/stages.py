@@ -73,9 +73,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids and the digest of the decoded bytes."""
     ship(spark)
     ranks = public_tokenizers.path(RANKS)
-    ids = docs.select(
-        "doc_id", "lang", "source", bpe.encode(spark, ranks, public_tokenizers.PATTERN, "text").alias("encoded")
-    )
-    ids = ids.select("doc_id", "lang", "source", "encoded.n_tokens", "encoded.ids")
-    decoded = bpe.decode(spark, ranks, public_tokenizers.PATTERN, "ids")
-    return ids.withColumn("decoded_sha256", F.sha2(decoded, 256))
+    coded = bpe.round_trip(spark, ranks, public_tokenizers.PATTERN, "text").alias("coded")
+    out = docs.select("doc_id", "lang", "source", coded)
+    digest = F.sha2("coded.decoded", 256).alias("decoded_sha256")
+    return out.select("doc_id", "lang", "source", "coded.n_tokens", "coded.ids", digest)
