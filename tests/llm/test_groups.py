@@ -3,6 +3,8 @@
 import random
 
 import hashlib
+import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, diff
 from pyspark.sql import functions as F
@@ -326,3 +328,36 @@ def test_long_texts_of_5_mb(spark):
     assert hits == {1: (700_000, 21, ["1", "2"]), 2: (700_001, 21, ["1", "2"]), 3: (3, 1, ["2"]), 4: (700_000, 0, [])}
     groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.grouped(df).collect()}
     assert groups == {1: (699_996, 1), 2: (699_997, 1), 3: (1, 3), 4: (699_996, 4)}
+
+
+def test_full_sets_leave_in_parts(monkeypatch):
+    """A worker holds the sets of a few texts beside its batch, whatever the batch has."""
+    monkeypatch.setattr(near_dedup, "PART", 500)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in [*rng.choices(range(200), k=300), 3000]]
+    sets = list(near_dedup.shingles(pa.array(texts), 5))
+    d1 = [int(near_dedup.first_digest(s).view(np.int64)) for s in sets]
+    d1[7] += 1  # a row that shares the id of another text
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(d1)], names=["id", "text", "d1"])
+    out = list(near_dedup.full_sets(iter([batch, batch.slice(0, 0)]), 5))
+    sizes = [[len(v.as_py()) // 8 for v in b.column(1)] for b in out]
+    assert all(sum(s) <= 500 or len(s) == 1 for s in sizes) and sum(map(len, sizes)) == len(texts) - 1
+    got = {i: s for b in out for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert got == {i: s.astype("<u8").tobytes() for i, s in enumerate(sets) if i != 7}
+
+
+def test_spans_are_evaluated_once(spark, documents, monkeypatch):
+    """One worker a task for the spans, and no file per shard for the places."""
+    plans, files, write = {}, {}, suffix_dedup.materialised
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        out = write(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialised", written)
+    shards = suffix_dedup.shuffle_partitions(spark) * suffix_dedup.SHARDS
+    assert suffix_dedup.repeated_spans(documents).count() > 0
+    assert plans["suffix-spans"].count("ArrowEvalPython") == 1
+    assert files["suffix-found"] < shards

@@ -80,7 +80,8 @@ CHUNK = 512
 SIGMAS = 4.5
 TINY = 64  # shingles of a union up to which the margin is LEAST_MARGIN at least
 LEAST_MARGIN = 0.25
-SLICE = 2 << 20
+SLICE = 1 << 19  # bytes of text hashed at once, at some forty times their size
+PART = 1 << 18  # shingles whose sets leave a worker at once, one set at least
 
 PRINTS = "id long, carried string, n_shingles long, d1 long, d2 long, signature binary"
 _PRINTS = ["id", "carried", "n_shingles", "d1", "d2", "signature"]
@@ -153,19 +154,23 @@ def first_digest(s: np.ndarray) -> np.uint64:
     return np.add.reduce(mix(s))
 
 
+def set_parts(text: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(row of the first, sets) of all texts in order, in parts that hold PART shingles or 1000 sets."""
+    done, held, sets = 0, 0, []
+    for s in shingles(text, words):
+        if sets and (len(sets) >= 1000 or held + len(s) > PART):
+            yield done, sets
+            done, held, sets = done + len(sets), 0, []
+        sets.append(s)
+        held += len(s)
+    if sets:
+        yield done, sets
+
+
 def prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """PRINTS of (id, text, carried)."""
     for batch in batches:
-        sets: list[np.ndarray] = []
-        done = 0
-        every = shingles(batch.column(1), words)
-        while done < batch.num_rows:
-            sets, held = [], 0
-            for s in every:
-                sets.append(s)
-                held += len(s)
-                if len(sets) >= 1000 or held >= 1_000_000:
-                    break
+        for done, sets in set_parts(batch.column(1), words):
             n = len(sets)
             rows = full_rows(sets)
             d1 = np.array([first_digest(s) for s in sets], U64)
@@ -181,7 +186,16 @@ def prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
                 ],
                 names=_PRINTS,
             )
-            done += n
+
+
+def full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(id, set) of (id, text, d1), where the text's set has that digest."""
+    for batch in batches:
+        for done, sets in set_parts(batch.column(1), words):
+            d1 = np.array([first_digest(s) for s in sets], U64).view(np.int64)
+            own = pa.array(d1 == batch.column(2).slice(done, len(sets)).to_numpy())
+            rows = [batch.column(0).slice(done, len(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, names=["id", "set"]).filter(own)
 
 
 def signatures(column: pa.Array) -> np.ndarray:
@@ -387,8 +401,8 @@ def node_pairs(batches: Iterator[pa.RecordBatch], percent: int, trees: int, deep
             found_b.append(b[ok])
         if found_a:
             a, b = np.concatenate(found_a), np.concatenate(found_b)
-            for i in range(0, len(a), 100_000):
-                x, y = a[i : i + 100_000], b[i : i + 100_000]
+            for i in range(0, len(a), 20_000):
+                x, y = a[i : i + 20_000], b[i : i + 20_000]
                 first = first_shared(sig[x], sig[y], mask[x], mask[y], trees, FIRST_LEVELS, deepest, percent)
                 here = (first < 0) | (first == tree[x])
                 yield from pair_batch(ids[x[here]], ids[y[here]])
@@ -438,19 +452,10 @@ class Join:
     def with_sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of the written ids of classes, from the texts."""
         words = self.words
-
-        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = list(shingles(batch.column(1), words))
-                d1 = np.array([first_digest(s) for s in sets], U64).view(np.int64)
-                own = pa.array(d1 == batch.column(2).to_numpy())
-                rows = [batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names=["id", "set"]).filter(own)
-
         asked = self.classes.select("id", "doc", "d1").join(ids, "id")
         asked = materialised(asked, "near-asked")
         texts = self.docs.withColumnRenamed("id", "doc").join(when_small(asked), "doc")
-        sets = texts.select("id", "text", "d1").mapInArrow(full, "id long, set binary")
+        sets = texts.select("id", "text", "d1").mapInArrow(lambda it: full_sets(it, words), "id long, set binary")
         return materialised(sets.distinct(), "near-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:

@@ -356,9 +356,11 @@ def repeated_spans(
                 own = offsets[i : j + 1] - offsets[i]
                 yield from dealt(entries(raw[offsets[i] : offsets[j]], own, ids[i:j], span, gram), shards)
 
-    found = materialised(_sharded(docs.mapInArrow(suffixes, ENTRY), False), "suffix-found")
-    opened = found.where(F.size("open") > 0).groupBy("doc").agg(F.flatten(F.collect_list("open")).alias("open"))
-    opened = materialised(opened, "suffix-open")
+    # By document, so that no file is written per shard.
+    together = lambda *names: [F.flatten(F.collect_list(c)).alias(c) for c in names]
+    found = _sharded(docs.mapInArrow(suffixes, ENTRY), False).groupBy("doc").agg(*together("covered", "open"))
+    found = materialised(found, "suffix-found")
+    opened = materialised(found.where(F.size("open") > 0).select("doc", "open"), "suffix-open")
 
     def opened_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,9 +376,9 @@ def repeated_spans(
     places = found.select("doc", "covered", F.array().cast("array<long>").alias("starts")).unionByName(
         again.select("doc", F.array().cast("array<long>").alias("covered"), F.col("covered").alias("starts"))
     )
-    gathered = places.groupBy("doc").agg(
-        F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("starts")).alias("starts")
-    )
+    gathered = places.groupBy("doc").agg(*together("covered", "starts"))
+    # Documents without places have no spans; a filter on the spans would evaluate them twice, in a worker each.
+    gathered = gathered.where((F.size("covered") > 0) | (F.size("starts") > 0))
 
     @F.arrow_udf("array<struct<start:long,end:long>>")
     def merged(covered: pa.Array, starts: pa.Array) -> pa.Array:
@@ -388,7 +390,7 @@ def repeated_spans(
         return pa.array(rows, kind)
 
     out = gathered.select(F.col("doc").alias(id_col), merged("covered", "starts").alias("spans"))
-    return materialised(out.where(F.size("spans") > 0), "suffix-spans")
+    return materialised(out, "suffix-spans")
 
 
 def without(text: Column, spans: Column) -> Column:
